@@ -35,12 +35,12 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash over distinct digests (32 bytes each, as an ``S32``-like void array)."""
+    """Minimal perfect hash over distinct digests (32 bytes each, as four 64-bit words)."""
 
     def __init__(self, digests: np.ndarray, locators: np.ndarray) -> None:
-        keys = digests.view(np.uint64).reshape(len(digests), 4)
+        keys = digests.view(np.uint64).reshape(-1, 4)
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        slot, left, base = np.empty(len(digests), np.int64), np.arange(len(digests)), 0
+        slot, left, base = np.empty(len(keys), np.int64), np.arange(len(keys)), 0
         while len(left):
             bits = max(64, int(GAMMA * len(left)))
             at = (self._hash(keys[left], len(self.levels)) % np.uint64(bits)).astype(np.int64)
@@ -61,8 +61,8 @@ class PerfectHash:
 
     def lookup(self, digests: np.ndarray) -> np.ndarray:
         """The slot of each digest, -1 for a nonmember; the slot's digest is compared in full."""
-        keys = digests.view(np.uint64).reshape(len(digests), 4)
-        slot, left = np.full(len(digests), -1, np.int64), np.arange(len(digests))
+        keys = digests.view(np.uint64).reshape(-1, 4)
+        slot, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
         for level, (taken, rank) in enumerate(self.levels):
             if not len(left):
                 break
@@ -105,18 +105,17 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
-def resolve(history: DataFrame, batch: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size) over two deliveries of (doc_id, digest)."""
+def resolve(rows: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) of (doc_id, digest, old), old marking the history."""
     least = F.lit(-(2**63))
+    groups = rows.groupBy("digest", "old").agg(F.max(F.coalesce("doc_id", least)).alias("best"), F.count("*").alias("n"))
+    shards = max(8, -(-rows.count() // SHARD_ROWS))
+    of = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard")
 
-    def groups(df: DataFrame) -> DataFrame:
-        return df.groupBy("digest").agg(F.max(F.coalesce("doc_id", least)).alias("best"), F.count("*").alias("n"))
+    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _resolve(pdf[pdf["old"]].reset_index(drop=True), pdf[~pdf["old"]].reset_index(drop=True))
 
-    old, new = groups(history), groups(batch)
-    shards = max(8, -(-history.count() // SHARD_ROWS))
-    of = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard")
-    both = old.select("*", of).groupBy("shard").cogroup(new.select("*", of).groupBy("shard"))
-    out = both.applyInPandas(lambda a, b: _resolve(a, b), "digest binary, best long, n long")
+    out = groups.select("*", of).groupBy("shard").applyInPandas(shard, "digest binary, best long, n long")
     return out.select("digest", F.when(F.col("best") != least, F.col("best")).alias("keep_id"), F.col("n").alias("group_size"))
 
 
@@ -127,8 +126,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     second is looked up in it. Both are whole, and so is the result. Of equal texts the largest ``doc_id`` stays.
     """
     rows = cut(digests(docs))
-    first = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))
-    winners = resolve(rows.filter(first), rows.filter(~first))
+    winners = resolve(rows.withColumn("old", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))))
     out = rows.join(winners, "digest")
     return out.select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")

@@ -176,7 +176,7 @@ def links(fps: DataFrame, tau: int = TAU, parts: int = PARTITIONS) -> DataFrame:
                 for k in range(t + 1):
                     for c in combinations(range(len(bits)), k):
                         key = base ^ np.uint64(sum(1 << x for x in c))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array(key.view(np.int64)), pa.array(np.full(len(fp), k == 0)), b.column(0)], ["part", "key", "own", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array(key.view(np.int64)), b.column(0)], ["part", "key", "fp"])
 
     def bucket_links(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
@@ -198,7 +198,7 @@ def links(fps: DataFrame, tau: int = TAU, parts: int = PARTITIONS) -> DataFrame:
         if got:
             yield pa.RecordBatch.from_pandas(bucket_links(pa.Table.from_batches(got).to_pandas()), preserve_index=False)
 
-    dealt = fps.mapInArrow(keys, "part int, key long, own boolean, fp long").repartition("part", "key")
+    dealt = fps.mapInArrow(keys, "part int, key long, fp long").repartition("part", "key")
     return dealt.mapInArrow(shard, "a long, b long").distinct()
 
 
