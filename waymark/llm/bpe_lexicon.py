@@ -224,10 +224,11 @@ class Encoder:
         self.pattern, self.lexicon = regex.compile(pattern), lexicon
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.kept = Memo(self._chunk)
+        self.number = {i: i for i in self.ranks.values()}  # one object for each id
 
     def word(self, word: bytes) -> list[int]:
         found = self.lexicon.lookup(word) if self.lexicon else None
-        return merge(word, self.ranks) if found is None else found
+        return merge(word, self.ranks) if found is None else [self.number[i] for i in found]
 
     def _chunk(self, chunk: str) -> list[int]:
         return [i for w in self.pattern.findall(chunk) for i in self.word(w.encode("utf-8", "surrogatepass"))]
