@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon, mphf_dedup, repair_tokens, secret_crf, simhash_gph, vector_packing
+from . import bpe_lexicon, mphf_dedup, quality_llr, repair_tokens, secret_crf, simhash_gph, vector_packing
 from .common import read_table
 from .vector_packing import vocabulary_file
 
@@ -15,6 +15,10 @@ def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
 
 
+def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_llr.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_crf.scan(read_table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_lexicon, op3_secret_crf, op4_repair_tokens, op6_simhash_gph, op9_mphf_dedup, op10_vector_packing)}
+    return {f.__name__: f for f in (op1_bpe_lexicon, op2_quality_llr, op3_secret_crf, op4_repair_tokens, op6_simhash_gph, op9_mphf_dedup, op10_vector_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
