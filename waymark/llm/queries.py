@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon, mphf_dedup, quality_llr, repair_tokens, secret_crf, simhash_gph, vector_packing
+from . import bpe_lexicon, mphf_dedup, quality_llr, repair_tokens, secret_crf, simhash_gph, suffix_family, tagpath, vector_packing, warc_revisit
 from .common import read_table
 from .vector_packing import vocabulary_file
 
@@ -27,10 +27,28 @@ def op4_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_tokens.token_files_roundtrip(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_family.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gph.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op7_tagpath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpath.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op8_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisit.resolve_pages(read_table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_mphf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mphf_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -40,8 +58,8 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_lexicon, op2_quality_llr, op3_secret_crf, op4_repair_tokens, op6_simhash_gph, op9_mphf_dedup, op10_vector_packing)}
+    return {f.__name__: f for f in (op1_bpe_lexicon, op2_quality_llr, op3_secret_crf, op4_repair_tokens, op5_suffix_family, op6_simhash_gph, op7_tagpath, op8_warc_revisit, op9_mphf_dedup, op10_vector_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mphf_dedup": mphf_dedup.ORACLE}
+    return {"op8_warc_revisit": warc_revisit.ORACLE, "op9_mphf_dedup": mphf_dedup.ORACLE}
