@@ -99,10 +99,10 @@ def capture_log(pages: DataFrame) -> DataFrame:
 
 
 def resolve_pages(pages: DataFrame) -> DataFrame:
-    """The capture log of ``pages``, resolved; the header fields in question as columns."""
+    """The capture log of ``pages``, resolved; header fields as columns; response_id -1 where there is none."""
     out = resolve(capture_log(pages))
     fields = ("content-type", "content-length", "etag", "last-modified", "cache-control")
-    return out.select("record_id", "kind", "url_key", "ts", "status", "response_id", *[F.col("headers").getItem(f).alias(f.replace("-", "_")) for f in fields], "digest", "n_bytes")
+    return out.select("record_id", "kind", "url_key", "ts", "status", F.coalesce("response_id", F.lit(-1)).alias("response_id"), *[F.col("headers").getItem(f).alias(f.replace("-", "_")) for f in fields], "digest", "n_bytes")
 
 
 ORACLE = r"""
@@ -124,7 +124,7 @@ j AS (SELECT a.*, s.etag AS s_etag, s.last_modified AS s_lm, s.content_type AS s
     CASE WHEN a.kind = 'response' THEN 'full' WHEN a.past IS NULL THEN 'orphan'
       WHEN coalesce(regexp_replace(a.etag, '^W/', '') = regexp_replace(s.etag, '^W/', ''), a.last_modified = s.last_modified, true) THEN 'resolved' ELSE 'mismatch' END AS status
   FROM a LEFT JOIN k s ON s.record_id = a.past.id)
-SELECT record_id, kind, url_key, ts, status, CASE WHEN status = 'resolved' THEN past.id END AS response_id,
+SELECT record_id, kind, url_key, ts, status, CASE WHEN status = 'resolved' THEN past.id ELSE -1 END AS response_id,
   CASE WHEN status = 'resolved' THEN s_type ELSE content_type END AS content_type, CASE WHEN status = 'resolved' THEN s_length ELSE content_length END AS content_length,
   CASE WHEN status = 'resolved' THEN coalesce(etag, s_etag) ELSE etag END AS etag, CASE WHEN status = 'resolved' THEN coalesce(last_modified, s_lm) ELSE last_modified END AS last_modified, cache_control,
   CASE WHEN status = 'resolved' THEN s_digest ELSE digest END AS digest, CASE WHEN status = 'resolved' THEN s_bytes ELSE n_bytes END AS n_bytes
