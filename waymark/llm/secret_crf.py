@@ -178,40 +178,23 @@ def train() -> dict[str, np.ndarray]:
 
 
 class Tagger:
-    """Viterbi over a text's tokens, with certain tokens as cuts."""
+    """Viterbi over a text's tokens, with certain tokens as cuts. Scores are taken against that of O."""
 
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
-        self.w = {k: np.asarray(v) for k, v in weights.items()}
-        step = self.w["step"]
-        # the most that neighbours, file and transitions can add to B or I against O
-        gain = 0.0
-        for m in (self.w["before"], self.w["after"], self.w["file"]):
-            gain += max(float(np.maximum(m[:, s] - m[:, O], 0).sum()) for s in (B, I))
-        gain += 2 * float(step.max() - step.min())
-        self.gain = gain
-        self.risky = Memo(self._risky)
-
-    def _risky(self, word: str) -> bool:
-        if word.isalpha() and len(word) < 16 or len(word) < 6:
-            # O for certain: short words and letters alone are below the least secret the tags stand for
-            return False
-        e = self.w["own"][own_features(word)].sum(axis=0)
-        return bool(max(e[B], e[I]) + self.gain >= e[O])
-
-    def scores(self, words: list[str], first: int, last: int, file: np.ndarray) -> np.ndarray:
-        e = np.empty((last - first, 3))
-        for t in range(first, last):
-            v = self.w["own"][own_features(words[t])].sum(axis=0) + file
-            if t:
-                v = v + self.w["before"][near_features(words[t - 1])].sum(axis=0)
-            if t + 1 < len(words):
-                v = v + self.w["after"][near_features(words[t + 1])].sum(axis=0)
-            e[t - first] = v
-        return e
+        w = {k: np.asarray(v) for k, v in weights.items()}
+        rel = {k: (m - m[:, O : O + 1])[:, :O] for k, m in w.items() if k != "step"}
+        self.file, self.step = rel["file"], w["step"]
+        # the most that transitions, and that all context, can add to B or I against O
+        self.turn = 2 * float(self.step.max() - self.step.min())
+        gain = self.turn + sum(float(np.maximum(rel[k], 0).sum(axis=0).max()) for k in ("before", "after", "file"))
+        self.own = Memo(lambda x: tuple(rel["own"][own_features(x)].sum(axis=0).tolist()))
+        self.before = Memo(lambda x: tuple(rel["before"][near_features(x)].sum(axis=0).tolist()))
+        self.after = Memo(lambda x: tuple(rel["after"][near_features(x)].sum(axis=0).tolist()))
+        self.risky = Memo(lambda x: not _ordinary(x) and max(self.own[x]) + gain >= 0)
 
     def viterbi(self, e: np.ndarray, begins: bool, ends: bool) -> list[int]:
         """Best tags of a run; begins/ends: a certain O stands before/after it."""
-        step = self.w["step"]
+        step = self.step
         best = e[0] + (step[O] if begins else 0)
         back = []
         for t in range(1, len(e)):
@@ -225,34 +208,50 @@ class Tagger:
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, 3, end) of the tagged secrets."""
-        words = _words(text)
+    def tags(self, words: list[str], file: list[int]) -> dict[int, int]:
+        """The tokens that aren't O, with their tags."""
         risky = bytes(map(self.risky.__getitem__, words))
         if 1 not in risky:
-            return []
-        file = self.w["file"][file_features(text)].sum(axis=0)
-        tagged: list[tuple[int, int]] = []
-        first = risky.find(1)
-        while first >= 0:
-            last = risky.find(0, first)
-            last = len(words) if last < 0 else last
-            tags = self.viterbi(self.scores(words, first, last, file), first > 0, last < len(words))
-            t = 0
-            while t < len(tags):
-                if tags[t] != O:
-                    end = t + 1
-                    while end < len(tags) and tags[end] == I:
-                        end += 1
-                    tagged.append((first + t, first + end))
-                    t = end
+            return {}
+        f, n, turn = self.file[file].sum(axis=0).tolist(), len(words), self.turn
+        runs: list[list[tuple[int, float, float]]] = []
+        t = risky.find(1)
+        while t >= 0:
+            b, i = self.own[words[t]]
+            b, i = b + f[0], i + f[1]
+            if t:
+                x, y = self.before[words[t - 1]]
+                b, i = b + x, i + y
+            if t + 1 < n:
+                x, y = self.after[words[t + 1]]
+                b, i = b + x, i + y
+            if b + turn >= 0 or i + turn >= 0:
+                if runs and runs[-1][-1][0] == t - 1:
+                    runs[-1].append((t, b, i))
                 else:
-                    t += 1
-            first = risky.find(1, last)
-        if not tagged:
+                    runs.append([(t, b, i)])
+            t = risky.find(1, t + 1)
+        out: dict[int, int] = {}
+        for run in runs:
+            e = np.array([(b, i, 0.0) for _, b, i in run])
+            for (t, _, _), tag in zip(run, self.viterbi(e, run[0][0] > 0, run[-1][0] + 1 < n), strict=True):
+                if tag != O:
+                    out[t] = tag
+        return out
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, 3, end) of the tagged secrets."""
+        words = _words(text)
+        tags = self.tags(words, file_features(text)) if words else {}
+        if not tags:
             return []
-        at = [m.span() for m in _WORD.finditer(text)]
-        out = []
+        tagged: list[list[int]] = []
+        for t, tag in tags.items():
+            if tag == I and tagged and tagged[-1][1] == t:
+                tagged[-1][1] = t + 1
+            else:
+                tagged.append([t, t + 1])
+        at, out = [m.span() for m in _WORD.finditer(text)], []
         for a, z in tagged:
             cores = [m.span() for m in CORE.finditer(text, at[a][0], at[z - 1][1])]
             if cores:
@@ -260,9 +259,13 @@ class Tagger:
         return out
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+def _ordinary(word: str) -> bool:
+    """O by definition: under six characters, or letters alone (less marks around them), and fewer than 16."""
+    return len(word) < 6 or (core := word.strip(_MARKS)).isalpha() and len(core) < 16 or not core
 
 
+_MARKS = ".,;:!?\"'()[]{}<>*&$%#|-"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # white space to str.split() that isn't in _WORD's class
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
