@@ -224,14 +224,17 @@ class Encoder:
         self.pattern, self.lexicon = regex.compile(pattern), lexicon
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.kept = Memo(self._chunk)
-        self.number = {i: i for i in self.ranks.values()}  # one object for each id
+        self.core = _core(json_path)
+        self.words = Memo(lambda w: self.word(w.encode("utf-8", "surrogatepass")))
 
     def word(self, word: bytes) -> list[int]:
         found = self.lexicon.lookup(word) if self.lexicon else None
-        return merge(word, self.ranks) if found is None else [self.number[i] for i in found]
+        return self.core._encode_single_piece(word) if found is None else found
 
     def _chunk(self, chunk: str) -> list[int]:
-        return [i for w in self.pattern.findall(chunk) for i in self.word(w.encode("utf-8", "surrogatepass"))]
+        if chunk.isalpha() or (chunk[:1] == " " and chunk[1:].isalpha()):  # one word to the pattern
+            return self.word(chunk.encode("utf-8", "surrogatepass"))
+        return [i for w in self.pattern.findall(chunk) for i in self.words[w]]
 
     def encode(self, text: str) -> list[int]:
         if self.split and any(s in text for s in self.special):
@@ -245,6 +248,14 @@ class Encoder:
         return b"".join(map(self.names.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def _core(json_path: str):
+    """Exact merges by the ranks, compiled; the same as ``merge``."""
+    import tiktoken
+
+    return tiktoken.Encoding("merge", pat_str=vocabulary(json_path)[3], mergeable_ranks=vocabulary(json_path)[0], special_tokens={})
+
+
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -261,7 +272,8 @@ def encode_documents(docs: DataFrame, json_path: str) -> DataFrame:
     spark = docs.sparkSession
     data = build_lexicon(docs, json_path)
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    spark.sparkContext.addFile(put_shared(spark, name, data))
+    if name not in {str(x).rpartition("/")[2] for x in spark.sparkContext.listFiles}:  # the same words give the same file
+        spark.sparkContext.addFile(put_shared(spark, name, data))
 
     def run(batches):
         enc = _encoder(json_path, name)
