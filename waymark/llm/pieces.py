@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import regex
 
-MEMO_ITEMS = 300_000
+MEMO_ITEMS = 400_000
 MEMO_CHARS = 64  # longer chunks aren't kept
 END_OF_TEXT = "<|endoftext|>"
 _CHUNK = regex.compile(r"\s*\S+|\s+")
@@ -45,6 +45,14 @@ class Memo(dict):
             self[chunk] = value
         return value
 
+    def rotate(self, drop=()) -> None:
+        """After an update from outside: leave out some chunks, and keep to the bound."""
+        for c in list(drop):
+            self.pop(c, None)
+        if len(self) > MEMO_ITEMS:
+            self.older = dict(self)
+            self.clear()
+
     def __missing__(self, chunk: str):
         value = self.older.get(chunk)
         return self.put(chunk, self.make(chunk) if value is None else value)

@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder
-from .pieces import MEMO_CHARS, MEMO_ITEMS, Memo, json_tokenizer
+from .pieces import MEMO_CHARS, Memo, json_tokenizer
 from .vector_packing import vocabulary_file
 
 END_ID = 2
@@ -42,6 +43,8 @@ MAX_ROUNDS = 12
 MAGIC = 0x52455041
 NULL_DOC = -(2**63)
 HEAD = 8
+# Fixed value: the pieces that this vocabulary's tokenizer cuts normalised text into.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 # --- encoding -----------------------------------------------------------------------------------------------------
@@ -56,34 +59,33 @@ class ChunkEncoder:
 
     def __init__(self, path: str) -> None:
         self.tok = json_tokenizer(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.mark = next((t for t in self.special if "end" in t), None)
-        self.mark_id = self.tok.token_to_id(self.mark) if self.mark else -1
-        self.kept = Memo()
+        self.kept, self.pieces = Memo(), Memo()
         probe = "It's a b\nc d.. 12 a-b\tE"
-        self.apart = self.mark is not None and self._whole(probe) == b"".join(self._whole(x) for x in probe.replace("\n", " ").split(" "))
+        self.apart = self._whole(probe) == b"".join(self._whole(x) for w in probe.split() for x in _PIECE.findall(w.lower()))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of distinct chunks in few calls: chunks are joined by the end mark, and the ids cut at its id."""
-        found: dict[str, bytes] = {}
-        plain = [c for c in new if not any(s in c for s in self.special)]
-        for c in set(new).difference(plain):
-            found[c] = self._whole(c)
-        glue = f" {self.mark} "
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self.tok.encode(glue.join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(part) - 1:
-                found.update((c, self._whole(c)) for c in part)
-                continue
-            raw, at = ids.tobytes(), 0
-            for c, end in zip(part, [*ends.tolist(), len(ids)], strict=True):
-                found[c] = raw[4 * at : 4 * end]
-                at = end + 1
+        """Ids of distinct chunks: of their distinct pieces, as the tokenizer cuts them, in one call.
+
+        Only texts below U+0250 are cut here: they're composed already, and have simple lower case.
+        """
+        found, cut = {}, []
+        for c in new:
+            if (c.isascii() or c and max(c) < "\u0250") and "<|" not in c:
+                cut.append((c, _PIECE.findall(c.lower())))
+            else:
+                found[c] = self._whole(c)
+        pieces = list({p for _, ps in cut for p in ps}.difference(self.pieces))
+        old = self.pieces.older
+        unseen = [p for p in pieces if p not in old]
+        here = {p: old[p] for p in pieces if p in old}
+        for p, e in zip(unseen, self.tok.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
+            here[p] = np.array(e.ids, "<u4").tobytes()
+        self.pieces.update(here)
+        found.update((c, self.pieces[ps[0]] if len(ps) == 1 else b"".join(map(self.pieces.__getitem__, ps))) for c, ps in cut)
+        self.pieces.rotate()
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -96,12 +98,7 @@ class ChunkEncoder:
         here |= self._learn([c for c in new if c not in here])
         memo.update(here)
         out = [b"".join(map(memo.__getitem__, words)) for words in cut]
-        for c in here:
-            if len(c) > MEMO_CHARS:
-                del memo[c]
-        if len(memo) > MEMO_ITEMS:
-            memo.older = dict(memo)
-            memo.clear()
+        memo.rotate(c for c in here if len(c) > MEMO_CHARS)
         return out
 
 
