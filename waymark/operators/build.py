@@ -14,6 +14,12 @@ NODES = "map_id long, node_id int, row int, col int, x double, y double, z doubl
 EDGES = "map_id long, src int, dst int, weight double, edge_type string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """By map, over enough partitions for all cores: maps are small in bytes and long in work, so no coalescing."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "map_id")
+
+
 def raster(pdf: pd.DataFrame) -> np.ndarray:
     image = np.zeros((pdf["row"].max() + 1, pdf["col"].max() + 1), np.uint8)
     image[pdf["row"], pdf["col"]] = pdf["value"]
@@ -38,7 +44,7 @@ def build_graphs(cells: DataFrame, *, resolution: float = 0.05, safety: float =
     """
     cfg = config or Config()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         image, rows = raster(pdf), []
         try:
             graph, _ = build(image, resolution, safety, threshold, cfg)
@@ -52,7 +58,7 @@ def build_graphs(cells: DataFrame, *, resolution: float = 0.05, safety: float =
             rows += [("edge", key[0], None, None, None, None, None, None, None, i, ids[q], w * resolution, kind) for q, (w, kind) in graph.near[p].items() if i < ids[q]]
         return pd.DataFrame(rows, columns=COLUMNS).astype({c: "Int32" for c in ("node_id", "row", "col", "src", "dst")})
 
-    return cells.selectExpr("cast(map_id as long) map_id", "row", "col", "value").groupBy("map_id").applyInPandas(run, "kind string, " + NODES + ", src int, dst int, weight double, edge_type string")
+    return spread(cells.selectExpr("cast(map_id as long) map_id", "row", "col", "value")).groupBy("map_id").applyInPandas(run, "kind string, " + NODES + ", src int, dst int, weight double, edge_type string")
 
 
 COLUMNS = ["kind", "map_id", "node_id", "row", "col", "x", "y", "z", "node_type", "src", "dst", "weight", "edge_type"]
@@ -69,7 +75,7 @@ def edges_of(built: DataFrame) -> DataFrame:
 def node_maps(blocked: DataFrame, nodes: DataFrame) -> DataFrame:
     """map_id, row, col, label, hops: each cell's nearest node by steps; label -1 unreached, -2 blocked."""
 
-    def run(key, b: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, b: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
         mask = np.ones((b["row"].max() + 1, b["col"].max() + 1), bool) if len(b) else np.ones((0, 0), bool)
         mask[b["row"], b["col"]] = b["blocked"]
         n = n.sort_values("node_id")
@@ -77,8 +83,8 @@ def node_maps(blocked: DataFrame, nodes: DataFrame) -> DataFrame:
         r, c = np.indices(mask.shape)
         return pd.DataFrame({"map_id": key[0], "row": r.ravel().astype(np.int32), "col": c.ravel().astype(np.int32), "label": label.ravel(), "hops": hops.ravel()})
 
-    a = blocked.selectExpr("cast(map_id as long) map_id", "row", "col", "blocked").groupBy("map_id")
-    return a.cogroup(nodes.selectExpr("cast(map_id as long) map_id", "node_id", "row", "col").groupBy("map_id")).applyInPandas(run, "map_id long, row int, col int, label int, hops int")
+    a = spread(blocked.selectExpr("cast(map_id as long) map_id", "row", "col", "blocked")).groupBy("map_id")
+    return a.cogroup(spread(nodes.selectExpr("cast(map_id as long) map_id", "node_id", "row", "col")).groupBy("map_id")).applyInPandas(run, "map_id long, row int, col int, label int, hops int")
 
 
 def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,7 +93,7 @@ def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
     both = both.union(nodes.selectExpr("'n' k", "cast(map_id as long) map_id", "cast(node_id as long) a", "0L b", "0L c", "cast(row as double) w", "cast(col as double) x"))
     both = both.union(edges.selectExpr("'e' k", "cast(map_id as long) map_id", "cast(src as long) a", "cast(dst as long) b", "0L c", "weight w", "0D x"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n, e, r = (pdf[pdf["k"] == k] for k in "ner")
         near: dict[int, dict[int, float]] = {}
         for a, b, w in zip(e["a"], e["b"], e["w"], strict=True):
@@ -103,4 +109,4 @@ def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
             out.append((route, key[0], path is not None, sum(near[p][q] for p, q in zip(path, path[1:], strict=False)) if path else None, path))
         return pd.DataFrame(out, columns=["route_id", "map_id", "found", "length", "path"])
 
-    return both.groupBy("map_id").applyInPandas(run, "route_id long, map_id long, found boolean, length double, path array<long>")
+    return spread(both).groupBy("map_id").applyInPandas(run, "route_id long, map_id long, found boolean, length double, path array<long>")
