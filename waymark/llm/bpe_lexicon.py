@@ -15,6 +15,7 @@ Defined results: a null text equals the empty text and has no ids (the hash of t
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import mmap
 from collections import Counter
@@ -27,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import put_shared
+from .common import cut, put_shared
 from .pieces import END_OF_TEXT, Memo, chunks
 
 LEXICON_WORDS = 50_000
@@ -162,30 +163,39 @@ class Lexicon:
             arrays.append(view[at : at + n])
             at += n
         self.first, self.final, self.label, self.to, self.skip, self.starts, self.ids = arrays
+        self.arcs: dict[int, tuple[int, int]] = {}  # arcs met so far: state and byte to (target, words skipped)
+
+    def _arc(self, s: int, c: int) -> tuple[int, int]:
+        """The arc of a state for a byte, found by bisection among its sorted arcs; (-1, 0) if there is none."""
+        lo, hi = self.first[s], self.first[s + 1]
+        end, label = hi, self.label
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if label[mid] < c:
+                lo = mid + 1
+            else:
+                hi = mid
+        if lo >= end or label[lo] != c:
+            return -1, 0
+        found = self.arcs[s << 8 | c] = (self.to[lo], self.skip[lo])
+        return found
 
     def lookup(self, word: bytes) -> list[int] | None:
         """The ids of a word, or None if it isn't in the lexicon."""
-        s, out = self.root, 0
-        first, label = self.first, self.label
+        s, out, arcs = self.root, 0, self.arcs
         for c in word:
-            lo, hi = first[s], first[s + 1]
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if label[mid] < c:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo >= first[s + 1] or label[lo] != c:
+            to, skipped = arcs.get(s << 8 | c) or self._arc(s, c)
+            if to < 0:
                 return None
-            out += self.skip[lo]
-            s = self.to[lo]
+            out += skipped
+            s = to
         if not self.final[s]:
             return None
         return self.ids[self.starts[out] : self.starts[out + 1]].tolist()
 
 
 def word_counts(docs: DataFrame, json_path: str) -> DataFrame:
-    """(word binary, n) of all texts; each task adds up before it passes on."""
+    """(word, n) of all texts; each task adds up before it passes on."""
 
     def run(batches):
         pattern, seen = regex.compile(vocabulary(json_path)[3]), Counter()
@@ -193,10 +203,13 @@ def word_counts(docs: DataFrame, json_path: str) -> DataFrame:
         def flush():
             words: Counter[str] = Counter()
             for chunk, n in seen.items():
-                for w in pattern.findall(chunk):
-                    words[w] += n
+                if chunk.isalpha() or (chunk[:1] == " " and chunk[1:].isalpha()):  # one word to the pattern
+                    words[chunk] += n
+                else:
+                    for w in pattern.findall(chunk):
+                        words[w] += n
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
             for text in b.column(0):
@@ -205,13 +218,21 @@ def word_counts(docs: DataFrame, json_path: str) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, json_path: str, words: int = LEXICON_WORDS, least: int = MIN_COUNT) -> bytes:
     """Count, choose at most ``words`` words and compile them; the bound holds for any corpus."""
-    counted = word_counts(docs, json_path).filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words)
-    chosen = sorted(bytes(r["word"]) for r in counted.select("word").collect())
+    counted = cut(word_counts(docs, json_path).filter(F.col("n") >= least))
+    # the count that the last chosen word has, from how many words have each count: no partition sends its own top list
+    have, bar = 0, least
+    for r in counted.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(words).collect():
+        have, bar = have + r["k"], r["n"]
+        if have >= words:
+            break
+    sure = counted.filter(F.col("n") > bar).select("word").collect()  # fewer than ``words`` rows
+    ties = counted.filter(F.col("n") == bar).orderBy("word").limit(words - len(sure)).select("word").collect()
+    chosen = sorted(r["word"].encode() for r in [*sure, *ties])
     ranks = vocabulary(json_path)[0]
     return compile_lexicon(chosen, [merge(w, ranks) for w in chosen])
 
@@ -276,6 +297,7 @@ def encode_documents(docs: DataFrame, json_path: str) -> DataFrame:
         spark.sparkContext.addFile(put_shared(spark, name, data))
 
     def run(batches):
+        gc.disable()  # only large dicts without cycles are kept here; walking them costs more than the work
         enc = _encoder(json_path, name)
         digits = [str(i) for i in range(len(enc.names))]
         for b in batches:

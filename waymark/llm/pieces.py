@@ -31,15 +31,15 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """chunk -> make(chunk). Holds at most two generations of MEMO_ITEMS; what the older one still serves moves up."""
+    """chunk -> make(chunk). Holds at most two generations of ``items``; what the older one still serves moves up."""
 
-    def __init__(self, make=None) -> None:
+    def __init__(self, make=None, items: int = MEMO_ITEMS) -> None:
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.items, self.older = make, items, {}
 
     def put(self, chunk: str, value):
         if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_ITEMS:
+            if len(self) >= self.items:
                 self.older = dict(self)
                 self.clear()
             self[chunk] = value
@@ -49,7 +49,7 @@ class Memo(dict):
         """After an update from outside: leave out some chunks, and keep to the bound."""
         for c in list(drop):
             self.pop(c, None)
-        if len(self) > MEMO_ITEMS:
+        if len(self) > self.items:
             self.older = dict(self)
             self.clear()
 

@@ -20,7 +20,9 @@ rows are written as often as they occur, in any order among equals; an empty tab
 
 from __future__ import annotations
 
+import gc
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,7 @@ TEXT_PART = 1_000_000
 ROUND_RULES = 2048
 MIN_PAIR = 12
 MAX_ROUNDS = 12
+KEPT = 120_000  # chunks, and pieces, whose ids a worker keeps in each of two generations
 MAGIC = 0x52455041
 NULL_DOC = -(2**63)
 HEAD = 8
@@ -59,7 +62,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str) -> None:
         self.tok = json_tokenizer(path)
-        self.kept, self.pieces = Memo(), Memo()
+        self.kept, self.pieces = Memo(items=KEPT), Memo(items=KEPT)
         probe = "It's a b\nc d.. 12 a-b\tE"
         self.apart = self._whole(probe) == b"".join(self._whole(x) for w in probe.split() for x in _PIECE.findall(w.lower()))
 
@@ -82,7 +85,7 @@ class ChunkEncoder:
         unseen = [p for p in pieces if p not in old]
         here = {p: old[p] for p in pieces if p in old}
         for p, e in zip(unseen, self.tok.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            here[p] = np.array(e.ids, "<u4").tobytes()
+            here[p] = array("I", e.ids).tobytes()
         self.pieces.update(here)
         found.update((c, self.pieces[ps[0]] if len(ps) == 1 else b"".join(map(self.pieces.__getitem__, ps))) for c, ps in cut)
         self.pieces.rotate()
@@ -235,6 +238,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     """Write the ids of all texts, each with ``end_id``, in ascending doc_id order."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # only large dicts without cycles are kept here; walking them costs more than the work
         enc, part, shard = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         names: list[int] = []
