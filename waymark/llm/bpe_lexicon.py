@@ -33,6 +33,7 @@ from .pieces import END_OF_TEXT, Memo, chunks
 
 LEXICON_WORDS = 50_000
 MIN_COUNT = 4
+SHOWN = 320_000  # chunks whose results a worker keeps in each of two generations
 COUNT_ITEMS = 400_000  # words counted in a task's memory before they're passed on
 MAGIC = 0x4D414C31
 
@@ -245,8 +246,9 @@ class Encoder:
         self.pattern, self.lexicon = regex.compile(pattern), lexicon
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.kept = Memo(self._chunk)
+        self.shown = Memo(self._show, SHOWN)
         self.core = _core(json_path)
-        self.words = Memo(lambda w: self.word(w.encode("utf-8", "surrogatepass")))
+        self.words = Memo(lambda w: self.word(w.encode("utf-8", "surrogatepass")), SHOWN // 4)
 
     def word(self, word: bytes) -> list[int]:
         found = self.lexicon.lookup(word) if self.lexicon else None
@@ -265,6 +267,20 @@ class Encoder:
             out += ids
         return out
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """(number of ids, SHA-256 of the ids, SHA-256 of the text decoded from the ids), put together by chunk."""
+        if self.split and any(s in text for s in self.special):
+            ids = self.encode(text)
+            n, joined, raw = len(ids), ",".join(map(str, ids)), b"".join(map(self.names.__getitem__, ids))
+        else:
+            found = [x for x in map(self.shown.__getitem__, chunks(text)) if x[0]]
+            n, joined, raw = sum([x[0] for x in found]), ",".join([x[1] for x in found]), b"".join([x[2] for x in found])
+        return n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest()
+
+    def _show(self, chunk: str) -> tuple[int, str, bytes]:
+        ids = self._chunk(chunk)
+        return len(ids), ",".join(map(str, ids)), b"".join(map(self.names.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.names.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -299,14 +315,13 @@ def encode_documents(docs: DataFrame, json_path: str) -> DataFrame:
     def run(batches):
         gc.disable()  # only large dicts without cycles are kept here; walking them costs more than the work
         enc = _encoder(json_path, name)
-        digits = [str(i) for i in range(len(enc.names))]
         for b in batches:
             n, ids_sha, text_sha = [], [], []
             for text in b.column(1):
-                ids = enc.encode(text.as_py() or "")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(enc.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+                k, x, y = enc.digests(text.as_py() or "")
+                n.append(k)
+                ids_sha.append(x)
+                text_sha.append(y)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
