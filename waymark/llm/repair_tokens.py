@@ -42,7 +42,7 @@ TEXT_PART = 1_000_000
 ROUND_RULES = 2048
 MIN_PAIR = 12
 MAX_ROUNDS = 12
-KEPT = 120_000  # chunks, and pieces, whose ids a worker keeps in each of two generations
+KEPT = 230_000  # chunks, and pieces, whose ids a worker keeps in each of two generations
 MAGIC = 0x52455041
 NULL_DOC = -(2**63)
 HEAD = 8
