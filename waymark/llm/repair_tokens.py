@@ -50,6 +50,11 @@ HEAD = 8
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+# Byte-level letters: printable bytes stand for themselves, the others, in order, for code points from 256 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 # --- encoding -----------------------------------------------------------------------------------------------------
 
 
@@ -62,6 +67,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str) -> None:
         self.tok = json_tokenizer(path)
+        self.model = self.tok.model
         self.kept, self.pieces = Memo(items=KEPT), Memo(items=KEPT)
         probe = "It's a b\nc d.. 12 a-b\tE"
         self.apart = self._whole(probe) == b"".join(self._whole(x) for w in probe.split() for x in _PIECE.findall(w.lower()))
@@ -70,7 +76,7 @@ class ChunkEncoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of distinct chunks: of their distinct pieces, as the tokenizer cuts them, in one call.
+        """Ids of distinct chunks: of their distinct pieces, as the tokenizer cuts them.
 
         Only texts below U+0250 are cut here: they're composed already, and have simple lower case.
         """
@@ -84,8 +90,10 @@ class ChunkEncoder:
         old = self.pieces.older
         unseen = [p for p in pieces if p not in old]
         here = {p: old[p] for p in pieces if p in old}
-        for p, e in zip(unseen, self.tok.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            here[p] = array("I", e.ids).tobytes()
+        tokenize = self.model.tokenize  # the library's merges alone, on a piece in its byte letters
+        for p in unseen:
+            letters = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_LETTERS)
+            here[p] = array("I", [k.id for k in tokenize(letters)]).tobytes()
         self.pieces.update(here)
         found.update((c, self.pieces[ps[0]] if len(ps) == 1 else b"".join(map(self.pieces.__getitem__, ps))) for c, ps in cut)
         self.pieces.rotate()
