@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,29 @@ def free_ratio(cells: DataFrame, limit: int = 127) -> DataFrame:
 
 
 def distance(cells: DataFrame, limit: int = 127, ring: bool = True) -> DataFrame:
-    """map_id, row, col, free, d2: squared distance to the nearest cell that isn't free, exact, in integers.
+    """map_id, row, col, free, d2 as ``distance_by_rows``, one grouped-map task for a map: for many maps of usual size.
+
+    At 1,000 maps of 48 x 64 cells the relational form took over 20 s, most of it in nested lambdas.
+    """
+    from .build import spread
+    from .kernels import squared_distance
+
+    kind = dict(cells.dtypes)["map_id"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        free = np.zeros((r.max() + 1, c.max() + 1), bool)
+        free[r, c] = pdf["value"].to_numpy() > limit
+        walls = not free.all()
+        d2 = squared_distance(np.pad(free, 1))[1:-1, 1:-1] if ring else squared_distance(free)
+        out = pdf[["map_id", "row", "col"]].assign(free=free[r, c])
+        return out.assign(d2=pd.Series(d2[r, c], dtype="Int32") if ring or walls else pd.Series([None] * len(out), dtype="Int32"))
+
+    return spread(cells.select(*KEY, "value")).groupBy("map_id").applyInPandas(run, f"map_id {kind}, row int, col int, free boolean, d2 int")
+
+
+def distance_by_rows(cells: DataFrame, limit: int = 127, ring: bool = True) -> DataFrame:
+    """For maps too large for one task: map_id, row, col, free, d2: squared distance to the nearest cell that isn't free, exact, in integers.
 
     Separable: nearest obstacle in the column from two running windows, then, for each row, the least of gap squared
     plus column distance squared, inside the row's array. Two exchanges, by (map, column) and (map, row); no self-join.
