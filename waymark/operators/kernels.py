@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import deque
 from dataclasses import dataclass
+from functools import cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -188,18 +189,42 @@ def triangulate(points: list[tuple[int, int]]) -> set[tuple[int, int]]:
         a2, b2, c2 = (x * x + y * y for x, y in rows)
         return ax * (by * c2 - b2 * cy) - ay * (bx * c2 - b2 * cx) + a2 * (bx * cy - by * cx) > 0
 
-    triangles = {(n, n + 1, n + 2) if turn(n, n + 1, n + 2) > 0 else (n, n + 2, n + 1)}
+    third: dict[tuple[int, int], int] = {}  # a directed side -> the corner on its left
+
+    def add(a: int, b: int, c: int) -> None:
+        third[a, b], third[b, c], third[c, a] = c, a, b
+
+    add(*((n, n + 1, n + 2) if turn(n, n + 1, n + 2) > 0 else (n, n + 2, n + 1)))
+    side = next(iter(third))
     for p in sorted(range(n), key=lambda i: points[i]):
-        bad = [t for t in triangles if inside(t, p)]
-        sides: dict[tuple[int, int], int] = {}
-        for a, b, c in bad:
-            for e in ((a, b), (b, c), (c, a)):
-                sides[e] = 1
-        triangles.difference_update(bad)
-        for a, b in sides:
-            if (b, a) not in sides and turn(a, b, p) > 0:
-                triangles.add((a, b, p))
-    return {(min(e), max(e)) for t in triangles for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])) if max(e) < n}
+        # walk to the triangle around the point from the newest one; triangles whose circles hold it are connected
+        while True:
+            a, b = side
+            c = third[side]
+            over = next((e for e in ((a, b), (b, c), (c, a)) if turn(*e, p) < 0), None)
+            if over is None:
+                break
+            side = over[::-1]
+        bad, todo = set(), [(a, b, c)]
+        rim = []
+        bad.update(((a, b), (b, c), (c, a)))
+        while todo:
+            a, b, c = todo.pop()
+            for x, y in ((a, b), (b, c), (c, a)):
+                if (y, x) in bad:
+                    continue
+                z = third.get((y, x))
+                if z is not None and inside((y, x, z), p):
+                    bad.update(((y, x), (x, z), (z, y)))
+                    todo.append((y, x, z))
+                else:
+                    rim.append((x, y))
+        for e in bad:
+            del third[e]
+        for a, b in rim:
+            add(a, b, p)
+        side = rim[0]
+    return {(a, b) for a, b in third if a < b < n} | {(b, a) for a, b in third if b < a < n}
 
 
 class Graph:
@@ -254,6 +279,7 @@ def sample_free(graph: Graph, free: np.ndarray, limit: int) -> None:
 
 def merge_close(graph: Graph, blocked: np.ndarray, radius: float) -> None:
     """Merge pairs within ``radius``, in node order, as long as the moved lines stay free."""
+    crosses = cache(lambda p, q: collides(blocked, p, q))  # pairs that can't merge come again each round
     while True:
         order = {p: i for i, p in enumerate(graph.nodes)}
         pts = np.array(list(graph.nodes))
@@ -269,7 +295,7 @@ def merge_close(graph: Graph, blocked: np.ndarray, radius: float) -> None:
             if b not in graph.nodes:
                 continue
             others = [q for q in graph.near[b] if q != a]
-            if any(collides(blocked, a, q) for q in others):
+            if any(crosses(a, q) for q in others):
                 continue
             for q in others:
                 graph.edge(a, q, "merge")
