@@ -31,17 +31,17 @@ def to_pixels_int(metres: Column, resolution) -> Column:
     return F.greatest(F.lit(1), F.ceil(to_pixels(metres, resolution)).cast("int"))
 
 
-def line_cells(r0: Column, c0: Column, r1: Column, c1: Column) -> Column:
+def line_cells(r0: Column, c0: Column, r1: Column, c1: Column, drawn: bool = False) -> Column:
     """array<struct(row, col)> of the cells on the walk from (r0, c0) to (r1, c1), both included.
 
     Step i of n = max(|dr|, |dc|) has moved i cells on the longer axis and (2 i m + n - 1) div 2n on the other, m being
-    its length. The walk isn't symmetric, so the direction matters.
+    its length. The walk isn't symmetric, so the direction matters. ``drawn`` lines round halves up: (2 i m + n) div 2n.
     """
     dr, dc = F.abs(r1 - r0), F.abs(c1 - c0)
     n, m = F.greatest(dr, dc), F.least(dr, dc)
 
     def cell(i: Column) -> Column:
-        minor = F.when(n == 0, F.lit(0)).otherwise(F.floor((2 * i * m + n - 1) / (2 * n)).cast("int"))
+        minor = F.when(n == 0, F.lit(0)).otherwise(F.floor((2 * i * m + n - (0 if drawn else 1)) / (2 * n)).cast("int"))
         wide = dc >= dr
         return F.struct((r0 + F.signum(r1 - r0).cast("int") * F.when(wide, minor).otherwise(i)).cast("int").alias("row"), (c0 + F.signum(c1 - c0).cast("int") * F.when(wide, i).otherwise(minor)).cast("int").alias("col"))
 

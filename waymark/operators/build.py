@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .kernels import Config, build, node_map, shortest_path
+from .kernels import Config, Graph, branches, build, collides, contours, node_map, sample_free, shortest_path, simplify, squared_distance, thin, triangulate
 
 NODES = "map_id long, node_id int, row int, col int, x double, y double, z double, node_type string"
 EDGES = "map_id long, src int, dst int, weight double, edge_type string"
@@ -110,3 +110,97 @@ def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
         return pd.DataFrame(out, columns=["route_id", "map_id", "found", "length", "path"])
 
     return spread(both).groupBy("map_id").applyInPandas(run, "route_id long, map_id long, found boolean, length double, path array<long>")
+
+
+def find_routes(requests: DataFrame, blocked: DataFrame, nodes: DataFrame, edges: DataFrame, *, shortcut: float, resolution: float = 0.05, split: int = 8) -> DataFrame:
+    """Whole routes for requests(route_id, map_id, r0, c0, r1, c1) in pixels: route_id, found, reason, points.
+
+    In order: ends that are blocked or outside have no route; a free straight line shorter than ``shortcut`` metres is
+    the route; otherwise both ends go to their nearest nodes by free lines and the graph is searched. A map's requests
+    are split into ``split`` tasks, each with a copy of the map, so a busy map doesn't end in one task.
+    """
+    copies = "explode(sequence(0, %d)) part" % (split - 1)
+    both = blocked.selectExpr("cast(map_id as long) map_id", "'b' k", "cast(row as long) a", "cast(col as long) b", "cast(blocked as long) c", "0L d", "0L e", "0D w", copies)
+    both = both.union(nodes.selectExpr("cast(map_id as long) map_id", "'n'", "cast(node_id as long)", "cast(row as long)", "cast(col as long)", "0L", "0L", "0D", copies))
+    both = both.union(edges.selectExpr("cast(map_id as long) map_id", "'e'", "cast(src as long)", "cast(dst as long)", "0L", "0L", "0L", "weight", copies))
+    both = both.union(requests.selectExpr("cast(map_id as long) map_id", "'r'", "cast(route_id as long)", "cast(r0 as long)", "cast(c0 as long)", "cast(r1 as long)", "cast(c1 as long)", "0D", f"cast(pmod(xxhash64(route_id), {split}) as int)"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cells, n, e, r = (pdf[pdf["k"] == k] for k in "bner")
+        h, w = (int(cells["a"].max()) + 1, int(cells["b"].max()) + 1) if len(cells) else (0, 0)
+        mask = np.ones((h, w), bool)
+        mask[cells["a"], cells["b"]] = cells["c"] != 0
+        n = n.sort_values("a")
+        names, at = n["a"].tolist(), dict(zip(n["a"].tolist(), zip(n["b"].tolist(), n["c"].tolist(), strict=True), strict=True))
+        near: dict[int, dict[int, float]] = {}
+        for a, b in zip(e["a"].tolist(), e["b"].tolist(), strict=True):
+            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = math.dist(at[a], at[b])
+        label = node_map(mask, [at[x] for x in names])[0] if len(r) else mask
+
+        def one(p: tuple[int, int], q: tuple[int, int]) -> tuple[str, list | None]:
+            for end, what in ((p, "bad start"), (q, "bad goal")):
+                if not (0 <= end[0] < h and 0 <= end[1] < w) or mask[end]:
+                    return what, None
+            if math.dist(p, q) * resolution < shortcut and not collides(mask, p, q):
+                return "straight", [p, q]
+            if label[p] < 0 or label[q] < 0:
+                return "no node", None
+            a, z = names[label[p]], names[label[q]]
+            if collides(mask, p, at[a]) or collides(mask, at[z], q):
+                return "no node", None
+            path = shortest_path(near, at, a, z)
+            return ("search", [p, *(at[x] for x in path), q]) if path else ("no way", None)
+
+        rows = []
+        for route, r0, c0, r1, c1 in zip(*(r[k].tolist() for k in "abcde"), strict=True):
+            reason, points = one((r0, c0), (r1, c1))
+            rows.append((route, points is not None, reason, [{"row": int(a), "col": int(b)} for a, b in points] if points else None))
+        return pd.DataFrame(rows, columns=["route_id", "found", "reason", "points"])
+
+    return spread(both).groupBy("map_id", "part").applyInPandas(run, "route_id long, found boolean, reason string, points array<struct<row:int,col:int>>")
+
+
+def _stage(cells: DataFrame, make, schema: str) -> DataFrame:
+    """One stage of a build alone, by map: make(blocked, free, distances with a ring) gives rows after map_id."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        free = raster(pdf) > 127
+        dist = np.sqrt(squared_distance(np.pad(free, 1))).astype(np.float32)
+        return pd.DataFrame([(key[0], *row) for row in make(free, dist)], columns=[x.split()[0] for x in ("map_id long, " + schema).split(", ")])
+
+    return spread(cells.selectExpr("cast(map_id as long) map_id", "row", "col", "value")).groupBy("map_id").applyInPandas(run, "map_id long, " + schema)
+
+
+def skeletons(cells: DataFrame, *, safety: float, resolution: float) -> DataFrame:
+    """map_id, branch, i, row, col: the branches of each map's skeleton, pixel by pixel."""
+    least = np.float32(safety / resolution)
+    return _stage(cells, lambda free, dist: [(b, i, *p) for b, path in enumerate(branches(thin(dist[1:-1, 1:-1] >= least))) for i, p in enumerate(path)], "branch int, i int, row int, col int")
+
+
+def boundaries(cells: DataFrame, *, safety: float, resolution: float, inflation: float = 1.5, tolerance: float = 0.6) -> DataFrame:
+    """map_id, ring, i, row, col: vertices of the simplified contours around obstacles, in map pixels."""
+    least = np.float32(safety * inflation / resolution)
+    return _stage(cells, lambda free, dist: [(k, i, *p) for k, ring in enumerate(contours(dist >= least)) for i, p in enumerate(np.clip(simplify(ring - 1, tolerance), 0, (free.shape[0] - 1, free.shape[1] - 1)).tolist())], "ring int, i int, row double, col double")
+
+
+def free_samples(cells: DataFrame, *, distance: int) -> DataFrame:
+    """map_id, node_id, row, col: nodes placed at distance maxima in free space, in the order they are placed."""
+
+    def make(free: np.ndarray, dist: np.ndarray):
+        graph = Graph()
+        sample_free(graph, free, distance)
+        return [(i, *p) for i, p in enumerate(graph.nodes)]
+
+    return _stage(cells, make, "node_id int, row int, col int")
+
+
+def delaunay(nodes: DataFrame) -> DataFrame:
+    """map_id, src, dst of the Delaunay triangulation of each map's nodes(map_id, node_id, row, col)."""
+
+    def run(key: tuple, n: pd.DataFrame) -> pd.DataFrame:
+        ids = n["node_id"].tolist()
+        pairs = sorted((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in triangulate(list(zip(n["row"].tolist(), n["col"].tolist(), strict=True))))
+        return pd.DataFrame([(key[0], *p) for p in pairs], columns=["map_id", "src", "dst"])
+
+    plain = nodes.selectExpr("cast(map_id as long) map_id", "cast(node_id as int) node_id", "row", "col").dropDuplicates(["map_id", "row", "col"])
+    return spread(plain).groupBy("map_id").applyInPandas(run, "map_id long, src int, dst int")

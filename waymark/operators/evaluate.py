@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import line_cells
 from .build import raster as to_raster
 from .build import spread
-from .kernels import label_regions, squared_distance
+from .graph import clustering, components, degree_stats
+from .kernels import label_regions, line, shortest_path, squared_distance
 
 
 def node_distance(cells: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -64,3 +65,98 @@ def coverage(cells: DataFrame, nodes: DataFrame, *, safety: float, resolution: f
 
     a = spread(cells.selectExpr("cast(map_id as long) map_id", "row", "col", "value")).groupBy("map_id")
     return a.cogroup(spread(nodes.selectExpr("cast(map_id as long) map_id", "row", "col")).groupBy("map_id")).applyInPandas(run, "map_id long, free_space_coverage double, average_distance double, max_distance double, coverage_efficiency double")
+
+
+def regions(cells: DataFrame, *, safety: float, resolution: float, threshold: int = 127) -> DataFrame:
+    """map_id, row, col, region of free cells: 8-connected regions, numbered from 1 in row-major order."""
+
+    def run(key: tuple, c: pd.DataFrame) -> pd.DataFrame:
+        d = np.sqrt(squared_distance(to_raster(c) > threshold)).astype(np.float32)
+        label = label_regions(d >= np.float32(safety / resolution))
+        r, k = np.nonzero(label)
+        return pd.DataFrame({"map_id": key[0], "row": r.astype(np.int32), "col": k.astype(np.int32), "region": label[r, k]})
+
+    return spread(cells.selectExpr("cast(map_id as long) map_id", "row", "col", "value")).groupBy("map_id").applyInPandas(run, "map_id long, row int, col int, region int")
+
+
+def _graph_groups(nodes: DataFrame, edges: DataFrame):
+    n = spread(nodes.selectExpr("cast(map_id as long) map_id", "cast(node_id as int) node_id", "row", "col")).groupBy("map_id")
+    return n.cogroup(spread(edges.selectExpr("cast(map_id as long) map_id", "cast(src as int) src", "cast(dst as int) dst", "weight")).groupBy("map_id"))
+
+
+def _adjacency(n: pd.DataFrame, e: pd.DataFrame) -> dict[int, dict[int, float]]:
+    near: dict[int, dict[int, float]] = {x: {} for x in n["node_id"].tolist()}
+    for a, b, w in zip(e["src"].tolist(), e["dst"].tolist(), e["weight"].tolist(), strict=True) if len(e) else ():
+        near[a][b] = near[b][a] = w
+    return near
+
+
+def diameter(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_diameter by map: the greatest number of hops between two nodes; infinite if some are not connected."""
+
+    def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        near, most = _adjacency(n, e), 0.0
+        for start in near:
+            seen, front, hops = {start}, [start], -1
+            while front:
+                hops += 1
+                front = list({y for x in front for y in near[x]} - seen)
+                seen.update(front)
+            most = max(most, float(hops) if len(seen) == len(near) else math.inf)
+            if most == math.inf:
+                break
+        return pd.DataFrame({"map_id": [key[0]], "graph_diameter": [most]})
+
+    return _graph_groups(nodes, edges).applyInPandas(run, "map_id long, graph_diameter double")
+
+
+def validity(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:
+    """By map: node_validity (no node blocked or outside), connectivity, num_subgraphs and edge_length_validity (every
+    weight in pixels positive and at most the map's diagonal). ``blocked`` holds every cell of the maps."""
+    size = blocked.groupBy("map_id").agg(F.hypot(F.max("row") + 1, F.max("col") + 1).alias("diagonal"))
+    n = nodes.join(blocked.select("map_id", "row", "col", "blocked"), ["map_id", "row", "col"], "left").groupBy("map_id").agg(F.bool_and(F.coalesce(~F.col("blocked"), F.lit(False))).alias("node_validity"))
+    c = components(nodes, edges).groupBy("map_id").agg(F.countDistinct("component").alias("num_subgraphs"))
+    e = edges.join(size, "map_id").groupBy("map_id").agg(F.bool_and((F.col("weight") > 0) & (F.col("weight") <= F.col("diagonal"))).alias("edge_length_validity"))
+    out = n.join(c, "map_id").join(e, "map_id", "left")
+    return out.select("map_id", "node_validity", (F.col("num_subgraphs") == 1).alias("connectivity"), "num_subgraphs", F.coalesce("edge_length_validity", F.lit(True)).alias("edge_length_validity"))
+
+
+def path_metrics(nodes: DataFrame, edges: DataFrame, cells: DataFrame, samples: int = 1000, threshold: int = 127) -> DataFrame:
+    """Over ``samples`` node pairs of each map: mean length, smoothness and clearance of shortest paths, and the share
+    of pairs that have one. The pairs come from a generator seeded by the map's id. No path or under two nodes: zeros.
+
+    ``cells`` are the maps' cells; clearance counts the joints of two lines twice, as each line holds its ends.
+    """
+    both = nodes.selectExpr("cast(map_id as long) map_id", "'n' k", "cast(node_id as int) a", "row b", "col c", "0D w")
+    both = both.union(edges.selectExpr("cast(map_id as long) map_id", "'e'", "cast(src as int)", "cast(dst as int)", "0", "weight"))
+    both = both.union(cells.selectExpr("cast(map_id as long) map_id", "'c'", "row", "col", "value", "0D"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, e, c = (pdf[pdf["k"] == k] for k in "nec")
+        near = _adjacency(n.rename(columns={"a": "node_id"}), e.rename(columns={"a": "src", "b": "dst", "w": "weight"}))
+        at = {a: (b, c_) for a, b, c_ in zip(n["a"].tolist(), n["b"].tolist(), n["c"].tolist(), strict=True)}
+        names, got = sorted(at), []
+        dist = np.sqrt(squared_distance(to_raster(pd.DataFrame({"row": c["a"], "col": c["b"], "value": c["c"]})) > threshold)) if len(c) else np.zeros((0, 0))
+        scale = min((w / d for a in near for b, w in near[a].items() if (d := math.dist(at[a], at[b]))), default=0.0) * (1 - 1e-12)
+        place = {k: (p[0] * scale, p[1] * scale) for k, p in at.items()}
+        rng = np.random.default_rng(int(key[0]) & 0xFFFFFFFF)
+        for _ in range(samples if len(names) > 1 else 0):
+            a, b = rng.choice(len(names), 2, replace=False)
+            path = shortest_path(near, place, names[a], names[b])
+            if path is None:
+                continue
+            steps = [np.subtract(at[q], at[p]) for p, q in zip(path, path[1:], strict=False)]
+            turns = [math.acos(max(-1.0, min(1.0, float(u @ v) / s))) for u, v in zip(steps, steps[1:], strict=False) if (s := math.hypot(*u) * math.hypot(*v))]
+            seen = np.concatenate([dist[line(*at[p], *at[q])] for p, q in zip(path, path[1:], strict=False)])
+            got.append((sum(near[p][q] for p, q in zip(path, path[1:], strict=False)), 1 - sum(turns) / len(turns) / math.pi if turns else 1.0, float(seen.mean())))
+        mean = np.mean(got, axis=0).tolist() if got else [0.0, 0.0, 0.0]
+        return pd.DataFrame([(key[0], *mean, len(got) / samples)], columns=["map_id", "average_path_length", "path_smoothness", "path_clearance", "success_rate"])
+
+    return spread(both).groupBy("map_id").applyInPandas(run, "map_id long, average_path_length double, path_smoothness double, path_clearance double, success_rate double")
+
+
+def report(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:
+    """All counts, structure and validity metrics of each map, and a line of text with them."""
+    out = degree_stats(nodes, edges).join(diameter(nodes, edges), "map_id").join(clustering(nodes, edges), "map_id").join(validity(nodes, edges, blocked), "map_id")
+    text = F.format_string("map %d: %d nodes, %d edges, %d subgraphs, nodes valid: %s, lengths valid: %s", "map_id", "num_nodes", "num_edges", "num_subgraphs", F.col("node_validity").cast("string"), F.col("edge_length_validity").cast("string"))
+    return out.withColumn("summary", text)

@@ -240,7 +240,114 @@ def coverage(s: SparkSession, d: str) -> DataFrame:
     return evaluate.coverage(cells, b.nodes_of(built), safety=SAFETY, resolution=RES)
 
 
-QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, geojson_features, full_build, coverage)
+def _mixed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Grid graphs; maps of odd ids keep a third of their edges."""
+    nodes, edges = _grid(s, d)
+    return nodes, edges.filter("src % 3 = 0 OR map_id % 2 = 0")
+
+
+def _grid_cells(s: SparkSession, d: str) -> DataFrame:
+    return maps.maps_c(s, d).withColumn("row", F.explode(F.expr("sequence(0, height - 1)"))).withColumn("col", F.explode(F.expr("sequence(0, width - 1)")))
+
+
+def _rounded(metrics: DataFrame) -> DataFrame:
+    names = ("average_degree", "average_edge_length", "average_clustering")
+    return metrics.select(*[F.round(c, 5).alias(c) if c in names else c for c in metrics.columns])
+
+
+def graph_diameter(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.diameter(*_mixed(s, d))
+
+
+def graph_validity(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.validity(*_mixed(s, d), raster.border_band(_grid_cells(s, d), SAFETY, RES))
+
+
+def evaluation_report(s: SparkSession, d: str) -> DataFrame:
+    """All counts, structure and validity metrics of each grid in one row, with a line of text."""
+    return _rounded(evaluate.report(*_mixed(s, d), raster.border_band(_grid_cells(s, d), SAFETY, RES)))
+
+
+def path_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Shortest paths of 1,000 node pairs of each grid: mean length, smoothness, clearance, success rate."""
+    return evaluate.path_metrics(*_mixed(s, d), _grid_cells(s, d).select("map_id", "row", "col", F.when((F.col("row") + F.col("col")) % 7 == 0, 0).otherwise(255).alias("value")))
+
+
+def region_labels(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.regions(maps.cells_a(s, d), safety=SAFETY, resolution=RES)
+
+
+def point_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Coverage of suite A by the lines' first cells as nodes."""
+    nodes = _lines(s, d).select("map_id", F.col("r0").alias("row"), F.col("c0").alias("col")).distinct()
+    out = evaluate.coverage(maps.cells_a(s, d), nodes, safety=SAFETY, resolution=RES)
+    return out.select("map_id", *[F.round(c, 5).alias(c) for c in ("free_space_coverage", "average_distance", "max_distance", "coverage_efficiency")])
+
+
+def route_cells(s: SparkSession, d: str) -> DataFrame:
+    """Cells of each path's lines in order; a joint belongs to both of its lines."""
+    p = contour_edges(s, d)
+    last = F.max("seq").over(Window.partitionBy("ring_id"))
+    p = p.withColumn("last", last).filter("seq < last")
+    out = p.select("ring_id", "seq", F.posexplode(geo.line_cells(F.col("row"), F.col("col"), F.col("next_row"), F.col("next_col"))).alias("i", "p"))
+    return out.select("ring_id", "seq", "i", "p.row", "p.col")
+
+
+def route_poses(s: SparkSession, d: str) -> DataFrame:
+    """The cells of route_cells as poses: world points and an orientation without a turn."""
+    p = route_cells(s, d).withColumn("w", geo.pixel_to_world(F.col("row"), F.col("col"), F.lit(RES), F.lit(1.5), F.lit(-2.0), F.lit(0.3)))
+    return p.select("ring_id", "seq", "i", F.round("w.x", 6).alias("x"), F.round("w.y", 6).alias("y"), F.col("w.z").alias("z"), F.lit(1.0).alias("orientation_w"))
+
+
+def drawn_lines(s: SparkSession, d: str) -> DataFrame:
+    """Pixels of drawn lines, clipped to the map: halves go up."""
+    p = _lines(s, d).select("line_id", F.posexplode(geo.line_cells(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1"), drawn=True)).alias("i", "p"))
+    return p.select("line_id", "i", "p.row", "p.col").filter(f"row BETWEEN 0 AND {maps.HEIGHT - 1} AND col BETWEEN 0 AND {maps.WIDTH - 1}")
+
+
+def luma_pixels(s: SparkSession, d: str) -> DataFrame:
+    """Grey values of colours from events."""
+    c = [(F.col("event_id") * k % 256).cast("double") for k in (7, 11, 13)]
+    return maps.table(s, d, "events").select("event_id", F.round(geo.luma(*c), 6).alias("grey"))
+
+
+def find_route(s: SparkSession, d: str) -> DataFrame:
+    """Whole routes on grids from each event's cell to another: whether there is one, and what decided it."""
+    r = _points(s, d).selectExpr("event_id AS route_id", "map_id", "row AS r0", "col AS c0", "cast((event_id * 7) % 44 as int) AS r1", "cast((event_id * 3) % 28 as int) AS c1")
+    found = b.find_routes(r, raster.border_band(_grid_cells(s, d), SAFETY, RES), *_grid(s, d), shortcut=0.4)
+    return found.select("route_id", "found", "reason")
+
+
+def find_route_points(s: SparkSession, d: str) -> DataFrame:
+    """The way-points of find_route's routes."""
+    r = _points(s, d).selectExpr("event_id AS route_id", "map_id", "row AS r0", "col AS c0", "cast((event_id * 7) % 44 as int) AS r1", "cast((event_id * 3) % 28 as int) AS c1")
+    found = b.find_routes(r, raster.border_band(_grid_cells(s, d), SAFETY, RES), *_grid(s, d), shortcut=0.4)
+    return found.filter("found").select("route_id", F.posexplode("points").alias("i", "p")).select("route_id", "i", "p.row", "p.col")
+
+
+def skeleton_branches(s: SparkSession, d: str) -> DataFrame:
+    return b.skeletons(maps.cells_a(s, d), safety=SAFETY, resolution=RES)
+
+
+def boundary_rings(s: SparkSession, d: str) -> DataFrame:
+    return b.boundaries(maps.cells_a(s, d), safety=SAFETY, resolution=RES)
+
+
+def free_space_samples(s: SparkSession, d: str) -> DataFrame:
+    return b.free_samples(maps.cells_a(s, d), distance=3)
+
+
+def delaunay_edges(s: SparkSession, d: str) -> DataFrame:
+    """Triangulations of grid nodes."""
+    return b.delaunay(_grid(s, d)[0])
+
+
+def drawn_map_cells(s: SparkSession, d: str) -> DataFrame:
+    """The drawn warehouse and office, cell by cell."""
+    return maps.warehouse(s).union(maps.office(s))
+
+
+QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, geojson_features, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, skeleton_branches, boundary_rings, free_space_samples, delaunay_edges, drawn_map_cells)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -262,6 +369,10 @@ BOTH = "bo AS (SELECT map_id, src, dst, weight FROM ed UNION ALL SELECT map_id,
 RING = f"rg AS (SELECT l_orderkey AS ring_id, CAST({PLACE} AS INT) AS seq, CAST(l_partkey % 48 AS INT) AS r, CAST(l_suppkey % 64 AS INT) AS c FROM lineitem), nx AS (SELECT *, coalesce(lead(r) OVER w, first_value(r) OVER v) AS nr, coalesce(lead(c) OVER w, first_value(c) OVER v) AS nc FROM rg WINDOW w AS (PARTITION BY ring_id ORDER BY seq), v AS (PARTITION BY ring_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
 UPS = "up0 AS (SELECT *, sqrt(CAST((r1 - r0) * (r1 - r0) + (c1 - c0) * (c1 - c0) AS DOUBLE)) AS dd FROM ln), up1 AS (SELECT *, CASE WHEN dd <= 7 THEN 1 ELSE greatest(1, CAST(ceil(dd / 7) AS INT)) END AS n FROM up0), up AS (SELECT line_id, n, i, r0 + (r1 - r0) * i / n AS x, c0 + (c1 - c0) * i / n AS y FROM (SELECT *, unnest(range(n + 1)) AS i FROM up1))"
 SUB = "sub AS (SELECT * FROM ed WHERE src % 3 = 0), sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), reach AS (SELECT map_id, node_id, node_id AS root FROM nd UNION SELECT reach.map_id, sb.dst, reach.root FROM reach JOIN sb ON sb.map_id = reach.map_id AND sb.src = reach.node_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM reach GROUP BY ALL)"
+MIX = "sub AS (SELECT * FROM ed WHERE src % 3 = 0 OR map_id % 2 = 0), sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), hp(map_id, root, node_id, hops) USING KEY (map_id, root, node_id) AS (SELECT map_id, node_id, node_id, 0 FROM nd UNION (SELECT hp.map_id, hp.root, sb.dst, min(hp.hops + 1) FROM hp JOIN sb ON sb.map_id = hp.map_id AND sb.src = hp.node_id LEFT JOIN recurring.hp AS k ON k.map_id = hp.map_id AND k.root = hp.root AND k.node_id = sb.dst WHERE k.hops IS NULL GROUP BY ALL)), sz AS (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id), dia AS (SELECT map_id, CASE WHEN count(*) < any_value(nn) * any_value(nn) THEN CAST('inf' AS DOUBLE) ELSE CAST(max(hops) AS DOUBLE) END AS graph_diameter FROM hp JOIN sz USING (map_id) GROUP BY map_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM hp GROUP BY ALL), nv AS (SELECT map_id, bool_and(r BETWEEN 2 AND h - 3 AND c BETWEEN 2 AND w - 3) AS node_validity FROM nd JOIN mc USING (map_id) GROUP BY map_id), ev AS (SELECT map_id, bool_and(weight > 0 AND weight <= sqrt(CAST(h * h + w * w AS DOUBLE))) AS edge_length_validity FROM sub JOIN mc USING (map_id) GROUP BY map_id), val AS (SELECT map_id, node_validity, num_subgraphs = 1 AS connectivity, num_subgraphs, coalesce(edge_length_validity, true) AS edge_length_validity FROM nv JOIN (SELECT map_id, count(DISTINCT component) AS num_subgraphs FROM cmp GROUP BY map_id) USING (map_id) LEFT JOIN ev USING (map_id))"
+CLUST = "bw AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), tr AS (SELECT a.map_id, a.src AS node_id, count(*) / 2 AS t FROM bw a JOIN bw b ON a.map_id = b.map_id AND a.src = b.src AND a.dst <> b.dst JOIN bw c ON c.map_id = a.map_id AND c.src = a.dst AND c.dst = b.dst GROUP BY ALL), dg AS (SELECT map_id, src AS node_id, count(*) AS d FROM bw GROUP BY ALL), clu AS (SELECT nd.map_id, avg(CASE WHEN coalesce(d, 0) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) END) AS average_clustering FROM nd LEFT JOIN dg USING (map_id, node_id) LEFT JOIN tr USING (map_id, node_id) GROUP BY nd.map_id)"
+REGION = "fr AS (SELECT map_id, r, c FROM edt WHERE CAST(sqrt(d0) AS FLOAT) >= CAST(0.1::DOUBLE / 0.05::DOUBLE AS FLOAT)), lb(map_id, r, c, l) USING KEY (map_id, r, c) AS (SELECT map_id, r, c, r * 64 + c FROM fr UNION (SELECT f.map_id, f.r, f.c, min(x.l) FROM (SELECT map_id, r + a.i AS r, c + b.i AS c, l FROM lb CROSS JOIN range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(i)) x JOIN recurring.lb AS f ON f.map_id = x.map_id AND f.r = x.r AND f.c = x.c WHERE x.l < f.l GROUP BY ALL))"
+STEPS = "sg AS (SELECT *, max(seq) OVER (PARTITION BY ring_id) AS last FROM nx), s0 AS (SELECT *, greatest(abs(nr - r), abs(nc - c)) AS n, least(abs(nr - r), abs(nc - c)) AS mn FROM sg WHERE seq < last), s1 AS (SELECT *, unnest(range(n + 1)) AS i FROM s0), s2 AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * i * mn + n - 1) // (2 * n) END AS k FROM s1), st AS (SELECT ring_id, seq, CAST(i AS INT) AS i, CAST(r + sign(nr - r) * CASE WHEN abs(nc - c) >= abs(nr - r) THEN k ELSE i END AS INT) AS r, CAST(c + sign(nc - c) * CASE WHEN abs(nc - c) >= abs(nr - r) THEN i ELSE k END AS INT) AS c FROM s2)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -301,4 +412,15 @@ def oracle_sql() -> dict[str, str]:
         "overlay_pixels": f'WITH {CELLS}, {LINES}, dk AS (SELECT DISTINCT map_id, r0 + a.i AS r, c0 + b.i AS c FROM ln CROSS JOIN range(-2, 3) a(i) CROSS JOIN range(-2, 3) b(i) WHERE a.i * a.i + b.i * b.i <= 4) SELECT cells.map_id, cells.r AS "row", cells.c AS col, CASE WHEN dk.r IS NULL THEN v ELSE 0 END AS r, CASE WHEN dk.r IS NULL THEN v ELSE 255 END AS b FROM cells LEFT JOIN dk ON dk.map_id = cells.map_id AND dk.r = cells.r AND dk.c = cells.c',
         "gml_parse": f'WITH {GRID} SELECT map_id, node_id, r AS "row", c AS col FROM nd',
         "geojson_features": f"WITH {GRID} SELECT map_id, nn AS points, coalesce(2 * ne, 0) AS lines, nn + coalesce(2 * ne, 0) - 1 AS last_id FROM (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id) LEFT JOIN (SELECT map_id, count(*) AS ne FROM ed GROUP BY map_id) USING (map_id)",
+        "graph_diameter": f"WITH RECURSIVE {GRID}, {MIX} SELECT map_id, graph_diameter FROM dia",
+        "graph_validity": f"WITH RECURSIVE {GRID}, {MIX} SELECT * FROM val",
+        "evaluation_report": f"WITH RECURSIVE {GRID}, {MIX}, {CLUST}, ec AS (SELECT map_id, count(*) AS ne, avg(weight) AS aw FROM sub GROUP BY map_id), rp AS (SELECT map_id, nn AS num_nodes, coalesce(ne, 0) AS num_edges, round(round(2.0::DOUBLE * coalesce(ne, 0) / nn, 6), 5) AS average_degree, round(round(coalesce(aw, 0), 6), 5) AS average_edge_length, graph_diameter, round(round(average_clustering, 6), 5) AS average_clustering, node_validity, connectivity, num_subgraphs, edge_length_validity FROM sz LEFT JOIN ec USING (map_id) JOIN dia USING (map_id) JOIN clu USING (map_id) JOIN val USING (map_id)) SELECT *, 'map ' || map_id || ': ' || num_nodes || ' nodes, ' || num_edges || ' edges, ' || num_subgraphs || ' subgraphs, nodes valid: ' || CAST(node_validity AS VARCHAR) || ', lengths valid: ' || CAST(edge_length_validity AS VARCHAR) AS summary FROM rp",
+        "region_labels": f'WITH RECURSIVE {EDT}, {REGION} SELECT map_id, r AS "row", c AS col, CAST(dense_rank() OVER (PARTITION BY map_id ORDER BY l) AS INT) AS region FROM lb',
+        "point_coverage": f"WITH RECURSIVE {EDT}, {LINES}, {REGION}, nn AS (SELECT DISTINCT map_id, r0 AS r, c0 AS c FROM ln), held AS (SELECT DISTINCT lb.map_id, l FROM lb JOIN nn ON nn.map_id = lb.map_id AND nn.r = lb.r AND nn.c = lb.c), ins AS (SELECT lb.map_id, lb.r, lb.c FROM lb JOIN held ON held.map_id = lb.map_id AND held.l = lb.l), dd AS (SELECT ins.map_id, ins.r, ins.c, sqrt(CAST(min((ins.r - nn.r) * (ins.r - nn.r) + (ins.c - nn.c) * (ins.c - nn.c)) AS DOUBLE)) AS d FROM ins JOIN nn ON nn.map_id = ins.map_id GROUP BY ALL), ag AS (SELECT map_id, count(*) AS k, avg(d) AS ad, max(d) AS md FROM dd GROUP BY map_id), tot AS (SELECT m.map_id, count(fr.r) AS n FROM m LEFT JOIN fr USING (map_id) GROUP BY m.map_id), nc AS (SELECT map_id, count(*) AS q FROM nn GROUP BY map_id) SELECT map_id, round(CASE WHEN n = 0 OR q IS NULL THEN 0.0::DOUBLE ELSE coalesce(k, 0) / CAST(n AS DOUBLE) END, 5) AS free_space_coverage, CASE WHEN n > 0 THEN round(ad, 5) END AS average_distance, CASE WHEN n > 0 THEN round(md, 5) END AS max_distance, round(CASE WHEN n = 0 OR q IS NULL THEN 0.0::DOUBLE ELSE coalesce(k, 0) / CAST(n AS DOUBLE) / q END, 5) AS coverage_efficiency FROM tot LEFT JOIN ag USING (map_id) LEFT JOIN nc USING (map_id)",
+        "route_cells": f'WITH {RING}, {STEPS} SELECT ring_id, seq, i, r AS "row", c AS col FROM st',
+        "route_poses": f"WITH {RING}, {STEPS} SELECT ring_id, seq, i, round(c * 0.05::DOUBLE * cos(0.3::DOUBLE) + r * 0.05::DOUBLE * sin(0.3::DOUBLE) + 1.5, 6) AS x, round(c * 0.05::DOUBLE * sin(0.3::DOUBLE) - r * 0.05::DOUBLE * cos(0.3::DOUBLE) - 2.0, 6) AS y, 0.0::DOUBLE AS z, 1.0::DOUBLE AS orientation_w FROM st",
+        "drawn_lines": f'WITH {OBS}, {LINES}, {WALK.replace("+ n - 1)", "+ n)")} SELECT line_id, CAST(i AS INT) AS i, r AS "row", c AS col FROM wk WHERE r BETWEEN 0 AND 47 AND c BETWEEN 0 AND 63',
+        "luma_pixels": "SELECT event_id, round(0.299::DOUBLE * (event_id * 7 % 256) + 0.587::DOUBLE * (event_id * 11 % 256) + 0.114::DOUBLE * (event_id * 13 % 256), 6) AS grey FROM events",
+        "find_route": f"WITH {MAPC}, {PTS}, q AS (SELECT event_id AS route_id, r, c, CAST((event_id * 7) % 44 AS INT) AS r1, CAST((event_id * 3) % 28 AS INT) AS c1, h, w FROM pts LEFT JOIN mc USING (map_id)), g AS (SELECT route_id, CASE WHEN NOT coalesce(r BETWEEN 2 AND h - 3 AND c BETWEEN 2 AND w - 3, false) THEN 'bad start' WHEN NOT (r1 BETWEEN 2 AND h - 3 AND c1 BETWEEN 2 AND w - 3) THEN 'bad goal' WHEN sqrt(CAST((r1 - r) * (r1 - r) + (c1 - c) * (c1 - c) AS DOUBLE)) * 0.05::DOUBLE < 0.4::DOUBLE THEN 'straight' ELSE 'search' END AS reason FROM q) SELECT route_id, reason IN ('straight', 'search') AS found, reason FROM g",
+        "drawn_map_cells": "WITH z AS (SELECT 0 AS m, 500 AS n UNION ALL SELECT 1, 400), g AS (SELECT m, n, CAST(a.i AS INT) AS r, CAST(b.i AS INT) AS c FROM z CROSS JOIN range(500) a(i) CROSS JOIN range(500) b(i) WHERE a.i < n AND b.i < n), o(m, a, b, x, y) AS (VALUES (0, 200, 220, 100, 400), (0, 300, 450, 350, 370), (0, 90, 110, 90, 110), (0, 390, 410, 90, 110), (0, 90, 110, 390, 410), (0, 390, 410, 390, 410), (1, 100, 110, 0, 300), (1, 200, 210, 100, 400), (1, 300, 310, 0, 300), (1, 0, 110, 200, 210), (1, 200, 400, 100, 110), (1, 100, 310, 300, 310)) SELECT CAST(m AS BIGINT) AS map_id, r AS \"row\", c AS col, CASE WHEN r < 10 OR c < 10 OR r >= n - 10 OR c >= n - 10 OR EXISTS (SELECT 1 FROM o WHERE o.m = g.m AND r >= a AND r < b AND c >= x AND c < y) THEN 0 ELSE 255 END AS value FROM g",
     }

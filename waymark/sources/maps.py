@@ -52,3 +52,32 @@ def unpack(maps: DataFrame) -> DataFrame:
     """The cells of packed maps."""
     bytes_ = F.expr("transform(sequence(1, length(pixels)), i -> cast(conv(hex(substring(pixels, i, 1)), 16, 10) as int))")
     return maps.select("map_id", "width", F.posexplode(bytes_).alias("i", "value")).select("map_id", F.expr("cast(i div width as int)").alias("row"), F.expr("cast(i % width as int)").alias("col"), "value")
+
+
+# Drawn example maps, half-open (row0, row1, col0, col1) obstacles within a wall of WALL pixels.
+WALL = 10
+WAREHOUSE_SIZE, OFFICE_SIZE = 500, 400
+WAREHOUSE_OBSTACLES = [(200, 220, 100, 400), (300, 450, 350, 370), (90, 110, 90, 110), (390, 410, 90, 110), (90, 110, 390, 410), (390, 410, 390, 410)]
+OFFICE_OBSTACLES = [(100, 110, 0, 300), (200, 210, 100, 400), (300, 310, 0, 300), (0, 110, 200, 210), (200, 400, 100, 110), (100, 310, 300, 310)]
+
+
+def _walled(spark: SparkSession, size: int, obstacles: list[tuple[int, int, int, int]], map_id: int) -> DataFrame:
+    inner = [(WALL, size - WALL, WALL, size - WALL, 255)]
+    return rectangles(spark, size, size, inner + [(*o, 0) for o in obstacles], 0, map_id)
+
+
+def warehouse(spark: SparkSession, map_id: int = 0) -> DataFrame:
+    """A drawn warehouse of 500 x 500 pixels: walls and pillars."""
+    return _walled(spark, WAREHOUSE_SIZE, WAREHOUSE_OBSTACLES, map_id)
+
+
+def office(spark: SparkSession, map_id: int = 1) -> DataFrame:
+    """A drawn office of 400 x 400 pixels: rooms and corridors."""
+    return _walled(spark, OFFICE_SIZE, OFFICE_OBSTACLES, map_id)
+
+
+def map_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """Map metadata files: path, image, resolution, origin (x, y, yaw), null where a key lacks."""
+    one = lambda key, p: F.nullif(F.regexp_extract("value", rf"(?m)^\s*{key}:\s*{p}", 1), F.lit(""))
+    origin = F.transform(F.split(one("origin", r"\[([^\]]*)\]"), ","), lambda x: F.trim(x).cast("double"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), one("image", r"(\S+)").alias("image"), one("resolution", r"([-+0-9.eE]+)").cast("double").alias("resolution"), origin.alias("origin"))
