@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -38,11 +39,11 @@ from .vector_packing import vocabulary_file
 
 END_ID = 2
 SHARD_IDS = 1_000_000
-TEXT_PART = 1_000_000
+TEXT_PART = 16_000_000  # bytes of text encoded at once
 ROUND_RULES = 2048
 MIN_PAIR = 12
 MAX_ROUNDS = 12
-KEPT = 230_000  # chunks, and pieces, whose ids a worker keeps in each of two generations
+KEPT = 450_000  # pieces whose ids a worker keeps in each of two generations
 MAGIC = 0x52455041
 NULL_DOC = -(2**63)
 HEAD = 8
@@ -68,50 +69,56 @@ class ChunkEncoder:
     def __init__(self, path: str) -> None:
         self.tok = json_tokenizer(path)
         self.model = self.tok.model
-        self.kept, self.pieces = Memo(items=KEPT), Memo(items=KEPT)
+        self.pieces = Memo(items=KEPT)
         probe = "It's a b\nc d.. 12 a-b\tE"
         self.apart = self._whole(probe) == b"".join(self._whole(x) for w in probe.split() for x in _PIECE.findall(w.lower()))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of distinct chunks: of their distinct pieces, as the tokenizer cuts them.
+    def _ids(self, distinct: list[str]) -> list[bytes]:
+        """Ids of distinct chunks: of their pieces, as the tokenizer cuts them.
 
         Only texts below U+0250 are cut here: they're composed already, and have simple lower case.
         """
-        found, cut = {}, []
-        for c in new:
-            if (c.isascii() or c and max(c) < "\u0250") and "<|" not in c:
-                cut.append((c, _PIECE.findall(c.lower())))
+        cut: list[list[str] | None] = []
+        for c in distinct:
+            if (c.isascii() or max(c) < "\u0250") and "<|" not in c:
+                low = c.lower()
+                cut.append([low] if low.isalpha() else _PIECE.findall(low))
             else:
-                found[c] = self._whole(c)
-        pieces = list({p for _, ps in cut for p in ps}.difference(self.pieces))
-        old = self.pieces.older
-        unseen = [p for p in pieces if p not in old]
-        here = {p: old[p] for p in pieces if p in old}
+                cut.append(None)
+        kept, old = self.pieces, self.pieces.older
+        here = {}
         tokenize = self.model.tokenize  # the library's merges alone, on a piece in its byte letters
-        for p in unseen:
-            letters = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_LETTERS)
-            here[p] = array("I", [k.id for k in tokenize(letters)]).tobytes()
-        self.pieces.update(here)
-        found.update((c, self.pieces[ps[0]] if len(ps) == 1 else b"".join(map(self.pieces.__getitem__, ps))) for c, ps in cut)
-        self.pieces.rotate()
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.apart:
-            return [self._whole(t) for t in texts]
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        memo, older = self.kept, self.kept.older
-        new = set().union(*cut).difference(memo)
-        here = {c: older[c] for c in new if c in older}
-        here |= self._learn([c for c in new if c not in here])
-        memo.update(here)
-        out = [b"".join(map(memo.__getitem__, words)) for words in cut]
-        memo.rotate(c for c in here if len(c) > MEMO_CHARS)
+        for p in {p for ps in cut if ps for p in ps}.difference(kept):
+            ids = old.get(p)
+            if ids is None:
+                letters = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_LETTERS)
+                ids = array("I", [k.id for k in tokenize(letters)]).tobytes()
+            here[p] = ids
+        kept.update(here)
+        out = [self._whole(c) if ps is None else kept[ps[0]] if len(ps) == 1 else b"".join([kept[p] for p in ps]) for c, ps in zip(distinct, cut, strict=True)]
+        kept.rotate(p for p in here if len(p) > MEMO_CHARS)
         return out
 
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of texts without nulls: cut and numbered by Arrow, so Python meets each distinct chunk once a call."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not self.apart:
+            return [self._whole(t) for t in column.to_pylist()]
+        words = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        numbered = words.flatten().dictionary_encode()
+        each = self._ids(numbered.dictionary.to_pylist())
+        # every word's ids, gathered from its chunk's place in the distinct chunks' ids
+        ids, size = np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+        which = numbered.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[which])])
+        shift = (np.cumsum(size) - size)[which] - ends[:-1]
+        out = ids[np.repeat(shift, size[which]) + np.arange(ends[-1])]
+        at = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        return [out[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+
 
 # --- Re-Pair ------------------------------------------------------------------------------------------------------
 
@@ -262,18 +269,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1], pa.int32()), *(pa.array(x, pa.int64()) for x in row[2:4]), pa.array(row[4], pa.binary())], ["part", "shard", "n_docs", "n_tokens", "payload"])
 
         for b in batches:
-            todo, size = [], 0
-            for k in range(b.num_rows):
-                todo.append(((d if (d := b.column(0)[k].as_py()) is not None else NULL_DOC), b.column(1)[k].as_py() or ""))
-                size += len(todo[-1][1])
-                if size >= TEXT_PART or k == b.num_rows - 1:
-                    for (d, _), x in zip(todo, enc.encode([t for _, t in todo]), strict=True):
+            docs_of, texts = b.column(0).fill_null(NULL_DOC).to_pylist(), b.column(1).fill_null("")
+            sizes, first, size = pc.binary_length(texts).to_pylist(), 0, 0
+            for k, more in enumerate(sizes):
+                size += more
+                if size >= TEXT_PART or k == len(sizes) - 1:
+                    for d, x in zip(docs_of[first : k + 1], enc.encode(texts[first : k + 1]), strict=True):
                         names.append(d)
                         ids.append(x + end)
                         held += len(x) // 4 + 1
                         if held >= SHARD_IDS:
                             yield close()
-                    todo, size = [], 0
+                    first, size = k + 1, 0
         if names:
             yield close()
 
