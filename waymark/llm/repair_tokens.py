@@ -21,6 +21,7 @@ rows are written as often as they occur, in any order among equals; an empty tab
 from __future__ import annotations
 
 import gc
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder
-from .pieces import MEMO_CHARS, Memo, json_tokenizer
+from .pieces import Memo, json_tokenizer
 from .vector_packing import vocabulary_file
 
 END_ID = 2
@@ -49,7 +50,8 @@ NULL_DOC = -(2**63)
 HEAD = 8
 # Fixed value: the pieces that this vocabulary's tokenizer cuts normalised text into.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
+_MARKS = frozenset(",.;:!?")  # after letters alone each of these is a piece
+_HIGH = re.compile("[\u0250-\U0010ffff]")
 
 # Byte-level letters: printable bytes stand for themselves, the others, in order, for code points from 256 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -69,37 +71,37 @@ class ChunkEncoder:
     def __init__(self, path: str) -> None:
         self.tok = json_tokenizer(path)
         self.model = self.tok.model
-        self.pieces = Memo(items=KEPT)
+        self.pieces = Memo(self._piece, KEPT)
         probe = "It's a b\nc d.. 12 a-b\tE"
         self.apart = self._whole(probe) == b"".join(self._whole(x) for w in probe.split() for x in _PIECE.findall(w.lower()))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, p: str) -> bytes:
+        """Ids of one piece by the library's merges alone, on its byte letters."""
+        letters = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [k.id for k in self.model.tokenize(letters)]).tobytes()
+
     def _ids(self, distinct: list[str]) -> list[bytes]:
         """Ids of distinct chunks: of their pieces, as the tokenizer cuts them.
 
         Only texts below U+0250 are cut here: they're composed already, and have simple lower case.
         """
-        cut: list[list[str] | None] = []
+        kept, high, out = self.pieces, _HIGH.search, []
         for c in distinct:
-            if (c.isascii() or max(c) < "\u0250") and "<|" not in c:
-                low = c.lower()
-                cut.append([low] if low.isalpha() else _PIECE.findall(low))
+            if not c.isascii() and high(c):
+                out.append(self._whole(c))
+                continue
+            low = c.lower()
+            if low.isalpha():
+                out.append(kept[low])
+            elif low[-1:] in _MARKS and low[:-1].isalpha():
+                out.append(kept[low[:-1]] + kept[low[-1]])
+            elif "<|" in low:
+                out.append(self._whole(c))
             else:
-                cut.append(None)
-        kept, old = self.pieces, self.pieces.older
-        here = {}
-        tokenize = self.model.tokenize  # the library's merges alone, on a piece in its byte letters
-        for p in {p for ps in cut if ps for p in ps}.difference(kept):
-            ids = old.get(p)
-            if ids is None:
-                letters = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_LETTERS)
-                ids = array("I", [k.id for k in tokenize(letters)]).tobytes()
-            here[p] = ids
-        kept.update(here)
-        out = [self._whole(c) if ps is None else kept[ps[0]] if len(ps) == 1 else b"".join([kept[p] for p in ps]) for c, ps in zip(distinct, cut, strict=True)]
-        kept.rotate(p for p in here if len(p) > MEMO_CHARS)
+                out.append(b"".join([kept[p] for p in _PIECE.findall(low)]))
         return out
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
@@ -150,7 +152,7 @@ def repair(ids: np.ndarray, end_id: int, base: int) -> tuple[np.ndarray, np.ndar
         slots = _slot(pairs)
         _, firsts = np.unique(slots, return_index=True)
         pairs, slots = pairs[np.sort(firsts)], slots[np.sort(firsts)]
-        table = np.full(1 << 20, -1, np.int32)
+        table = np.full(1 << 20, -1, np.int16)  # ROUND_RULES fit; the smaller table stays in cache
         table[slots] = np.arange(len(pairs))
         which = table[_slot(codes)]
         hit = np.flatnonzero((which >= 0) & free)
@@ -161,7 +163,7 @@ def repair(ids: np.ndarray, end_id: int, base: int) -> tuple[np.ndarray, np.ndar
         start = np.r_[True, np.diff(hit) != 1]
         first = hit[np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))]
         hit = hit[(hit - first) % 2 == 0]
-        a[hit] = base + made + which[hit]
+        a[hit] = which[hit].astype(np.uint32) + np.uint32(base + made)
         keep = np.ones(len(a), bool)
         keep[hit + 1] = False
         before, a = len(a), a[keep]
