@@ -25,6 +25,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +188,7 @@ def write_shard(docs: list[int], ids: list[bytes], end_id: int, vocab: int) -> b
     symbols, rules = repair(a, end_id, base)
     width = 2 if base + len(rules) <= 65_536 else 4
     # the end id stays a symbol of its own, so each document's symbols are found by its tokens
-    lengths = expansions(rules, base)[1]
+    lengths = rule_lengths(rules, base)
     size = np.ones(len(symbols), np.int64)
     size[symbols >= base] = lengths[symbols[symbols >= base] - base]
     token_at = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("<i8")
@@ -197,19 +198,21 @@ def write_shard(docs: list[int], ids: list[bytes], end_id: int, vocab: int) -> b
     return b"".join(x.tobytes() for x in (head, np.array(docs, "<i8"), symbol_at, token_at, rules.astype(kind).T.copy(), lengths.astype("<u4"), symbols.astype(kind)))
 
 
+def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each rule expands to; rules only name earlier ones."""
+    length: list[int] = []
+    for x, y in rules.tolist():
+        length.append((length[x - base] if x >= base else 1) + (length[y - base] if y >= base else 1))
+    return np.array(length, np.int64)
+
+
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(all rules' expansions in a row, their lengths, their starts)."""
-    n = len(rules)
-    length, done = np.zeros(n, np.int64), 0
-    parts: list[np.ndarray] = []
-    left, right = rules[:, 0].tolist() if n else [], rules[:, 1].tolist() if n else []
-    for done in range(n):
-        x = parts[left[done] - base] if left[done] >= base else np.array([left[done]], np.uint32)
-        y = parts[right[done] - base] if right[done] >= base else np.array([right[done]], np.uint32)
-        parts.append(np.concatenate([x, y]))
-        length[done] = len(parts[-1])
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    return flat, length, np.cumsum(length) - length
+    parts: list[list[int]] = []
+    for x, y in rules.tolist():
+        parts.append((parts[x - base] if x >= base else [x]) + (parts[y - base] if y >= base else [y]))
+    length = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.fromiter(chain.from_iterable(parts), np.uint32, int(length.sum())), length, np.cumsum(length) - length
 
 
 class Shard:
