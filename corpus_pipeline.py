@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import mphf_dedup, quality_llr, secret_crf, simhash_gph, vector_packing
+from waymark.llm import jaccard_links, mphf_dedup, quality_llr, secret_crf, vector_packing
 from waymark.llm.common import new_folder, read_table
 
 
@@ -19,6 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_llr.keep(docs, read_table(spark, sf_dir, "labels"))
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a distinct ``row``, written so that the numbers stay."""
+    path = new_folder(spark, "rows")
+    docs.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: that of the largest doc_id."""
     kept = mphf_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct()
@@ -26,9 +33,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id."""
-    kept = simhash_gph.simhash_components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more): that of the smallest doc_id."""
+    rows = numbered(spark, docs)
+    lost = jaccard_links.jaccard_components(rows.select("row", "doc_id", "text")).filter("NOT kept").select("row")
+    return rows.join(lost, "row", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,175 @@
+"""Near copies by the Jaccard similarity of word-shingle sets: every pair that is alike enough is found.
+
+A text's set holds the XXH64 (seed 42) of its five-word shingles. Texts whose sets have a Jaccard similarity of at least
+``NUM / DEN`` are linked, and links are closed to components.
+
+Search, by prefixes: all shingles have one fixed order. Of two sets that are alike enough, the first
+n - ceil(n * NUM / DEN) + 1 shingles of each have one at least in common, so each set goes under its first shingles
+alone, and sets under one shingle are candidates if their sizes and the places of that shingle allow the similarity.
+Candidates are verified on the whole sets. The order has shingles that are frequent in a sample last; the sample changes
+the speed alone, never the result.
+
+A shingle's bucket first gives one candidate for each of its sets (with the least set of the bucket). Only sets that
+the links so found leave in different components are then paired with one another, so a large group of near copies
+costs about one candidate for each copy and shingle. Equal sets are one row from the start.
+
+Defined results: null and wordless texts have the empty set and are alike; a text of fewer than five words is one
+shingle; rows with a null ``doc_id`` are grouped like any other.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+from .simhash_gph import components
+
+SHINGLE = 5
+NUM, DEN = 4, 5
+SAMPLE = 20_000
+FREQUENT = 8  # sampled texts with a shingle, from which on it counts as frequent
+MOST = 200_000  # frequent shingles that are told apart
+BLOCK = 1024
+
+
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))), np.uint64, len(words) - width + 1))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a similarity of NUM / DEN at least."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return DEN * common >= NUM * (len(a) + len(b) - common)
+
+
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of shingles that are frequent in a sample, and their counts."""
+    parts = max(1, texts.count() // SAMPLE)
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py()).view(np.int64))], ["h"])
+
+    sampled = texts.filter(F.pmod(F.xxhash64("row"), F.lit(parts)) == 0).select("text").mapInArrow(run, "h long")
+    got = sampled.groupBy("h").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(MOST).collect()
+    h, n = np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def sets(texts: DataFrame) -> DataFrame:
+    """row, doc_id, sig (of the whole set), n, and first: the first shingles in the fixed order, of (row, doc_id, text)."""
+    often = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
+
+    def run(batches):
+        keys, counts = often.value
+        for b in batches:
+            sig, n, first = [], [], []
+            for x in b.column(2):
+                h = shingles(x.as_py())
+                sig.append(xxhash.xxh3_128_digest(h.tobytes()))
+                n.append(len(h))
+                if len(h) and len(keys):
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    h = h[np.argsort(np.where(keys[at] == h, counts[at], 0), kind="stable")]
+                first.append(h[: len(h) + NUM * len(h) // -DEN + 1 if len(h) else 0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["row", "doc_id", "sig", "n", "first"])
+
+    return texts.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, sig binary, n int, first array<long>")
+
+
+def _allowed(na, ia, nb, ib):
+    """Whether sizes, and the places of the first shingle in common, leave the similarity possible."""
+    need = -(-NUM * (na + nb) // (NUM + DEN))
+    return (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & (1 + np.minimum(na - ia - 1, nb - ib - 1) >= need)
+
+
+def _runs(batches):
+    """The columns of a partition by name, ordered by key and node, and the slices of equal keys of two rows or more."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return {}, []
+    t = pa.Table.from_batches(got)
+    c = {name: t.column(name).to_numpy() for name in t.column_names}
+    order = np.lexsort((c["node"], c["key"]))
+    c = {name: v[order] for name, v in c.items()}
+    ends = np.r_[0, np.flatnonzero(np.diff(c["key"])) + 1, len(order)]
+    return c, [(a, z) for a, z in zip(ends[:-1], ends[1:], strict=True) if z - a > 1]
+
+
+def _stars(batches):
+    """Rows whose shingle is another set's too, with the least set of the bucket if it is a candidate (else -1)."""
+    c, runs = _runs(batches)
+    if not runs:
+        return
+    keep = np.concatenate([np.arange(a, z) for a, z in runs])
+    lead = np.concatenate([np.full(z - a, a) for a, z in runs])
+    ok = (keep != lead) & _allowed(c["n"][keep].astype(np.int64), c["i"][keep].astype(np.int64), c["n"][lead].astype(np.int64), c["i"][lead].astype(np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c["key"][keep], c["node"][keep], c["n"][keep], c["i"][keep], np.where(ok, c["node"][lead], -1))], ["key", "node", "n", "i", "lead"])
+
+
+def _cross(batches):
+    """Candidates of a bucket that are in different components."""
+    c, runs = _runs(batches)
+    for a, z in runs:
+        root, node, n, i = c["root"][a:z], c["node"][a:z], c["n"][a:z].astype(np.int64), c["i"][a:z].astype(np.int64)
+        if (root == root[0]).all():
+            continue
+        for s in range(0, z - a, BLOCK):
+            e = min(s + BLOCK, z - a)
+            ok = (root[s:e, None] != root[None, :]) & _allowed(n[s:e, None], i[s:e, None], n[None, :], i[None, :])
+            x, y = np.nonzero(ok)
+            x, y = x[x + s < y] + s, y[x + s < y]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of rows whose sets are alike."""
+    needed = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    own = cut(texts.join(needed, "row", "left_semi").select("row", "text"))
+    both = pairs.join(own.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches):
+        for b in batches:
+            ok = pa.array([alike(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(ok)
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    named = roots.select(F.col("node").alias("of"), "root")
+    return nodes.join(named, nodes.node == named.of, "left").drop("of").withColumn("root", F.coalesce("root", "node"))
+
+
+def jaccard_components(texts: DataFrame) -> DataFrame:
+    """(row, kept, root) of every row of ``texts`` (row: a stable distinct long, doc_id, text).
+
+    Of each component the row of the smallest doc_id is kept: null after numbers, of equal ones the smallest row.
+    """
+    rows = cut(sets(texts))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    distinct = cut(rows.groupBy("sig").agg(best.alias("best")).select("sig", F.col("best.row").alias("node"), F.col("best.doc_id").alias("doc_id")))
+    firsts = rows.join(distinct.select(F.col("node").alias("row")), "row", "left_semi")
+    entries = firsts.select(F.col("row").alias("node"), "n", F.posexplode("first").alias("i", "key")).select("key", "node", "n", "i")
+    found = cut(entries.repartition("key").mapInArrow(_stars, "key long, node long, n int, i int, lead long"))
+    stars = cut(found.filter("lead >= 0").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    edges = cut(verified(stars, texts))
+    left = _rooted(found.drop("lead"), components(edges)).select("key", "node", "n", "i", "root")
+    more = cut(left.repartition("key").mapInArrow(_cross, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
+    edges = edges.union(verified(more, texts))
+    of = _rooted(distinct, components(edges))
+    kept = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("node").alias("row"))).alias("best")).select("root", F.col("best.row").alias("keep"))
+    return rows.select("row", "sig").join(of.select("sig", "root"), "sig").join(kept, "root").select("row", (F.col("row") == F.col("keep")).alias("kept"), "root")
