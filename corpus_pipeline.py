@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents but for the last, which returns pieces.
 ``run`` writes each stage as Parquet in the shared folder and reads it back, so a lost executor costs one stage's tasks.
-Rows without doc_id keep their place through quality rules and leave at exact dedup (no identity to keep).
+Both dedups go by row, not by doc_id: rows without doc_id, and rows that repeat one, are kept or dropped like any other.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: that of the largest doc_id."""
-    kept = mphf_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of equal texts: that of the largest doc_id (null before numbers), of equal ones the first."""
+    rows = numbered(spark, docs)
+    lost = mphf_dedup.lost_rows(rows).select("row")
+    return rows.join(lost, "row", "left_anti").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

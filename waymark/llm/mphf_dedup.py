@@ -99,10 +99,10 @@ def _resolve(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the SHA-256 of the normalised text (A-Z lower-cased, null as empty)."""
+def digests(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id and the SHA-256 of the normalised text (A-Z lower-cased, null as empty), and the columns ``more``."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    return docs.select(F.col("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    return docs.select(*more, F.col("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
 def resolve(rows: DataFrame) -> DataFrame:
@@ -133,6 +133,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def lost_rows(rows: DataFrame) -> DataFrame:
+    """The (row) of each row of ``rows`` (row: a stable distinct long, doc_id, text) that is not its group's one to keep.
+
+    Of the rows with the group's ``keep_id`` (all are, if no row has an id) the least ``row`` is kept.
+    """
+    own = cut(digests(rows, "row"))
+    winners = resolve(own.withColumn("old", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)))).select("digest", "keep_id")
+    wins = own.join(winners, "digest").filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("row").alias("keep"))
+    return own.join(wins, "digest").filter("row <> keep").select("row")
+
+
 ORACLE = """
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
