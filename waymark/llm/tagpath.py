@@ -3,9 +3,14 @@
 A page is cut into its text nodes, each with its root-to-leaf tag path (tags with their first class). For each path the
 text length, punctuation and node count, and what lies in links, are added up over the page. A path's ratios are text
 and punctuation for each node; they are smoothed over neighbouring paths in page order, fused by their product and
-compared with a share of the page's spread. Paths of navigation, headers, footers, asides, forms, scripts, styles,
-notices, adverts and comments are out by their names, whatever their text. If the page marks its article, paths below
-it are the only ones in question, and those that hold paragraphs or headings are content.
+compared with a share of the page's highest. This decides inside marked articles too; a
+heading goes with the text below it. If the page marks its article,
+paths below ``article`` and ``main`` are the only ones in question.
+
+Before that, text is out below navigation, headers, footers, asides, forms, scripts, styles and the like (by tag or
+role), and below elements that a class or id names as adverts, notices, comments and the like. Neither holds for an
+element around the page's article (the first ``main``, else the ``article`` with the most text); a class or id doesn't
+either, where the page marks no article, for one around its highest fused ratio (a named path's counts half).
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 one line break in page order, empty ones left out. Nothing is cut or capped. One page is one row's work: no shuffle.
@@ -36,28 +41,37 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 PUNCTUATION = frozenset(".,;:!?…。，、！？¿¡")
 SHARE = 0.05
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+class Element:
+    """An element: tag, name in the path, out by tag or role, out by class or id."""
 
+    __slots__ = ("bad", "label", "named", "tag")
 
-def nodes(html: str) -> list[tuple[int, tuple[str, ...], str, bool, bool]]:
-    """(block number, path, raw text, out by name, inside an article) of each text node in page order."""
-    out: list[tuple[int, tuple[str, ...], str, bool, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, name in the path, out by name
+    def __init__(self, tag: str, label: str, bad: bool, named: bool) -> None:
+        self.tag, self.label, self.bad, self.named = tag, label, bad, named
+
+
+def nodes(html: str) -> list[tuple[int, tuple[Element, ...], str]]:
+    """(block number, elements around it, raw text) of each text node in page order."""
+    out: list[tuple[int, tuple[Element, ...], str]] = []
+    stack: list[Element] = []
     at, block = 0, 0
 
     def text(to: int) -> None:
         if to > at:
-            path = tuple(n for _, n, _ in stack)
-            out.append((block, path, html[at:to], any(o for _, _, o in stack), any(t in ("article", "main") for t, _, _ in stack)))
+            out.append((block, tuple(stack), html[at:to]))
 
     def close(tag: str, within: str = "") -> None:
         nonlocal block
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                if any(t in BLOCK for t, _, _ in stack[i:]):
+            if stack[i].tag == tag:
+                if any(e.tag in BLOCK for e in stack[i:]):
                     block += 1
                 del stack[i:]
                 return
-            if within and stack[i][0] in within.split():
+            if within and stack[i].tag in within.split():
                 return
 
     pos = 0
@@ -81,8 +95,9 @@ def nodes(html: str) -> list[tuple[int, tuple[str, ...], str, bool, bool]]:
             continue
         names = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])} if m[3] else {}
         label = f"{names.get('class', '')} {names.get('id', '')}".strip()
-        bad = tag in OUT or bool(label and OUT_NAMES.search(label)) and tag not in ("html", "body", "article", "main") or names.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
-        stack.append((tag, f"{tag}.{label.split()[0]}" if label else tag, bad))
+        named = bool(label and OUT_NAMES.search(label)) and tag not in ("html", "body", "article", "main")
+        bad = tag in OUT or names.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+        stack.append(Element(tag, f"{tag}.{label.split()[0]}" if label else tag, bad, named))
         if tag in RAW:  # up to its end tag, or to the page's
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, pos)
             at = pos = end.end() if end else len(html)
@@ -91,35 +106,75 @@ def nodes(html: str) -> list[tuple[int, tuple[str, ...], str, bool, bool]]:
     return out
 
 
-def _content_paths(found: list[tuple[int, tuple[str, ...], str, bool, bool]]) -> set[tuple[str, ...]]:
-    """The paths whose smoothed, fused ratios pass the threshold."""
-    stats: dict[tuple[str, ...], list[float]] = {}
-    for _, path, raw, bad, _ in found:
-        s = stats.setdefault(path, [0, 0, 0, 0, bad])
+Path = tuple[str, ...]
+
+
+def _fused(found: list[tuple[int, Path, str]]) -> dict[Path, float]:
+    """The smoothed, fused ratio of each path that has text."""
+    stats: dict[Path, list[float]] = {}
+    for _, path, raw in found:
         plain = raw.strip()
         if plain:
+            s = stats.setdefault(path, [0, 0, 0, 0])
             s[0] += len(plain)
             s[1] += sum(c in PUNCTUATION for c in plain)
             s[2] += 1
             s[3] += len(plain) if any(t.split(".")[0] == "a" for t in path) else 0
-    paths = [p for p, s in stats.items() if s[2] and not s[4]]
-    if not paths:
-        return set()
-    marked = {p for p in paths if any(t.split(".")[0] in ("article", "main") for t in p)}
-    if marked:
-        paths = [p for p in paths if p in marked]
-    length = np.array([stats[p][0] / stats[p][2] for p in paths])
-    points = np.array([(stats[p][1] + 1) / stats[p][2] for p in paths])
-    links = np.array([stats[p][3] / stats[p][0] for p in paths])
+    if not stats:
+        return {}
+    v = np.array(list(stats.values()), np.float64)
     k = np.array([0.25, 0.5, 0.25])
-    smooth = lambda v: np.convolve(np.pad(v, 1, mode="edge"), k, "valid")
-    fused = smooth(length) * smooth(points) * (1 - links)
-    limit = SHARE * max(float(fused.max()), 1e-9)
-    chosen = {p for p, v in zip(paths, fused, strict=True) if v >= limit}
-    if marked:  # paragraphs and headings of a marked article, and text that is bare in it
-        chosen |= {p for p in paths if not any(t.split(".")[0] in ("ul", "ol", "table") for t in p) or p[-1].split(".")[0] in ("p", "h1", "h2", "h3", "li", "td")}
-    # inline children (b, i, a ...) of a content block belong to its text
-    inline = {p for p in paths if p not in chosen and any(p[: len(c)] == c and all(t.split(".")[0] not in BLOCK for t in p[len(c) :]) for c in chosen)}
+    smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), k, "valid")
+    fused = smooth(v[:, 0] / v[:, 2]) * smooth((v[:, 1] + 1) / v[:, 2]) * (1 - v[:, 3] / v[:, 0])
+    return dict(zip(stats, fused.tolist(), strict=True))
+
+
+def _path(around: tuple[Element, ...]) -> Path:
+    return tuple(e.label for e in around)
+
+
+def _in_question(found: list[tuple[int, tuple[Element, ...], str]]) -> list[tuple[int, Path, str]]:
+    """(block number, path, raw text) of the text nodes that neither a tag nor a name puts out."""
+    main, weight = None, {}
+    for _, around, raw in found:
+        for e in around:
+            if e.tag == "main":
+                main = main or e
+            elif e.tag == "article":
+                weight[e] = weight.get(e, 0) + len(raw.strip())
+    main = main or max(weight, key=weight.__getitem__, default=None)
+    free: set[Element] = set()
+    if main:
+        free = set(next(around[: around.index(main)] for _, around, _ in found if main in around))
+    found = [x for x in found if not any(e.bad and e not in free for e in x[1])]
+    if main:
+        found = [x for x in found if any(e.tag in ("article", "main") for e in x[1])]
+    elif any(e.named for _, around, _ in found for e in around):
+        fused = _fused([(b, _path(around), raw) for b, around, raw in found])
+        rated = [(fused[_path(around)] * (0.5 if any(e.named for e in around) else 1), around) for _, around, raw in found if raw.strip()]
+        if rated:
+            free = set(max(rated, key=lambda x: x[0])[1])
+    return [(b, _path(around), raw) for b, around, raw in found if not any(e.named and e not in free for e in around)]
+
+
+def _content_paths(found: list[tuple[int, Path, str]]) -> set[Path]:
+    """The paths whose smoothed, fused ratios pass the threshold."""
+    fused = _fused(found)
+    if not fused:
+        return set()
+    limit = SHARE * max(*fused.values(), 1e-9)
+    chosen = {p for p, v in fused.items() if v >= limit}
+    # a heading, short as it is, goes with the text below it
+    body = None
+    for _, path, raw in reversed(found):
+        if not raw.strip():
+            continue
+        if any(t.split(".")[0] in HEADINGS for t in path):
+            chosen |= {path} if body in chosen else set()
+        else:
+            body = path
+    # inline children (b, i, a ...) of a content block belong to its text, and so does white space
+    inline = {p for _, p, _ in found if p not in chosen and any(p[: len(c)] == c and all(t.split(".")[0] not in BLOCK for t in p[len(c) :]) for c in chosen)}
     return chosen | inline
 
 
@@ -127,10 +182,10 @@ def extract(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    found = nodes(html)
+    found = _in_question(nodes(html))
     content = _content_paths(found)
     blocks: dict[int, list[str]] = {}
-    for block, path, raw, _, _ in found:
+    for block, path, raw in found:
         if path in content:
             blocks.setdefault(block, []).append(raw)
     lines = (" ".join(entities.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
