@@ -60,7 +60,7 @@ def with_base(words: DataFrame, weights: list[float] | None = None) -> DataFrame
     same = "(k & ~_m) = (get(_k, j {0} 1) & ~_m) and _h[cast(k & _m as int)] = _h[cast(get(_k, j {0} 1) & _m as int)]"
     places = f"sort_array(transform(filter(_k, (k, j) -> coalesce({same.format('-')}, false) or coalesce({same.format('+')}, false)), k -> k & _m))"
     out = out.withColumn("_p", F.expr(places))
-    out = out.withColumn("_l", F.expr(r"filter(split(_t, '\n'), x -> trim(BOTH ' \t\n\u000B\f\r' FROM x) <> '')"))
+    out = out.withColumn("_l", F.expr(r"filter(split(_t, '\n'), x -> trim(BOTH ' \t\n\u000B\u000C\r' FROM x) <> '')"))
     out = out.select(
         *[c for c in out.columns if c not in ("_k", "_p", "_l", "_m")],
         F.col("_n").cast("long").alias("n_words"),
