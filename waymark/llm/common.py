@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +20,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (local mode, tests) a temporary folder is set once for this application.
+    Where it is unset, local mode alone (tests) gets a temporary folder, once for the application and removed at its end;
+    a cluster's machines would each write to their own disk, so there it is an error.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-"))
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            made = tempfile.mkdtemp(prefix="waymark-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            sc.setCheckpointDir(made)
         return sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
@@ -35,9 +44,64 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_MADE: list[list[str]] = []  # for each open ``working_folders``, the paths made in it
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """An unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def working_folders(spark: SparkSession):
+    """Folders made inside are removed at its end: what is to stay must be written elsewhere by then."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Hadoop's file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage is cut, and Spark knows its size."""
+    path = new_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with a distinct number of each row, written so that the numbers stay."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be no column of ``df`` in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hashed_part(df: DataFrame, column: str, most: int, total: int) -> DataFrame:
+    """About ``most`` of ``total`` rows of distinct ``column``, by its hash: no sort, no merge on the driver.
+
+    The bound is met to a few standard deviations (the square root of ``most``).
+    """
+    if total <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(column, F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * most / total))
 
 
 def put_shared(spark: SparkSession, name: str, data: bytes) -> str:

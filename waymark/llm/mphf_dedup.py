@@ -8,21 +8,29 @@ either joins that winner or, as a nonmember, forms a group of its own.
 Before any of that, both sides are aggregated to one row for each digest, so a group of copies of any size is one
 row of a shard, and shards hold about ``SHARD_ROWS`` digests whatever the input.
 
-Defined results: a null text equals the empty text; rows with a null ``doc_id`` are a group member like any other,
-but never win over a number; further columns are ignored; an empty table gives no rows.
+The index is a Parquet table, one row a shard, written once and read by any later call. Only the last join, of rows with
+their group's result, meets a large group of copies as one key; it holds digests alone, and Spark deals skewed joins anew.
+
+Defined results: a null text equals the empty text, and texts of any length are hashed whole; rows with a null ``doc_id``
+are a group member like any other, but never win over a number (a group without any has a null keep_id); exactly one row
+of each group is kept, of rows that repeat the winning id the first; further columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import new_folder, written
 
 GAMMA = 2.0
 SHARD_ROWS = 200_000
+LEAST = -(2**63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,72 +84,110 @@ class PerfectHash:
         return np.where(found, slot, -1)
 
 
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        arrays = {f"taken{i}": np.packbits(t) for i, (t, _) in enumerate(self.levels)} | {"sizes": np.array([len(t) for t, _ in self.levels], np.int64)}
+        np.savez(out, digests=self.digests, locators=self.locators, **arrays)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> PerfectHash:
+        self, z, base = cls.__new__(cls), np.load(io.BytesIO(data), allow_pickle=False), 0
+        self.digests, self.locators, self.levels = z["digests"], z["locators"], []
+        for i, n in enumerate(z["sizes"].tolist()):
+            taken = np.unpackbits(z[f"taken{i}"], count=n).astype(bool)
+            self.levels.append((taken, np.cumsum(taken) - taken + base))
+            base += int(taken.sum())
+        return self
+
+
 def _raw(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).copy()
 
 
-def _resolve(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    """One shard: hash the history, look the new digests up, group the nonmembers separately."""
-    parts = []
-    if len(old):
-        table = PerfectHash(_raw(old["digest"]), np.arange(len(old)))
-        best, size = old["best"].to_numpy(np.int64).copy(), old["n"].to_numpy(np.int64).copy()
-        if len(new):
-            slot = table.lookup(_raw(new["digest"]))
-            member = slot >= 0
-            row = table.locators[slot[member]]  # distinct: a digest occurs once on either side
-            best[row] = np.maximum(best[row], new["best"].to_numpy(np.int64)[member])
-            size[row] += new["n"].to_numpy(np.int64)[member]
-            parts.append(new[~member][["digest", "best", "n"]])
-        parts.append(pd.DataFrame({"digest": old["digest"], "best": best, "n": size}))
-    else:
-        parts.append(new[["digest", "best", "n"]])
-    return pd.concat(parts, ignore_index=True)
+GROUP = "digest binary, best long, first long, n long"
 
 
 def digests(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the SHA-256 of the normalised text (A-Z lower-cased, null as empty), and the columns ``more``."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    return docs.select(*more, F.col("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    return docs.select(*more, F.col("doc_id").cast("long"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
-def resolve(rows: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size) of (doc_id, digest, old), old marking the history."""
-    least = F.lit(-(2**63))
-    groups = rows.groupBy("digest", "old").agg(F.max(F.coalesce("doc_id", least)).alias("best"), F.count("*").alias("n"))
-    shards = max(8, -(-rows.count() // SHARD_ROWS))
-    of = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard")
+def groups(rows: DataFrame) -> DataFrame:
+    """One row for each digest of (row, doc_id, digest): its largest doc_id (LEAST for null), the first row with it, and its size."""
+    best = F.max(F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("best"), (-F.col("row")).alias("first")))
+    return rows.groupBy("digest").agg(best.alias("b"), F.count("*").alias("n")).select("digest", "b.best", (-F.col("b.first")).alias("first"), "n")
+
+
+def _dealt(found: DataFrame, shards: int) -> DataFrame:
+    return found.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
+
+
+def write_index(history: DataFrame, path: str) -> None:
+    """Write the perfect hashes over ``history(digest, best, first, n)`` of distinct digests: one row for each shard."""
+    shards = max(8, -(-history.count() // SHARD_ROWS))
 
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _resolve(pdf[pdf["old"]].reset_index(drop=True), pdf[~pdf["old"]].reset_index(drop=True))
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = PerfectHash(_raw(pdf["digest"]), pdf[["best", "first", "n"]].to_numpy(np.int64))
+        return pd.DataFrame({"shard": [int(pdf["shard"].iat[0])], "shards": [shards], "table": [table.to_bytes()]})
 
-    out = groups.select("*", of).groupBy("shard").applyInPandas(shard, "digest binary, best long, n long")
-    return out.select("digest", F.when(F.col("best") != least, F.col("best")).alias("keep_id"), F.col("n").alias("group_size"))
+    _dealt(history, shards).groupBy("shard").applyInPandas(build, "shard int, shards int, table binary").write.parquet(path)
+
+
+def look_up(index: DataFrame, new: DataFrame) -> DataFrame:
+    """The groups of history and ``new(digest, best, first, n)`` together, by a stored index (any earlier call's)."""
+    shards = (index.agg(F.max("shards")).first()[0]) or 8
+
+    def shard(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        rest = np.ones(len(new), bool)
+        if len(old):
+            table = PerfectHash.from_bytes(old["table"].iat[0])
+            held = table.locators.copy()
+            if len(new):
+                slot = table.lookup(_raw(new["digest"]))
+                rest = slot < 0
+                at = slot[~rest]  # distinct: a digest occurs once on either side
+                b, f, n = (new[c].to_numpy(np.int64)[~rest] for c in ("best", "first", "n"))
+                wins = (b > held[at, 0]) | ((b == held[at, 0]) & (f < held[at, 1]))
+                held[at[wins], 0], held[at[wins], 1] = b[wins], f[wins]
+                held[at, 2] += n
+            raw = table.digests.tobytes()
+            parts.append(pd.DataFrame({"digest": [raw[i : i + 32] for i in range(0, len(raw), 32)], "best": held[:, 0], "first": held[:, 1], "n": held[:, 2]}))
+        parts.append(new.loc[rest, ["digest", "best", "first", "n"]])  # nonmembers: groups of their own
+        return pd.concat(parts, ignore_index=True)
+
+    return index.groupBy("shard").cogroup(_dealt(new, shards).groupBy("shard")).applyInPandas(shard, GROUP)
+
+
+def resolve(rows: DataFrame) -> DataFrame:
+    """The groups of (row, doc_id, digest).
+
+    The table is replayed as two deliveries: the first (even ids, and rows without) is the history, whose index is
+    written; the second is looked up in the index read back. Both are whole, and so is the result.
+    """
+    spark, path = rows.sparkSession, new_folder(rows.sparkSession, "digest-index")
+    old = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))
+    write_index(groups(rows.filter(old)), path)
+    return look_up(spark.read.schema("shard int, shards int, table binary").parquet(path), groups(rows.filter(~old)))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs``.
 
-    The table is replayed as two deliveries: the first (even ids) is the history that the perfect hash indexes, the
-    second is looked up in it. Both are whole, and so is the result. Of equal texts the largest ``doc_id`` stays.
+    Of equal texts the largest ``doc_id`` stays; of rows that repeat it, the first.
     """
-    rows = cut(digests(docs))
-    winners = resolve(rows.withColumn("old", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))))
-    out = rows.join(winners, "digest")
-    return out.select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    rows = written(digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
+    out = rows.join(resolve(rows), "digest")
+    keep_id = F.when(F.col("best") != LEAST, F.col("best"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def lost_rows(rows: DataFrame) -> DataFrame:
-    """The (row) of each row of ``rows`` (row: a stable distinct long, doc_id, text) that is not its group's one to keep.
-
-    Of the rows with the group's ``keep_id`` (all are, if no row has an id) the least ``row`` is kept.
-    """
-    own = cut(digests(rows, "row"))
-    winners = resolve(own.withColumn("old", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)))).select("digest", "keep_id")
-    wins = own.join(winners, "digest").filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("row").alias("keep"))
-    return own.join(wins, "digest").filter("row <> keep").select("row")
+    """The (row) of each row of ``rows`` (row: a stable distinct long, doc_id, text) that is not its group's one to keep."""
+    own = written(digests(rows, "row"), "digests")
+    return own.join(resolve(own).filter("n > 1").select("digest", "first"), "digest").filter("row <> first").select("row")
 
 
 ORACLE = """
