@@ -14,12 +14,17 @@ Suffixes are dealt to shards by their gram's hash. Entries with equal surroundin
 Repeats inside a batch of the scan are settled on the spot, with one entry passed on for each group: a passage that a
 third of all texts hold reaches a shard once for each batch. Results are byte intervals by document; no pairs are made.
 
-Equality is by two independent 64-bit hashes. Memory: a piece of PIECE bytes at a time while hashing (a longer text is
-taken whole), 28 bytes an anchor in a shard.
+Full matches are told by 128 bits, from two polynomial hashes of different tables and bases (of the gram, and of all its
+windows' bytes); windows of open entries are compared byte by byte. Memory: a piece of PIECE bytes at a time while hashing
+(a longer text is taken whole), 28 bytes an anchor in a shard.
 
-Defined results: a null text equals the empty text; texts under MATCH bytes lose nothing; rows with a null ``doc_id``
-are dropped; doc_ids must be distinct (repeated texts under different ids are the point); an empty table gives no
-rows; further columns are ignored.
+Suffixes are ordered by hash, not by their bytes: a match here is an equality of 200 bytes, so the order among unequal
+suffixes says nothing, and to ship the bytes that a byte order compares would take several times the corpus.
+
+Rows are told apart by a number of their own, not by doc_id. Defined results: a null text equals the empty text; texts
+under MATCH bytes lose nothing; rows with a null ``doc_id`` are searched and returned like any other; rows that repeat
+an id or a whole row are places of their own (so both lose what they share); very long texts are taken whole; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import numbered, written
 
 MATCH, GRAM = 200, 64
 SPAN = MATCH - GRAM + 1  # grams of a window
@@ -40,13 +45,13 @@ PIECE = 1 << 20
 U = np.uint64
 
 
-def _tables() -> tuple[np.ndarray, int, int]:
-    rng = np.random.default_rng(20240611)
+def _tables(seed: int) -> tuple[np.ndarray, int, int]:
+    rng = np.random.default_rng(seed)
     base = int(rng.integers(1, 2**63)) * 2 + 1
     return rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1), base, pow(base, -1, 2**64)
 
 
-TABLE, BASE, INVERSE = _tables()
+FIRST, SECOND = _tables(20240611), _tables(20240612)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -63,10 +68,11 @@ def _powers(of: int, n: int) -> np.ndarray:
     return _POWERS[of][:n]
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Sums of TABLE[byte] * BASE**i before each place; wraps modulo 2**64."""
+def prefix(data: np.ndarray, of=FIRST) -> np.ndarray:
+    """Sums of table[byte] * base**i before each place; wraps modulo 2**64."""
+    table, base, _ = of
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(TABLE[data] * _powers(BASE, len(data)), out=out[1:])
+    np.cumsum(table[data] * _powers(base, len(data)), out=out[1:])
     return out
 
 
@@ -79,9 +85,9 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def span_hash(p: np.ndarray, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+def span_hash(p: np.ndarray, at: np.ndarray, length: np.ndarray | int, of=FIRST) -> np.ndarray:
     """The hash of data[at : at + length] from its prefix sums; the same wherever the bytes stand."""
-    return (p[at + length] - p[at]) * _powers(INVERSE, len(p))[at]
+    return (p[at + length] - p[at]) * _powers(of[2], len(p))[at]
 
 
 def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -94,7 +100,7 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     if n < 1:
         return empty
     p = prefix(data)
-    grams = mix((p[GRAM:] - p[:-GRAM]) * _powers(INVERSE, len(p))[: len(p) - GRAM])
+    grams = mix((p[GRAM:] - p[:-GRAM]) * _powers(FIRST[2], len(p))[: len(p) - GRAM])
     # the least gram of each window, the first of equals: place in the low bits, minima of blocks from both sides
     low = U(max(1, int(len(grams)).bit_length()))
     key = (grams >> low << low) | np.arange(len(grams), dtype=np.uint64)
@@ -119,10 +125,22 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     hi = places[np.r_[np.flatnonzero(first)[1:] - 1, len(places) - 1]]
     m = at[first]
     text = np.searchsorted(start, lo, "right") - 1
-    around = mix(span_hash(p, lo, hi - lo + MATCH), 0x51ED) + (U(0x9E3779B97F4A7C15) * ((m - lo).astype(np.uint64) * U(4096) + (hi - lo).astype(np.uint64)))
+    around = mix(span_hash(prefix(data, SECOND), lo, hi - lo + MATCH, SECOND), 0x51ED) + (U(0x9E3779B97F4A7C15) * ((m - lo).astype(np.uint64) * U(4096) + (hi - lo).astype(np.uint64)))
     return {"text": text, "lo": lo - start[text], "hi": hi - start[text], "gram": grams[m], "around": around}
 
 
+def _contains(held: tuple[np.ndarray, np.ndarray], asked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which pairs (gram, around) of ``asked`` are in ``held``; both words are compared."""
+    gram, around = np.r_[held[0], asked[0]], np.r_[held[1], asked[1]]
+    order = np.lexsort((around, gram))
+    gram, around, mine = gram[order], around[order], order < len(held[0])
+    new = np.r_[True, (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])]
+    group = np.cumsum(new) - 1
+    out = np.zeros(len(order), bool)
+    out[order] = (np.bincount(group, mine) > 0)[group]
+    return out[len(held[0]) :]
+
+
 class Family:
     """Levels of sorted entries. Entry columns: gram, around, doc, lo, hi, many; and what has been found: full, near."""
 
@@ -142,7 +160,8 @@ class Family:
             x["near"] |= (i < len(y["gram"])) & (y["gram"][np.minimum(i, len(y["gram"]) - 1)] == x["gram"])
             both = np.flatnonzero(x["near"] & ~x["full"])
             if len(both):
-                x["full"][both] |= np.isin(x["gram"][both] ^ mix(x["around"][both]), y["gram"] ^ mix(y["around"]))
+                beside = np.isin(y["gram"], x["gram"][both])
+                x["full"][both] |= _contains((y["gram"][beside], y["around"][beside]), (x["gram"][both], x["around"][both]))
 
     def add(self, e: dict[str, np.ndarray]) -> None:
         new = self._sorted(e | {"full": e["many"].copy(), "near": e["many"].copy()})
@@ -298,9 +317,16 @@ def _windows(batches):
         h = mix(span_hash(p, (size[a:z] - size[a])[own - a] + within, MATCH)) ^ mix(gram[own].astype(np.int64).view(np.uint64), 0x77)
         by = np.argsort(h, kind="stable")
         s = h[by]
+        # neighbours of one hash are compared byte by byte; a window that differs from both stays
+        same = np.flatnonzero(s[1:] == s[:-1])
+        windows, begin = np.lib.stride_tricks.sliding_window_view(data, MATCH), ((size[a:z] - size[a])[own - a] + within)[by]
+        equal = np.zeros(len(same), bool)
+        for k in range(0, len(same), 1 << 16):
+            x = same[k : k + (1 << 16)]
+            equal[k : k + (1 << 16)] = (windows[begin[x]] == windows[begin[x + 1]]).all(axis=1)
         twin = np.zeros(len(s), bool)
-        twin[1:] |= s[1:] == s[:-1]
-        twin[:-1] |= s[1:] == s[:-1]
+        twin[same[equal] + 1] = True
+        twin[same[equal]] = True
         hit = np.zeros(len(s), bool)
         hit[by] = twin
         hit &= ~full[own]
@@ -341,22 +367,21 @@ def merged(marks: list[dict]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc, marks): the window intervals of every document that occur at another place too."""
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def repeated(texts: DataFrame) -> DataFrame:
+    """(doc, marks): the window intervals of every row of (row, text) that occur at another place too; doc is the row."""
     # settled marks are spread, entries go to their gram's shard
-    entries = texts.mapInArrow(_entries, ENTRY)
+    entries = texts.select("row", "text").mapInArrow(_entries, ENTRY)
     dealt = entries.repartition(F.when(F.col("mark"), F.xxhash64("doc", "lo")).otherwise(F.col("gram")))
-    found = cut(dealt.mapInArrow(_shard, ENTRY))
+    found = written(dealt.mapInArrow(_shard, ENTRY), "repeats")
     wanted = found.filter("NOT mark").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "gram", "many")).alias("wanted"))
-    fetched = texts.join(wanted, texts.doc_id == wanted.doc, "left").select("doc_id", "text", "wanted").mapInArrow(_fetch, "doc long, lo int, hi int, gram long, full boolean, raw binary")
+    fetched = texts.join(wanted, texts.row == wanted.doc).select("row", "text", "wanted").mapInArrow(_fetch, "doc long, lo int, hi int, gram long, full boolean, raw binary")
     more = fetched.repartition("gram").mapInArrow(_windows, "doc long, lo int, hi int")
     marks = found.filter("mark").select("doc", "lo", "hi").union(more)
     return marks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = repeated(docs)
-    return texts.join(marks, texts.doc_id == marks.doc, "left").select("doc_id", "text", "marks").mapInArrow(_removal, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    texts = numbered(docs.select(F.col("doc_id").cast("long"), "text"))
+    marks = repeated(texts)
+    return texts.join(marks, texts.row == marks.doc, "left").select("doc_id", "text", "marks").mapInArrow(_removal, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
