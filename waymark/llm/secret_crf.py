@@ -3,13 +3,16 @@
 Tokens are runs between ASCII white space, tagged B (a secret begins), I (goes on) or O by a CRF over the token's
 shape, its neighbours' words and features of the file, decoded by Viterbi. The model is trained here, by gradient
 ascent on the likelihood, on ``TRAIN_WINDOWS`` generated windows (a fixed seed): no corpus pass, the same model for
-every input. Tagged tokens, less quotes and brackets around them, are spans of kind ``crf`` where no base span is.
+every input. Tagged tokens, less quotes and brackets around them, are spans of kind ``crf``, but for the parts that a
+base span covers.
 
 Decoding is exact and fast: for a token whose O score beats the best that context and transitions could ever give to
-B or I, O is certain. These certain tokens cut the chain, and Viterbi runs on what lies between. Most texts have none.
+B or I, O is certain. These certain tokens cut the chain, and Viterbi runs on what lies between. No rule but the scores
+says that a token is O.
 
-Defined results: a null or empty text has no spans (hash of the empty string); rows with a null ``doc_id`` are scanned
-like any other; further columns are kept by ``redact`` and ignored by ``scan``; an empty table gives no rows.
+Defined results: a null or empty text has no spans (hash of the empty string); rows with a null ``doc_id``, repeated rows
+and ids are scanned each; work grows with a text's length, so very long ones are taken whole; further columns, whatever
+their names, are kept by ``redact`` and ignored by ``scan``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import Memo
-
 # The base patterns, in the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -37,9 +38,10 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KEYWORDS = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|credential|auth|bearer|private|access|key)", re.IGNORECASE | re.ASCII)
 KNOWN = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|xox[abp]-|eyJ|AIza|ya29\.)")
 CORE = re.compile(r"[A-Za-z0-9+/_.=~-]+")
-TRAIN_WINDOWS, WINDOW = 3000, 16
+TRAIN_WINDOWS, WINDOW, STEPS = 3000, 16, 100
+KEPT_WORDS = 500_000
 B, I, O = 0, 1, 2  # noqa: E741
-OWN, NEAR, FILE = 40, 12, 4  # numbers of features
+OWN, NEAR, PAIR, FILE = 44, 12, 4, 4  # numbers of features
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,6 +58,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- features -----------------------------------------------------------------------------------------------------
 
 
+_PLAIN = re.compile("[A-Za-z]+")
+_KIND = {i: "0" if chr(i).isdigit() else "A" if chr(i).isupper() else "a" if chr(i).islower() else "-" for i in range(128)}
+_CHANGE = re.compile(r"(.)(?=(?!\1).)")
+
+
 def _entropy(s: str) -> float:
     n = len(s)
     return -sum(k / n * math.log2(k / n) for k in (s.count(c) for c in set(s))) if n else 0.0
@@ -63,16 +70,16 @@ def _entropy(s: str) -> float:
 
 def own_features(word: str) -> list[int]:
     """A token's shape: indexes below OWN."""
-    core = max(CORE.findall(word), key=len, default="")
-    n, digits = len(core), sum(c.isdigit() for c in core)
-    upper, lower = sum("A" <= c <= "Z" for c in core), sum("a" <= c <= "z" for c in core)
+    core = word if _PLAIN.fullmatch(word) else max(CORE.findall(word), key=len, default="")
+    n, kinds = len(core), core.translate(_KIND)  # a digit, an upper- or lower-case letter, or another
+    digits, upper, lower = kinds.count("0"), kinds.count("A"), kinds.count("a")
     f = [min(n // 4, 9)]  # 0-9
     f.append(10 + (0 if not digits else 1 if digits * 5 < n else 2 if digits * 2 < n else 3 if digits < n else 4))
     f.append(15 + (bool(upper) + 2 * bool(lower)))
-    changes = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(core, core[1:], strict=False))
+    changes = len(_CHANGE.findall(kinds.replace("a", "-")))
     f.append(19 + min(changes // 2, 5))  # 19-24
     f.append(25 + min(int(_entropy(core)), 4))  # 25-29
-    for i, on in enumerate((bool(KNOWN.match(core)), "://" in word or "@" in word, n < len(word) - 4, all(c in "0123456789abcdefABCDEF-" for c in core), core.count(".") > 1, bool(KEYWORDS.search(word)), "=" in word or ":" in word, not word.isascii(), "-----" in word, n >= 16 and digits > 1 and upper + lower > 3)):
+    for i, on in enumerate((bool(KNOWN.match(core)), "://" in word or "@" in word, n < len(word) - 4, not core.strip("0123456789abcdefABCDEF-"), core.count(".") > 1, bool(KEYWORDS.search(word)), "=" in word or ":" in word, not word.isascii(), "-----" in word, n >= 16 and digits > 1 and upper + lower > 3, word.strip(_MARKS).isalpha(), n < 6, len(core) + 2 < len(word.strip(_MARKS)), word[:1] in "\"'`")):
         if on:
             f.append(30 + i)
     return f
@@ -87,6 +94,17 @@ def near_features(word: str) -> list[int]:
     return f
 
 
+def flags(word: str) -> tuple[bool, bool, bool, bool]:
+    """Keyword, sign of assignment, word of statement, letters alone."""
+    return bool(KEYWORDS.search(word)), word in ("=", ":", ":=", "=>", "->"), word.lower() in ("is", "was", "set", "to"), word.isalpha()
+
+
+def pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The PAIR features of flags (tokens, 4) of the two tokens before."""
+    key, sign = first[:, 0], second[:, 1]
+    return key & sign, key & second[:, 2], sign & ~key, key & second[:, 3]
+
+
 def file_features(text: str) -> list[int]:
     """What a file tells of all its tokens: indexes below FILE."""
     return [i for i, on in enumerate((True, "=" in text, "{" in text or ";" in text, text.count("\n") * 40 > len(text))) if on]
@@ -108,37 +126,48 @@ def _generated(rng: random.Random) -> tuple[list[str], list[int]]:
             return rng.choice([w, w.capitalize(), w + rng.choice(".,;:!?")])
         return rng.choice([w.upper() + "!!", w + rng.choice(["***", "&&&", "$$$", "###", "%%%"]), "|", digits, f"{w}.{w}{rng.randint(1, 99)}@{w}.com", ".".join(str(rng.randint(1, 255)) for _ in range(4)), f"https://{w}.org/{w}/{digits}?a={w}", "+" + digits, f"{w}-{w}", f"({w})", f"{rng.randint(1900, 2030)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", w * 3, "Copyright", "MIT", "License:", "the", "of", "=", "password", "token", "key"])
 
-    def secret() -> str:
-        size = rng.randint(16, 44)
+    def secret(after_key: bool) -> str:
+        size = rng.randint(6, 44) if after_key else rng.randint(12, 44)
         body = "".join(rng.choice(alnum) for _ in range(size))
-        kind = rng.randint(0, 4)
+        kind = rng.randint(0, 9)
         if kind == 0:
-            return "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64])))
+            return "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([16, 32, 40, 64])))
         if kind == 1:
-            return rng.choice(["AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "eyJ"]) + body
+            return rng.choice(["AKIA", "ghp_", "sk_live_", "sk-", "xoxb-", "glpat-", "AIza", "eyJ"]) + (body if rng.random() < 0.7 else "".join(rng.choice(alnum[:52]) for _ in range(rng.randint(10, 30))))
         if kind == 2:
             return "".join(rng.choice(alnum + "+/") for _ in range(size)) + "=="
+        if after_key and kind < 6:  # what people choose: letters, often with digits or marks behind or between
+            w = "".join(rng.choice(syllables[:16]) for _ in range(rng.randint(2, 5)))[:15].ljust(6, "x")
+            tail = "".join(rng.choice("0123456789!$#@%&*_-") for _ in range(rng.randint(0, 5)))
+            return rng.choice([w, w.capitalize(), w + rng.choice("XYZAB") * 2]) + tail
+        if kind == 7:
+            return body[: size // 2] + rng.choice("$!@#%^&*") + body[size // 2 :]
         return body
 
     words = [plain() for _ in range(WINDOW)]
     tags = [O] * WINDOW
     if rng.random() < 0.6:
-        i = rng.randint(3, WINDOW - 3)
-        lead = rng.choice([[], ["password", "="], ["token", "="], ["api_key:"], ["secret", ":"], ["key", "is"], ["Bearer"], ["auth", "token"]])
+        i = rng.randint(4, WINDOW - 3)
+        lead = rng.choice([[], [], ["password", "="], ["token", "="], ["api_key:"], ["secret", ":"], ["key", "is"], ["Bearer"], ["auth", "token"], ["the", "password", "is"], ["DB_PASSWORD", "="], ["passwd:"], ["my", "pwd:"], ["private", "key", ":"]])
         words[i - len(lead) : i] = lead
         wrap = rng.choice(["{}", '"{}"', "'{}'", "{},", "{}."])
-        words[i], tags[i] = wrap.format(secret()), B
+        words[i], tags[i] = wrap.format(secret(bool(lead))), B
         if rng.random() < 0.15:  # a secret over two tokens
-            words[i + 1], tags[i + 1] = secret(), I
-    return words, tags
+            words[i + 1], tags[i + 1] = secret(bool(lead)), I
+    elif rng.random() < 0.5:  # the words around secrets, without one
+        i = rng.randint(3, WINDOW - 3)
+        common = rng.choice(["required", "empty", "wrong", "the", "of", "and", "for", "holder", "ring", "a", "not", "reset", "manager", "field", "words", "strong"])
+        lead = rng.choice([["the", "password", "is", common], ["a", "secret", common], ["token", common], ["key", "=", "value"], ["x", "=", plain()], ["name", ":", plain()], ["the", "key", "to"], ["private", common], ["access", common], ["note", ":", common], ["secret", ":", common], ["api_key", "is", common]])
+        words[i - len(lead) + 1 : i + 1] = lead
+    return words[:WINDOW], tags
 
 
 @lru_cache(maxsize=1)
 def train() -> dict[str, np.ndarray]:
-    """Weights of the CRF: own (OWN, 3), before and after (NEAR, 3), file (FILE, 3), step (3, 3), from training."""
+    """Weights of the CRF: own (OWN, 3), before and after (NEAR, 3), pair (PAIR, 3), file (FILE, 3), step (3, 3), from training."""
     rng = random.Random(20240607)
     data = [_generated(rng) for _ in range(TRAIN_WINDOWS)]
-    n, size = TRAIN_WINDOWS, OWN + 2 * NEAR + FILE
+    n, size = TRAIN_WINDOWS, OWN + 2 * NEAR + FILE + PAIR
     x = np.zeros((n, WINDOW, size), np.float32)
     y = np.array([t for _, t in data])
     for a, (words, _) in enumerate(data):
@@ -148,6 +177,9 @@ def train() -> dict[str, np.ndarray]:
             x[a, t, [OWN + 2 * NEAR + f for f in file]] = 1
             if t:
                 x[a, t, [OWN + f for f in near_features(words[t - 1])]] = 1
+            if t > 1:
+                on = pairs(np.array([flags(words[t - 2])]), np.array([flags(words[t - 1])]))
+                x[a, t, [OWN + 2 * NEAR + FILE + f for f in range(PAIR) if on[f][0]]] = 1
             if t + 1 < WINDOW:
                 x[a, t, [OWN + NEAR + f for f in near_features(words[t + 1])]] = 1
     flat = x.reshape(-1, size)
@@ -156,7 +188,7 @@ def train() -> dict[str, np.ndarray]:
     gold_step = np.zeros((3, 3))
     np.add.at(gold_step, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     seen_w, seen_step = np.zeros_like(w), np.zeros_like(step)
-    for _ in range(120):
+    for _ in range(STEPS):
         e = (flat @ w).reshape(n, WINDOW, 3)
         lse = lambda z, axis: (m := z.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - m).sum(axis=axis))
         f, b = np.empty_like(e), np.zeros_like(e)
@@ -171,26 +203,55 @@ def train() -> dict[str, np.ndarray]:
         g_w, g_step = (gold_w - flat.T @ p.reshape(-1, 3)) / n - 0.002 * w, (gold_step - pair) / n - 0.002 * step
         seen_w, seen_step = seen_w + g_w**2, seen_step + g_step**2
         w, step = w + 0.5 * g_w / np.sqrt(seen_w + 1e-8), step + 0.5 * g_step / np.sqrt(seen_step + 1e-8)
-    return {"own": w[:OWN], "before": w[OWN : OWN + NEAR], "after": w[OWN + NEAR : OWN + 2 * NEAR], "file": w[OWN + 2 * NEAR :], "step": step}
+    return {"own": w[:OWN], "before": w[OWN : OWN + NEAR], "after": w[OWN + NEAR : OWN + 2 * NEAR], "file": w[OWN + 2 * NEAR : OWN + 2 * NEAR + FILE], "pair": w[OWN + 2 * NEAR + FILE :], "step": step}
 
 
 # --- decoding -----------------------------------------------------------------------------------------------------
 
 
+class Words(dict):
+    """word -> place in tables of what it adds to the scores of B and I (own, before, after) and of its flags; bounded."""
+
+    def __init__(self, rel: dict[str, np.ndarray]) -> None:
+        super().__init__()
+        self.own, self.before, self.after = (rel[k].tolist() for k in ("own", "before", "after"))
+        self.scores, self.flags = np.zeros((1 << 12, 6)), np.zeros((1 << 12, 4), bool)
+
+    def __missing__(self, word: str) -> int:
+        at, near = len(self), near_features(word)
+        if at == len(self.scores):
+            self.scores, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.flags))
+        self.scores[at] = [sum(table[f][k] for f in on) for table, on in ((self.own, own_features(word)), (self.before, near), (self.after, near)) for k in (B, I)]
+        self.flags[at] = flags(word)
+        self[word] = at
+        return at
+
+
 class Tagger:
     """Viterbi over a text's tokens, with certain tokens as cuts. Scores are taken against that of O."""
 
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
         w = {k: np.asarray(v) for k, v in weights.items()}
-        rel = {k: (m - m[:, O : O + 1])[:, :O] for k, m in w.items() if k != "step"}
-        self.file, self.step = rel["file"], w["step"]
-        # the most that transitions, and that all context, can add to B or I against O
-        self.turn = 2 * float(self.step.max() - self.step.min())
-        gain = self.turn + sum(float(np.maximum(rel[k], 0).sum(axis=0).max()) for k in ("before", "after", "file"))
-        self.own = Memo(lambda x: tuple(rel["own"][own_features(x)].sum(axis=0).tolist()))
-        self.before = Memo(lambda x: tuple(rel["before"][near_features(x)].sum(axis=0).tolist()))
-        self.after = Memo(lambda x: tuple(rel["after"][near_features(x)].sum(axis=0).tolist()))
-        self.risky = Memo(lambda x: not _ordinary(x) and max(self.own[x]) + gain >= 0)
+        self.rel = {k: (m - m[:, O : O + 1])[:, :O] for k, m in w.items() if k != "step"}
+        self.step = step = w["step"]
+        # a best path has no B (I) where O in its place would score more, whatever the tags beside it
+        self.turn = np.array([max(0.0, (step[:, k] - step[:, O]).max()) + max(0.0, (step[k] - step[O]).max()) for k in (B, I)])
+        self.words = Words(self.rel)
+
+    def emissions(self, words: list[str], file: list[int]) -> np.ndarray:
+        """(tokens, 2): scores of B and I."""
+        if len(self.words) > KEPT_WORDS:
+            self.words = Words(self.rel)
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        x, on = self.words.scores[at], self.words.flags[at]
+        e = x[:, 0:2] + self.rel["file"][file].sum(axis=0)
+        e[1:] += x[:-1, 2:4]
+        e[:-1] += x[1:, 4:6]
+        if len(words) > 2 and on[:, :2].any():
+            first, second = on[:-2], on[1:-1]
+            for k, hit in enumerate(pairs(first, second)):
+                e[2:][hit] += self.rel["pair"][k]
+        return e
 
     def viterbi(self, e: np.ndarray, begins: bool, ends: bool) -> list[int]:
         """Best tags of a run; begins/ends: a certain O stands before/after it."""
@@ -210,31 +271,12 @@ class Tagger:
 
     def tags(self, words: list[str], file: list[int]) -> dict[int, int]:
         """The tokens that aren't O, with their tags."""
-        risky = bytes(map(self.risky.__getitem__, words))
-        if 1 not in risky:
-            return {}
-        f, n, turn = self.file[file].sum(axis=0).tolist(), len(words), self.turn
-        runs: list[list[tuple[int, float, float]]] = []
-        t = risky.find(1)
-        while t >= 0:
-            b, i = self.own[words[t]]
-            b, i = b + f[0], i + f[1]
-            if t:
-                x, y = self.before[words[t - 1]]
-                b, i = b + x, i + y
-            if t + 1 < n:
-                x, y = self.after[words[t + 1]]
-                b, i = b + x, i + y
-            if b + turn >= 0 or i + turn >= 0:
-                if runs and runs[-1][-1][0] == t - 1:
-                    runs[-1].append((t, b, i))
-                else:
-                    runs.append([(t, b, i)])
-            t = risky.find(1, t + 1)
+        e = self.emissions(words, file)
+        open_ = np.flatnonzero((e + self.turn >= 0).any(axis=1))
         out: dict[int, int] = {}
-        for run in runs:
-            e = np.array([(b, i, 0.0) for _, b, i in run])
-            for (t, _, _), tag in zip(run, self.viterbi(e, run[0][0] > 0, run[-1][0] + 1 < n), strict=True):
+        for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else ():
+            scores = np.c_[e[run], np.zeros(len(run))]
+            for t, tag in zip(run.tolist(), self.viterbi(scores, run[0] > 0, run[-1] + 1 < len(words)), strict=True):
                 if tag != O:
                     out[t] = tag
         return out
@@ -259,11 +301,6 @@ class Tagger:
         return out
 
 
-def _ordinary(word: str) -> bool:
-    """O by definition: under six characters, or letters alone (less marks around them), and fewer than 16."""
-    return len(word) < 6 or (core := word.strip(_MARKS)).isalpha() and len(core) < 16 or not core
-
-
 _MARKS = ".,;:!?\"'()[]{}<>*&$%#|-"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # white space to str.split() that isn't in _WORD's class
@@ -275,22 +312,48 @@ def _words(text: str) -> list[str]:
 
 
 def all_spans(text: str, tagger: Tagger) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans): what the CRF adds lies beside the base spans, never over them."""
+    """(base spans, all spans): what the CRF adds are the parts of its spans that no base span covers."""
     base = base_spans(text)
-    more = [x for x in tagger.spans(text) if not any(x[0] < e and s < x[2] for s, _, e in base)]
-    return base, sorted(base + more)
+    more = []
+    k, covered = 0, 0  # base spans by start; ``covered``: the furthest end of those passed
+    for s, kind, e in tagger.spans(text):
+        while k < len(base) and base[k][0] <= s:
+            covered = max(covered, base[k][2])
+            k += 1
+        at = max(s, covered)
+        j = k
+        while j < len(base) and base[j][0] < e:
+            if base[j][0] > at:
+                more.append((at, kind, base[j][0]))
+            at = max(at, base[j][2])
+            j += 1
+        if at < e:
+            more.append((at, kind, e))
+    return base, sorted(base + [x for x in more if CORE.search(text, x[0], x[2])])
 
 
 def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+_TAGGERS: dict[bytes, Tagger] = {}
+
+
+def _tagger(weights: dict[str, np.ndarray]) -> Tagger:
+    """One tagger for a worker process and all its tasks: it keeps the scores of words met."""
+    key = hashlib.sha256(b"".join(weights[k].tobytes() for k in sorted(weights))).digest()
+    if key not in _TAGGERS:
+        _TAGGERS.clear()
+        _TAGGERS[key] = Tagger(weights)
+    return _TAGGERS[key]
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every whole text, and n_crf."""
     weights = train()
 
     def run(batches):
-        tagger = Tagger(weights)
+        tagger = _tagger(weights)
         for b in batches:
             counts: list[list[int]] = [[], [], [], []]
             sha, joined = [], []
@@ -311,7 +374,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     weights, where = train(), docs.columns.index("text")
 
     def run(batches):
-        tagger = Tagger(weights)
+        tagger = _tagger(weights)
         for b in batches:
             out = []
             for x in b.column(where):
