@@ -12,8 +12,10 @@ The weights are BUCKETS numbers, whatever the corpus; the driver takes them as a
 the row by higher-order functions: no shuffle of texts or words, and counting adds up before its exchange.
 
 Defined results: a null text has no words (and fails the fixed rules, which ask for 50); rows with a null ``doc_id``
-are judged but never trusted; repeated rows are judged alike; further columns are ignored by ``judge`` and kept by
-``keep``; an empty table gives no rows.
+are judged but never trusted; repeated rows are judged alike (labels that a repeated id has hold for each of its rows);
+further columns, whatever their names, are ignored by ``judge`` and kept by ``keep``; very long texts are judged whole;
+an empty table gives no rows. Scores are rounded to nine places and summed as decimals, so the threshold, and with it
+every verdict, is the same whichever way the rows lie.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_part
+
 BUCKETS = 1 << 14
 SAMPLE = 10_000
 PRIOR = 20_000.0
@@ -48,9 +52,6 @@ def buckets() -> Column:
 def with_base(words: DataFrame, weights: list[float] | None = None) -> DataFrame:
     """Adds the fixed rules' columns and, with weights, the score.
 
-    base_failed has a nondeterministic part, always false, on purpose: a filter on it then stays above. Pushed down,
-    the filter would be rewritten over its inputs, and the sort of a row be repeated for each of its elements.
-
     Repeats: each three-word window becomes one number, its hash above and its place in the low bits; sorted, equal
     windows are neighbours. The places of repeated windows, in order, give the covered words.
     """
@@ -71,13 +72,19 @@ def with_base(words: DataFrame, weights: list[float] | None = None) -> DataFrame
         *([] if weights is None else [score(weights).alias("score")]),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed | (F.monotonically_increasing_id() < 0))
+    return out.withColumn("base_failed", failed)
+
+
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """These columns behind a generator, which no filter passes: a filter would be rewritten over its inputs, and so
+    repeat the sort of a row for each of its elements."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
 
 
 def labelled(labels: DataFrame, quality: int, bound: int = SAMPLE) -> DataFrame:
-    """At most ``bound`` distinct labelled ids of a quality."""
-    ids = labels.filter((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumn("_q", F.lit(quality))
+    """Distinct labelled ids of a quality: all, or a part chosen by hash that stays below ``bound`` (four deviations off)."""
+    ids = labels.filter((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
+    return hashed_part(ids, "doc_id", int(bound - 4 * bound**0.5), ids.count() if bound > 16 else 0).withColumn("_q", F.lit(quality))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list[float], float | None]:
@@ -101,33 +108,37 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list[f
             p = raw[i] / all_raw
             weights[i] = max(-CLIP, min(CLIP, log((target[i] + PRIOR * p) / (all_target + PRIOR) / p)))
     trusted = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    scored = with_base(with_words(trusted), weights).filter(~F.col("base_failed"))
-    stats = {r["_q"]: r for r in scored.groupBy("_q").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("sd")).collect()}
+    scored = settled(with_base(with_words(trusted), weights), "_q", "base_failed", "score").filter(~F.col("base_failed"))
+    # decimals: sums don't depend on the order in which tasks end
+    s = F.col("score").cast("decimal(15,9)")
+    stats = {r["_q"]: (float(r["s"]), float(r["ss"]), r["n"]) for r in scored.groupBy("_q").agg(F.sum(s).alias("s"), F.sum((s * s).cast("decimal(38,18)")).alias("ss"), F.count("*").alias("n")).collect()}
     if 1 not in stats:
         return weights, None
-    threshold = stats[1]["m"] - SIGMAS * stats[1]["sd"]
-    if 0 in stats and stats[0]["m"] < stats[1]["m"]:
-        threshold = max(threshold, (stats[0]["m"] + stats[1]["m"]) / 2)
-    return weights, threshold
+    means = {q: s / n for q, (s, _, n) in stats.items()}
+    threshold = means[1] - SIGMAS * max(0.0, stats[1][1] / stats[1][2] - means[1] ** 2) ** 0.5
+    if 0 in stats and means[0] < means[1]:
+        threshold = max(threshold, (means[0] + means[1]) / 2)
+    return weights, round(threshold, 9)
 
 
 def score(weights: list[float]) -> Column:
     """The mean weight of a document's n-grams; 0 without any."""
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # foldable: a literal array in the plan
     total = F.aggregate(buckets(), F.lit(0.0), lambda acc, b: acc + F.get(table, b.cast("int")))
-    return F.coalesce(total / F.nullif(2 * F.col("_n") - 1, F.lit(-1)), F.lit(0.0))
+    return F.round(F.coalesce(total / F.nullif(2 * F.col("_n") - 1, F.lit(-1)), F.lit(0.0)), 9)
 
 
 def judge(docs: DataFrame, labels: DataFrame, model: tuple[list[float], float | None] | None = None) -> DataFrame:
     """doc_id, the fixed rules' columns, base_failed, kept and score of every document."""
     weights, threshold = model or fit(docs, labels)
-    out = with_base(with_words(docs.select("doc_id", "text")), weights)
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")
+    out = settled(with_base(with_words(docs.select("doc_id", "text")), weights), *columns)
     good = F.lit(True) if threshold is None else F.col("score") >= threshold
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & good).alias("kept"), F.round("score", 9).alias("score"))
+    return out.select(*columns[:-1], (~F.col("base_failed") & good).alias("kept"), "score")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns."""
+    """The documents that are kept, with all their columns, whatever the names."""
     weights, threshold = fit(docs, labels)
-    out = with_base(with_words(docs), weights).filter(~F.col("base_failed"))
-    return (out if threshold is None else out.filter(F.col("score") >= threshold)).select(*docs.columns)
+    out = settled(with_base(with_words(docs.select(F.struct("*").alias("_doc"), "text")), weights), "_doc", "base_failed", "score").filter(~F.col("base_failed"))
+    return (out if threshold is None else out.filter(F.col("score") >= threshold)).select("_doc.*")
