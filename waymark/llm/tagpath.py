@@ -12,17 +12,22 @@ role), and below elements that a class or id names as adverts, notices, comments
 element around the page's article (the first ``main``, else the ``article`` with the most text); a class or id doesn't
 either, where the page marks no article, for one around its highest fused ratio (a named path's counts half).
 
-Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
-one line break in page order, empty ones left out. Nothing is cut or capped. One page is one row's work: no shuffle.
-
-Defined results: a null or empty page gives an empty text; broken markup (open tags, no end) is read as far as it goes;
-rows with null ids stay; repeated rows are extracted alike; an empty table gives no rows; further columns are ignored.
+Text: character references are decoded by text node, white space inside a block becomes one space, blocks are trimmed and
+joined by one line break in page order, empty ones left out. Nothing is cut or capped. One page is one row's work, and
+that grows with the page's length, whatever its markup: paths are numbers, and what holds for an element is handed down
+to those inside. No shuffle.
+
+Defined results: a null or empty page gives an empty text; of broken markup, open elements reach to the page's end, an
+open quote ends with its tag, and a tag without an end takes what is left; very long pages are read whole; rows with null
+ids stay; repeated rows are extracted alike; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,91 +40,155 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 OUT = frozenset("head nav header footer aside form script style noscript template iframe svg button select option textarea title menu dialog math object".split())
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tbody", "tbody": "thead tbody"}
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-OUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|sidebar|side|menu|nav\w*|breadcrumbs?|footer|masthead|toolbar|share|sharing|social|related|recommend\w*|comments?|replies|respond|disqus|login|signup|search|pagination|pager|widget)(?:$|[\s_-])", re.IGNORECASE)
+# Names of classes and ids: those that count as a part of a name too, and those that count alone.
+OUT_PARTS = "ads? advert\\w* adbox banner sponsor\\w* promo\\w* cookies? consent notices? popup modal newsletter subscribe sidebar menu nav\\w* breadcrumbs? footer masthead comments? disqus login signup pagination".split()
+OUT_WHOLE = "side toolbar share sharing social related recommended recommendations replies respond search pager widget".split()
+OUT_NAMES = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(OUT_PARTS)})(?:$|[\s_-])|(?:^|\s)(?:{'|'.join(OUT_WHOLE)})(?:$|\s)", re.IGNORECASE)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 PUNCTUATION = frozenset(".,;:!?…。，、！？¿¡")
 SHARE = 0.05
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 
 
 class Element:
-    """An element: tag, name in the path, out by tag or role, out by class or id."""
+    """An element: its parent, tag, tag path (a number), and whether tag or role, or class or id, put it out."""
 
-    __slots__ = ("bad", "label", "named", "tag")
+    __slots__ = ("bad", "named", "parent", "path", "tag")
 
-    def __init__(self, tag: str, label: str, bad: bool, named: bool) -> None:
-        self.tag, self.label, self.bad, self.named = tag, label, bad, named
+    def __init__(self, parent: Element | None, tag: str, path: int, bad: bool, named: bool) -> None:
+        self.parent, self.tag, self.path, self.bad, self.named = parent, tag, path, bad, named
 
 
-def nodes(html: str) -> list[tuple[int, tuple[Element, ...], str]]:
-    """(block number, elements around it, raw text) of each text node in page order."""
-    out: list[tuple[int, tuple[Element, ...], str]] = []
-    stack: list[Element] = []
-    at, block = 0, 0
+class Page:
+    """A page's elements, its tag paths and its text nodes, read in one pass."""
 
-    def text(to: int) -> None:
-        if to > at:
-            out.append((block, tuple(stack), html[at:to]))
+    def __init__(self, html: str) -> None:
+        self.elements: list[Element] = []  # parents before children
+        self.texts: list[tuple[int, Element | None, str]] = []  # block number, element, decoded text
+        self.numbers: dict[tuple[int, str], int] = {}  # (parent's path, label) -> path; 0 is the root
+        self.parents, self.tags = [0], [""]  # by path
+        self._read(html)
 
-    def close(tag: str, within: str = "") -> None:
-        nonlocal block
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag == tag:
-                if any(e.tag in BLOCK for e in stack[i:]):
-                    block += 1
-                del stack[i:]
-                return
-            if within and stack[i].tag in within.split():
-                return
+    def path(self, parent: int, label: str, tag: str) -> int:
+        n = self.numbers.setdefault((parent, label), len(self.parents))
+        if n == len(self.parents):
+            self.parents.append(parent)
+            self.tags.append(tag)
+        return n
+
+    def _read(self, html: str) -> None:
+        stack: list[Element] = []
+        standing: Counter[str] = Counter()  # open elements by tag
+        at, pos, block = 0, 0, 0
+
+        def text(to: int) -> None:
+            if to > at:
+                self.texts.append((block, stack[-1] if stack else None, entities.unescape(html[at:to])))
 
-    pos = 0
-    while m := TOKEN.search(html, pos):
-        text(m.start())
-        at = pos = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            close(tag)
-            continue
-        if tag in CLOSES:
-            for old in CLOSES[tag].split():
+        def close(tag: str, within: str = "") -> None:
+            nonlocal block
+            if not standing[tag]:
+                return
+            stop = within.split()
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].tag == tag:
+                    block += any(e.tag in BLOCK for e in stack[i:])
+                    for e in stack[i:]:
+                        standing[e.tag] -= 1
+                    del stack[i:]
+                    return
+                if stack[i].tag in stop:
+                    return
+
+        while (pos := html.find("<", pos)) >= 0:
+            if html.startswith("<!--", pos):
+                end = html.find("-->", pos + 4)
+                text(pos)
+                at = pos = end + 3 if end >= 0 else len(html)
+                continue
+            m = NAME.match(html, pos)
+            if not m and html[pos + 1 : pos + 2] not in ("!", "?"):
+                pos += 1  # a lone sign
+                continue
+            rest = REST.match(html, m.end()) if m else None
+            # an open quote ends with the tag; a tag without an end takes what is left of the page
+            end = rest.end() if rest else html.find(">", pos) + 1
+            text(pos)
+            if not end:
+                at = len(html)
+                break
+            start, at, pos = pos, end, end
+            if not m:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                close(tag)
+                continue
+            for old in CLOSES.get(tag, "").split():
                 close(old, "ul ol dl table" if tag != "p" else "td th li article section div body")
-        if tag in ENDS_P:
-            close("p", "td th li article section div body")
-        if tag in BLOCK or tag == "br":
-            block += 1
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        names = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])} if m[3] else {}
-        label = f"{names.get('class', '')} {names.get('id', '')}".strip()
-        named = bool(label and OUT_NAMES.search(label)) and tag not in ("html", "body", "article", "main")
-        bad = tag in OUT or names.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
-        stack.append(Element(tag, f"{tag}.{label.split()[0]}" if label else tag, bad, named))
-        if tag in RAW:  # up to its end tag, or to the page's
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, pos)
-            at = pos = end.end() if end else len(html)
-            stack.pop()
-    text(len(html))
-    return out
-
-
-Path = tuple[str, ...]
-
-
-def _fused(found: list[tuple[int, Path, str]]) -> dict[Path, float]:
+            if tag in ENDS_P:
+                close("p", "td th li article section div body")
+            if tag in BLOCK or tag == "br":
+                block += 1
+            if tag in VOID or html[end - 2] == "/":
+                continue
+            names = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(html, m.end(), end)} if end - start > len(tag) + 2 else {}
+            label = f"{names.get('class', '')} {names.get('id', '')}".strip()
+            named = bool(label and OUT_NAMES.search(label)) and tag not in ("html", "body", "article", "main")
+            bad = tag in OUT or names.get("role", "").lower() in OUT_ROLES
+            parent = stack[-1] if stack else None
+            number = self.path(parent.path if parent else 0, f"{tag}.{label.split()[0]}" if label else tag, tag)
+            if tag in RAW:  # up to its end tag, or to the page's
+                found = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, pos)
+                at = pos = found.end() if found else len(html)
+                continue
+            e = Element(parent, tag, number, bad, named)
+            self.elements.append(e)
+            stack.append(e)
+            standing[tag] += 1
+        if at < len(html):
+            text(len(html))
+
+    def below(self, mark: Callable[[Element], bool]) -> dict[Element | None, bool]:
+        """For each element, whether it or one around it is marked."""
+        out: dict[Element | None, bool] = {None: False}
+        for e in self.elements:
+            out[e] = out[e.parent] or mark(e)
+        return out
+
+    def around(self, e: Element | None) -> set[Element]:
+        out: set[Element] = set()
+        while e is not None:
+            out.add(e)
+            e = e.parent
+        return out
+
+
+Text = tuple[int, "Element | None", str]
+
+
+def _path(e: Element | None) -> int:
+    return e.path if e else 0
+
+
+def _fused(page: Page, found: list[Text]) -> dict[int, float]:
     """The smoothed, fused ratio of each path that has text."""
-    stats: dict[Path, list[float]] = {}
-    for _, path, raw in found:
+    linked = [False]
+    for n in range(1, len(page.parents)):
+        linked.append(linked[page.parents[n]] or page.tags[n] == "a")
+    stats: dict[int, list[float]] = {}
+    for _, e, raw in found:
         plain = raw.strip()
         if plain:
-            s = stats.setdefault(path, [0, 0, 0, 0])
+            s = stats.setdefault(_path(e), [0, 0, 0, 0])
             s[0] += len(plain)
-            s[1] += sum(c in PUNCTUATION for c in plain)
+            s[1] += sum(map(plain.count, PUNCTUATION))
             s[2] += 1
-            s[3] += len(plain) if any(t.split(".")[0] == "a" for t in path) else 0
+            s[3] += len(plain) if linked[_path(e)] else 0
     if not stats:
         return {}
     v = np.array(list(stats.values()), np.float64)
@@ -129,66 +198,75 @@ def _fused(found: list[tuple[int, Path, str]]) -> dict[Path, float]:
     return dict(zip(stats, fused.tolist(), strict=True))
 
 
-def _path(around: tuple[Element, ...]) -> Path:
-    return tuple(e.label for e in around)
-
-
-def _in_question(found: list[tuple[int, tuple[Element, ...], str]]) -> list[tuple[int, Path, str]]:
-    """(block number, path, raw text) of the text nodes that neither a tag nor a name puts out."""
-    main, weight = None, {}
-    for _, around, raw in found:
-        for e in around:
-            if e.tag == "main":
-                main = main or e
-            elif e.tag == "article":
-                weight[e] = weight.get(e, 0) + len(raw.strip())
-    main = main or max(weight, key=weight.__getitem__, default=None)
-    free: set[Element] = set()
-    if main:
-        free = set(next(around[: around.index(main)] for _, around, _ in found if main in around))
-    found = [x for x in found if not any(e.bad and e not in free for e in x[1])]
+def _in_question(page: Page) -> list[Text]:
+    """The text nodes that neither a tag nor a name puts out."""
+    main = next((e for e in page.elements if e.tag == "main"), None)
+    if main is None:
+        weight: dict[Element, int] = {e: 0 for e in page.elements if e.tag == "article"}
+        nearest: dict[Element | None, Element | None] = {None: None}
+        for e in page.elements:
+            nearest[e] = e if e.tag == "article" else nearest[e.parent]
+        for _, e, raw in page.texts:
+            if nearest[e]:
+                weight[nearest[e]] += len(raw.strip())
+        for e in reversed(list(weight)):
+            if outer := nearest[e.parent]:
+                weight[outer] += weight[e]
+        main = max(weight, key=weight.__getitem__, default=None) if any(weight.values()) else None
+    free = page.around(main.parent) if main else set()
+    bad = page.below(lambda e: e.bad and e not in free)
+    found = [x for x in page.texts if not bad[x[1]]]
     if main:
-        found = [x for x in found if any(e.tag in ("article", "main") for e in x[1])]
-    elif any(e.named for _, around, _ in found for e in around):
-        fused = _fused([(b, _path(around), raw) for b, around, raw in found])
-        rated = [(fused[_path(around)] * (0.5 if any(e.named for e in around) else 1), around) for _, around, raw in found if raw.strip()]
+        inside = page.below(lambda e: e.tag in ("article", "main"))
+        found = [x for x in found if inside[x[1]]]
+    elif any(e.named for e in page.elements):
+        fused, named = _fused(page, found), page.below(lambda e: e.named)
+        rated = [(fused[_path(e)] * (0.5 if named[e] else 1), e) for _, e, raw in found if raw.strip()]
         if rated:
-            free = set(max(rated, key=lambda x: x[0])[1])
-    return [(b, _path(around), raw) for b, around, raw in found if not any(e.named and e not in free for e in around)]
+            free = page.around(max(rated, key=lambda x: x[0])[1])
+    out = page.below(lambda e: e.named and e not in free)
+    return [x for x in found if not out[x[1]]]
 
 
-def _content_paths(found: list[tuple[int, Path, str]]) -> set[Path]:
-    """The paths whose smoothed, fused ratios pass the threshold."""
-    fused = _fused(found)
+def _content_paths(page: Page, found: list[Text]) -> list[bool]:
+    """By path: whether its smoothed, fused ratio passes the threshold, or it belongs to one that does."""
+    fused = _fused(page, found)
+    chosen = [False] * len(page.parents)
     if not fused:
-        return set()
+        return chosen
     limit = SHARE * max(*fused.values(), 1e-9)
-    chosen = {p for p, v in fused.items() if v >= limit}
+    for p, v in fused.items():
+        chosen[p] = v >= limit
+    heading = [False]
+    for n in range(1, len(page.parents)):
+        heading.append(heading[page.parents[n]] or page.tags[n] in HEADINGS)
     # a heading, short as it is, goes with the text below it
     body = None
-    for _, path, raw in reversed(found):
-        if not raw.strip():
-            continue
-        if any(t.split(".")[0] in HEADINGS for t in path):
-            chosen |= {path} if body in chosen else set()
-        else:
-            body = path
+    for _, e, raw in reversed(found):
+        if raw.strip():
+            p = _path(e)
+            if not heading[p]:
+                body = p
+            elif body is not None and chosen[body]:
+                chosen[p] = True
     # inline children (b, i, a ...) of a content block belong to its text, and so does white space
-    inline = {p for _, p, _ in found if p not in chosen and any(p[: len(c)] == c and all(t.split(".")[0] not in BLOCK for t in p[len(c) :]) for c in chosen)}
-    return chosen | inline
+    for n in range(1, len(chosen)):
+        chosen[n] = chosen[n] or (page.tags[n] not in BLOCK and chosen[page.parents[n]])
+    return chosen
 
 
 def extract(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    found = _in_question(nodes(html))
-    content = _content_paths(found)
+    page = Page(html)
+    found = _in_question(page)
+    content = _content_paths(page, found)
     blocks: dict[int, list[str]] = {}
-    for block, path, raw in found:
-        if path in content:
+    for block, e, raw in found:
+        if content[_path(e)]:
             blocks.setdefault(block, []).append(raw)
-    lines = (" ".join(entities.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
+    lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
 
 
