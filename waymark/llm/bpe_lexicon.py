@@ -10,12 +10,12 @@ exactly, by the ranks. Results by chunk are kept in a bounded dict.
 The word counts cover all texts; the lexicon has a fixed bound, so the file does not grow with the corpus.
 
 Defined results: a null text equals the empty text and has no ids (the hash of the empty string); rows with a null
-``doc_id`` are encoded like any other; an empty table gives no rows; further columns are ignored.
+``doc_id``, repeated rows and ids are encoded each; very long texts are encoded whole, in time that grows with their length
+(a word of its own with its logarithm beside); an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import mmap
 from collections import Counter
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, put_shared
-from .pieces import END_OF_TEXT, Memo, chunks
+from .pieces import END_OF_TEXT, Memo, chunks, no_gc
 
 LEXICON_WORDS = 50_000
 MIN_COUNT = 4
@@ -50,6 +50,8 @@ def vocabulary(json_path: str) -> tuple[dict[bytes, int], list[bytes], dict[str,
 
     with open(json_path) as f:
         data = json.load(f)
+    if (data.get("decoder") or {}).get("type") != "ByteLevel":
+        raise ValueError(f"{json_path} is no byte-level vocabulary")
     # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
@@ -313,7 +315,10 @@ def encode_documents(docs: DataFrame, json_path: str) -> DataFrame:
         spark.sparkContext.addFile(put_shared(spark, name, data))
 
     def run(batches):
-        gc.disable()  # only large dicts without cycles are kept here; walking them costs more than the work
+        with no_gc():
+            yield from encoded(batches)
+
+    def encoded(batches):
         enc = _encoder(json_path, name)
         for b in batches:
             n, ids_sha, text_sha = [], [], []

@@ -6,8 +6,9 @@ dict of at most twice ``MEMO_ITEMS`` chunks, so memory is bounded whatever the c
 
 from __future__ import annotations
 
-import base64
+import gc
 import re
+from contextlib import contextmanager
 from functools import lru_cache
 
 import regex
@@ -58,15 +59,16 @@ class Memo(dict):
         return self.put(chunk, self.make(chunk) if value is None else value)
 
 
-@lru_cache(maxsize=4)
-def byte_bpe(path: str):
-    """tiktoken's encoding over a rank file, and the pattern of its pieces."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path) as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: 50256})
+@contextmanager
+def no_gc():
+    """Without garbage collection: large dicts without cycles are kept, and walking them costs more than the work."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 @lru_cache(maxsize=4)

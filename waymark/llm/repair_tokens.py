@@ -8,24 +8,27 @@ more than documents), the rules' left and right symbols, their expansion lengths
 
 Re-Pair on a shard: count the adjacent pairs, give the most frequent ones a nonterminal each, replace their occurrences
 from left to right, and repeat on the shorter sequence until no pair is frequent. A round takes up to ROUND_RULES
-pairs. No rule spans two documents, so a document is decoded alone from its symbols: expansion lengths say where a
+pairs (of two that fall on one slot of its table, the other waits for the next round). ``Stop`` says when a shard is done:
+by default after 12 rounds, when no pair occurs 12 times, when a round gains under 1 %, or when 16-bit symbols are used
+up; with ``EXHAUSTIVE`` when no pair occurs twice. Decoded ids are the same. No rule spans two documents, so a document is decoded alone from its symbols: expansion lengths say where a
 token lies without expanding what comes before.
 
 Texts go through one range partitioning by doc_id; a shard closes at SHARD_IDS ids, so memory does not depend on the
 corpus (a single longer text is one longer shard). The files are written and committed by Spark in the shared folder.
 
 Defined results: a null text is empty and holds the end id alone; null doc_ids sort first and keep their row; repeated
-rows are written as often as they occur, in any order among equals; an empty table gives no rows.
+rows are written as often as they occur, rows of one doc_id in the order of their texts' hash and text; very long texts
+are encoded whole; further columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +39,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder
-from .pieces import Memo, json_tokenizer
+from .pieces import Memo, json_tokenizer, no_gc
 from .vector_packing import vocabulary_file
 
 END_ID = 2
 SHARD_IDS = 1_000_000
 TEXT_PART = 16_000_000  # bytes of text encoded at once
 ROUND_RULES = 2048
-MIN_PAIR = 12
-MAX_ROUNDS = 12
 KEPT = 450_000  # pieces whose ids a worker keeps in each of two generations
 MAGIC = 0x52455041
 NULL_DOC = -(2**63)
@@ -126,14 +127,27 @@ class ChunkEncoder:
 # --- Re-Pair ------------------------------------------------------------------------------------------------------
 
 
-def repair(ids: np.ndarray, end_id: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Stop:
+    """When Re-Pair ends on a shard. ``EXHAUSTIVE`` goes on until no pair occurs twice; the others trade size for time."""
+
+    rounds: int | None = 12
+    least: int = 12  # occurrences a pair needs
+    gain: float = 0.01  # a round that shortens the sequence by less is the last
+    narrow: bool = True  # symbols of 16 bits where the vocabulary leaves room: 65,536 of them at most
+
+
+EXHAUSTIVE = Stop(None, 2, 0.0, narrow=False)
+
+
+def repair(ids: np.ndarray, end_id: int, base: int, stop: Stop = Stop()) -> tuple[np.ndarray, np.ndarray]:  # noqa: B008
     """(symbols, rules as pairs); symbol base + i stands for rule i. No rule holds ``end_id``."""
     a = ids.astype(np.uint32)
-    limit = 65_536 if base < 60_000 else 2**32 - 1
+    limit = 65_536 if stop.narrow and base < 60_000 else 2**32 - 1
     wide = limit > 65_536
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(MAX_ROUNDS):
+    for _ in count() if stop.rounds is None else range(stop.rounds):
         room = min(ROUND_RULES, limit - base - made)
         if len(a) < 2 or room < 1:
             break
@@ -144,7 +158,7 @@ def repair(ids: np.ndarray, end_id: int, base: int) -> tuple[np.ndarray, np.ndar
             break
         at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         counts = np.diff(np.r_[at, len(s)])
-        top = np.flatnonzero(counts >= MIN_PAIR)
+        top = np.flatnonzero(counts >= stop.least)
         if not len(top):
             break
         top = top[np.argsort(-counts[top], kind="stable")[:room]]
@@ -170,7 +184,7 @@ def repair(ids: np.ndarray, end_id: int, base: int) -> tuple[np.ndarray, np.ndar
         before, a = len(a), a[keep]
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32) if wide else np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1))
         made += len(pairs)
-        if before - len(a) < 0.01 * before:
+        if before - len(a) < stop.gain * before:
             break
     return a, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
@@ -181,11 +195,11 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
 
-def write_shard(docs: list[int], ids: list[bytes], end_id: int, vocab: int) -> bytes:
+def write_shard(docs: list[int], ids: list[bytes], end_id: int, vocab: int, stop: Stop = Stop()) -> bytes:  # noqa: B008
     """A payload of documents in order; ``ids`` are little-endian 32-bit ids with the end id."""
     a = np.frombuffer(b"".join(ids), "<u4")
     base = max(vocab, int(a.max()) + 1 if len(a) else 0)
-    symbols, rules = repair(a, end_id, base)
+    symbols, rules = repair(a, end_id, base, stop)
     width = 2 if base + len(rules) <= 65_536 else 4
     # the end id stays a symbol of its own, so each document's symbols are found by its tokens
     lengths = rule_lengths(rules, base)
@@ -254,11 +268,14 @@ class Shard:
 # --- Spark --------------------------------------------------------------------------------------------------------
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
-    """Write the ids of all texts, each with ``end_id``, in ascending doc_id order."""
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, stop: Stop = Stop()) -> None:  # noqa: B008
+    """Write the ids of all texts, each with ``end_id``, in ascending order of doc_id (nulls first), then text hash and text."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # only large dicts without cycles are kept here; walking them costs more than the work
+        with no_gc():
+            yield from written(batches)
+
+    def written(batches) -> Iterator[pa.RecordBatch]:
         enc, part, shard = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         names: list[int] = []
@@ -267,7 +284,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
         def close():
             nonlocal shard, held
-            row = [[part], [shard], [len(names)], [held], [write_shard(names, ids, end_id, vocab)]]
+            row = [[part], [shard], [len(names)], [held], [write_shard(names, ids, end_id, vocab, stop)]]
             shard, held = shard + 1, 0
             names.clear()
             ids.clear()
@@ -289,8 +306,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         if names:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "part int, shard int, n_docs long, n_tokens long, payload binary").write.parquet(path)
+    # the hash parts rows of one doc_id, or of none, over ranges, in an order of their own
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered.drop("h").mapInArrow(run, "part int, shard int, n_docs long, n_tokens long, payload binary").write.parquet(path)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
