@@ -35,50 +35,68 @@ SIGMAS = 6.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPACE = "[ \\t-\\r]+"  # the white space of the word pattern
 SYMBOLS = "#*$%&|<>"
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """Adds _t (text, null as empty), _w (words), _h (their hashes) and _n (their number)."""
-    out = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
-    out = out.withColumn("_w", F.filter(F.split("_t", SPACE), lambda x: x != ""))
-    return out.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x))).withColumn("_n", F.size("_h"))
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, wherever the optimizer moves the expression and whatever loops use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def buckets() -> Column:
-    """The buckets of a document's words and word pairs."""
-    return F.expr(f"concat(transform(_h, x -> pmod(x, {BUCKETS}L)), if(_n > 1, transform(sequence(1, _n - 1), i -> pmod(xxhash64(_h[i - 1], _h[i]), {BUCKETS}L)), cast(array() as array<bigint>)))")
+def with_hashes(text: Column, body) -> Column:
+    """body(text, null as empty; its words; their hashes)."""
+    words = lambda t: F.filter(F.split(t, SPACE), lambda x: x != "")
+    return let(F.coalesce(text, F.lit("")), lambda t: let(words(t), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: body(t, w, h))))
 
 
-def with_base(words: DataFrame, weights: list[float] | None = None) -> DataFrame:
-    """Adds the fixed rules' columns and, with weights, the score.
+def buckets(h: Column) -> Column:
+    """The buckets of a document's words and word pairs, by its words' hashes."""
+    n, bucket = F.size(h), lambda x: F.pmod(x, F.lit(BUCKETS).cast("long"))
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: bucket(F.xxhash64(F.get(h, i - 1), F.get(h, i))))
+    return F.concat(F.transform(h, bucket), F.when(n > 1, pairs).otherwise(F.array().cast("array<bigint>")))
 
-    Repeats: each three-word window becomes one number, its hash above and its place in the low bits; sorted, equal
-    windows are neighbours. The places of repeated windows, in order, give the covered words.
+
+def repeated_words(h: Column) -> Column:
+    """Words in three-word windows that occur twice or more.
+
+    Each window becomes one number, its hash above and its place in the low bits; sorted, equal windows are neighbours.
+    The places of repeated windows, in order, give the covered words.
     """
-    out = words.withColumn("_m", F.expr("shiftleft(1L, cast(ceil(log2(_n + 2)) as int)) - 1"))
-    keys = "if(_n < 3, cast(array() as array<bigint>), array_sort(transform(sequence(0, _n - 3), i -> (xxhash64(_h[i], _h[i + 1], _h[i + 2]) & ~_m) | cast(i as bigint))))"
-    out = out.withColumn("_k", F.expr(keys.replace("array_sort", "sort_array")))
-    same = "(k & ~_m) = (get(_k, j {0} 1) & ~_m) and _h[cast(k & _m as int)] = _h[cast(get(_k, j {0} 1) & _m as int)]"
-    places = f"sort_array(transform(filter(_k, (k, j) -> coalesce({same.format('-')}, false) or coalesce({same.format('+')}, false)), k -> k & _m))"
-    out = out.withColumn("_p", F.expr(places))
-    out = out.withColumn("_l", F.expr(r"filter(split(_t, '\n'), x -> trim(BOTH ' \t\n\u000B\u000C\r' FROM x) <> '')"))
-    out = out.select(
-        *[c for c in out.columns if c not in ("_k", "_p", "_l", "_m")],
-        F.col("_n").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.expr("aggregate(_p, named_struct('l', -9L, 's', 0L), (a, p) -> named_struct('l', p, 's', a.s + least(3L, p - a.l)), a -> a.s)").alias("n_repeat_words"),
-        *([] if weights is None else [score(weights).alias("score")]),
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
-
-
-def settled(df: DataFrame, *columns: str) -> DataFrame:
-    """These columns behind a generator, which no filter passes: a filter would be rewritten over its inputs, and so
-    repeat the sort of a row for each of its elements."""
-    return df.select(F.inline(F.array(F.struct(*columns))))
+    n = F.size(h)
+
+    def places(m: Column, k: Column) -> Column:
+        high = lambda x: x.bitwiseAND(F.bitwise_not(m))
+        first = lambda x: F.get(h, x.bitwiseAND(m).cast("int"))
+        same = lambda x, y: F.coalesce((high(x) == high(y)) & (first(x) == first(y)), F.lit(False))
+        twice = F.filter(k, lambda x, j: same(x, F.get(k, j - 1)) | same(x, F.get(k, j + 1)))
+        return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(m)))
+
+    def windows(m: Column) -> Column:
+        at = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.bitwise_not(m)).bitwiseOR(i.cast("long")))
+        return F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.sort_array(at))
+
+    mask = F.expr("1L") * F.pow(F.lit(2.0), F.ceil(F.log2(n + 2))).cast("long") - 1
+    covered = lambda p: F.aggregate(p, F.struct(F.lit(-9).cast("long").alias("l"), F.lit(0).cast("long").alias("s")), lambda a, x: F.struct(x.alias("l"), (a["s"] + F.least(F.lit(3).cast("long"), x - a["l"])).alias("s")), lambda a: a["s"])
+    return let(mask, lambda m: let(windows(m), lambda k: covered(places(m, k))))
+
+
+def measured(text: Column, weights: list[float] | None = None) -> Column:
+    """struct of the fixed rules' columns, base_failed and (with weights) score of a text."""
+
+    def body(t: Column, w: Column, h: Column) -> Column:
+        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
+        columns = F.struct(
+            F.size(h).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+            repeated_words(h).alias("n_repeat_words"),
+            (F.lit(0.0) if weights is None else score(h, weights)).alias("score"),
+        )
+        failed = lambda c: (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+        return let(columns, lambda c: F.struct(*[c[k].alias(k) for k in BASE], failed(c).alias("base_failed"), c["score"].alias("score")))
+
+    return with_hashes(text, body)
 
 
 def labelled(labels: DataFrame, quality: int, bound: int = SAMPLE) -> DataFrame:
@@ -93,8 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list[f
     sample = labelled(labels, 1, bound).union(labelled(labels, 0, bound)).groupBy("doc_id").agg(F.max("_q").alias("_q"))
     rows = sample.collect()  # 2 * bound ids at most
     sample = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, _q int")
-    words = with_words(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left"))
-    grams = words.select(F.coalesce(F.col("_q"), F.lit(0)).alias("_q"), F.explode(buckets()).alias("b"))
+    words = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left")
+    grams = words.select(F.coalesce(F.col("_q"), F.lit(0)).alias("_q"), F.explode(with_hashes(F.col("text"), lambda t, w, h: buckets(h))).alias("b"))
     counted = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("_q").alias("target")).collect()  # BUCKETS rows at most
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in counted:
@@ -108,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list[f
             p = raw[i] / all_raw
             weights[i] = max(-CLIP, min(CLIP, log((target[i] + PRIOR * p) / (all_target + PRIOR) / p)))
     trusted = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    scored = settled(with_base(with_words(trusted), weights), "_q", "base_failed", "score").filter(~F.col("base_failed"))
+    scored = trusted.select("_q", measured(F.col("text"), weights).alias("m")).select("_q", "m.*").filter(~F.col("base_failed"))
     # decimals: sums don't depend on the order in which tasks end
     s = F.col("score").cast("decimal(15,9)")
     stats = {r["_q"]: (float(r["s"]), float(r["ss"]), r["n"]) for r in scored.groupBy("_q").agg(F.sum(s).alias("s"), F.sum((s * s).cast("decimal(38,18)")).alias("ss"), F.count("*").alias("n")).collect()}
@@ -121,24 +139,25 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list[f
     return weights, round(threshold, 9)
 
 
-def score(weights: list[float]) -> Column:
+def score(h: Column, weights: list[float]) -> Column:
     """The mean weight of a document's n-grams; 0 without any."""
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # foldable: a literal array in the plan
-    total = F.aggregate(buckets(), F.lit(0.0), lambda acc, b: acc + F.get(table, b.cast("int")))
-    return F.round(F.coalesce(total / F.nullif(2 * F.col("_n") - 1, F.lit(-1)), F.lit(0.0)), 9)
+    total = F.aggregate(buckets(h), F.lit(0.0), lambda acc, b: acc + F.get(table, b.cast("int")))
+    return F.round(F.coalesce(total / F.nullif(2 * F.size(h) - 1, F.lit(-1)), F.lit(0.0)), 9)
 
 
 def judge(docs: DataFrame, labels: DataFrame, model: tuple[list[float], float | None] | None = None) -> DataFrame:
     """doc_id, the fixed rules' columns, base_failed, kept and score of every document."""
     weights, threshold = model or fit(docs, labels)
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")
-    out = settled(with_base(with_words(docs.select("doc_id", "text")), weights), *columns)
-    good = F.lit(True) if threshold is None else F.col("score") >= threshold
-    return out.select(*columns[:-1], (~F.col("base_failed") & good).alias("kept"), "score")
+    out = docs.select("doc_id", measured(F.col("text"), weights).alias("m")).select("doc_id", "m.*")
+    return out.select("doc_id", *BASE, "base_failed", good(F.col("base_failed"), F.col("score"), threshold).alias("kept"), "score")
+
+
+def good(failed: Column, score: Column, threshold: float | None) -> Column:
+    return ~failed if threshold is None else ~failed & (score >= threshold)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns, whatever the names."""
     weights, threshold = fit(docs, labels)
-    out = settled(with_base(with_words(docs.select(F.struct("*").alias("_doc"), "text")), weights), "_doc", "base_failed", "score").filter(~F.col("base_failed"))
-    return (out if threshold is None else out.filter(F.col("score") >= threshold)).select("_doc.*")
+    return docs.filter(let(measured(F.col("text"), weights), lambda m: good(m["base_failed"], m["score"], threshold)))
