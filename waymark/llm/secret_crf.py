@@ -21,6 +21,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +40,7 @@ KEYWORDS = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|
 KNOWN = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|xox[abp]-|eyJ|AIza|ya29\.)")
 CORE = re.compile(r"[A-Za-z0-9+/_.=~-]+")
 TRAIN_WINDOWS, WINDOW, STEPS = 3000, 16, 100
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 B, I, O = 0, 1, 2  # noqa: E741
 OWN, NEAR, PAIR, FILE = 44, 12, 4, 4  # numbers of features
 
@@ -58,45 +59,68 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- features -----------------------------------------------------------------------------------------------------
 
 
-_PLAIN = re.compile("[A-Za-z]+")
-_KIND = {i: "0" if chr(i).isdigit() else "A" if chr(i).isupper() else "a" if chr(i).islower() else "-" for i in range(128)}
+_SHAPE = {i: "0" if chr(i).isdigit() else "A" if chr(i).isupper() else "a" if chr(i).islower() else chr(i) for i in range(128)}
 _CHANGE = re.compile(r"(.)(?=(?!\1).)")
+_CLOG = [0.0, 0.0, *(c * math.log2(c) for c in range(2, 4096))]
+SIGNS = frozenset(("=", ":", ":=", "=>", "->"))
+HEX_DIGITS = "0123456789abcdefABCDEF-"
 
 
-def _entropy(s: str) -> float:
-    n = len(s)
-    return -sum(k / n * math.log2(k / n) for k in (s.count(c) for c in set(s))) if n else 0.0
+def shape(word: str) -> str:
+    """The word with 0 for digits, A and a for letters; other signs stay, but a letter or digit beyond ASCII is an é or ²."""
+    if word.isascii():
+        return word.translate(_SHAPE)
+    return "".join(_SHAPE.get(ord(c)) or ("é" if c.isalpha() else "²" if c.isdigit() else "€") for c in word)
 
 
-def own_features(word: str) -> list[int]:
-    """A token's shape: indexes below OWN."""
-    core = word if _PLAIN.fullmatch(word) else max(CORE.findall(word), key=len, default="")
-    n, kinds = len(core), core.translate(_KIND)  # a digit, an upper- or lower-case letter, or another
-    digits, upper, lower = kinds.count("0"), kinds.count("A"), kinds.count("a")
+def shape_features(shape: str) -> tuple[int, int, list[int], list[int]]:
+    """What the shape alone tells: start and end of the token's core, own and near features."""
+    at = max((m.span() for m in CORE.finditer(shape)), key=lambda x: x[1] - x[0], default=(0, 0))
+    core, bare = shape[at[0] : at[1]], shape.strip(_MARKS)
+    n, digits, upper, lower = len(core), core.count("0"), core.count("A"), core.count("a")
     f = [min(n // 4, 9)]  # 0-9
     f.append(10 + (0 if not digits else 1 if digits * 5 < n else 2 if digits * 2 < n else 3 if digits < n else 4))
     f.append(15 + (bool(upper) + 2 * bool(lower)))
-    changes = len(_CHANGE.findall(kinds.replace("a", "-")))
-    f.append(19 + min(changes // 2, 5))  # 19-24
-    f.append(25 + min(int(_entropy(core)), 4))  # 25-29
-    for i, on in enumerate((bool(KNOWN.match(core)), "://" in word or "@" in word, n < len(word) - 4, not core.strip("0123456789abcdefABCDEF-"), core.count(".") > 1, bool(KEYWORDS.search(word)), "=" in word or ":" in word, not word.isascii(), "-----" in word, n >= 16 and digits > 1 and upper + lower > 3, word.strip(_MARKS).isalpha(), n < 6, len(core) + 2 < len(word.strip(_MARKS)), word[:1] in "\"'`")):
-        if on:
-            f.append(30 + i)
-    return f
+    f.append(19 + min(len(_CHANGE.findall(re.sub("[^0A]", "-", core))) // 2, 5))  # 19-24
+    f += [i for i, on in ((31, "://" in shape or "@" in shape), (32, n < len(shape) - 4), (34, core.count(".") > 1), (36, "=" in shape or ":" in shape), (37, not shape.isascii()), (38, "-----" in shape), (39, n >= 16 and digits > 1 and upper + lower > 3), (40, bare.isalpha()), (41, n < 6), (42, n + 2 < len(bare)), (43, shape[:1] in "\"'`")) if on]
+    near = [0 if shape.isalpha() else 1]
+    near += [i for i, on in ((3, shape in SIGNS), (4, shape.endswith((":", "="))), (5, "-----" in shape), (7, len(shape) > 24), (8, "0" in shape or "²" in shape)) if on]
+    return *at, f, near
+
+
+def word_features(word: str, core: str) -> tuple[list[int], list[int]]:
+    """What the word tells beyond its shape: own and near features."""
+    n = len(core)
+    if n < len(_CLOG):
+        entropy = int(math.log2(n) - sum([_CLOG[c] for c in Counter(core).values()]) / n + 1e-9) if n else 0
+    else:
+        entropy = 4
+    key = bool(KEYWORDS.search(word))
+    own = [25 + min(entropy, 4)]  # 25-29
+    if n and KNOWN.match(core):
+        own.append(30)
+    if not core.strip(HEX_DIGITS):
+        own.append(33)
+    if key:
+        own.append(35)
+    return own, ([2] if key else []) + ([6] if len(word) < 4 and word.lower() in ("is", "the", "my") else [])
+
+
+def own_features(word: str) -> list[int]:
+    """A token's shape and letters: indexes below OWN."""
+    a, z, own, _ = shape_features(shape(word))
+    return own + word_features(word, word[a:z])[0]
 
 
 def near_features(word: str) -> list[int]:
     """What a token tells of its neighbour: indexes below NEAR."""
-    f = [0 if word.isalpha() else 1]
-    for i, on in enumerate((bool(KEYWORDS.search(word)), word in ("=", ":", ":=", "=>", "->"), word.endswith((":", "=")), "-----" in word, word.lower() in ("is", "the", "my"), len(word) > 24, any(c.isdigit() for c in word))):
-        if on:
-            f.append(2 + i)
-    return f
+    a, z, _, near = shape_features(shape(word))
+    return near + word_features(word, word[a:z])[1]
 
 
 def flags(word: str) -> tuple[bool, bool, bool, bool]:
     """Keyword, sign of assignment, word of statement, letters alone."""
-    return bool(KEYWORDS.search(word)), word in ("=", ":", ":=", "=>", "->"), word.lower() in ("is", "was", "set", "to"), word.isalpha()
+    return bool(KEYWORDS.search(word)), word in SIGNS, word.lower() in ("is", "was", "set", "to"), word.isalpha()
 
 
 def pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -210,18 +234,29 @@ def train() -> dict[str, np.ndarray]:
 
 
 class Words(dict):
-    """word -> place in tables of what it adds to the scores of B and I (own, before, after) and of its flags; bounded."""
+    """word -> place in tables of what it adds to the scores of B and I (own, before, after) and of its flags; bounded.
+
+    What a word's shape adds is kept by shape, of which there are few.
+    """
 
     def __init__(self, rel: dict[str, np.ndarray]) -> None:
         super().__init__()
         self.own, self.before, self.after = (rel[k].tolist() for k in ("own", "before", "after"))
-        self.scores, self.flags = np.zeros((1 << 12, 6)), np.zeros((1 << 12, 4), bool)
+        self.scores, self.flags, self.shapes = np.zeros((1 << 12, 6)), np.zeros((1 << 12, 4), bool), {}
+
+    def _sums(self, own: list[int], near: list[int]) -> list[float]:
+        return [sum([table[f][k] for f in on]) for table, on in ((self.own, own), (self.before, near), (self.after, near)) for k in (B, I)]
 
     def __missing__(self, word: str) -> int:
-        at, near = len(self), near_features(word)
+        at, of = len(self), shape(word)
         if at == len(self.scores):
             self.scores, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.flags))
-        self.scores[at] = [sum(table[f][k] for f in on) for table, on in ((self.own, own_features(word)), (self.before, near), (self.after, near)) for k in (B, I)]
+        kept = self.shapes.get(of)
+        if kept is None:
+            a, z, own, near = shape_features(of)
+            kept = self.shapes[of] = (a, z, self._sums(own, near))
+        own, near = word_features(word, word[kept[0] : kept[1]])
+        self.scores[at] = [x + y for x, y in zip(kept[2], self._sums(own, near), strict=True)]
         self.flags[at] = flags(word)
         self[word] = at
         return at
