@@ -36,7 +36,7 @@ def test_find_routes_equals_the_manager(spark, walls):
     rng = np.random.default_rng(4)
     asked = [(i, 0, *map(int, (rng.integers(-1, 41), rng.integers(-1, 51), rng.integers(0, 40), rng.integers(0, 50)))) for i in range(60)]
     asked.append((60, 7, 1, 1, 2, 2))  # an unknown map
-    got = b.find_routes(spark.createDataFrame(asked, "route_id long, map_id long, r0 int, c0 int, r1 int, c1 int"), blocked, nodes, edges, shortcut=0.5, split=3).collect()
+    got = b.find_routes(spark.createDataFrame(asked, "route_id long, map_id long, r0 int, c0 int, r1 int, c1 int"), blocked, nodes, edges, shortcut=0.5, part=20).collect()
     assert len(got) == 61
     assert {r["reason"] for r in got} >= {"bad start", "straight", "search"}
     for row in got:

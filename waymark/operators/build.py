@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .kernels import Config, Graph, branches, build, collides, contours, node_map, sample_free, shortest_path, simplify, squared_distance, thin, triangulate
 
@@ -14,10 +15,10 @@ NODES = "map_id long, node_id int, row int, col int, x double, y double, z doubl
 EDGES = "map_id long, src int, dst int, weight double, edge_type string"
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *more: str) -> DataFrame:
     """By map, over enough partitions for all cores: maps are small in bytes and long in work, so no coalescing."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "map_id")
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "map_id", *more)
 
 
 def raster(pdf: pd.DataFrame) -> np.ndarray:
@@ -112,18 +113,27 @@ def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
     return spread(both).groupBy("map_id").applyInPandas(run, "route_id long, map_id long, found boolean, length double, path array<long>")
 
 
-def find_routes(requests: DataFrame, blocked: DataFrame, nodes: DataFrame, edges: DataFrame, *, shortcut: float, resolution: float = 0.05, split: int = 8) -> DataFrame:
+def find_routes(requests: DataFrame, blocked: DataFrame, nodes: DataFrame, edges: DataFrame, *, shortcut: float, resolution: float = 0.05, part: int = 5_000) -> DataFrame:
     """Whole routes for requests(route_id, map_id, r0, c0, r1, c1) in pixels: route_id, found, reason, points.
 
     In order: ends that are blocked or outside have no route; a free straight line shorter than ``shortcut`` metres is
     the route; otherwise both ends go to their nearest nodes by free lines and the graph is searched. A map's requests
-    are split into ``split`` tasks, each with a copy of the map, so a busy map doesn't end in one task.
+    are dealt to tasks of about ``part`` requests, each with a copy of the map, so a busy map doesn't end in one task;
+    maps that nobody asks for are left out.
     """
-    copies = "explode(sequence(0, %d)) part" % (split - 1)
-    both = blocked.selectExpr("cast(map_id as long) map_id", "'b' k", "cast(row as long) a", "cast(col as long) b", "cast(blocked as long) c", "0L d", "0L e", "0D w", copies)
-    both = both.union(nodes.selectExpr("cast(map_id as long) map_id", "'n'", "cast(node_id as long)", "cast(row as long)", "cast(col as long)", "0L", "0L", "0D", copies))
-    both = both.union(edges.selectExpr("cast(map_id as long) map_id", "'e'", "cast(src as long)", "cast(dst as long)", "0L", "0L", "0L", "weight", copies))
-    both = both.union(requests.selectExpr("cast(map_id as long) map_id", "'r'", "cast(route_id as long)", "cast(r0 as long)", "cast(c0 as long)", "cast(r1 as long)", "cast(c1 as long)", "0D", f"cast(pmod(xxhash64(route_id), {split}) as int)"))
+    asked = requests.select("route_id", F.col("map_id").cast("long").alias("map_id"), "r0", "c0", "r1", "c1")
+    parts = asked.groupBy("map_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    copies = parts.select("map_id", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+
+    def copied(df: DataFrame, *columns: str) -> DataFrame:
+        return df.withColumn("map_id", F.col("map_id").cast("long")).join(copies, "map_id").selectExpr("map_id", *columns, "part")
+
+    both = copied(blocked, "'b' k", "cast(row as long) a", "cast(col as long) b", "cast(blocked as long) c", "0L d", "0L e", "0D w")
+    both = both.union(copied(nodes, "'n'", "cast(node_id as long)", "cast(row as long)", "cast(col as long)", "0L", "0L", "0D"))
+    both = both.union(copied(edges, "'e'", "cast(src as long)", "cast(dst as long)", "0L", "0L", "0L", "weight"))
+    own = asked.join(parts, "map_id").withColumn("part", F.pmod(F.xxhash64("route_id"), F.col("parts")).cast("int"))
+    none = asked.filter("map_id IS NULL").select("route_id", F.lit(False).alias("found"), F.lit("bad start").alias("reason"), F.lit(None).cast("array<struct<row:int,col:int>>").alias("points"))
+    both = both.union(own.selectExpr("map_id", "'r'", "cast(route_id as long)", "cast(r0 as long)", "cast(c0 as long)", "cast(r1 as long)", "cast(c1 as long)", "0D", "part"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cells, n, e, r = (pdf[pdf["k"] == k] for k in "bner")
@@ -157,7 +167,7 @@ def find_routes(requests: DataFrame, blocked: DataFrame, nodes: DataFrame, edges
             rows.append((route, points is not None, reason, [{"row": int(a), "col": int(b)} for a, b in points] if points else None))
         return pd.DataFrame(rows, columns=["route_id", "found", "reason", "points"])
 
-    return spread(both).groupBy("map_id", "part").applyInPandas(run, "route_id long, found boolean, reason string, points array<struct<row:int,col:int>>")
+    return spread(both, "part").groupBy("map_id", "part").applyInPandas(run, "route_id long, found boolean, reason string, points array<struct<row:int,col:int>>").union(none)
 
 
 def _stage(cells: DataFrame, make, schema: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import line_cells
 from .build import raster as to_raster
 from .build import spread
-from .graph import clustering, components, degree_stats
+from .graph import clustering, components, degree_stats, for_maps
 from .kernels import label_regions, line, shortest_path, squared_distance
 
 
@@ -44,7 +44,8 @@ def smoothness(path: DataFrame) -> DataFrame:
 def coverage(cells: DataFrame, nodes: DataFrame, *, safety: float, resolution: float, threshold: int = 127) -> DataFrame:
     """Share of free cells in regions with a node, distances to nodes in those, and coverage for each node.
 
-    Free is not blocked, by a distance transform without a border ring. No free cell or no node: 0 and nulls.
+    Free is not blocked, by a distance transform without a border ring. No free cell or no node: 0 and nulls. A node
+    outside its map is an error.
     """
 
     def run(key: tuple, c: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
@@ -53,8 +54,11 @@ def coverage(cells: DataFrame, nodes: DataFrame, *, safety: float, resolution: f
         free = to_raster(c) > threshold
         ok = np.sqrt(squared_distance(free)).astype(np.float32) >= np.float32(safety / resolution)
         label = label_regions(ok)
+        at = n[["row", "col"]].to_numpy(int) if len(n) else np.zeros((0, 2), int)
+        if ((at < 0) | (at >= ok.shape)).any():
+            raise ValueError(f"map {key[0]}: a node lies outside the map")
         nodes_at = np.zeros(ok.shape, bool)
-        nodes_at[n["row"].astype(int), n["col"].astype(int)] = True
+        nodes_at[at[:, 0], at[:, 1]] = True
         held = np.unique(label[nodes_at & ok])
         if not ok.any() or not len(n):
             return pd.DataFrame([(key[0], 0.0, None, None, 0.0)], columns=["map_id", "free_space_coverage", "average_distance", "max_distance", "coverage_efficiency"])
@@ -91,8 +95,9 @@ def _adjacency(n: pd.DataFrame, e: pd.DataFrame) -> dict[int, dict[int, float]]:
     return near
 
 
-def diameter(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_diameter by map: the greatest number of hops between two nodes; infinite if some are not connected."""
+def diameter(nodes: DataFrame, edges: DataFrame, maps: DataFrame | None = None) -> DataFrame:
+    """graph_diameter by map: the greatest number of hops between two nodes; infinite if some are not connected, 0 for
+    those of ``maps`` without a graph."""
 
     def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         near, most = _adjacency(n, e), 0.0
@@ -107,18 +112,20 @@ def diameter(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 break
         return pd.DataFrame({"map_id": [key[0]], "graph_diameter": [most]})
 
-    return _graph_groups(nodes, edges).applyInPandas(run, "map_id long, graph_diameter double")
+    return for_maps(_graph_groups(nodes, edges).applyInPandas(run, "map_id long, graph_diameter double"), maps, graph_diameter=0.0)
 
 
 def validity(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:
     """By map: node_validity (no node blocked or outside), connectivity, num_subgraphs and edge_length_validity (every
-    weight in pixels positive and at most the map's diagonal). ``blocked`` holds every cell of the maps."""
+    weight in pixels positive and at most the map's diagonal). ``blocked`` holds every cell of the maps; a map without a
+    graph is valid and connected, with no subgraph."""
     size = blocked.groupBy("map_id").agg(F.hypot(F.max("row") + 1, F.max("col") + 1).alias("diagonal"))
     n = nodes.join(blocked.select("map_id", "row", "col", "blocked"), ["map_id", "row", "col"], "left").groupBy("map_id").agg(F.bool_and(F.coalesce(~F.col("blocked"), F.lit(False))).alias("node_validity"))
     c = components(nodes, edges).groupBy("map_id").agg(F.countDistinct("component").alias("num_subgraphs"))
     e = edges.join(size, "map_id").groupBy("map_id").agg(F.bool_and((F.col("weight") > 0) & (F.col("weight") <= F.col("diagonal"))).alias("edge_length_validity"))
     out = n.join(c, "map_id").join(e, "map_id", "left")
-    return out.select("map_id", "node_validity", (F.col("num_subgraphs") == 1).alias("connectivity"), "num_subgraphs", F.coalesce("edge_length_validity", F.lit(True)).alias("edge_length_validity"))
+    out = out.select("map_id", "node_validity", (F.col("num_subgraphs") == 1).alias("connectivity"), "num_subgraphs", F.coalesce("edge_length_validity", F.lit(True)).alias("edge_length_validity"))
+    return for_maps(out, size, node_validity=True, connectivity=True, num_subgraphs=0, edge_length_validity=True)
 
 
 def path_metrics(nodes: DataFrame, edges: DataFrame, cells: DataFrame, samples: int = 1000, threshold: int = 127) -> DataFrame:
@@ -156,7 +163,27 @@ def path_metrics(nodes: DataFrame, edges: DataFrame, cells: DataFrame, samples:
 
 
 def report(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:
-    """All counts, structure and validity metrics of each map, and a line of text with them."""
-    out = degree_stats(nodes, edges).join(diameter(nodes, edges), "map_id").join(clustering(nodes, edges), "map_id").join(validity(nodes, edges, blocked), "map_id")
+    """All counts, structure and validity metrics of each map of ``blocked``, and a line of text with them."""
+    maps = blocked.select("map_id").distinct()
+    out = degree_stats(nodes, edges, maps).join(diameter(nodes, edges, maps), "map_id").join(clustering(nodes, edges, maps), "map_id").join(validity(nodes, edges, blocked), "map_id")
     text = F.format_string("map %d: %d nodes, %d edges, %d subgraphs, nodes valid: %s, lengths valid: %s", "map_id", "num_nodes", "num_edges", "num_subgraphs", F.col("node_validity").cast("string"), F.col("edge_length_validity").cast("string"))
     return out.withColumn("summary", text)
+
+
+def evaluate_all(cells: DataFrame, nodes: DataFrame, edges: DataFrame, *, safety: float, resolution: float, threshold: int = 127, samples: int = 1000) -> DataFrame:
+    """(map_id, category, metric, value): coverage, graph, path and validity metrics of every map of ``cells``.
+
+    A map without a graph has zeros, valid and connected; truth values count as 1 and 0. Nodes outside their map are an
+    error that names the map.
+    """
+    from .raster import distance, inflate
+
+    d = distance(cells, threshold, ring=False)
+    blocked = inflate(d.withColumn("d2", F.coalesce("d2", F.lit(2**31 - 1))), safety, resolution).select("map_id", "row", "col", "blocked")
+    maps = cells.select("map_id").distinct()
+    cover = coverage(cells, nodes, safety=safety, resolution=resolution, threshold=threshold)
+    graph = degree_stats(nodes, edges, maps).join(diameter(nodes, edges, maps), "map_id").join(clustering(nodes, edges, maps), "map_id")
+    path = for_maps(path_metrics(nodes, edges, cells, samples, threshold), maps, average_path_length=0.0, path_smoothness=0.0, path_clearance=0.0, success_rate=0.0)
+    parts = [("coverage", cover), ("graph", graph), ("path", path), ("validity", validity(nodes, edges, blocked))]
+    rows = [df.select(F.col("map_id").cast("long"), F.lit(name).alias("category"), F.explode(F.create_map(*[x for c in df.columns if c != "map_id" for x in (F.lit(c), F.col(c).cast("double"))])).alias("metric", "value")) for name, df in parts]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])

@@ -104,16 +104,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.applyInPandas(run, "map_id long, node_id int, component int")
 
 
-def degree_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """num_nodes, num_edges, average_degree, average_edge_length by map; zero where there is none."""
+def for_maps(metrics: DataFrame, maps: DataFrame | None, **empty) -> DataFrame:
+    """One row for each of ``maps(map_id)``; those without a graph get the values of ``empty``."""
+    if maps is None:
+        return metrics
+    every = maps.select(F.col("map_id").cast("long").alias("map_id")).distinct()
+    out = every.join(metrics.withColumn("_has", F.lit(True)), "map_id", "left")
+    return out.select("map_id", *[F.when(F.col("_has"), F.col(c)).otherwise(F.lit(empty[c])).alias(c) for c in metrics.columns if c != "map_id"])
+
+
+def degree_stats(nodes: DataFrame, edges: DataFrame, maps: DataFrame | None = None) -> DataFrame:
+    """num_nodes, num_edges, average_degree, average_edge_length by map; zeros for those of ``maps`` without a graph."""
     n = nodes.groupBy("map_id").agg(F.count("*").alias("num_nodes"))
     e = edges.groupBy("map_id").agg(F.count("*").alias("num_edges"), F.avg("weight").alias("average_edge_length"))
     out = n.join(e, "map_id", "left").fillna(0)
-    return out.select("map_id", "num_nodes", "num_edges", F.round(2 * F.col("num_edges") / F.col("num_nodes"), 6).alias("average_degree"), F.round("average_edge_length", 6).alias("average_edge_length"))
+    out = out.select("map_id", "num_nodes", "num_edges", F.round(2 * F.col("num_edges") / F.col("num_nodes"), 6).alias("average_degree"), F.round("average_edge_length", 6).alias("average_edge_length"))
+    return for_maps(out, maps, num_nodes=0, num_edges=0, average_degree=0.0, average_edge_length=0.0)
 
 
-def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """average_clustering by map: triangles over possible ones, 0 for nodes of degree under two."""
+def clustering(nodes: DataFrame, edges: DataFrame, maps: DataFrame | None = None) -> DataFrame:
+    """average_clustering by map: triangles over possible ones, 0 for nodes of degree under two and for empty graphs."""
     e = edges.select("map_id", "src", "dst")
     ab, bc, ac = (e.select("map_id", F.col("src").alias(p), F.col("dst").alias(q)) for p, q in (("a", "b"), ("b", "c"), ("a", "c")))
     t = ab.join(bc, ["map_id", "b"]).join(ac, ["map_id", "a", "c"])
@@ -121,4 +131,4 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     deg = both_ways(edges).groupBy("map_id", F.col("src").alias("node_id")).agg(F.count("*").alias("d"))
     out = nodes.join(deg, ["map_id", "node_id"], "left").join(corners, ["map_id", "node_id"], "left").fillna(0, ["d", "t"])
     c = F.when(F.col("d") < 2, F.lit(0.0)).otherwise(2.0 * F.col("t") / (F.col("d") * (F.col("d") - 1)))
-    return out.groupBy("map_id").agg(F.round(F.avg(c), 6).alias("average_clustering"))
+    return for_maps(out.groupBy("map_id").agg(F.round(F.avg(c), 6).alias("average_clustering")), maps, average_clustering=0.0)

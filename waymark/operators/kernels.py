@@ -48,10 +48,12 @@ def squared_distance(free: np.ndarray) -> np.ndarray:
         gap[r] = np.minimum(gap[r], gap[r - 1] + 1)
     for r in range(h - 2, -1, -1):
         gap[r] = np.minimum(gap[r], gap[r + 1] + 1)
-    g2, out = gap * gap, np.full((h, w), big * big, np.int64)
-    cols = np.arange(w)
-    for c in range(w):  # each column offers its gap to the whole row
-        out = np.minimum(out, g2[:, c : c + 1] + (cols - c)[None, :] ** 2)
+    g2 = gap * gap
+    out, k = g2.copy(), 1
+    while k < w and k * k < out.max():  # columns k apart; no farther than the greatest distance left
+        np.minimum(out[:, k:], g2[:, :-k] + k * k, out=out[:, k:])
+        np.minimum(out[:, :-k], g2[:, k:] + k * k, out=out[:, :-k])
+        k += 1
     return out
 
 
@@ -335,7 +337,7 @@ def build(image: np.ndarray, resolution: float, safety: float, threshold: int =
             raise ValueError("the map is too small for the safety distance")
         blocked = np.ones((h, w), bool)
         blocked[m : h - m, m : w - m] = False
-        step = max(1, min(px(config.skeleton_distance), min(h - 2 * m, w - 2 * m) // 2))
+        step = max(1, min(px(config.free_distance), min(h - 2 * m, w - 2 * m) // 2))
         for r in range(m, h - m, step):
             for c in range(m, w - m, step):
                 graph.node((r, c))
@@ -369,9 +371,8 @@ def build(image: np.ndarray, resolution: float, safety: float, threshold: int =
                 n = int(math.hypot(*(q - p)) / gap)
                 for i in range(max(1, n)):
                     r, c = (p + (q - p) * i / max(1, n)).astype(int).tolist()
-                    if not blocked[r, c]:
-                        graph.node((r, c), "boundary")
-                        names.append((r, c))
+                    graph.node((r, c), "boundary")  # on a blocked cell too: only its lines are ruled out
+                    names.append((r, c))
             for p, q in zip(names, names[1:] + names[:1], strict=True):
                 if p != q and not collides(blocked, p, q):
                     graph.edge(p, q, "contour")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import build as b
-from ..operators import evaluate, graph, raster
-from ..sources import codecs, maps
+from ..operators import evaluate, graph, packed, raster
+from ..sources import codecs, images, maps
 
 RES, SAFETY, LIMIT = 0.05, 0.1, 127
 MARGIN, SAMPLE = 2, 5
@@ -30,8 +30,26 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(ids, "map_id", "left_semi")
 
 
+def _distances(spark: SparkSession, d: str, ring: bool = True) -> DataFrame:
+    return packed.distances(packed.pack_walls(maps.obstacles_a(spark, d), maps.HEIGHT, maps.WIDTH), ring)
+
+
+def _on_lines(spark: SparkSession, d: str, ring: bool = True) -> DataFrame:
+    return packed.on_lines(_lines(spark, d), _distances(spark, d, ring), safety=SAFETY, resolution=RES)
+
+
+def _open_grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Grid graphs less the edges that meet an obstacle of the suite A map of the same id: some fall apart."""
+    nodes, edges = _grid(spark, d)
+    at = lambda k, r, c: nodes.select("map_id", F.col("node_id").alias(k), F.col("row").alias(r), F.col("col").alias(c))
+    lines = edges.join(at("src", "r0", "c0"), ["map_id", "src"]).join(at("dst", "r1", "c1"), ["map_id", "dst"])
+    cells = lines.select("map_id", "src", "dst", F.explode(geo.line_cells(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1"))).alias("p")).select("map_id", "src", "dst", F.col("p.row").alias("row"), F.col("p.col").alias("col"))
+    hit = cells.join(maps.obstacles_a(spark, d), ["map_id", "row", "col"], "left_semi").select("map_id", "src", "dst").distinct()
+    return nodes, edges.join(hit, ["map_id", "src", "dst"], "left_anti")
+
+
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return maps.table(spark, d, "events").selectExpr("event_id", "cast(user_id % 25 as bigint) AS map_id", "cast(event_id % 20 as int) AS row", "cast((event_id div 20) % 24 as int) AS col")
+    return maps.table(spark, d, "events").selectExpr("event_id", "cast(user_id % 100 + 1 as bigint) AS map_id", "cast(event_id % 20 as int) AS row", "cast((event_id div 20) % 24 as int) AS col")
 
 
 def cells_threshold(s: SparkSession, d: str) -> DataFrame:
@@ -43,11 +61,11 @@ def free_ratio(s: SparkSession, d: str) -> DataFrame:
 
 
 def edt_d2(s: SparkSession, d: str) -> DataFrame:
-    return raster.distance(maps.cells_a(s, d), LIMIT).select("map_id", "row", "col", F.col("d2").cast("int").alias("d2"))
+    return packed.cells(_distances(s, d)).select("map_id", "row", "col", "d2")
 
 
 def inflated_cells(s: SparkSession, d: str) -> DataFrame:
-    return raster.inflate(raster.distance(maps.cells_a(s, d), LIMIT), SAFETY, RES).select("map_id", "row", "col", "blocked")
+    return raster.inflate(packed.cells(_distances(s, d)), SAFETY, RES).select("map_id", "row", "col", "blocked")
 
 
 def border_inflation(s: SparkSession, d: str) -> DataFrame:
@@ -56,7 +74,7 @@ def border_inflation(s: SparkSession, d: str) -> DataFrame:
 
 
 def local_maxima(s: SparkSession, d: str) -> DataFrame:
-    return raster.local_maxima(raster.distance(maps.cells_a(s, d), LIMIT), 2.0).withColumn("d2", F.col("d2").cast("int"))
+    return packed.maxima(_distances(s, d), 2.0)
 
 
 def pixel_to_world(s: SparkSession, d: str) -> DataFrame:
@@ -75,15 +93,11 @@ def line_cells(s: SparkSession, d: str) -> DataFrame:
 
 
 def edge_collision(s: SparkSession, d: str) -> DataFrame:
-    blocked = raster.inflate(raster.distance(maps.cells_a(s, d), LIMIT), SAFETY, RES)
-    size = maps.obstacles_a(s, d).select("map_id", F.lit(maps.HEIGHT).alias("h"), F.lit(maps.WIDTH).alias("w")).distinct()
-    return graph.collisions(_lines(s, d), blocked, size).select("line_id", "collides")
+    return _on_lines(s, d).select("line_id", "collides")
 
 
 def valid_points(s: SparkSession, d: str) -> DataFrame:
-    blocked = raster.inflate(raster.distance(maps.cells_a(s, d), LIMIT), SAFETY, RES)
-    p = _lines(s, d).select("line_id", "map_id", F.col("r1").alias("row"), F.col("c1").alias("col"))
-    return p.join(blocked.select("map_id", "row", "col", "blocked"), ["map_id", "row", "col"], "left").select("line_id", F.coalesce(~F.col("blocked"), F.lit(False)).alias("valid"))
+    return _on_lines(s, d).select("line_id", F.col("ok1").alias("valid"))
 
 
 def grid_nodes(s: SparkSession, d: str) -> DataFrame:
@@ -104,18 +118,15 @@ def merge_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def isolates(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _grid(s, d)
-    return graph.isolates(nodes, edges.filter("src % 3 = 0")).select("map_id", "node_id")
+    return graph.isolates(*_open_grid(s, d)).select("map_id", "node_id")
 
 
 def components_count(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _grid(s, d)
-    return graph.components(nodes, edges.filter("src % 3 = 0")).groupBy("map_id").agg(F.countDistinct("component").alias("num_subgraphs"))
+    return graph.components(*_open_grid(s, d)).groupBy("map_id").agg(F.countDistinct("component").alias("num_subgraphs"))
 
 
 def small_components(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _grid(s, d)
-    edges = edges.filter("src % 3 = 0")
+    nodes, edges = _open_grid(s, d)
     comp = graph.components(nodes, edges)
     total = edges.join(comp.withColumnRenamed("node_id", "src"), ["map_id", "src"]).groupBy("map_id", "component").agg(F.sum("weight").alias("total"))
     out = comp.select("map_id", "component").distinct().join(total, ["map_id", "component"], "left").fillna(0.0, ["total"])
@@ -152,8 +163,8 @@ def node_distance(s: SparkSession, d: str) -> DataFrame:
 
 
 def clearance(s: SparkSession, d: str) -> DataFrame:
-    """Mean obstacle distance along each line; ends outside the map are left out."""
-    return evaluate.clearance(_lines(s, d), raster.distance(maps.cells_a(s, d), LIMIT, ring=False))
+    """Mean obstacle distance along each line; cells outside the map are left out."""
+    return _on_lines(s, d, ring=False).filter("n_cells > 0").select("line_id", F.round("clearance", 5).alias("clearance"), "n_cells")
 
 
 def smoothness(s: SparkSession, d: str) -> DataFrame:
@@ -163,8 +174,7 @@ def smoothness(s: SparkSession, d: str) -> DataFrame:
 
 
 def collision_free(s: SparkSession, d: str) -> DataFrame:
-    c = edge_collision(s, d).join(_lines(s, d), "line_id")
-    return c.groupBy("map_id").agg((~F.bool_or("collides")).alias("collision_free"), F.count("*").alias("lines"))
+    return _on_lines(s, d).groupBy("map_id").agg((~F.bool_or("collides")).alias("collision_free"), F.count("*").alias("lines"))
 
 
 def contour_edges(s: SparkSession, d: str) -> DataFrame:
@@ -200,12 +210,9 @@ def clip_commands(s: SparkSession, d: str) -> DataFrame:
 
 def route_gates(s: SparkSession, d: str) -> DataFrame:
     """What decides a route before any search: valid ends, then a free straight line short enough."""
-    lines = edge_collision(s, d).join(_lines(s, d), "line_id")
-    blocked = raster.inflate(raster.distance(maps.cells_a(s, d), LIMIT), SAFETY, RES).select("map_id", "row", "col", (~F.col("blocked")).alias("ok"))
-    end = lambda p: blocked.select("map_id", F.col("row").alias(f"r{p}"), F.col("col").alias(f"c{p}"), F.col("ok").alias(f"ok{p}"))
-    g = lines.join(end(0), ["map_id", "r0", "c0"], "left").join(end(1), ["map_id", "r1", "c1"], "left")
+    g = _on_lines(s, d).join(_lines(s, d).select("line_id", "r0", "c0", "r1", "c1"), "line_id")
     short = (F.hypot(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")) * RES < 1.0) & ~F.col("collides")
-    return g.select("line_id", F.when(~F.coalesce("ok0", F.lit(False)), "bad start").when(~F.coalesce("ok1", F.lit(False)), "bad goal").when(short, "straight").otherwise("search").alias("gate"))
+    return g.select("line_id", F.when(~F.col("ok0"), "bad start").when(~F.col("ok1"), "bad goal").when(short, "straight").otherwise("search").alias("gate"))
 
 
 def overlay_pixels(s: SparkSession, d: str) -> DataFrame:
@@ -227,6 +234,23 @@ def geojson_features(s: SparkSession, d: str) -> DataFrame:
     return codecs.geojson_counts(codecs.to_geojson(nodes, edges))
 
 
+def gml_edges(s: SparkSession, d: str) -> DataFrame:
+    """The edges of grid graphs written as GML and parsed again."""
+    return codecs.parse_gml_edges(codecs.to_gml(*_grid(s, d)))
+
+
+def geojson_geometry(s: SparkSession, d: str) -> DataFrame:
+    """Grid graphs through GML to GeoJSON, feature by feature: ids, ends, cost and end points."""
+    files = codecs.to_gml(*_grid(s, d))
+    return codecs.geojson_rows(codecs.to_geojson(codecs.parse_gml_nodes(files), codecs.parse_gml_edges(files)))
+
+
+def image_cells(s: SparkSession, d: str) -> DataFrame:
+    """Suite A maps as PNG files' bytes, decoded again by the image source."""
+    files = images.png_files(packed.pack_walls(maps.obstacles_a(s, d), maps.HEIGHT, maps.WIDTH))
+    return images.raster_cells(images.rasters(files)).select(F.col("path").cast("long").alias("map_id"), "row", "col", "value")
+
+
 def full_build(s: SparkSession, d: str) -> DataFrame:
     """Whole graphs of suite A maps with all stages."""
     built = b.build_graphs(maps.cells_a(s, d), resolution=RES, safety=SAFETY)
@@ -240,12 +264,6 @@ def coverage(s: SparkSession, d: str) -> DataFrame:
     return evaluate.coverage(cells, b.nodes_of(built), safety=SAFETY, resolution=RES)
 
 
-def _mixed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Grid graphs; maps of odd ids keep a third of their edges."""
-    nodes, edges = _grid(s, d)
-    return nodes, edges.filter("src % 3 = 0 OR map_id % 2 = 0")
-
-
 def _grid_cells(s: SparkSession, d: str) -> DataFrame:
     return maps.maps_c(s, d).withColumn("row", F.explode(F.expr("sequence(0, height - 1)"))).withColumn("col", F.explode(F.expr("sequence(0, width - 1)")))
 
@@ -256,21 +274,21 @@ def _rounded(metrics: DataFrame) -> DataFrame:
 
 
 def graph_diameter(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.diameter(*_mixed(s, d))
+    return evaluate.diameter(*_open_grid(s, d))
 
 
 def graph_validity(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.validity(*_mixed(s, d), raster.border_band(_grid_cells(s, d), SAFETY, RES))
+    return evaluate.validity(*_open_grid(s, d), raster.border_band(_grid_cells(s, d), SAFETY, RES))
 
 
 def evaluation_report(s: SparkSession, d: str) -> DataFrame:
     """All counts, structure and validity metrics of each grid in one row, with a line of text."""
-    return _rounded(evaluate.report(*_mixed(s, d), raster.border_band(_grid_cells(s, d), SAFETY, RES)))
+    return _rounded(evaluate.report(*_open_grid(s, d), raster.border_band(_grid_cells(s, d), SAFETY, RES)))
 
 
 def path_metrics(s: SparkSession, d: str) -> DataFrame:
     """Shortest paths of 1,000 node pairs of each grid: mean length, smoothness, clearance, success rate."""
-    return evaluate.path_metrics(*_mixed(s, d), _grid_cells(s, d).select("map_id", "row", "col", F.when((F.col("row") + F.col("col")) % 7 == 0, 0).otherwise(255).alias("value")))
+    return evaluate.path_metrics(*_open_grid(s, d), _grid_cells(s, d).select("map_id", "row", "col", F.when((F.col("row") + F.col("col")) % 7 == 0, 0).otherwise(255).alias("value")))
 
 
 def region_labels(s: SparkSession, d: str) -> DataFrame:
@@ -347,7 +365,7 @@ def drawn_map_cells(s: SparkSession, d: str) -> DataFrame:
     return maps.warehouse(s).union(maps.office(s))
 
 
-QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, geojson_features, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, skeleton_branches, boundary_rings, free_space_samples, delaunay_edges, drawn_map_cells)
+QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, gml_edges, geojson_features, geojson_geometry, image_cells, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, skeleton_branches, boundary_rings, free_space_samples, delaunay_edges, drawn_map_cells)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -356,20 +374,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # --- DuckDB SQL ---------------------------------------------------------------------------------------------------
 
-OBS = "obs AS (SELECT DISTINCT l_suppkey AS map_id, CAST((l_orderkey * 31 + l_partkey * 7) % 48 AS INT) AS r, CAST((l_partkey * 17 + l_linenumber * 11) % 64 AS INT) AS c FROM lineitem WHERE l_quantity >= 45)"
-CELLS = OBS + ", m AS (SELECT DISTINCT map_id FROM obs), cells AS (SELECT m.map_id, CAST(a.i AS INT) AS r, CAST(b.i AS INT) AS c, CASE WHEN obs.r IS NULL THEN 255 ELSE 0 END AS v FROM m CROSS JOIN range(48) a(i) CROSS JOIN range(64) b(i) LEFT JOIN obs ON obs.map_id = m.map_id AND obs.r = a.i AND obs.c = b.i)"
-EDT = CELLS + ", raw AS (SELECT cells.map_id, cells.r, cells.c, CAST(min((cells.r - obs.r) * (cells.r - obs.r) + (cells.c - obs.c) * (cells.c - obs.c)) AS INT) AS d0 FROM cells JOIN obs USING (map_id) GROUP BY ALL), edt AS (SELECT map_id, r, c, d0, CAST(least(d0, least(r + 1, 48 - r, c + 1, 64 - c) * least(r + 1, 48 - r, c + 1, 64 - c)) AS INT) AS d2 FROM raw), blk AS (SELECT *, CAST(sqrt(d2) AS FLOAT) < CAST(0.1::DOUBLE / 0.05::DOUBLE AS FLOAT) AS blocked FROM edt)"
+OBS = "obs AS MATERIALIZED (SELECT DISTINCT l_suppkey AS map_id, CAST((l_orderkey * 31 + l_partkey * 7) % 48 AS INT) AS r, CAST((l_partkey * 17 + l_linenumber * 11) % 64 AS INT) AS c FROM lineitem WHERE l_quantity >= 45)"
+CELLS = OBS + ", m AS (SELECT DISTINCT map_id FROM obs), cells AS MATERIALIZED (SELECT m.map_id, CAST(a.i AS INT) AS r, CAST(b.i AS INT) AS c, CASE WHEN obs.r IS NULL THEN 255 ELSE 0 END AS v FROM m CROSS JOIN range(48) a(i) CROSS JOIN range(64) b(i) LEFT JOIN obs ON obs.map_id = m.map_id AND obs.r = a.i AND obs.c = b.i)"
+EDT = CELLS + ", raw AS MATERIALIZED (SELECT cells.map_id, cells.r, cells.c, CAST(min((cells.r - obs.r) * (cells.r - obs.r) + (cells.c - obs.c) * (cells.c - obs.c)) AS INT) AS d0 FROM cells JOIN obs USING (map_id) GROUP BY ALL), edt AS MATERIALIZED (SELECT map_id, r, c, d0, CAST(least(d0, least(r + 1, 48 - r, c + 1, 64 - c) * least(r + 1, 48 - r, c + 1, 64 - c)) AS INT) AS d2 FROM raw), blk AS MATERIALIZED (SELECT *, CAST(sqrt(d2) AS FLOAT) < CAST(0.1::DOUBLE / 0.05::DOUBLE AS FLOAT) AS blocked FROM edt)"
 LINES = "ln AS (SELECT CAST(o_custkey % 10 AS BIGINT) AS map_id, o_orderkey AS line_id, CAST(o_orderkey % 48 AS INT) AS r0, CAST(o_custkey % 64 AS INT) AS c0, CAST((o_orderkey // 48 + o_custkey) % 50 - 1 AS INT) AS r1, CAST((o_orderkey * 7) % 64 AS INT) AS c1 FROM orders WHERE o_custkey % 10 IN (SELECT map_id FROM obs))"
 WALK = "wk0 AS (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0)) AS n, least(abs(r1 - r0), abs(c1 - c0)) AS mn FROM ln), wk1 AS (SELECT *, unnest(range(n + 1)) AS i FROM wk0), wk2 AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * i * mn + n - 1) // (2 * n) END AS k FROM wk1), wk AS (SELECT map_id, line_id, i, CAST(r0 + sign(r1 - r0) * CASE WHEN abs(c1 - c0) >= abs(r1 - r0) THEN k ELSE i END AS INT) AS r, CAST(c0 + sign(c1 - c0) * CASE WHEN abs(c1 - c0) >= abs(r1 - r0) THEN i ELSE k END AS INT) AS c FROM wk2)"
 HIT = "hit AS (SELECT DISTINCT wk.line_id FROM wk JOIN blk ON blk.map_id = wk.map_id AND blk.r = wk.r AND blk.c = wk.c AND blk.blocked), col AS (SELECT ln.*, hit.line_id IS NOT NULL OR NOT (r0 BETWEEN 0 AND 47 AND c0 BETWEEN 0 AND 63 AND r1 BETWEEN 0 AND 47 AND c1 BETWEEN 0 AND 63) AS collides FROM ln LEFT JOIN hit USING (line_id))"
-PTS = "pts AS (SELECT event_id, CAST(user_id % 25 AS BIGINT) AS map_id, CAST(event_id % 20 AS INT) AS r, CAST((event_id // 20) % 24 AS INT) AS c FROM events)"
-MAPC = "mc AS (SELECT CAST(n_nationkey AS BIGINT) AS map_id, 20 + n_nationkey AS h, 24 + n_regionkey AS w, greatest(1, least(5, (least(20 + n_nationkey, 24 + n_regionkey) - 4) // 2)) AS st FROM nation)"
+PTS = "pts AS (SELECT event_id, CAST(user_id % 100 + 1 AS BIGINT) AS map_id, CAST(event_id % 20 AS INT) AS r, CAST((event_id // 20) % 24 AS INT) AS c FROM events)"
+MAPC = "mc AS (SELECT CAST(s_suppkey AS BIGINT) AS map_id, 20 + s_suppkey % 25 AS h, 24 + s_suppkey % 5 AS w, greatest(1, least(5, (least(20 + s_suppkey % 25, 24 + s_suppkey % 5) - 4) // 2)) AS st FROM supplier)"
 GRID = MAPC + ", ys AS (SELECT *, unnest(range(2, h - 2, st)) AS y FROM mc), xs AS (SELECT *, unnest(range(2, w - 2, st)) AS x FROM ys), mt AS (SELECT map_id, st, y, x, y * w + x AS vis, s AS slot, y + CASE WHEN s >= 2 THEN st ELSE 0 END AS r, x + CASE WHEN s IN (1, 3) THEN st ELSE 0 END AS c, h, w FROM xs CROSS JOIN range(4) q(s)), ok AS (SELECT * FROM mt WHERE r < h - 2 AND c < w - 2), nd AS (SELECT map_id, CAST(row_number() OVER (PARTITION BY map_id ORDER BY min(vis * 4 + slot)) - 1 AS INT) AS node_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM ok GROUP BY map_id, r, c), ed AS (SELECT ok.map_id, least(a.node_id, b.node_id) AS src, greatest(a.node_id, b.node_id) AS dst, CASE WHEN slot = 3 THEN st * sqrt(2.0) ELSE CAST(st AS DOUBLE) END AS weight FROM ok JOIN nd a ON a.map_id = ok.map_id AND a.r = ok.y AND a.c = ok.x JOIN nd b ON b.map_id = ok.map_id AND b.r = ok.r AND b.c = ok.c WHERE slot > 0)"
 BOTH = "bo AS (SELECT map_id, src, dst, weight FROM ed UNION ALL SELECT map_id, dst, src, weight FROM ed)"
 RING = f"rg AS (SELECT l_orderkey AS ring_id, CAST({PLACE} AS INT) AS seq, CAST(l_partkey % 48 AS INT) AS r, CAST(l_suppkey % 64 AS INT) AS c FROM lineitem), nx AS (SELECT *, coalesce(lead(r) OVER w, first_value(r) OVER v) AS nr, coalesce(lead(c) OVER w, first_value(c) OVER v) AS nc FROM rg WINDOW w AS (PARTITION BY ring_id ORDER BY seq), v AS (PARTITION BY ring_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
 UPS = "up0 AS (SELECT *, sqrt(CAST((r1 - r0) * (r1 - r0) + (c1 - c0) * (c1 - c0) AS DOUBLE)) AS dd FROM ln), up1 AS (SELECT *, CASE WHEN dd <= 7 THEN 1 ELSE greatest(1, CAST(ceil(dd / 7) AS INT)) END AS n FROM up0), up AS (SELECT line_id, n, i, r0 + (r1 - r0) * i / n AS x, c0 + (c1 - c0) * i / n AS y FROM (SELECT *, unnest(range(n + 1)) AS i FROM up1))"
-SUB = "sub AS (SELECT * FROM ed WHERE src % 3 = 0), sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), reach AS (SELECT map_id, node_id, node_id AS root FROM nd UNION SELECT reach.map_id, sb.dst, reach.root FROM reach JOIN sb ON sb.map_id = reach.map_id AND sb.src = reach.node_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM reach GROUP BY ALL)"
-MIX = "sub AS (SELECT * FROM ed WHERE src % 3 = 0 OR map_id % 2 = 0), sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), hp(map_id, root, node_id, hops) USING KEY (map_id, root, node_id) AS (SELECT map_id, node_id, node_id, 0 FROM nd UNION (SELECT hp.map_id, hp.root, sb.dst, min(hp.hops + 1) FROM hp JOIN sb ON sb.map_id = hp.map_id AND sb.src = hp.node_id LEFT JOIN recurring.hp AS k ON k.map_id = hp.map_id AND k.root = hp.root AND k.node_id = sb.dst WHERE k.hops IS NULL GROUP BY ALL)), sz AS (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id), dia AS (SELECT map_id, CASE WHEN count(*) < any_value(nn) * any_value(nn) THEN CAST('inf' AS DOUBLE) ELSE CAST(max(hops) AS DOUBLE) END AS graph_diameter FROM hp JOIN sz USING (map_id) GROUP BY map_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM hp GROUP BY ALL), nv AS (SELECT map_id, bool_and(r BETWEEN 2 AND h - 3 AND c BETWEEN 2 AND w - 3) AS node_validity FROM nd JOIN mc USING (map_id) GROUP BY map_id), ev AS (SELECT map_id, bool_and(weight > 0 AND weight <= sqrt(CAST(h * h + w * w AS DOUBLE))) AS edge_length_validity FROM sub JOIN mc USING (map_id) GROUP BY map_id), val AS (SELECT map_id, node_validity, num_subgraphs = 1 AS connectivity, num_subgraphs, coalesce(edge_length_validity, true) AS edge_length_validity FROM nv JOIN (SELECT map_id, count(DISTINCT component) AS num_subgraphs FROM cmp GROUP BY map_id) USING (map_id) LEFT JOIN ev USING (map_id))"
+LESS = OBS + ", le AS (SELECT ed.*, a.r AS ar, a.c AS ac, b.r AS br, b.c AS bc FROM ed JOIN nd a ON a.map_id = ed.map_id AND a.node_id = src JOIN nd b ON b.map_id = ed.map_id AND b.node_id = dst), lh AS (SELECT DISTINCT le.map_id, src, dst FROM (SELECT *, unnest(range(greatest(abs(br - ar), abs(bc - ac)) + 1)) AS i FROM le) le JOIN obs ON obs.map_id = le.map_id AND obs.r = ar + sign(br - ar) * i AND obs.c = ac + sign(bc - ac) * i), sub AS MATERIALIZED (SELECT ed.* FROM ed LEFT JOIN lh ON lh.map_id = ed.map_id AND lh.src = ed.src AND lh.dst = ed.dst WHERE lh.src IS NULL)"
+SUB = LESS + ", sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), reach AS (SELECT map_id, node_id, node_id AS root FROM nd UNION SELECT reach.map_id, sb.dst, reach.root FROM reach JOIN sb ON sb.map_id = reach.map_id AND sb.src = reach.node_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM reach GROUP BY ALL)"
+MIX = LESS + ", sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), hp(map_id, root, node_id, hops) USING KEY (map_id, root, node_id) AS (SELECT map_id, node_id, node_id, 0 FROM nd UNION (SELECT hp.map_id, hp.root, sb.dst, min(hp.hops + 1) FROM hp JOIN sb ON sb.map_id = hp.map_id AND sb.src = hp.node_id LEFT JOIN recurring.hp AS k ON k.map_id = hp.map_id AND k.root = hp.root AND k.node_id = sb.dst WHERE k.hops IS NULL GROUP BY ALL)), sz AS (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id), dia AS (SELECT map_id, CASE WHEN count(*) < any_value(nn) * any_value(nn) THEN CAST('inf' AS DOUBLE) ELSE CAST(max(hops) AS DOUBLE) END AS graph_diameter FROM hp JOIN sz USING (map_id) GROUP BY map_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM hp GROUP BY ALL), nv AS (SELECT map_id, bool_and(r BETWEEN 2 AND h - 3 AND c BETWEEN 2 AND w - 3) AS node_validity FROM nd JOIN mc USING (map_id) GROUP BY map_id), ev AS (SELECT map_id, bool_and(weight > 0 AND weight <= sqrt(CAST(h * h + w * w AS DOUBLE))) AS edge_length_validity FROM sub JOIN mc USING (map_id) GROUP BY map_id), val AS (SELECT map_id, node_validity, num_subgraphs = 1 AS connectivity, num_subgraphs, coalesce(edge_length_validity, true) AS edge_length_validity FROM nv JOIN (SELECT map_id, count(DISTINCT component) AS num_subgraphs FROM cmp GROUP BY map_id) USING (map_id) LEFT JOIN ev USING (map_id))"
 CLUST = "bw AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), tr AS (SELECT a.map_id, a.src AS node_id, count(*) / 2 AS t FROM bw a JOIN bw b ON a.map_id = b.map_id AND a.src = b.src AND a.dst <> b.dst JOIN bw c ON c.map_id = a.map_id AND c.src = a.dst AND c.dst = b.dst GROUP BY ALL), dg AS (SELECT map_id, src AS node_id, count(*) AS d FROM bw GROUP BY ALL), clu AS (SELECT nd.map_id, avg(CASE WHEN coalesce(d, 0) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) END) AS average_clustering FROM nd LEFT JOIN dg USING (map_id, node_id) LEFT JOIN tr USING (map_id, node_id) GROUP BY nd.map_id)"
 REGION = "fr AS (SELECT map_id, r, c FROM edt WHERE CAST(sqrt(d0) AS FLOAT) >= CAST(0.1::DOUBLE / 0.05::DOUBLE AS FLOAT)), lb(map_id, r, c, l) USING KEY (map_id, r, c) AS (SELECT map_id, r, c, r * 64 + c FROM fr UNION (SELECT f.map_id, f.r, f.c, min(x.l) FROM (SELECT map_id, r + a.i AS r, c + b.i AS c, l FROM lb CROSS JOIN range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(i)) x JOIN recurring.lb AS f ON f.map_id = x.map_id AND f.r = x.r AND f.c = x.c WHERE x.l < f.l GROUP BY ALL))"
 STEPS = "sg AS (SELECT *, max(seq) OVER (PARTITION BY ring_id) AS last FROM nx), s0 AS (SELECT *, greatest(abs(nr - r), abs(nc - c)) AS n, least(abs(nr - r), abs(nc - c)) AS mn FROM sg WHERE seq < last), s1 AS (SELECT *, unnest(range(n + 1)) AS i FROM s0), s2 AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * i * mn + n - 1) // (2 * n) END AS k FROM s1), st AS (SELECT ring_id, seq, CAST(i AS INT) AS i, CAST(r + sign(nr - r) * CASE WHEN abs(nc - c) >= abs(nr - r) THEN k ELSE i END AS INT) AS r, CAST(c + sign(nc - c) * CASE WHEN abs(nc - c) >= abs(nr - r) THEN i ELSE k END AS INT) AS c FROM s2)"
@@ -392,7 +411,7 @@ def oracle_sql() -> dict[str, str]:
         "grid_edges": f"WITH {GRID} SELECT map_id, src, dst, round(weight, 6) AS weight, 'grid' AS edge_type FROM ed",
         "csr_graph": f"WITH {GRID}, {BOTH}, dg AS (SELECT nd.map_id, nd.node_id, count(bo.src) AS d FROM nd LEFT JOIN bo ON bo.map_id = nd.map_id AND bo.src = nd.node_id GROUP BY ALL), of AS (SELECT map_id, node_id, sum(d) OVER (PARTITION BY map_id ORDER BY node_id) AS s FROM dg) SELECT map_id, '0,' || string_agg(CAST(CAST(s AS BIGINT) AS VARCHAR), ',' ORDER BY node_id) AS offsets, any_value(e) AS edges FROM of JOIN (SELECT map_id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY src, dst) AS e FROM bo GROUP BY map_id) USING (map_id) GROUP BY map_id",
         "merge_pairs": f"WITH {GRID} SELECT a.map_id, a.node_id AS a, b.node_id AS b, CAST((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS BIGINT) AS d2 FROM nd a JOIN nd b ON a.map_id = b.map_id AND a.node_id < b.node_id WHERE (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 56.25",
-        "isolates": f"WITH {GRID} SELECT map_id, node_id FROM nd WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.map_id = nd.map_id AND ed.src % 3 = 0 AND (ed.src = nd.node_id OR ed.dst = nd.node_id))",
+        "isolates": f"WITH {GRID}, {LESS} SELECT map_id, node_id FROM nd WHERE NOT EXISTS (SELECT 1 FROM sub WHERE sub.map_id = nd.map_id AND (sub.src = nd.node_id OR sub.dst = nd.node_id))",
         "components_count": f"WITH RECURSIVE {GRID}, {SUB} SELECT map_id, count(DISTINCT component) AS num_subgraphs FROM cmp GROUP BY map_id",
         "small_components": f"WITH RECURSIVE {GRID}, {SUB}, tt AS (SELECT sub.map_id, component, sum(weight) AS total FROM sub JOIN cmp ON cmp.map_id = sub.map_id AND cmp.node_id = sub.src GROUP BY ALL) SELECT map_id, component, round(coalesce(total, 0), 6) AS total FROM (SELECT DISTINCT map_id, component FROM cmp) LEFT JOIN tt USING (map_id, component) WHERE coalesce(total, 0) < 12",
         "nearest_node": f"WITH {GRID}, {PTS}, nn AS (SELECT event_id, min(abs(pts.r - nd.r) + abs(pts.c - nd.c)) AS hops FROM pts JOIN mc USING (map_id) JOIN nd USING (map_id) WHERE pts.r BETWEEN 2 AND h - 3 AND pts.c BETWEEN 2 AND w - 3 GROUP BY event_id) SELECT event_id, CAST(coalesce(hops, -1) AS INT) AS hops FROM pts LEFT JOIN nn USING (event_id)",
@@ -410,7 +429,10 @@ def oracle_sql() -> dict[str, str]:
         "clip_commands": "SELECT event_id, round(greatest(least(value, 0.5), -0.5), 9) AS clipped FROM events",
         "route_gates": f"WITH {EDT}, {LINES}, {WALK}, {HIT} SELECT line_id, CASE WHEN NOT coalesce(NOT a.blocked, false) THEN 'bad start' WHEN NOT coalesce(NOT b.blocked, false) THEN 'bad goal' WHEN sqrt(CAST((r1 - r0) * (r1 - r0) + (c1 - c0) * (c1 - c0) AS DOUBLE)) * 0.05::DOUBLE < 1.0 AND NOT collides THEN 'straight' ELSE 'search' END AS gate FROM col LEFT JOIN blk a ON a.map_id = col.map_id AND a.r = r0 AND a.c = c0 LEFT JOIN blk b ON b.map_id = col.map_id AND b.r = r1 AND b.c = c1",
         "overlay_pixels": f'WITH {CELLS}, {LINES}, dk AS (SELECT DISTINCT map_id, r0 + a.i AS r, c0 + b.i AS c FROM ln CROSS JOIN range(-2, 3) a(i) CROSS JOIN range(-2, 3) b(i) WHERE a.i * a.i + b.i * b.i <= 4) SELECT cells.map_id, cells.r AS "row", cells.c AS col, CASE WHEN dk.r IS NULL THEN v ELSE 0 END AS r, CASE WHEN dk.r IS NULL THEN v ELSE 255 END AS b FROM cells LEFT JOIN dk ON dk.map_id = cells.map_id AND dk.r = cells.r AND dk.c = cells.c',
-        "gml_parse": f'WITH {GRID} SELECT map_id, node_id, r AS "row", c AS col FROM nd',
+        "gml_parse": f'WITH {GRID} SELECT map_id, node_id, r AS "row", c AS col, round(c * 0.05::DOUBLE, 4) AS x, round(-r * 0.05::DOUBLE, 4) AS y FROM nd',
+        "gml_edges": f"WITH {GRID} SELECT map_id, src, dst, round(weight, 4) AS weight, 'grid' AS edge_type FROM ed",
+        "geojson_geometry": f"WITH {GRID}, pt AS (SELECT map_id, node_id, round(c * 0.05::DOUBLE, 4) AS x, round(-r * 0.05::DOUBLE, 4) AS y FROM nd), sz AS (SELECT map_id, count(*) AS n FROM nd GROUP BY map_id), way AS (SELECT map_id, src, dst, weight, 0 AS k, src AS a, dst AS b FROM ed UNION ALL SELECT map_id, src, dst, weight, 1, dst, src FROM ed), ln AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY src, dst, k) AS q FROM way) SELECT map_id, CAST(node_id AS BIGINT) AS id, 'Point' AS type, -1 AS startid, -1 AS endid, -1.0::DOUBLE AS cost, x AS x0, y AS y0, x AS x1, y AS y1 FROM pt UNION ALL SELECT ln.map_id, n + q - 1, 'MultiLineString', a, b, round(weight, 4), p.x, p.y, o.x, o.y FROM ln JOIN sz ON sz.map_id = ln.map_id JOIN pt p ON p.map_id = ln.map_id AND p.node_id = a JOIN pt o ON o.map_id = ln.map_id AND o.node_id = b",
+        "image_cells": f'WITH {CELLS} SELECT map_id, r AS "row", c AS col, v AS "value" FROM cells',
         "geojson_features": f"WITH {GRID} SELECT map_id, nn AS points, coalesce(2 * ne, 0) AS lines, nn + coalesce(2 * ne, 0) - 1 AS last_id FROM (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id) LEFT JOIN (SELECT map_id, count(*) AS ne FROM ed GROUP BY map_id) USING (map_id)",
         "graph_diameter": f"WITH RECURSIVE {GRID}, {MIX} SELECT map_id, graph_diameter FROM dia",
         "graph_validity": f"WITH RECURSIVE {GRID}, {MIX} SELECT * FROM val",

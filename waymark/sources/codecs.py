@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 
 def to_gml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(map_id, content): one GML text for a map; lists are repeated keys."""
-    n = nodes.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("node_id", F.format_string('  node [\n    id %d\n    label "%d"\n    pixel %d\n    pixel %d\n    world %s\n    world %s\n    world 0.0\n  ]', "node_id", "node_id", "row", "col", (F.col("col") * 0.05).cast("decimal(12,4)").cast("string"), (-F.col("row") * 0.05).cast("decimal(12,4)").cast("string")).alias("t")))).alias("n"))
+    """(map_id, content): one GML text for a map; lists are repeated keys. World places to four decimals: the nodes' x, y
+    where they have them, else those of a map of 5 cm a pixel at the origin."""
+    place = (F.col("x"), F.col("y")) if "x" in nodes.columns else (F.col("col") * 0.05, -F.col("row") * 0.05)
+    n = nodes.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("node_id", F.format_string('  node [\n    id %d\n    label "%d"\n    pixel %d\n    pixel %d\n    world %s\n    world %s\n    world 0.0\n  ]', "node_id", "node_id", "row", "col", *[v.cast("decimal(12,4)").cast("string") for v in place]).alias("t")))).alias("n"))
     e = edges.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", F.format_string('  edge [\n    source %d\n    target %d\n    weight %s\n    edge_type "%s"\n  ]', "src", "dst", F.col("weight").cast("decimal(12,4)").cast("string"), "edge_type").alias("t")))).alias("e"))
     text = lambda c: F.array_join(F.transform(c, lambda x: x["t"]), "\n")
     out = n.join(e, "map_id", "left")
@@ -20,11 +22,11 @@ def to_gml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def parse_gml_nodes(files: DataFrame) -> DataFrame:
-    """Nodes of GML texts(map_id, content) that have an id, x and y: map_id, node_id, row, col."""
+    """Nodes of GML texts(map_id, content) that have an id, x and y: map_id, node_id, row, col, x, y."""
     parts = files.select("map_id", F.explode(F.expr(r"regexp_extract_all(content, '(?s)node \\[(.*?)\\]', 1)")).alias("t"))
     many = lambda k: F.expr(rf"regexp_extract_all(t, '\\b{k} ([-0-9.]+)', 1)")
     got = parts.select("map_id", F.expr(r"try_cast(regexp_extract(t, '\\bid ([0-9]+)', 1) as int)").alias("node_id"), many("world").alias("world"), many("pixel").alias("pixel"))
-    return got.filter(F.col("node_id").isNotNull() & (F.size("world") >= 2)).select("map_id", "node_id", F.get("pixel", F.lit(0)).cast("int").alias("row"), F.get("pixel", F.lit(1)).cast("int").alias("col"))
+    return got.filter(F.col("node_id").isNotNull() & (F.size("world") >= 2)).select("map_id", "node_id", F.get("pixel", F.lit(0)).cast("int").alias("row"), F.get("pixel", F.lit(1)).cast("int").alias("col"), F.get("world", F.lit(0)).cast("double").alias("x"), F.get("world", F.lit(1)).cast("double").alias("y"))
 
 
 def parse_gml_edges(files: DataFrame) -> DataFrame:
@@ -36,8 +38,11 @@ def parse_gml_edges(files: DataFrame) -> DataFrame:
 
 
 def to_geojson(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(map_id, id, feature JSON): a Point for a node, two MultiLineStrings for an edge with known ends."""
-    xy = F.array(F.col("col").cast("double"), -F.col("row").cast("double"))
+    """(map_id, id, feature JSON): a Point for a node, two MultiLineStrings for an edge with known ends.
+
+    Points are the nodes' world places x, y where they have them, else column and negative row.
+    """
+    xy = F.array("x", "y") if "x" in nodes.columns else F.array(F.col("col").cast("double"), -F.col("row").cast("double"))
     points = nodes.select("map_id", F.col("node_id").cast("long").alias("id"), F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("node_id").alias("id")).alias("properties"), F.struct(F.lit("Point").alias("type"), xy.alias("coordinates")).alias("geometry"))).alias("feature"))
     end = lambda k: nodes.select("map_id", F.col("node_id").alias(k), xy.alias(f"{k}_xy"))
     both = edges.select("map_id", "src", "dst", "weight").join(end("src"), ["map_id", "src"]).join(end("dst"), ["map_id", "dst"])
@@ -49,15 +54,27 @@ def to_geojson(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return points.union(lines)
 
 
+def geojson_rows(features: DataFrame) -> DataFrame:
+    """Features read back: map_id, id, type, ends and cost (-1 for points), and the geometry's first and last point."""
+    got = lambda path: F.get_json_object("feature", path)
+    line = got("$.geometry.type") == "MultiLineString"
+    at = lambda a, b: F.when(line, got(f"$.geometry.coordinates[0][{a}][{b}]")).otherwise(got(f"$.geometry.coordinates[{b}]")).cast("double")
+    return features.select("map_id", "id", got("$.geometry.type").alias("type"), *[F.coalesce(got(f"$.properties.{k}").cast("int"), F.lit(-1)).alias(k) for k in ("startid", "endid")], F.coalesce(F.round(got("$.properties.cost").cast("double"), 4), F.lit(-1.0)).alias("cost"), *[at(i, j).alias(f"{'xy'[j]}{i}") for i in (0, 1) for j in (0, 1)])
+
+
 def geojson_counts(features: DataFrame) -> DataFrame:
     kind = F.get_json_object("feature", "$.geometry.type")
     return features.groupBy("map_id").agg(F.sum((kind == "Point").cast("long")).alias("points"), F.sum((kind == "MultiLineString").cast("long")).alias("lines"), F.max("id").alias("last_id"))
 
 
+HEAD = '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::3857"}},"features":['
+EMPTY_COLLECTION = HEAD + "]}"
+
+
 def feature_collection(features: DataFrame) -> DataFrame:
     """(map_id, content): one FeatureCollection for a map."""
     parts = features.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("id", "feature"))).alias("f"))
-    return parts.select("map_id", F.concat(F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::3857"}},"features":['), F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}")).alias("content"))
+    return parts.select("map_id", F.concat(F.lit(HEAD), F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}")).alias("content"))
 
 
 # --- PNG ----------------------------------------------------------------------------------------------------------
@@ -93,25 +110,31 @@ def decode_png(data: bytes) -> np.ndarray:
     if channels is None or depth not in (8, 16) or lace:
         raise ValueError("Invalid image.")
     bpp = channels * depth // 8
-    rows, out, prev = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * bpp), np.zeros((h, w * bpp), np.uint8), np.zeros(w * bpp, np.int64)
-    for r in range(h):
+    image = png_rows(zlib.decompress(body), h, w * bpp, bpp).reshape(h, w, bpp)
+    return image[:, :, ::2] if depth == 16 else image
+
+
+def png_rows(raw: bytes, height: int, width: int, bpp: int) -> np.ndarray:
+    """(height, width) bytes of a PNG's rows with their filters undone; bpp is the bytes of a pixel."""
+    rows, out, prev = np.frombuffer(raw, np.uint8).reshape(height, 1 + width), np.zeros((height, width), np.uint8), np.zeros(width, np.int64)
+    for r in range(height):
         f, line = int(rows[r, 0]), rows[r, 1:].astype(np.int64)
         if f == 2:
             line = line + prev
-        elif f in (1, 3, 4):
+        elif f == 1:  # sums along each byte of the pixels
+            full = np.zeros(-(-width // bpp) * bpp, np.int64)
+            full[:width] = line
+            line = np.cumsum(full.reshape(-1, bpp), axis=0).ravel()[:width]
+        elif f in (3, 4):
             for i in range(len(line)):
                 a, b, c = (int(line[i - bpp]), int(prev[i]), int(prev[i - bpp])) if i >= bpp else (0, int(prev[i]), 0)
-                if f == 1:
-                    p = a
-                elif f == 3:
-                    p = (a + b) // 2
-                else:
-                    p = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+                p = (a + b) // 2 if f == 3 else min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
                 line[i] = (line[i] + p) & 255
+        elif f:
+            raise ValueError("Invalid image.")
         prev = line & 255
         out[r] = prev
-    image = out.reshape(h, w, bpp)
-    return image[:, :, ::2] if depth == 16 else image
+    return out
 
 
 def grey(image: np.ndarray) -> np.ndarray:

@@ -29,8 +29,8 @@ def cells_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def maps_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suite C: free maps with sizes from nations."""
-    return table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as long) AS map_id", "cast(20 + n_nationkey as int) AS height", "cast(24 + n_regionkey as int) AS width")
+    """Suite C: a free map for each supplier, of 25 heights and 5 widths, so it grows as suite A does."""
+    return table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as long) AS map_id", "cast(20 + s_suppkey % 25 as int) AS height", "cast(24 + s_suppkey % 5 as int) AS width")
 
 
 def rectangles(spark: SparkSession, height: int, width: int, free: list[tuple[int, int, int, int, int]], background: int = 0, map_id: int = 0) -> DataFrame:
