@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from waymark.llm import jaccard_links
+from waymark.llm import simhash_near
 
 SCHEMA = "doc_id long, text string"
 
@@ -50,9 +51,10 @@ def near_copies():
     return out
 
 
-@pytest.mark.parametrize("frequent", [2, 8])
-def test_near_stage_finds_all_pairs(spark, monkeypatch, frequent):
-    monkeypatch.setattr(jaccard_links, "FREQUENT", frequent)
+@pytest.mark.parametrize(("bucket", "hashes"), [(10_000, 2_000_000), (8, 2_000)])
+def test_near_stage_finds_all_pairs(spark, monkeypatch, bucket, hashes):
+    monkeypatch.setattr(simhash_near, "BUCKET_ROWS", bucket)  # the small limits deal buckets and groups in blocks
+    monkeypatch.setattr(simhash_near, "GROUP_HASHES", hashes)
     rows = near_copies()
     want, pairs = brute(rows)
     assert pairs > 500
@@ -61,6 +63,44 @@ def test_near_stage_finds_all_pairs(spark, monkeypatch, frequent):
     assert sorted(r["doc_id"] for r in got.collect()) == [i for i, x in enumerate(want) if i == x]
 
 
+def test_pairs_just_alike_enough_are_found(spark):
+    """Recall of pairs of similarity 0.8 to 0.83, in 400 pairs, is near RECALL; none of those below 0.8 is linked."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, alike = [], []
+    while len(alike) < 400:
+        n = rng.randint(60, 400)
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for k in rng.sample(range(5, n - 5), max(1, round(n * 0.0222))):
+            b[k] = word()
+        s, t = ({tuple(x[i : i + 5]) for i in range(n - 4)} for x in (a, b))
+        j = len(s & t) / len(s | t)
+        if 0.77 <= j <= 0.83:
+            alike.append(j >= 0.8)
+            rows += [" ".join(a), " ".join(b)]
+    texts = spark.createDataFrame([(i, i, x) for i, x in enumerate(rows)], "row long, doc_id long, text string")
+    kept = {r["row"]: r["kept"] for r in simhash_near.near_rows(texts).collect()}
+    assert all(kept[2 * i] for i in range(400))
+    assert all(kept[2 * i + 1] for i in range(400) if not alike[i])
+    found = sum(not kept[2 * i + 1] for i in range(400) if alike[i])
+    assert sum(alike) > 100 and found >= 0.97 * sum(alike)
+
+
+def test_fingerprints_equal_plain_counting():
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 2, 5, 255, 256, 700, 0]
+    h = rng.integers(0, 2**63, sum(sizes)).astype(np.uint64)
+    got, at = simhash_near.fingerprints(h, np.array(sizes), 3), 0
+    for i, n in enumerate(sizes):
+        ones = np.zeros(192, int)
+        for x in h[at : at + n]:
+            words = simhash_near._mixed(x + simhash_near.STEPS[:3])
+            ones += np.unpackbits(words.view(np.uint8), bitorder="little")
+        assert (np.unpackbits(got[i].view(np.uint8), bitorder="little") == (2 * ones > n)).all()
+        at += n
+
+
 def test_near_stage_keeps_one_row_and_null_ids(spark):
     words = [f"w{i}" for i in range(200)]
     near = " ".join([*words[:100], "changed", *words[101:]])
