@@ -1,7 +1,7 @@
 """BPE encoding through a minimal acyclic transducer over frequent words, and decoding.
 
 Words are the tokenizer's own pieces (a space stays with the word that follows). The corpus' word counts give the
-``LEXICON_WORDS`` most frequent words of ``MIN_COUNT`` or more occurrences. They are compiled, sorted, into a minimal
+``LEXICON_WORDS`` most frequent words of ``MIN_COUNT`` or more occurrences (at the bound, a part of equally frequent ones). They are compiled, sorted, into a minimal
 acyclic automaton: equal suffix states are shared, and each state carries the number of words below it, so the path of
 a word adds up to its rank, which is its output: an index into the id lists. The automaton is one flat file of
 32-bit arrays in the shared folder; executors fetch it once and map it into memory. A word that isn't in it is merged
@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, put_shared
+from .common import cut, hashed_part, put_shared
 from .pieces import END_OF_TEXT, Memo, chunks, no_gc
 
 LEXICON_WORDS = 50_000
@@ -227,14 +227,18 @@ def word_counts(docs: DataFrame, json_path: str) -> DataFrame:
 def build_lexicon(docs: DataFrame, json_path: str, words: int = LEXICON_WORDS, least: int = MIN_COUNT) -> bytes:
     """Count, choose at most ``words`` words and compile them; the bound holds for any corpus."""
     counted = cut(word_counts(docs, json_path).filter(F.col("n") >= least))
-    # the count that the last chosen word has, from how many words have each count: no partition sends its own top list
-    have, bar = 0, least
-    for r in counted.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(words).collect():
-        have, bar = have + r["k"], r["n"]
-        if have >= words:
+    # counts by steps of a sixteenth of a doubling: about a thousand rows at most, whatever the corpus
+    step = F.floor(16 * F.log2("n"))
+    have, bar = 0, -1
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        if have + r["k"] > words:
+            bar = r["step"]
             break
-    sure = counted.filter(F.col("n") > bar).select("word").collect()  # fewer than ``words`` rows
-    ties = counted.filter(F.col("n") == bar).orderBy("word").limit(words - len(sure)).select("word").collect()
+        have += r["k"]
+    sure = counted.filter(step > bar).select("word").collect()  # at most ``words`` rows
+    rest = counted.filter(step == bar)  # of the step that doesn't fit in whole, a part chosen by hash, below the bound
+    room = words - have
+    ties = hashed_part(rest, "word", max(0, int(room - 4 * room**0.5)), rest.count()).select("word").collect() if bar >= 0 else []
     chosen = sorted(r["word"].encode() for r in [*sure, *ties])
     ranks = vocabulary(json_path)[0]
     return compile_lexicon(chosen, [merge(w, ranks) for w in chosen])
