@@ -26,7 +26,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines between two cells of a suite A map, one for each order."""
     o = maps.table(spark, d, "orders")
     ids = maps.obstacles_a(spark, d).select("map_id").distinct()
-    lines = o.selectExpr("cast(o_custkey % 10 as bigint) AS map_id", "o_orderkey AS line_id", "cast(o_orderkey % 48 as int) AS r0", "cast(o_custkey % 64 as int) AS c0", "cast((o_orderkey div 48 + o_custkey) % 50 - 1 as int) AS r1", "cast((o_orderkey * 7) % 64 as int) AS c1")
+    lines = o.selectExpr("cast(o_custkey % 100 + 1 as bigint) AS map_id", "o_orderkey AS line_id", "cast(o_orderkey % 48 as int) AS r0", "cast(o_custkey % 64 as int) AS c0", "cast((o_orderkey div 48 + o_custkey) % 50 - 1 as int) AS r1", "cast((o_orderkey * 7) % 64 as int) AS c1")
     return lines.join(ids, "map_id", "left_semi")
 
 
@@ -141,6 +141,24 @@ def nearest_node(s: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.when(F.col("label") >= 0, F.col("hops")).alias("hops")).withColumn("hops", F.coalesce("hops", F.lit(-1)))
 
 
+def nearest_node_id(s: SparkSession, d: str) -> DataFrame:
+    """The nearest node of each query point: -1 where the point is blocked or outside, -2 where several are as near."""
+    nodes = _grid(s, d)[0]
+    found = b.node_maps(raster.border_band(_grid_cells(s, d), SAFETY, RES), nodes)
+    out = _points(s, d).join(found, ["map_id", "row", "col"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    at = nodes.select("map_id", F.col("row").alias("r"), F.col("col").alias("c"))
+    steps = F.abs(F.col("row") - F.col("r")) + F.abs(F.col("col") - F.col("c"))
+    ties = out.filter("label >= 0").join(at, "map_id").filter(steps == F.col("hops")).groupBy("event_id").agg(F.count("*").alias("n"))
+    return out.join(ties, "event_id", "left").select("event_id", F.when(F.col("label") < 0, -1).when(F.col("n") > 1, -2).otherwise(F.col("label")).alias("node_id"))
+
+
+def pixel_units(s: SparkSession, d: str) -> DataFrame:
+    """Metres as pixels, whole pixels and back, and points as arrays and back."""
+    e = maps.table(s, d, "events").select("event_id", F.abs("value").alias("m"), (F.col("event_id") % 97).cast("double").alias("k"))
+    p = geo.array_point(geo.point_array(F.struct(F.col("m").alias("x"), F.col("k").alias("y"), F.lit(0.0).alias("z"))))
+    return e.select("event_id", F.round(geo.to_pixels(F.col("m"), RES), 6).alias("pixels"), geo.to_pixels_int(F.col("m"), RES).alias("whole"), F.round(p["x"], 6).alias("x"), p["y"].alias("y"), p["z"].alias("z"))
+
+
 def shortest_path_len(s: SparkSession, d: str) -> DataFrame:
     """Lengths of shortest routes from node 0 to every node of each grid."""
     nodes, edges = _grid(s, d)
@@ -365,7 +383,7 @@ def drawn_map_cells(s: SparkSession, d: str) -> DataFrame:
     return maps.warehouse(s).union(maps.office(s))
 
 
-QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, gml_edges, geojson_features, geojson_geometry, image_cells, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, skeleton_branches, boundary_rings, free_space_samples, delaunay_edges, drawn_map_cells)
+QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, nearest_node_id, pixel_units, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, gml_edges, geojson_features, geojson_geometry, image_cells, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, skeleton_branches, boundary_rings, free_space_samples, delaunay_edges, drawn_map_cells)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -377,7 +395,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OBS = "obs AS MATERIALIZED (SELECT DISTINCT l_suppkey AS map_id, CAST((l_orderkey * 31 + l_partkey * 7) % 48 AS INT) AS r, CAST((l_partkey * 17 + l_linenumber * 11) % 64 AS INT) AS c FROM lineitem WHERE l_quantity >= 45)"
 CELLS = OBS + ", m AS (SELECT DISTINCT map_id FROM obs), cells AS MATERIALIZED (SELECT m.map_id, CAST(a.i AS INT) AS r, CAST(b.i AS INT) AS c, CASE WHEN obs.r IS NULL THEN 255 ELSE 0 END AS v FROM m CROSS JOIN range(48) a(i) CROSS JOIN range(64) b(i) LEFT JOIN obs ON obs.map_id = m.map_id AND obs.r = a.i AND obs.c = b.i)"
 EDT = CELLS + ", raw AS MATERIALIZED (SELECT cells.map_id, cells.r, cells.c, CAST(min((cells.r - obs.r) * (cells.r - obs.r) + (cells.c - obs.c) * (cells.c - obs.c)) AS INT) AS d0 FROM cells JOIN obs USING (map_id) GROUP BY ALL), edt AS MATERIALIZED (SELECT map_id, r, c, d0, CAST(least(d0, least(r + 1, 48 - r, c + 1, 64 - c) * least(r + 1, 48 - r, c + 1, 64 - c)) AS INT) AS d2 FROM raw), blk AS MATERIALIZED (SELECT *, CAST(sqrt(d2) AS FLOAT) < CAST(0.1::DOUBLE / 0.05::DOUBLE AS FLOAT) AS blocked FROM edt)"
-LINES = "ln AS (SELECT CAST(o_custkey % 10 AS BIGINT) AS map_id, o_orderkey AS line_id, CAST(o_orderkey % 48 AS INT) AS r0, CAST(o_custkey % 64 AS INT) AS c0, CAST((o_orderkey // 48 + o_custkey) % 50 - 1 AS INT) AS r1, CAST((o_orderkey * 7) % 64 AS INT) AS c1 FROM orders WHERE o_custkey % 10 IN (SELECT map_id FROM obs))"
+LINES = "ln AS (SELECT CAST(o_custkey % 100 + 1 AS BIGINT) AS map_id, o_orderkey AS line_id, CAST(o_orderkey % 48 AS INT) AS r0, CAST(o_custkey % 64 AS INT) AS c0, CAST((o_orderkey // 48 + o_custkey) % 50 - 1 AS INT) AS r1, CAST((o_orderkey * 7) % 64 AS INT) AS c1 FROM orders WHERE o_custkey % 100 + 1 IN (SELECT map_id FROM obs))"
 WALK = "wk0 AS (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0)) AS n, least(abs(r1 - r0), abs(c1 - c0)) AS mn FROM ln), wk1 AS (SELECT *, unnest(range(n + 1)) AS i FROM wk0), wk2 AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * i * mn + n - 1) // (2 * n) END AS k FROM wk1), wk AS (SELECT map_id, line_id, i, CAST(r0 + sign(r1 - r0) * CASE WHEN abs(c1 - c0) >= abs(r1 - r0) THEN k ELSE i END AS INT) AS r, CAST(c0 + sign(c1 - c0) * CASE WHEN abs(c1 - c0) >= abs(r1 - r0) THEN i ELSE k END AS INT) AS c FROM wk2)"
 HIT = "hit AS (SELECT DISTINCT wk.line_id FROM wk JOIN blk ON blk.map_id = wk.map_id AND blk.r = wk.r AND blk.c = wk.c AND blk.blocked), col AS (SELECT ln.*, hit.line_id IS NOT NULL OR NOT (r0 BETWEEN 0 AND 47 AND c0 BETWEEN 0 AND 63 AND r1 BETWEEN 0 AND 47 AND c1 BETWEEN 0 AND 63) AS collides FROM ln LEFT JOIN hit USING (line_id))"
 PTS = "pts AS (SELECT event_id, CAST(user_id % 100 + 1 AS BIGINT) AS map_id, CAST(event_id % 20 AS INT) AS r, CAST((event_id // 20) % 24 AS INT) AS c FROM events)"
@@ -415,6 +433,8 @@ def oracle_sql() -> dict[str, str]:
         "components_count": f"WITH RECURSIVE {GRID}, {SUB} SELECT map_id, count(DISTINCT component) AS num_subgraphs FROM cmp GROUP BY map_id",
         "small_components": f"WITH RECURSIVE {GRID}, {SUB}, tt AS (SELECT sub.map_id, component, sum(weight) AS total FROM sub JOIN cmp ON cmp.map_id = sub.map_id AND cmp.node_id = sub.src GROUP BY ALL) SELECT map_id, component, round(coalesce(total, 0), 6) AS total FROM (SELECT DISTINCT map_id, component FROM cmp) LEFT JOIN tt USING (map_id, component) WHERE coalesce(total, 0) < 12",
         "nearest_node": f"WITH {GRID}, {PTS}, nn AS (SELECT event_id, min(abs(pts.r - nd.r) + abs(pts.c - nd.c)) AS hops FROM pts JOIN mc USING (map_id) JOIN nd USING (map_id) WHERE pts.r BETWEEN 2 AND h - 3 AND pts.c BETWEEN 2 AND w - 3 GROUP BY event_id) SELECT event_id, CAST(coalesce(hops, -1) AS INT) AS hops FROM pts LEFT JOIN nn USING (event_id)",
+        "nearest_node_id": f"WITH {GRID}, {PTS}, nn AS (SELECT event_id, node_id, abs(pts.r - nd.r) + abs(pts.c - nd.c) AS k FROM pts JOIN mc USING (map_id) JOIN nd USING (map_id) WHERE pts.r BETWEEN 2 AND h - 3 AND pts.c BETWEEN 2 AND w - 3), best AS (SELECT event_id, min(node_id) AS node_id, count(*) AS q FROM nn WHERE k = (SELECT min(k) FROM nn o WHERE o.event_id = nn.event_id) GROUP BY event_id) SELECT event_id, CAST(CASE WHEN q IS NULL THEN -1 WHEN q > 1 THEN -2 ELSE node_id END AS INT) AS node_id FROM pts LEFT JOIN best USING (event_id)",
+        "pixel_units": "SELECT event_id, round(abs(value) / 0.05::DOUBLE, 6) AS pixels, greatest(1, CAST(ceil(abs(value) / 0.05::DOUBLE) AS INT)) AS whole, round(abs(value), 6) AS x, CAST(event_id % 97 AS DOUBLE) AS y, 0.0::DOUBLE AS z FROM events",
         "shortest_path_len": f"WITH RECURSIVE {GRID}, {BOTH}, sp(map_id, node_id, d) USING KEY (map_id, node_id) AS (SELECT map_id, node_id, 0.0::DOUBLE FROM nd WHERE node_id = 0 UNION (SELECT sp.map_id, bo.dst, min(sp.d + bo.weight) FROM sp JOIN bo ON bo.map_id = sp.map_id AND bo.src = sp.node_id LEFT JOIN recurring.sp AS k ON k.map_id = sp.map_id AND k.node_id = bo.dst WHERE k.d IS NULL OR sp.d + bo.weight < k.d - 1e-9 GROUP BY sp.map_id, bo.dst)) SELECT nd.map_id * 10000 + nd.node_id AS route_id, sp.d IS NOT NULL AS found, round(coalesce(sp.d, -1.0), 4) AS length FROM nd LEFT JOIN sp USING (map_id, node_id)",
         "degree_stats": f"WITH {GRID} SELECT map_id, nn AS num_nodes, coalesce(ne, 0) AS num_edges, round(2.0 * coalesce(ne, 0) / nn, 6) AS average_degree, round(coalesce(aw, 0), 6) AS average_edge_length FROM (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id) LEFT JOIN (SELECT map_id, count(*) AS ne, avg(weight) AS aw FROM ed GROUP BY map_id) USING (map_id)",
         "clustering": f"WITH {GRID}, {BOTH}, tr AS (SELECT a.map_id, a.src AS node_id, count(*) / 2 AS t FROM bo a JOIN bo b ON a.map_id = b.map_id AND a.src = b.src AND a.dst <> b.dst JOIN bo c ON c.map_id = a.map_id AND c.src = a.dst AND c.dst = b.dst GROUP BY ALL), dg AS (SELECT map_id, src AS node_id, count(*) AS d FROM bo GROUP BY ALL) SELECT nd.map_id, round(avg(CASE WHEN coalesce(d, 0) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) END), 6) AS average_clustering FROM nd LEFT JOIN dg USING (map_id, node_id) LEFT JOIN tr USING (map_id, node_id) GROUP BY nd.map_id",
