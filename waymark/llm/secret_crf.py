@@ -40,7 +40,7 @@ KEYWORDS = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|
 KNOWN = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|xox[abp]-|eyJ|AIza|ya29\.)")
 CORE = re.compile(r"[A-Za-z0-9+/_.=~-]+")
 TRAIN_WINDOWS, WINDOW, STEPS = 3000, 16, 100
-KEPT_WORDS = 250_000
+KEPT_WORDS = 120_000
 B, I, O = 0, 1, 2  # noqa: E741
 OWN, NEAR, PAIR, FILE = 44, 12, 4, 4  # numbers of features
 
