@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import deque
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -57,14 +57,20 @@ def squared_distance(free: np.ndarray) -> np.ndarray:
     return out
 
 
-def line(r0: int, c0: int, r1: int, c1: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the walk between two cells; not symmetric."""
-    dr, dc = abs(r1 - r0), abs(c1 - c0)
+@lru_cache(maxsize=50_000)
+def _walk(down: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+    dr, dc = abs(down), abs(right)
     n, m = max(dr, dc), min(dr, dc)
     i = np.arange(n + 1)
     k = (2 * i * m + n - 1) // (2 * n) if n else i
     a, b = (k, i) if dc >= dr else (i, k)
-    return r0 + int(np.sign(r1 - r0)) * a, c0 + int(np.sign(c1 - c0)) * b
+    return (-a if down < 0 else a), (-b if right < 0 else b)
+
+
+def line(r0: int, c0: int, r1: int, c1: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the walk between two cells; not symmetric."""
+    a, b = _walk(r1 - r0, c1 - c0)
+    return r0 + a, c0 + b
 
 
 def collides(blocked: np.ndarray, p: tuple[float, float], q: tuple[float, float]) -> bool:
