@@ -11,28 +11,33 @@ goes under the value of each probed partition, and under each value one bit off
 Within a bucket the rest of the bits is split again by the plain pigeonhole, and candidates are verified on all bits.
 A bucket returns a spanning forest of its links, never all pairs.
 
-Equal fingerprints are one row from the start, so a bucket holds distinct fingerprints alone, whatever the copies.
+Equal fingerprints are one row from the start, so a bucket holds distinct fingerprints alone, whatever the copies. A
+bucket over ``HOT_ROWS`` is dealt to tasks by slices of its other bits.
 
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; rows with a null
-``doc_id`` are dropped (nothing could refer to them); an empty table gives no rows; further columns are ignored.
+``doc_id`` are linked too, and name a component only by others' ids (null where there are none); repeated rows and ids
+give a row each; very long texts are taken whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hashed_part
 
 TAU = 2
 PARTITIONS = 4
 SAMPLE = 20_000
+MOST_CHANGED = 2  # bits in which a probe differs, at most
+HOT_ROWS = 20_000  # fingerprints of a bucket, from which on it is dealt by further bits
+MOST_HOT = 100_000
 SMALL = 48  # a bucket up to this size is compared directly
 
 
@@ -61,25 +66,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = [fingerprint(x.as_py()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def group_bits(sample: np.ndarray, parts: int = PARTITIONS) -> list[list[int]]:
-    """Put correlated bits together: each partition grows from a free bit by its most correlated free bits."""
-    if len(sample) < 2:
-        return [list(range(i * 64 // parts, (i + 1) * 64 // parts)) for i in range(parts)]
-    bits = np.unpackbits(sample.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
-    bits -= bits.mean(axis=0)
-    norm = np.sqrt((bits**2).sum(axis=0)) + 1e-9
-    near = np.abs(bits.T @ bits) / np.outer(norm, norm)
-    free, out = list(range(64)), []
+def group_bits(bits: np.ndarray, parts: int = PARTITIONS) -> list[list[int]]:
+    """Put correlated bits together, from a sample (fingerprints, bits) of zeros and ones.
+
+    Each partition grows from a free bit by the bits most correlated with those it has.
+    """
+    count = bits.shape[1] if bits.ndim == 2 and bits.shape[1] else 64
+    if len(bits) < 2:
+        return [list(range(i * count // parts, (i + 1) * count // parts)) for i in range(parts)]
+    x = bits.astype(np.float32)
+    x -= x.mean(axis=0)
+    norm = np.sqrt((x**2).sum(axis=0)) + 1e-9
+    near = np.abs(x.T @ x) / np.outer(norm, norm)
+    free, out = np.ones(count, bool), []
     for i in range(parts):
-        size = len(free) // (parts - i)
-        own = [free.pop(0)]
+        size = int(free.sum()) // (parts - i)
+        own = [int(np.argmax(free))]
+        free[own[0]] = False
+        pull = near[own[0]].copy()
         while len(own) < size:
-            best = max(free, key=lambda b: near[b, own].sum())
-            free.remove(best)
+            best = int(np.argmax(np.where(free, pull, -1)))
+            free[best] = False
             own.append(best)
+            pull += near[best]
         out.append(sorted(own))
     return out
 
@@ -91,23 +103,30 @@ def _project(fp: np.ndarray, bits: list[int]) -> np.ndarray:
     return key
 
 
-def thresholds(sample: np.ndarray, parts: list[list[int]], tau: int = TAU) -> list[int]:
-    """Thresholds of least estimated cost with sum tau - len(parts) + 1, by dynamic programming.
+def thresholds(values: list[np.ndarray], widths: list[int], tau: int = TAU) -> list[int]:
+    """Thresholds of least estimated cost with sum tau - partitions + 1, by dynamic programming.
 
-    A partition's cost at t is the number of sampled pairs whose projections differ in at most t bits, plus the keys
-    that must be written for it.
+    ``values`` are a sample's projections on each partition of ``widths`` bits. A partition's cost at t is the number
+    of sampled pairs whose projections differ in at most t bits, plus the keys that must be written for it. Thresholds
+    over MOST_CHANGED are not considered where a smaller one serves: their keys would outnumber all candidates.
     """
+    parts = len(values)
+    top = max(min(tau, MOST_CHANGED), -(-(tau - parts + 1) // parts))
     costs = []
-    for bits in parts:
-        values, counts = np.unique(_project(sample, bits), return_counts=True)
-        seen, row, ball = dict(zip(values.tolist(), counts.tolist(), strict=True)), [0.0], 0
-        for t in range(tau + 1):
-            ball += len(list(combinations(range(len(bits)), t)))
-            masks = [sum(1 << i for i in c) for k in range(t + 1) for c in combinations(range(len(bits)), k)]
-            pairs = sum(n * seen.get(v ^ m, 0) for v, n in list(seen.items())[:4000] for m in masks) if t < 2 else row[-1] * len(bits)
-            row.append(float(pairs) + ball * len(sample))
+    for value, width in zip(values, widths, strict=True):
+        seen, counts = np.unique(value, return_counts=True)
+        row, pairs, ball = [0.0], 0.0, 0
+        for t in range(top + 1):
+            if t < 2:
+                for mask in (sum(1 << i for i in c) for c in combinations(range(width), t)):
+                    at = np.minimum(np.searchsorted(seen, seen ^ np.uint64(mask)), max(len(seen) - 1, 0))
+                    hit = seen[at] == seen ^ np.uint64(mask) if len(seen) else np.zeros(0, bool)
+                    pairs += float((counts * counts[at])[hit].sum()) if len(seen) else 0.0
+            else:
+                pairs *= width
+            ball += comb(width, t)
+            row.append(pairs + ball * max(1, len(value)))
         costs.append(row)
-    need = tau - len(parts) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in costs:
         step: dict[int, tuple[float, list[int]]] = {}
@@ -116,7 +135,7 @@ def thresholds(sample: np.ndarray, parts: list[list[int]], tau: int = TAU) -> li
                 if total + t not in step or cost + c < step[total + t][0]:
                     step[total + t] = (cost + c, [*chosen, t])
         best = step
-    return best[need][1]
+    return best[tau - parts + 1][1]
 
 
 def _pairs_within(fp: np.ndarray, bits: list[int], tau: int, link) -> None:
@@ -163,42 +182,64 @@ class Forest:
 
 def links(fps: DataFrame, tau: int = TAU, parts: int = PARTITIONS) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fps(fp)`` within ``tau`` bits."""
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    groups = group_bits(sample, parts)
-    limits = thresholds(sample, groups, tau)
+    total = fps.count()
+    sample = np.array([r[0] for r in hashed_part(fps, "fp", SAMPLE, total).collect()], np.int64).view(np.uint64)
+    groups = group_bits(np.unpackbits(sample.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), parts)
+    limits = thresholds([_project(sample, g) for g in groups], [len(g) for g in groups], tau)
     probed = [(i, groups[i], t) for i, t in enumerate(limits) if t >= 0]
+    others = [[b for i, g in enumerate(groups) if i != own or limits[own] for b in g] for own in range(len(groups))]
+
+    def values(fp: np.ndarray):
+        for i, bits, t in probed:
+            base = _project(fp, bits)
+            for k in range(t + 1):
+                for c in combinations(range(len(bits)), k):
+                    yield i, base ^ np.uint64(sum(1 << x for x in c))
+
+    def sampled(batches):
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, key in values(fp):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array(key.view(np.int64))], ["part", "key"])
+
+    # buckets over the limit, as a sample shows them (a miss costs time alone), at most total / HOT_ROWS for each key of a row
+    every = max(1, min(16, total // 10_000))
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    some = fps.filter(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(every)) == 0).mapInArrow(sampled, "part int, key long")
+    hot = {(r["part"], r["key"]) for r in some.groupBy("part", "key").count().filter(F.col("count") * every > limit).collect()}
 
     def keys(batches):
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for i, bits, t in probed:
-                base = _project(fp, bits)
-                for k in range(t + 1):
-                    for c in combinations(range(len(bits)), k):
-                        key = base ^ np.uint64(sum(1 << x for x in c))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array(key.view(np.int64)), b.column(0)], ["part", "key", "fp"])
-
-    def bucket_links(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        forest, out = Forest(len(fp)), []
-        order = np.lexsort((pdf["key"].to_numpy(), pdf["part"].to_numpy()))
-        part, key = pdf["part"].to_numpy()[order], pdf["key"].to_numpy()[order]
-        cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(key) != 0)) + 1
-        for run in np.split(order, cuts):
-            if len(run) > 1:
-                bits = [b for i, g in enumerate(groups) if i != pdf["part"].iat[run[0]] or limits[i] for b in g]
-                _pairs_within(fp[run], bits, tau, lambda a, b, run=run: forest.link(run[a], run[b]))
-        root = np.array([forest.root(x) for x in range(len(fp))], np.int64)
-        away = fp[root] != fp
-        out = pd.DataFrame({"a": fp[away].view(np.int64), "b": fp[root[away]].view(np.int64)})
-        return out.drop_duplicates()
+            for i, key in values(fp):
+                signed = key.view(np.int64)
+                of_part = [k for p, k in hot if p == i]
+                big = np.isin(signed, of_part) if of_part else np.zeros(len(fp), bool)
+                todo = [(~big, np.zeros(len(fp), np.int64))]
+                if big.any():  # dealt by the plain pigeonhole on the other bits: linked ones agree on a slice
+                    size = -(-len(others[i]) // (tau + 1))
+                    todo += [(big, ((s + 1) << 56) | _project(fp, others[i][s * size : (s + 1) * size]).view(np.int64)) for s in range(tau + 1)]
+                for rows, sub in todo:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(rows.sum()), i, np.int32)), pa.array(signed[rows]), pa.array(sub[rows]), pa.array(fp[rows].view(np.int64))], ["part", "key", "sub", "fp"])
 
     def shard(batches):
         got = [b for b in batches if b.num_rows]
-        if got:
-            yield pa.RecordBatch.from_pandas(bucket_links(pa.Table.from_batches(got).to_pandas()), preserve_index=False)
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        part, key, sub, fp = (t.column(c).to_numpy() for c in ("part", "key", "sub", "fp"))
+        order = np.lexsort((sub, key, part))
+        part, key, sub, fp = part[order], key[order], sub[order], fp[order].view(np.uint64)
+        forest = Forest(len(fp))
+        cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(key) != 0) | (np.diff(sub) != 0)) + 1
+        for run in np.split(np.arange(len(fp)), cuts):
+            if len(run) > 1:
+                _pairs_within(fp[run], others[part[run[0]]], tau, lambda a, b, run=run: forest.link(run[a], run[b]))
+        root = np.array([forest.root(x) for x in range(len(fp))], np.int64)
+        away = fp[root] != fp
+        yield pa.RecordBatch.from_arrays([pa.array(fp[away].view(np.int64)), pa.array(fp[root[away]].view(np.int64))], ["a", "b"])
 
-    dealt = fps.mapInArrow(keys, "part int, key long, fp long").repartition("part", "key")
+    dealt = fps.mapInArrow(keys, "part int, key long, sub long, fp long").repartition("part", "key", "sub")
     return dealt.mapInArrow(shard, "a long, b long").distinct()
 
 
