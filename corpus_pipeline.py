@@ -3,15 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents but for the last, which returns pieces.
 ``run`` writes each stage as Parquet in the shared folder and reads it back, so a lost executor costs one stage's tasks.
 Both dedups go by row, not by doc_id: rows without doc_id, and rows that repeat one, are kept or dropped like any other.
+Null texts count as empty: the quality rules drop them. Further columns, whatever their names, are kept up to packing; an
+empty table gives no pieces. Very long texts go through every stage whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import jaccard_links, mphf_dedup, quality_llr, secret_crf, vector_packing
-from waymark.llm.common import new_folder, read_table
+from waymark.llm import mphf_dedup, quality_llr, secret_crf, simhash_near, vector_packing
+from waymark.llm.common import free_name, new_folder, numbered, read_table, remove, working_folders, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,25 +23,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_llr.keep(docs, read_table(spark, sf_dir, "labels"))
 
 
-def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a distinct ``row``, written so that the numbers stay."""
-    path = new_folder(spark, "rows")
-    docs.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
+def without(docs: DataFrame, lost_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` less the rows that ``lost_of`` names, given (row, doc_id, text).
+
+    The lost rows' numbers are a written table: Spark broadcasts it if it's small and joins by sorting if not.
+    """
+    row = free_name(docs, "row")
+    rows = numbered(docs, row)
+    lost = written(lost_of(rows.select(F.col(row).alias("row"), "doc_id", "text")).select(F.col("row").alias(row)), "lost")
+    return rows.join(lost, row, "left_anti").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: that of the largest doc_id (null before numbers), of equal ones the first."""
-    rows = numbered(spark, docs)
-    lost = mphf_dedup.lost_rows(rows).select("row")
-    return rows.join(lost, "row", "left_anti").select(*docs.columns)
+    return without(docs, mphf_dedup.lost_rows)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more): that of the smallest doc_id."""
-    rows = numbered(spark, docs)
-    lost = jaccard_links.jaccard_components(rows.select("row", "doc_id", "text")).filter("NOT kept").select("row")
-    return rows.join(lost, "row", "left_anti").select(*docs.columns)
+    return without(docs, lambda rows: simhash_near.near_rows(rows).filter("NOT kept"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again; a stage's working tables go when it is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = new_folder(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with working_folders(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)  # its rows live on in this stage's
+        docs, before = spark.read.parquet(path), path
     return docs
