@@ -289,8 +289,10 @@ def test_repeats_equal_brute_force(docs, empty):
     assert suffix_family.remove_repeats(empty).count() == 0
 
 
-def test_repeats_by_rows(spark):
-    """Null and repeated ids are places of their own; a hot passage stays exact."""
+@pytest.mark.parametrize("rows_of_a_gram", [2_000, 5])
+def test_repeats_by_rows(spark, monkeypatch, rows_of_a_gram):
+    """Null and repeated ids are places of their own; a hot passage stays exact, dealt in blocks or not."""
+    monkeypatch.setattr(suffix_family, "OPEN_ROWS", rows_of_a_gram)
     rng = random.Random(3)
     text = lambda n: "".join(rng.choice("abcdef gh") for _ in range(n))
     a, b, hot = text(600), text(700), text(260)

@@ -1,5 +1,9 @@
 """Tag-path ratios decide inside marked articles, and a wrapper's name puts no article out."""
 
+from html.parser import HTMLParser
+
+import pyarrow.parquet as pq
+
 from waymark.llm import tagpath
 
 LONG = "Here is a long sentence, with commas, points and much to say; it goes on. " * 5
@@ -19,3 +23,53 @@ def test_wrappers_are_not_inherited():
         assert tagpath.extract(f"<body>{wrap}<div><p>{LONG}</p></div><div class='ad'>buy, now.</div></div></body>") == TEXT
     inside = f"<article><p>{LONG}</p><div class='comments'><article><p>{LONG[:80]}reader</p></article></div></article>"
     assert tagpath.extract(f"<body>{inside}</body>") == TEXT
+
+
+def test_long_words_of_names_and_text_nodes():
+    assert tagpath.extract("<article><p>AT&<b>amp;</b> T, and more to say here.</p></article>") == "AT&amp; T, and more to say here."
+    for name in ("search-tips", "side-story", "social-history", "share-price"):
+        assert tagpath.extract(f"<body><div class='{name}'><p>{LONG}</p></div></body>") == TEXT
+    assert tagpath.extract(f"<body><div><h2>Head</h2><p>{LONG}</p></div><div class='share'>Tweet, please.</div></body>") == f"Head\n{TEXT}"
+    assert tagpath.extract(f"<article><p>{LONG}</p></article><!-- open") == TEXT
+    assert tagpath.extract(f"<article><p>1 < 2, and {LONG}</p><p title=\"open>{LONG}</p></article>").startswith("1 < 2, and Here")
+
+
+class Plain(HTMLParser):
+    """An extractor of its own: blocks of the page's article, nothing of what never is content."""
+
+    SKIP = ("script", "style", "nav", "aside", "form", "header", "footer", "figure", "button")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.skipped = 0
+        self.blocks = [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skipped += tag in self.SKIP
+        if tag in ("p", "h1", "h2", "h3", "li", "div", "br", "article"):
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skipped -= tag in self.SKIP
+        if tag in ("p", "h1", "h2", "h3", "li", "div", "article"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.blocks[-1].append(data)
+
+
+def test_pages_equal_a_plain_parser():
+    """All given pages of two sizes, against an extractor by the standard library's parser."""
+    n = 0
+    for size in ("sf0.001", "sf0.01"):
+        for html in pq.read_table(f"/root/testdata/{size}/pages.parquet", columns=["html"]).column(0).to_pylist():
+            plain = Plain()
+            plain.feed(html or "")
+            plain.close()
+            want = "\n".join(x for x in (" ".join("".join(b).split()) for b in plain.blocks) if x)
+            assert tagpath.extract(html) == want
+            n += 1
+    assert n > 200

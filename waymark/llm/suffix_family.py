@@ -9,7 +9,8 @@ The family: texts arrive in batches. A batch's suffixes are sorted, merge-scanne
 equal grams, and form a level of their own; levels of about equal size are merged, so there are logarithmically many.
 Suffixes are dealt to shards by their gram's hash. Entries with equal surroundings are matches over all their windows
 ("full"). An entry with an equal gram and surroundings of its own is "open": some windows may match. For these alone
-(and one entry for each full group beside them) the bytes are fetched, and all their windows compared.
+(and one entry for each full group beside them) the bytes are fetched, and all their windows compared; those of a frequent gram are
+dealt in blocks.
 
 Repeats inside a batch of the scan are settled on the spot, with one entry passed on for each group: a passage that a
 third of all texts hold reaches a shard once for each batch. Results are byte intervals by document; no pairs are made.
@@ -37,11 +38,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import blocks, heavy
 from .common import numbered, written
 
 MATCH, GRAM = 200, 64
 SPAN = MATCH - GRAM + 1  # grams of a window
 PIECE = 1 << 20
+OPEN_ROWS = 2_000  # open entries of one gram, from which on they are dealt in blocks
 U = np.uint64
 
 
@@ -271,8 +274,11 @@ def _shard(batches):
         yield out(e, np.flatnonzero(wanted | (has & e["full"] & new)), False)
 
 
-def _fetch(batches):
-    """The bytes of the wanted entries' surroundings."""
+FETCHED = "doc long, lo int, hi int, gram long, full boolean, raw binary, block long"
+
+
+def _fetch(batches, chunks: dict[int, int]):
+    """The bytes of the wanted entries' surroundings, and their blocks."""
     for b in batches:
         doc, lo, hi, gram, full, raw = [], [], [], [], [], []
         for k in range(b.num_rows):
@@ -287,7 +293,11 @@ def _fetch(batches):
                 gram.append(w["gram"])
                 full.append(w["many"])
                 raw.append(text[w["lo"] : w["hi"] + MATCH])
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(gram, pa.int64()), pa.array(full, pa.bool_()), pa.array(raw, pa.binary())], ["doc", "lo", "hi", "gram", "full", "raw"])
+        t = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(gram, pa.int64()), pa.array(full, pa.bool_()), pa.array(raw, pa.binary())], ["doc", "lo", "hi", "gram", "full", "raw"])
+        key = np.array(gram, np.int64)
+        row, block = blocks(key, (np.array(doc, np.int64).view(np.uint64) * U(1_000_003) + np.array(lo, np.int64).view(np.uint64)).view(np.int64), chunks)
+        t = t.take(pa.array(row)) if chunks else t
+        yield pa.RecordBatch.from_arrays([*t.columns, pa.array(block)], [*t.schema.names, "block"])
 
 
 def _windows(batches):
@@ -296,11 +306,11 @@ def _windows(batches):
     if not got:
         return
     t = pa.Table.from_batches(got)
-    order = np.argsort(t.column("gram").to_numpy(), kind="stable")
-    doc, lo, hi, gram = (t.column(k).to_numpy()[order] for k in ("doc", "lo", "hi", "gram"))
+    order = np.lexsort((t.column("block").to_numpy(), t.column("gram").to_numpy()))
+    doc, lo, hi, gram, block = (t.column(k).to_numpy()[order] for k in ("doc", "lo", "hi", "gram", "block"))
     full, raw = np.array(t.column("full").to_numpy(zero_copy_only=False))[order], t.column("raw").to_pylist()
     raw = [raw[i] for i in order.tolist()]
-    edges = np.r_[0, np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram)]
+    edges = np.r_[0, np.flatnonzero((gram[1:] != gram[:-1]) | (block[1:] != block[:-1])) + 1, len(gram)]
     size = np.cumsum([0, *map(len, raw)])
     i = 0
     while i < len(edges) - 1:  # whole groups, about PIECE bytes at a time
@@ -314,7 +324,7 @@ def _windows(batches):
         count = (hi[a:z] - lo[a:z] + 1).astype(np.int64)
         own = np.repeat(np.arange(a, z), count)
         within = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        h = mix(span_hash(p, (size[a:z] - size[a])[own - a] + within, MATCH)) ^ mix(gram[own].astype(np.int64).view(np.uint64), 0x77)
+        h = mix(span_hash(p, (size[a:z] - size[a])[own - a] + within, MATCH)) ^ mix(gram[own].astype(np.int64).view(np.uint64) + block[own].astype(np.uint64), 0x77)
         by = np.argsort(h, kind="stable")
         s = h[by]
         # neighbours of one hash are compared byte by byte; a window that differs from both stays
@@ -373,9 +383,10 @@ def repeated(texts: DataFrame) -> DataFrame:
     entries = texts.select("row", "text").mapInArrow(_entries, ENTRY)
     dealt = entries.repartition(F.when(F.col("mark"), F.xxhash64("doc", "lo")).otherwise(F.col("gram")))
     found = written(dealt.mapInArrow(_shard, ENTRY), "repeats")
+    chunks = heavy(found.filter("NOT mark").select(F.col("gram").alias("key"), F.lit(1).alias("weight")), OPEN_ROWS)
     wanted = found.filter("NOT mark").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "gram", "many")).alias("wanted"))
-    fetched = texts.join(wanted, texts.row == wanted.doc).select("row", "text", "wanted").mapInArrow(_fetch, "doc long, lo int, hi int, gram long, full boolean, raw binary")
-    more = fetched.repartition("gram").mapInArrow(_windows, "doc long, lo int, hi int")
+    fetched = texts.join(wanted, texts.row == wanted.doc).select("row", "text", "wanted").mapInArrow(lambda batches: _fetch(batches, chunks), FETCHED)
+    more = fetched.repartition("gram", "block").mapInArrow(_windows, "doc long, lo int, hi int")
     marks = found.filter("mark").select("doc", "lo", "hi").union(more)
     return marks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
 
