@@ -193,6 +193,16 @@ def test_distances_by_growing_columns():
                     assert got[r, c] == ((walls - (r, c)) ** 2).sum(axis=1).min()
 
 
+def test_distances_by_size(spark):
+    from waymark.operators import raster
+
+    rng = np.random.default_rng(9)
+    cells = spark.createDataFrame([(m, r, c, int(rng.integers(0, 5) and 255)) for m in range(3) for r in range(7 + m) for c in range(9)], "map_id long, row int, col int, value int")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    for ring in (True, False):
+        assert key(raster.distance(cells, ring=ring)) == key(raster.distance(cells, ring=ring, most=10))
+
+
 def test_empty_graphs_have_rows(spark):
     cells = spark.createDataFrame([(m, r, c, 255 if (r, c) != (0, 0) else 0) for m in (1, 2) for r in range(6) for c in range(6)], "map_id long, row int, col int, value int")
     nodes = spark.createDataFrame([(1, 0, 3, 3), (1, 1, 3, 5)], "map_id long, node_id int, row int, col int")
