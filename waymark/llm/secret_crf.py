@@ -40,7 +40,7 @@ KEYWORDS = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|
 KNOWN = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|xox[abp]-|eyJ|AIza|ya29\.)")
 CORE = re.compile(r"[A-Za-z0-9+/_.=~-]+")
 TRAIN_WINDOWS, WINDOW, STEPS = 3000, 16, 100
-KEPT_WORDS = 120_000
+KEPT_WORDS, KEPT_SHAPES = 200_000, 50_000
 B, I, O = 0, 1, 2  # noqa: E741
 OWN, NEAR, PAIR, FILE = 44, 12, 4, 4  # numbers of features
 
@@ -59,18 +59,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- features -----------------------------------------------------------------------------------------------------
 
 
-_SHAPE = {i: "0" if chr(i).isdigit() else "A" if chr(i).isupper() else "a" if chr(i).islower() else chr(i) for i in range(128)}
 _CHANGE = re.compile(r"(.)(?=(?!\1).)")
 _CLOG = [0.0, 0.0, *(c * math.log2(c) for c in range(2, 4096))]
 SIGNS = frozenset(("=", ":", ":=", "=>", "->"))
 HEX_DIGITS = "0123456789abcdefABCDEF-"
+#: One of these, in lower case, is in every match of KEYWORDS.
+KEY_PARTS = ("pass", "pwd", "secret", "token", "api", "credential", "auth", "bearer", "private", "access", "key")
+
+
+class _Shapes(dict):
+    """Code point -> 0 for ASCII digits, A and a for letters, é and ² for letters and digits beyond ASCII, € for others there."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        if point < 128:
+            self[point] = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c
+        else:
+            return "é" if c.isalpha() else "²" if c.isdigit() else "€"
+        return self[point]
+
+
+_SHAPES = _Shapes()
 
 
 def shape(word: str) -> str:
-    """The word with 0 for digits, A and a for letters; other signs stay, but a letter or digit beyond ASCII is an é or ²."""
-    if word.isascii():
-        return word.translate(_SHAPE)
-    return "".join(_SHAPE.get(ord(c)) or ("é" if c.isalpha() else "²" if c.isdigit() else "€") for c in word)
+    """The word's kinds of signs; ASCII signs other than letters and digits stay."""
+    return word.translate(_SHAPES)
 
 
 def shape_features(shape: str) -> tuple[int, int, list[int], list[int]]:
@@ -88,34 +102,46 @@ def shape_features(shape: str) -> tuple[int, int, list[int], list[int]]:
     return *at, f, near
 
 
-def word_features(word: str, core: str) -> tuple[list[int], list[int]]:
-    """What the word tells beyond its shape: own and near features."""
+def word_code(word: str, core: str, keyed: bool = True) -> int:
+    """What the word tells beyond its shape, as a number: entropy of its core (0-4), then one bit each for a known
+    beginning, hexadecimal digits alone, a keyword (never without ``keyed``), and two short lists."""
     n = len(core)
-    if n < len(_CLOG):
-        entropy = int(math.log2(n) - sum([_CLOG[c] for c in Counter(core).values()]) / n + 1e-9) if n else 0
+    if n < 2:
+        code = 0
+    elif n >= len(_CLOG):
+        code = 4
+    elif len(set(core)) == n:
+        code = min(int(math.log2(n) + 1e-9), 4)
     else:
-        entropy = 4
-    key = bool(KEYWORDS.search(word))
-    own = [25 + min(entropy, 4)]  # 25-29
-    if n and KNOWN.match(core):
-        own.append(30)
+        code = min(int(math.log2(n) - sum([_CLOG[c] for c in Counter(core).values()]) / n + 1e-9), 4)
+    if n > 2 and KNOWN.match(core):
+        code += 8
     if not core.strip(HEX_DIGITS):
-        own.append(33)
-    if key:
-        own.append(35)
-    return own, ([2] if key else []) + ([6] if len(word) < 4 and word.lower() in ("is", "the", "my") else [])
+        code += 16
+    if keyed and KEYWORDS.search(word):
+        code += 32
+    if len(word) < 4:
+        low = word.lower()
+        code += 64 * (low in ("is", "the", "my")) + 128 * (low in ("is", "was", "set", "to"))
+    return code
+
+
+def code_features(code: int) -> tuple[list[int], list[int]]:
+    """Own and near features of a code."""
+    own = [25 + code % 8, *(f for f, bit in ((30, 8), (33, 16), (35, 32)) if code & bit)]
+    return own, [f for f, bit in ((2, 32), (6, 64)) if code & bit]
 
 
 def own_features(word: str) -> list[int]:
     """A token's shape and letters: indexes below OWN."""
     a, z, own, _ = shape_features(shape(word))
-    return own + word_features(word, word[a:z])[0]
+    return own + code_features(word_code(word, word[a:z]))[0]
 
 
 def near_features(word: str) -> list[int]:
     """What a token tells of its neighbour: indexes below NEAR."""
     a, z, _, near = shape_features(shape(word))
-    return near + word_features(word, word[a:z])[1]
+    return near + code_features(word_code(word, word[a:z]))[1]
 
 
 def flags(word: str) -> tuple[bool, bool, bool, bool]:
@@ -234,31 +260,36 @@ def train() -> dict[str, np.ndarray]:
 
 
 class Words(dict):
-    """word -> place in tables of what it adds to the scores of B and I (own, before, after) and of its flags; bounded.
-
-    What a word's shape adds is kept by shape, of which there are few.
-    """
+    """word -> its class: words of one shape and code have the same features, so a class has what they add to the scores
+    of B and I (own, before, after) and their flags. Words and classes are both bounded."""
 
     def __init__(self, rel: dict[str, np.ndarray]) -> None:
         super().__init__()
-        self.own, self.before, self.after = (rel[k].tolist() for k in ("own", "before", "after"))
-        self.scores, self.flags, self.shapes = np.zeros((1 << 12, 6)), np.zeros((1 << 12, 4), bool), {}
-
-    def _sums(self, own: list[int], near: list[int]) -> list[float]:
-        return [sum([table[f][k] for f in on]) for table, on in ((self.own, own), (self.before, near), (self.after, near)) for k in (B, I)]
-
-    def __missing__(self, word: str) -> int:
-        at, of = len(self), shape(word)
+        self.tables = [rel[k].tolist() for k in ("own", "before", "after")]
+        self.scores, self.flags = np.zeros((1 << 12, 6)), np.zeros((1 << 12, 4), bool)
+        self.shapes: dict[str, tuple[int, int, list[int], list[int]]] = {}
+        self.classes: dict[tuple[str, int], int] = {}
+        self.keyed = True  # whether the text in hand may hold a keyword
+
+    def _class(self, of: str, code: int) -> int:
+        at = self.classes[of, code] = len(self.classes)
         if at == len(self.scores):
             self.scores, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.flags))
+        _, _, own, near = self.shapes[of]
+        more_own, more_near = code_features(code)
+        both = (own + more_own, near + more_near, near + more_near)
+        self.scores[at] = [sum([table[f][k] for f in on]) for table, on in zip(self.tables, both, strict=True) for k in (B, I)]
+        self.flags[at] = bool(code & 32), of in SIGNS, bool(code & 128), of.isalpha()
+        return at
+
+    def __missing__(self, word: str) -> int:
+        of = word.translate(_SHAPES)
         kept = self.shapes.get(of)
         if kept is None:
-            a, z, own, near = shape_features(of)
-            kept = self.shapes[of] = (a, z, self._sums(own, near))
-        own, near = word_features(word, word[kept[0] : kept[1]])
-        self.scores[at] = [x + y for x, y in zip(kept[2], self._sums(own, near), strict=True)]
-        self.flags[at] = flags(word)
-        self[word] = at
+            kept = self.shapes[of] = shape_features(of)
+        code = word_code(word, word[kept[0] : kept[1]], self.keyed)
+        at = self.classes.get((of, code))
+        at = self[word] = self._class(of, code) if at is None else at
         return at
 
 
@@ -273,10 +304,12 @@ class Tagger:
         self.turn = np.array([max(0.0, (step[:, k] - step[:, O]).max()) + max(0.0, (step[k] - step[O]).max()) for k in (B, I)])
         self.words = Words(self.rel)
 
-    def emissions(self, words: list[str], file: list[int]) -> np.ndarray:
+    def emissions(self, words: list[str], file: list[int], text: str | None = None) -> np.ndarray:
         """(tokens, 2): scores of B and I."""
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > KEPT_WORDS or len(self.words.shapes) > KEPT_SHAPES:
             self.words = Words(self.rel)
+        low = " ".join(words).lower() if text is None else text.lower()
+        self.words.keyed = any(part in low for part in KEY_PARTS)
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         x, on = self.words.scores[at], self.words.flags[at]
         e = x[:, 0:2] + self.rel["file"][file].sum(axis=0)
@@ -304,9 +337,9 @@ class Tagger:
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
-    def tags(self, words: list[str], file: list[int]) -> dict[int, int]:
+    def tags(self, words: list[str], file: list[int], text: str | None = None) -> dict[int, int]:
         """The tokens that aren't O, with their tags."""
-        e = self.emissions(words, file)
+        e = self.emissions(words, file, text)
         open_ = np.flatnonzero((e + self.turn >= 0).any(axis=1))
         out: dict[int, int] = {}
         for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else ():
@@ -319,7 +352,7 @@ class Tagger:
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, 3, end) of the tagged secrets."""
         words = _words(text)
-        tags = self.tags(words, file_features(text)) if words else {}
+        tags = self.tags(words, file_features(text), text) if words else {}
         if not tags:
             return []
         tagged: list[list[int]] = []
