@@ -378,14 +378,15 @@ def merged(marks: list[dict]) -> list[tuple[int, int]]:
 
 
 def repeated(texts: DataFrame) -> DataFrame:
-    """(doc, marks): the window intervals of every row of (row, text) that occur at another place too; doc is the row."""
+    """(doc, marks): the window intervals of every row of (row, doc_id, text) that occur at another place too; doc is the
+    row. The texts' exchange by row reads the same columns as that of ``remove_repeats``, so Spark makes it once."""
     # settled marks are spread, entries go to their gram's shard
     entries = texts.select("row", "text").mapInArrow(_entries, ENTRY)
     dealt = entries.repartition(F.when(F.col("mark"), F.xxhash64("doc", "lo")).otherwise(F.col("gram")))
     found = written(dealt.mapInArrow(_shard, ENTRY), "repeats")
     chunks = heavy(found.filter("NOT mark").select(F.col("gram").alias("key"), F.lit(1).alias("weight")), OPEN_ROWS)
     wanted = found.filter("NOT mark").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "gram", "many")).alias("wanted"))
-    fetched = texts.join(wanted, texts.row == wanted.doc).select("row", "text", "wanted").mapInArrow(lambda batches: _fetch(batches, chunks), FETCHED)
+    fetched = texts.join(wanted, texts.row == wanted.doc).select("row", "text", "wanted", "doc_id").mapInArrow(lambda batches: _fetch(batches, chunks), FETCHED)
     more = fetched.repartition("gram", "block").mapInArrow(_windows, "doc long, lo int, hi int")
     marks = found.filter("mark").select("doc", "lo", "hi").union(more)
     return marks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
@@ -393,6 +394,6 @@ def repeated(texts: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    texts = numbered(docs.select(F.col("doc_id").cast("long"), "text"))
+    texts = numbered(docs.select(F.col("doc_id").cast("long"), "text")).filter("row IS NOT NULL")  # as an inner join asks
     marks = repeated(texts)
     return texts.join(marks, texts.row == marks.doc, "left").select("doc_id", "text", "marks").mapInArrow(_removal, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
