@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 # Header fields that a 304 response doesn't replace in the stored ones (RFC 9111, 3.2), lower case.
 KEPT_AS_STORED = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
@@ -216,7 +216,8 @@ def resolve_pages(pages: DataFrame) -> DataFrame:
     """The capture log of ``pages``, read from its WARC bytes and resolved; header fields as columns; response_id -1 where
     there is none."""
     number = lambda c: F.regexp_extract(c, r"([0-9]+)$", 1).try_cast("long")
-    log = read_records(capture_log(pages)).withColumn("record_id", number(F.col("record_id")))
+    # written, as the range partitioning of ``resolve`` reads its input twice: once to sample, once to deal
+    log = written(read_records(capture_log(pages)).withColumn("record_id", number(F.col("record_id"))), "captures")
     out = resolve(log)
     fields = ("content-type", "content-length", "etag", "last-modified", "cache-control")
     return out.select("record_id", "kind", "url_key", "ts", "status", F.coalesce("response_id", F.lit(-1)).alias("response_id"), *[F.col("headers").getItem(f).alias(f.replace("-", "_")) for f in fields], F.regexp_replace("digest", "^sha256:", "").alias("digest"), "n_bytes")
