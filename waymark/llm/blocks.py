@@ -16,11 +16,13 @@ MOST_HEAVY = 100_000  # groups that are dealt in blocks, at most; limits grow to
 
 
 def heavy(weights: DataFrame, limit: int, scale: int = 1) -> dict[int, int]:
-    """Chunks of the keys of ``weights(key, weight)`` over the limit, MOST_HEAVY keys at most; weights count ``scale`` fold."""
+    """Chunks of the keys of ``weights(key, weight)`` over the limit, MOST_HEAVY keys at most; weights count ``scale`` fold.
+
+    A block holds two chunks, so a chunk is half the limit."""
     total = (weights.agg(F.sum("weight")).first()[0] or 0) * scale
     limit = max(limit, total // MOST_HEAVY)
     by = weights.groupBy("key").agg((F.sum("weight") * scale).alias("weight")).filter(F.col("weight") > limit).collect()
-    return {r["key"]: -(-r["weight"] // limit) for r in by}
+    return {r["key"]: -(-2 * r["weight"] // limit) for r in by}
 
 
 def blocks(key: np.ndarray, row: np.ndarray, chunks: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
