@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 4 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -94,6 +100,33 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def _released() -> None:
+    """Give back to the system what is free: a worker waits for its next task with all that it ever held otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for rows of texts, in batches that end at ``BATCH_BYTES`` (a longer text is one whole).
+
+    Spark's own bounds are 10,000 rows and 64 MB, which each task holds several times: in Python, and outside the heap on
+    the JVM's side. The bound is a setting of the session and stays set, as the rows are read after this call.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _released()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def hashed_part(df: DataFrame, column: str, most: int, total: int) -> DataFrame:
     """About ``most`` of ``total`` rows of distinct ``column``, by its hash: no sort, no merge on the driver.
 

@@ -25,7 +25,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_part
+from .common import hashed_part, working_folders, written
 
 BUCKETS = 1 << 14
 SAMPLE = 10_000
@@ -89,10 +89,14 @@ def labelled(labels: DataFrame, quality: int, bound: int = SAMPLE) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list[float], float | None]:
     """(weight of each bucket, threshold or None)."""
-    spark = docs.sparkSession
-    sample = labelled(labels, 1, bound).union(labelled(labels, 0, bound)).groupBy("doc_id").agg(F.max("_q").alias("_q"))
-    rows = sample.collect()  # 2 * bound ids at most
-    sample = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, _q int")
+    with working_folders(docs.sparkSession):
+        # 2 * bound ids at most
+        sample = written(labelled(labels, 1, bound).union(labelled(labels, 0, bound)).groupBy("doc_id").agg(F.max("_q").alias("_q")), "labelled")
+        return _fitted(docs, sample)
+
+
+def _fitted(docs: DataFrame, sample: DataFrame) -> tuple[list[float], float | None]:
+    """``fit`` for a sample (doc_id, _q)."""
     words = with_words(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left"))
     grams = words.select(F.coalesce(F.col("_q"), F.lit(0)).alias("_q"), F.explode(buckets()).alias("b"))
     counted = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("_q").alias("target")).collect()  # BUCKETS rows at most

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .blocks import blocks
 from .blocks import heavy as heavy_keys
-from .common import cut, hashed_part, written
+from .common import cut, hashed_part, map_texts, written
 from .pieces import Memo
 from .simhash_gph import Forest, components, group_bits, thresholds
 
@@ -141,7 +141,7 @@ def sets(texts: DataFrame, words: int) -> DataFrame:
                 take()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(fp, pa.binary())], ["row", "doc_id", "sig", "n", "fp"])
 
-    return texts.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, sig binary, n int, fp binary")
+    return map_texts(texts.select("row", F.col("doc_id").cast("long"), "text"), run, "row long, doc_id long, sig binary, n int, fp binary")
 
 
 def _bits(fp: np.ndarray, count: int) -> np.ndarray:
@@ -347,8 +347,8 @@ def alike_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
     # a written table has a known size: Spark broadcasts it where that is small, and sorts both sides where it isn't
     members = written(groups.select(F.col("node").alias("row"), F.col("root").alias("key")), "near-groups")
     fetched = texts.select("row", "text").join(members, "row").select("key", F.col("row").alias("node"), "text")
-    dealt = fetched.mapInArrow(lambda batches: (_dealt(b, heavy) for b in batches), "key long, block long, node long, text string")
-    return dealt.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(_group_links, "a long, b long")
+    dealt = map_texts(fetched, lambda batches: (_dealt(b, heavy) for b in batches), "key long, block long, node long, text string")
+    return map_texts(dealt.repartition("key", "block").sortWithinPartitions("key", "block", "node"), _group_links, "a long, b long")
 
 
 def near_rows(texts: DataFrame, bits: tuple[int, int] | None = None) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_lexicon import vocabulary
+from .common import map_texts
 from .pieces import json_tokenizer
 
 MAX_TOKENS = 2048
@@ -257,7 +258,7 @@ def pack(docs: DataFrame, tokenizer: str, *, max_tokens: int = MAX_TOKENS, max_s
         yield flush()
 
     spans = F.col(loss) if loss else F.lit(None)
-    return docs.select(F.col("doc_id").cast("long"), "text", spans.cast("array<struct<start:long,end:long>>").alias("loss")).mapInArrow(run, SCHEMA)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text", spans.cast("array<struct<start:long,end:long>>").alias("loss")), run, SCHEMA)
 
 
 def pack_conversations(conversations: DataFrame, tokenizer: str, *, answers: tuple[str, ...] = ("assistant",), **limits) -> DataFrame:
