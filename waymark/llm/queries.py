@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon, mphf_dedup, quality_llr, repair_tokens, secret_crf, simhash_gph, suffix_family, tagpath, vector_packing, warc_revisit
+from . import bpe_lexicon, hard_negatives, mphf_dedup, piece_rounds, quality_llr, repair_tokens, secret_crf, simhash_gph, suffix_family, tagpath, vector_packing, warc_revisit, welford_whiten
 from .common import read_table
 from .vector_packing import vocabulary_file
 
@@ -57,9 +57,21 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_rounds.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
+def op12_welford_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return welford_whiten.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_lexicon, op2_quality_llr, op3_secret_crf, op4_repair_tokens, op5_suffix_family, op6_simhash_gph, op7_tagpath, op8_warc_revisit, op9_mphf_dedup, op10_vector_packing, pipeline)}
+    return {f.__name__: f for f in (op1_bpe_lexicon, op2_quality_llr, op3_secret_crf, op4_repair_tokens, op5_suffix_family, op6_simhash_gph, op7_tagpath, op8_warc_revisit, op9_mphf_dedup, op10_vector_packing, op11_piece_rounds, op12_welford_whitening, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_revisit": warc_revisit.ORACLE, "op9_mphf_dedup": mphf_dedup.ORACLE}
+    return {"op8_warc_revisit": warc_revisit.ORACLE, "op9_mphf_dedup": mphf_dedup.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
