@@ -56,7 +56,7 @@ def test_path_metrics_on_a_line(spark):
     image = np.full((11, 31), 255, np.uint8)
     image[0] = 0
     got = {r["map_id"]: r for r in evaluate.path_metrics(nodes, edges, cells_of(spark, [image, image]), samples=50).collect()}
-    assert got[0]["success_rate"] == 1.0 and got[0]["path_smoothness"] == 1.0 and got[0]["path_clearance"] == 5.0
+    assert got[0]["path_success_rate"] == 1.0 and got[0]["average_path_smoothness"] == 1.0 and got[0]["average_path_clearance"] == 5.0
     assert 10 <= got[0]["average_path_length"] <= 20
     assert tuple(got[1])[1:] == (0.0, 0.0, 0.0, 0.0)
 

@@ -150,16 +150,16 @@ def test_command_lines(spark, tmp_path, capsys):
     out = tmp_path / "out"
     assert cli.main(["generate", str(tmp_path / "m.png"), "--safety-distance", "0.15", "--output-dir", str(out), "--graph-eval", "--num-path-samples", "20", "--perf-eval", "--num-query-samples", "5"]) == 0
     first = json.loads((out / "evaluation_metrics.json").read_text())
-    assert set(first) == {"coverage", "graph", "path", "validity"} and first["graph"]["num_nodes"] > 0
+    assert set(first) == {"coverage", "graph_structure", "path_planning", "validation"} and first["graph_structure"]["num_nodes"] > 0
     assert set(json.loads((out / "performance_metrics.json").read_text())) == {"total_time", "peak_memory_mb", "component_breakdown", "query_performance"}
     assert images.grayscale((out / "waypoint_graph.png").read_bytes()).shape == image.shape
     again = tmp_path / "again"
     assert cli.main(["evaluate", str(out / "graph.gml"), str(tmp_path / "m.png"), str(again), "--resolution", "0.05", "--safety-distance", "0.15", "--occupancy-threshold", "127"]) == 0
     second = json.loads((again / "evaluation_metrics.json").read_text())
-    assert second["graph"]["num_edges"] == first["graph"]["num_edges"] and second["coverage"]["free_space_coverage"] == first["coverage"]["free_space_coverage"]
+    assert second["graph_structure"]["num_edges"] == first["graph_structure"]["num_edges"] and second["coverage"]["free_space_coverage"] == first["coverage"]["free_space_coverage"]
     assert cli.main(["geojson", str(out / "graph.gml")]) == 0
     features = json.loads((out / "graph.geojson").read_text())["features"]
-    assert len(features) == first["graph"]["num_nodes"] + 2 * first["graph"]["num_edges"]
+    assert len(features) == first["graph_structure"]["num_nodes"] + 2 * first["graph_structure"]["num_edges"]
     assert cli.main(["geojson", str(tmp_path / "none.gml")]) == 1
     with pytest.raises(Exception, match="."):
         cli.main(["generate", str(tmp_path / "none.png"), "--output-dir", str(out)])
@@ -210,11 +210,11 @@ def test_empty_graphs_have_rows(spark):
     got = {}
     for r in evaluate.evaluate_all(cells, nodes, edges, safety=0.05, resolution=0.05, samples=5).collect():
         got.setdefault(r["map_id"], {})[r["metric"]] = r["value"]
-    assert got[1]["num_nodes"] == 2 and got[1]["success_rate"] == 1.0 and got[1]["free_space_coverage"] == 1.0
-    assert {k: got[2][k] for k in ("num_nodes", "num_edges", "average_degree", "average_edge_length", "graph_diameter", "average_clustering", "success_rate", "num_subgraphs", "free_space_coverage")} == dict.fromkeys(("num_nodes", "num_edges", "average_degree", "average_edge_length", "graph_diameter", "average_clustering", "success_rate", "num_subgraphs", "free_space_coverage"), 0.0)
+    assert got[1]["num_nodes"] == 2 and got[1]["path_success_rate"] == 1.0 and got[1]["free_space_coverage"] == 1.0
+    assert {k: got[2][k] for k in ("num_nodes", "num_edges", "average_degree", "average_edge_length", "graph_diameter", "average_clustering", "path_success_rate", "num_subgraphs", "free_space_coverage")} == dict.fromkeys(("num_nodes", "num_edges", "average_degree", "average_edge_length", "graph_diameter", "average_clustering", "path_success_rate", "num_subgraphs", "free_space_coverage"), 0.0)
     assert got[2]["node_validity"] == got[2]["connectivity"] == got[2]["edge_length_validity"] == 1.0
     with pytest.raises(Exception, match="outside the map"):
-        evaluate.coverage(cells, nodes.withColumn("col", nodes["col"] - 9), safety=0.05, resolution=0.05).collect()
+        evaluate.coverage(cells, nodes.withColumn("col", nodes["col"] - 9)).collect()
 
 
 def test_heading_counts_and_odometry_sets_speed(spark, tmp_path):

@@ -98,7 +98,7 @@ def geojson(a: argparse.Namespace) -> int:
         files = spark.read.text(a.input_file, wholetext=True).select(F.lit(0).cast("long").alias("map_id"), F.col("value").alias("content"))
         text = codecs.feature_collection(codecs.to_geojson(codecs.parse_gml_nodes(files), codecs.parse_gml_edges(files))).first()
         with open(target, "w") as f:
-            f.write(text["content"] if text else codecs.EMPTY_COLLECTION)
+            f.write(text["content"] if text else codecs.empty_collection())
     except Exception as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

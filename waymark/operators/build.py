@@ -117,11 +117,13 @@ def find_routes(requests: DataFrame, blocked: DataFrame, nodes: DataFrame, edges
     """Whole routes for requests(route_id, map_id, r0, c0, r1, c1) in pixels: route_id, found, reason, points.
 
     In order: ends that are blocked or outside have no route; a free straight line shorter than ``shortcut`` metres is
-    the route; otherwise both ends go to their nearest nodes by free lines and the graph is searched. A map's requests
+    the route (``requests`` may say so themselves, in a boolean column short); otherwise both ends go to their nearest nodes by free lines and the graph is searched. A map's requests
     are dealt to tasks of about ``part`` requests, each with a copy of the map, so a busy map doesn't end in one task;
     maps that nobody asks for are left out.
     """
-    asked = requests.select("route_id", F.col("map_id").cast("long").alias("map_id"), "r0", "c0", "r1", "c1")
+    near = F.hypot(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")) * resolution < shortcut
+    near = F.col("short") if "short" in requests.columns else near
+    asked = requests.select("route_id", F.col("map_id").cast("long").alias("map_id"), "r0", "c0", "r1", "c1", near.cast("double").alias("near"))
     parts = asked.groupBy("map_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
     copies = parts.select("map_id", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
 
@@ -133,7 +135,7 @@ def find_routes(requests: DataFrame, blocked: DataFrame, nodes: DataFrame, edges
     both = both.union(copied(edges, "'e'", "cast(src as long)", "cast(dst as long)", "0L", "0L", "0L", "weight"))
     own = asked.join(parts, "map_id").withColumn("part", F.pmod(F.xxhash64("route_id"), F.col("parts")).cast("int"))
     none = asked.filter("map_id IS NULL").select("route_id", F.lit(False).alias("found"), F.lit("bad start").alias("reason"), F.lit(None).cast("array<struct<row:int,col:int>>").alias("points"))
-    both = both.union(own.selectExpr("map_id", "'r'", "cast(route_id as long)", "cast(r0 as long)", "cast(c0 as long)", "cast(r1 as long)", "cast(c1 as long)", "0D", "part"))
+    both = both.union(own.selectExpr("map_id", "'r'", "cast(route_id as long)", "cast(r0 as long)", "cast(c0 as long)", "cast(r1 as long)", "cast(c1 as long)", "near", "part"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cells, n, e, r = (pdf[pdf["k"] == k] for k in "bner")
@@ -147,11 +149,11 @@ def find_routes(requests: DataFrame, blocked: DataFrame, nodes: DataFrame, edges
             near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = math.dist(at[a], at[b])
         label = node_map(mask, [at[x] for x in names])[0] if len(r) else mask
 
-        def one(p: tuple[int, int], q: tuple[int, int]) -> tuple[str, list | None]:
+        def one(p: tuple[int, int], q: tuple[int, int], short: bool) -> tuple[str, list | None]:
             for end, what in ((p, "bad start"), (q, "bad goal")):
                 if not (0 <= end[0] < h and 0 <= end[1] < w) or mask[end]:
                     return what, None
-            if math.dist(p, q) * resolution < shortcut and not collides(mask, p, q):
+            if short and not collides(mask, p, q):
                 return "straight", [p, q]
             if label[p] < 0 or label[q] < 0:
                 return "no node", None
@@ -162,8 +164,8 @@ def find_routes(requests: DataFrame, blocked: DataFrame, nodes: DataFrame, edges
             return ("search", [p, *(at[x] for x in path), q]) if path else ("no way", None)
 
         rows = []
-        for route, r0, c0, r1, c1 in zip(*(r[k].tolist() for k in "abcde"), strict=True):
-            reason, points = one((r0, c0), (r1, c1))
+        for route, r0, c0, r1, c1, short in zip(*(r[k].tolist() for k in "abcdew"), strict=True):
+            reason, points = one((r0, c0), (r1, c1), short > 0)
             rows.append((route, points is not None, reason, [{"row": int(a), "col": int(b)} for a, b in points] if points else None))
         return pd.DataFrame(rows, columns=["route_id", "found", "reason", "points"])
 

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import line_cells
+from . import tiles
 from .build import raster as to_raster
 from .build import spread
 from .graph import clustering, components, degree_stats, for_maps
-from .kernels import label_regions, line, shortest_path, squared_distance
+from .kernels import line, shortest_path, squared_distance
 
 
 def node_distance(cells: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -41,46 +42,14 @@ def smoothness(path: DataFrame) -> DataFrame:
     return v.withColumn("t", turn).groupBy("path_id").agg(F.round(F.when(F.count("t") == 0, F.lit(1.0)).otherwise(1.0 - F.avg("t") / math.pi), 5).alias("smoothness"))
 
 
-def coverage(cells: DataFrame, nodes: DataFrame, *, safety: float, resolution: float, threshold: int = 127) -> DataFrame:
-    """Share of free cells in regions with a node, distances to nodes in those, and coverage for each node.
+def coverage(cells: DataFrame, nodes: DataFrame, *, threshold: int = 127, size: int = tiles.SIZE) -> DataFrame:
+    """``tiles.coverage`` of cells(map_id, row, col, value): the map's own free space, over the threshold, not inflated."""
+    return tiles.coverage(cells.select("map_id", "row", "col", (F.col("value") > threshold).alias("free")), nodes, size)
 
-    Free is not blocked, by a distance transform without a border ring. No free cell or no node: 0 and nulls. A node
-    outside its map is an error.
-    """
 
-    def run(key: tuple, c: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        if not len(c):
-            return pd.DataFrame(columns=["map_id", "free_space_coverage", "average_distance", "max_distance", "coverage_efficiency"])
-        free = to_raster(c) > threshold
-        ok = np.sqrt(squared_distance(free)).astype(np.float32) >= np.float32(safety / resolution)
-        label = label_regions(ok)
-        at = n[["row", "col"]].to_numpy(int) if len(n) else np.zeros((0, 2), int)
-        if ((at < 0) | (at >= ok.shape)).any():
-            raise ValueError(f"map {key[0]}: a node lies outside the map")
-        nodes_at = np.zeros(ok.shape, bool)
-        nodes_at[at[:, 0], at[:, 1]] = True
-        held = np.unique(label[nodes_at & ok])
-        if not ok.any() or not len(n):
-            return pd.DataFrame([(key[0], 0.0, None, None, 0.0)], columns=["map_id", "free_space_coverage", "average_distance", "max_distance", "coverage_efficiency"])
-        inside = np.isin(label, held[held > 0])
-        d = np.sqrt(squared_distance(~nodes_at))[inside]
-        share = float(inside.sum() / ok.sum())
-        return pd.DataFrame([(key[0], share, float(d.mean()) if len(d) else None, float(d.max()) if len(d) else None, share / len(n))], columns=["map_id", "free_space_coverage", "average_distance", "max_distance", "coverage_efficiency"])
-
-    a = spread(cells.selectExpr("cast(map_id as long) map_id", "row", "col", "value")).groupBy("map_id")
-    return a.cogroup(spread(nodes.selectExpr("cast(map_id as long) map_id", "row", "col")).groupBy("map_id")).applyInPandas(run, "map_id long, free_space_coverage double, average_distance double, max_distance double, coverage_efficiency double")
-
-
-def regions(cells: DataFrame, *, safety: float, resolution: float, threshold: int = 127) -> DataFrame:
-    """map_id, row, col, region of free cells: 8-connected regions, numbered from 1 in row-major order."""
-
-    def run(key: tuple, c: pd.DataFrame) -> pd.DataFrame:
-        d = np.sqrt(squared_distance(to_raster(c) > threshold)).astype(np.float32)
-        label = label_regions(d >= np.float32(safety / resolution))
-        r, k = np.nonzero(label)
-        return pd.DataFrame({"map_id": key[0], "row": r.astype(np.int32), "col": k.astype(np.int32), "region": label[r, k]})
-
-    return spread(cells.selectExpr("cast(map_id as long) map_id", "row", "col", "value")).groupBy("map_id").applyInPandas(run, "map_id long, row int, col int, region int")
+def regions(cells: DataFrame, *, threshold: int = 127, size: int = tiles.SIZE) -> DataFrame:
+    """map_id, row, col, region of the cells over the threshold: 8-connected regions, numbered from 1 in row-major order."""
+    return tiles.regions(cells.select("map_id", "row", "col", (F.col("value") > threshold).alias("free")), size)
 
 
 def _graph_groups(nodes: DataFrame, edges: DataFrame):
@@ -115,17 +84,29 @@ def diameter(nodes: DataFrame, edges: DataFrame, maps: DataFrame | None = None)
     return for_maps(_graph_groups(nodes, edges).applyInPandas(run, "map_id long, graph_diameter double"), maps, graph_diameter=0.0)
 
 
+def collision_free(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:
+    """map_id, collision_free of the maps with edges: no blocked cell on any edge as it is drawn, what is outside left out.
+
+    Both ends and the blocked cells meet by equi-joins; a map's edges are as many tasks as there are.
+    """
+    at = lambda k, r, c: nodes.select("map_id", F.col("node_id").alias(k), F.col("row").alias(r), F.col("col").alias(c))
+    lines = edges.select("map_id", "src", "dst").join(at("src", "r0", "c0"), ["map_id", "src"]).join(at("dst", "r1", "c1"), ["map_id", "dst"])
+    cells = lines.select("map_id", F.explode(line_cells(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1"), drawn=True)).alias("p")).select("map_id", F.col("p.row").alias("row"), F.col("p.col").alias("col")).distinct()
+    hit = cells.join(blocked.filter("blocked").select("map_id", "row", "col"), ["map_id", "row", "col"], "left_semi").select("map_id").distinct().withColumn("hit", F.lit(True))
+    return edges.select("map_id").distinct().join(hit, "map_id", "left").select("map_id", F.col("hit").isNull().alias("collision_free"))
+
+
 def validity(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:
-    """By map: node_validity (no node blocked or outside), connectivity, num_subgraphs and edge_length_validity (every
+    """By map: collision_free (no edge over a blocked cell), node_validity (no node blocked or outside), connectivity, num_subgraphs and edge_length_validity (every
     weight in pixels positive and at most the map's diagonal). ``blocked`` holds every cell of the maps; a map without a
     graph is valid and connected, with no subgraph."""
     size = blocked.groupBy("map_id").agg(F.hypot(F.max("row") + 1, F.max("col") + 1).alias("diagonal"))
     n = nodes.join(blocked.select("map_id", "row", "col", "blocked"), ["map_id", "row", "col"], "left").groupBy("map_id").agg(F.bool_and(F.coalesce(~F.col("blocked"), F.lit(False))).alias("node_validity"))
     c = components(nodes, edges).groupBy("map_id").agg(F.countDistinct("component").alias("num_subgraphs"))
     e = edges.join(size, "map_id").groupBy("map_id").agg(F.bool_and((F.col("weight") > 0) & (F.col("weight") <= F.col("diagonal"))).alias("edge_length_validity"))
-    out = n.join(c, "map_id").join(e, "map_id", "left")
-    out = out.select("map_id", "node_validity", (F.col("num_subgraphs") == 1).alias("connectivity"), "num_subgraphs", F.coalesce("edge_length_validity", F.lit(True)).alias("edge_length_validity"))
-    return for_maps(out, size, node_validity=True, connectivity=True, num_subgraphs=0, edge_length_validity=True)
+    out = n.join(c, "map_id").join(e, "map_id", "left").join(collision_free(nodes, edges, blocked), "map_id", "left")
+    out = out.select("map_id", F.coalesce("collision_free", F.lit(True)).alias("collision_free"), "node_validity", (F.col("num_subgraphs") == 1).alias("connectivity"), "num_subgraphs", F.coalesce("edge_length_validity", F.lit(True)).alias("edge_length_validity"))
+    return for_maps(out, size, collision_free=True, node_validity=True, connectivity=True, num_subgraphs=0, edge_length_validity=True)
 
 
 def path_metrics(nodes: DataFrame, edges: DataFrame, cells: DataFrame, samples: int = 1000, threshold: int = 127) -> DataFrame:
@@ -157,9 +138,9 @@ def path_metrics(nodes: DataFrame, edges: DataFrame, cells: DataFrame, samples:
             seen = np.concatenate([dist[line(*at[p], *at[q])] for p, q in zip(path, path[1:], strict=False)])
             got.append((sum(near[p][q] for p, q in zip(path, path[1:], strict=False)), 1 - sum(turns) / len(turns) / math.pi if turns else 1.0, float(seen.mean())))
         mean = np.mean(got, axis=0).tolist() if got else [0.0, 0.0, 0.0]
-        return pd.DataFrame([(key[0], *mean, len(got) / samples)], columns=["map_id", "average_path_length", "path_smoothness", "path_clearance", "success_rate"])
+        return pd.DataFrame([(key[0], *mean, len(got) / samples)], columns=["map_id", "average_path_length", "average_path_smoothness", "average_path_clearance", "path_success_rate"])
 
-    return spread(both).groupBy("map_id").applyInPandas(run, "map_id long, average_path_length double, path_smoothness double, path_clearance double, success_rate double")
+    return spread(both).groupBy("map_id").applyInPandas(run, "map_id long, average_path_length double, average_path_smoothness double, average_path_clearance double, path_success_rate double")
 
 
 def report(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -171,7 +152,7 @@ def report(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 def evaluate_all(cells: DataFrame, nodes: DataFrame, edges: DataFrame, *, safety: float, resolution: float, threshold: int = 127, samples: int = 1000) -> DataFrame:
-    """(map_id, category, metric, value): coverage, graph, path and validity metrics of every map of ``cells``.
+    """(map_id, category, metric, value): coverage, graph_structure, path_planning and validation of every map of ``cells``.
 
     A map without a graph has zeros, valid and connected; truth values count as 1 and 0. Nodes outside their map are an
     error that names the map.
@@ -181,9 +162,9 @@ def evaluate_all(cells: DataFrame, nodes: DataFrame, edges: DataFrame, *, safety
     d = distance(cells, threshold, ring=False)
     blocked = inflate(d.withColumn("d2", F.coalesce("d2", F.lit(2**31 - 1))), safety, resolution).select("map_id", "row", "col", "blocked")
     maps = cells.select("map_id").distinct()
-    cover = coverage(cells, nodes, safety=safety, resolution=resolution, threshold=threshold)
+    cover = coverage(cells, nodes, threshold=threshold)
     graph = degree_stats(nodes, edges, maps).join(diameter(nodes, edges, maps), "map_id").join(clustering(nodes, edges, maps), "map_id")
-    path = for_maps(path_metrics(nodes, edges, cells, samples, threshold), maps, average_path_length=0.0, path_smoothness=0.0, path_clearance=0.0, success_rate=0.0)
-    parts = [("coverage", cover), ("graph", graph), ("path", path), ("validity", validity(nodes, edges, blocked))]
+    path = for_maps(path_metrics(nodes, edges, cells, samples, threshold), maps, average_path_length=0.0, average_path_smoothness=0.0, average_path_clearance=0.0, path_success_rate=0.0)
+    parts = [("coverage", cover), ("graph_structure", graph), ("path_planning", path), ("validation", validity(nodes, edges, blocked))]
     rows = [df.select(F.col("map_id").cast("long"), F.lit(name).alias("category"), F.explode(F.create_map(*[x for c in df.columns if c != "map_id" for x in (F.lit(c), F.col(c).cast("double"))])).alias("metric", "value")) for name, df in parts]
     return rows[0].union(rows[1]).union(rows[2]).union(rows[3])

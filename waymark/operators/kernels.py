@@ -391,7 +391,7 @@ def build(image: np.ndarray, resolution: float, safety: float, threshold: int =
             if q not in graph.near[p] and not collides(blocked, p, q):
                 graph.edge(p, q, "delaunay")
     if config.prune:
-        prune(graph, blocked, config.merge_distance / resolution, px(config.min_subgraph_length))
+        prune(graph, blocked, px(config.merge_distance), px(config.min_subgraph_length))
     return graph, blocked
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import build as b
-from ..operators import evaluate, graph, packed, raster
+from ..operators import evaluate, graph, packed, raster, tiles
 from ..sources import codecs, images, maps
 
 RES, SAFETY, LIMIT = 0.05, 0.1, 127
 MARGIN, SAMPLE = 2, 5
+TILE = 16  # of the tiled queries: a map of the suites is a dozen tiles
 # line numbers may repeat within an order
 PLACE = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
 
@@ -24,9 +25,9 @@ def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines between two cells of a suite A map, one for each order."""
-    o = maps.table(spark, d, "orders")
+    o = maps.table(spark, d, "orders").withColumn("maps", maps.count_of(spark, d))
     ids = maps.obstacles_a(spark, d).select("map_id").distinct()
-    lines = o.selectExpr("cast(o_custkey % 100 + 1 as bigint) AS map_id", "o_orderkey AS line_id", "cast(o_orderkey % 48 as int) AS r0", "cast(o_custkey % 64 as int) AS c0", "cast((o_orderkey div 48 + o_custkey) % 50 - 1 as int) AS r1", "cast((o_orderkey * 7) % 64 as int) AS c1")
+    lines = o.selectExpr("cast(o_custkey % maps + 1 as bigint) AS map_id", "o_orderkey AS line_id", "cast(o_orderkey % 48 as int) AS r0", "cast(o_custkey % 64 as int) AS c0", "cast((o_orderkey div 48 + o_custkey) % 50 - 1 as int) AS r1", "cast((o_orderkey * 7) % 64 as int) AS c1")
     return lines.join(ids, "map_id", "left_semi")
 
 
@@ -49,7 +50,7 @@ def _open_grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return maps.table(spark, d, "events").selectExpr("event_id", "cast(user_id % 100 + 1 as bigint) AS map_id", "cast(event_id % 20 as int) AS row", "cast((event_id div 20) % 24 as int) AS col")
+    return maps.table(spark, d, "events").withColumn("maps", maps.count_of(spark, d)).selectExpr("event_id", "cast(user_id % maps + 1 as bigint) AS map_id", "cast(event_id % 20 as int) AS row", "cast((event_id div 20) % 24 as int) AS col")
 
 
 def cells_threshold(s: SparkSession, d: str) -> DataFrame:
@@ -133,23 +134,20 @@ def small_components(s: SparkSession, d: str) -> DataFrame:
     return out.filter("total < 12").select("map_id", "component", F.round("total", 6).alias("total"))
 
 
+def _nearest(s: SparkSession, d: str) -> DataFrame:
+    """Each query point's cell with its nearest node; nulls outside the map."""
+    band = raster.border_band(_grid_cells(s, d), SAFETY, RES).select("map_id", "row", "col", (~F.col("blocked")).alias("free"))
+    return _points(s, d).join(tiles.nearest_nodes(band, _grid(s, d)[0], TILE), ["map_id", "row", "col"], "left")
+
+
 def nearest_node(s: SparkSession, d: str) -> DataFrame:
-    """Steps from each query point to its nearest node, null where the point is blocked or outside."""
-    cells = maps.maps_c(s, d).withColumn("row", F.explode(F.expr("sequence(0, height - 1)"))).withColumn("col", F.explode(F.expr("sequence(0, width - 1)")))
-    found = b.node_maps(raster.border_band(cells, SAFETY, RES), _grid(s, d)[0])
-    out = _points(s, d).join(found, ["map_id", "row", "col"], "left")
-    return out.select("event_id", F.when(F.col("label") >= 0, F.col("hops")).alias("hops")).withColumn("hops", F.coalesce("hops", F.lit(-1)))
+    """Steps from each query point to its nearest node, -1 where the point is blocked or outside."""
+    return _nearest(s, d).select("event_id", F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
 def nearest_node_id(s: SparkSession, d: str) -> DataFrame:
-    """The nearest node of each query point: -1 where the point is blocked or outside, -2 where several are as near."""
-    nodes = _grid(s, d)[0]
-    found = b.node_maps(raster.border_band(_grid_cells(s, d), SAFETY, RES), nodes)
-    out = _points(s, d).join(found, ["map_id", "row", "col"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
-    at = nodes.select("map_id", F.col("row").alias("r"), F.col("col").alias("c"))
-    steps = F.abs(F.col("row") - F.col("r")) + F.abs(F.col("col") - F.col("c"))
-    ties = out.filter("label >= 0").join(at, "map_id").filter(steps == F.col("hops")).groupBy("event_id").agg(F.count("*").alias("n"))
-    return out.join(ties, "event_id", "left").select("event_id", F.when(F.col("label") < 0, -1).when(F.col("n") > 1, -2).otherwise(F.col("label")).alias("node_id"))
+    """The nearest node of each query point, of several the first: -1 where the point is blocked or outside."""
+    return _nearest(s, d).select("event_id", F.greatest(F.coalesce("label", F.lit(-1)), F.lit(-1)).alias("node_id"))
 
 
 def pixel_units(s: SparkSession, d: str) -> DataFrame:
@@ -258,7 +256,7 @@ def gml_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def geojson_geometry(s: SparkSession, d: str) -> DataFrame:
-    """Grid graphs through GML to GeoJSON, feature by feature: ids, ends, cost and end points."""
+    """Grid graphs through GML to GeoJSON, feature by feature: ids, frame, ends and end points."""
     files = codecs.to_gml(*_grid(s, d))
     return codecs.geojson_rows(codecs.to_geojson(codecs.parse_gml_nodes(files), codecs.parse_gml_edges(files)))
 
@@ -279,7 +277,7 @@ def coverage(s: SparkSession, d: str) -> DataFrame:
     """Coverage of the whole graphs of suite A: share of the regions that hold a node."""
     cells = maps.cells_a(s, d)
     built = b.build_graphs(cells, resolution=RES, safety=SAFETY)
-    return evaluate.coverage(cells, b.nodes_of(built), safety=SAFETY, resolution=RES)
+    return evaluate.coverage(cells, b.nodes_of(built), size=TILE)
 
 
 def _grid_cells(s: SparkSession, d: str) -> DataFrame:
@@ -310,14 +308,34 @@ def path_metrics(s: SparkSession, d: str) -> DataFrame:
 
 
 def region_labels(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.regions(maps.cells_a(s, d), safety=SAFETY, resolution=RES)
+    """Regions of the maps' own free space, over tiles."""
+    return evaluate.regions(maps.cells_a(s, d), size=TILE)
 
 
 def point_coverage(s: SparkSession, d: str) -> DataFrame:
     """Coverage of suite A by the lines' first cells as nodes."""
     nodes = _lines(s, d).select("map_id", F.col("r0").alias("row"), F.col("c0").alias("col")).distinct()
-    out = evaluate.coverage(maps.cells_a(s, d), nodes, safety=SAFETY, resolution=RES)
-    return out.select("map_id", *[F.round(c, 5).alias(c) for c in ("free_space_coverage", "average_distance", "max_distance", "coverage_efficiency")])
+    out = evaluate.coverage(maps.cells_a(s, d), nodes, size=TILE)
+    return out.select("map_id", *[F.round(c, 5).alias(c) for c in ("free_space_coverage", "average_distance_to_node", "max_distance_to_node", "coverage_efficiency")])
+
+
+def tiled_distance(s: SparkSession, d: str) -> DataFrame:
+    """Squared distances of suite A over tiles, a border around the map counted as an obstacle."""
+    free = raster.threshold(maps.cells_a(s, d), LIMIT)
+    return tiles.distance_cells(tiles.distances(free, TILE, ring=True), TILE)
+
+
+def node_labels(s: SparkSession, d: str) -> DataFrame:
+    """The nearest node of every cell of suite A by a search from all nodes at once, over tiles. Nodes are the lines' first
+    cells, named in row-major order."""
+    at = _lines(s, d).select("map_id", F.col("r0").alias("row"), F.col("c0").alias("col")).distinct()
+    nodes = at.withColumn("node_id", (F.col("row") * maps.WIDTH + F.col("col")).cast("int"))
+    return tiles.nearest_nodes(raster.threshold(maps.cells_a(s, d), LIMIT), nodes, TILE)
+
+
+def edges_collision_free(s: SparkSession, d: str) -> DataFrame:
+    """Whether no edge of a grid graph, as drawn, meets an obstacle of the suite A map of the same id."""
+    return evaluate.collision_free(*_grid(s, d), maps.obstacles_a(s, d).withColumn("blocked", F.lit(True)))
 
 
 def route_cells(s: SparkSession, d: str) -> DataFrame:
@@ -383,7 +401,7 @@ def drawn_map_cells(s: SparkSession, d: str) -> DataFrame:
     return maps.warehouse(s).union(maps.office(s))
 
 
-QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, nearest_node_id, pixel_units, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, gml_edges, geojson_features, geojson_geometry, image_cells, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, skeleton_branches, boundary_rings, free_space_samples, delaunay_edges, drawn_map_cells)
+QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, nearest_node_id, pixel_units, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, gml_edges, geojson_features, geojson_geometry, image_cells, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, tiled_distance, node_labels, edges_collision_free, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, skeleton_branches, boundary_rings, free_space_samples, delaunay_edges, drawn_map_cells)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -395,10 +413,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OBS = "obs AS MATERIALIZED (SELECT DISTINCT l_suppkey AS map_id, CAST((l_orderkey * 31 + l_partkey * 7) % 48 AS INT) AS r, CAST((l_partkey * 17 + l_linenumber * 11) % 64 AS INT) AS c FROM lineitem WHERE l_quantity >= 45)"
 CELLS = OBS + ", m AS (SELECT DISTINCT map_id FROM obs), cells AS MATERIALIZED (SELECT m.map_id, CAST(a.i AS INT) AS r, CAST(b.i AS INT) AS c, CASE WHEN obs.r IS NULL THEN 255 ELSE 0 END AS v FROM m CROSS JOIN range(48) a(i) CROSS JOIN range(64) b(i) LEFT JOIN obs ON obs.map_id = m.map_id AND obs.r = a.i AND obs.c = b.i)"
 EDT = CELLS + ", raw AS MATERIALIZED (SELECT cells.map_id, cells.r, cells.c, CAST(min((cells.r - obs.r) * (cells.r - obs.r) + (cells.c - obs.c) * (cells.c - obs.c)) AS INT) AS d0 FROM cells JOIN obs USING (map_id) GROUP BY ALL), edt AS MATERIALIZED (SELECT map_id, r, c, d0, CAST(least(d0, least(r + 1, 48 - r, c + 1, 64 - c) * least(r + 1, 48 - r, c + 1, 64 - c)) AS INT) AS d2 FROM raw), blk AS MATERIALIZED (SELECT *, CAST(sqrt(d2) AS FLOAT) < CAST(0.1::DOUBLE / 0.05::DOUBLE AS FLOAT) AS blocked FROM edt)"
-LINES = "ln AS (SELECT CAST(o_custkey % 100 + 1 AS BIGINT) AS map_id, o_orderkey AS line_id, CAST(o_orderkey % 48 AS INT) AS r0, CAST(o_custkey % 64 AS INT) AS c0, CAST((o_orderkey // 48 + o_custkey) % 50 - 1 AS INT) AS r1, CAST((o_orderkey * 7) % 64 AS INT) AS c1 FROM orders WHERE o_custkey % 100 + 1 IN (SELECT map_id FROM obs))"
+LINES = "ln AS (SELECT CAST(o_custkey % (SELECT count(*) FROM supplier) + 1 AS BIGINT) AS map_id, o_orderkey AS line_id, CAST(o_orderkey % 48 AS INT) AS r0, CAST(o_custkey % 64 AS INT) AS c0, CAST((o_orderkey // 48 + o_custkey) % 50 - 1 AS INT) AS r1, CAST((o_orderkey * 7) % 64 AS INT) AS c1 FROM orders WHERE o_custkey % (SELECT count(*) FROM supplier) + 1 IN (SELECT map_id FROM obs))"
 WALK = "wk0 AS (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0)) AS n, least(abs(r1 - r0), abs(c1 - c0)) AS mn FROM ln), wk1 AS (SELECT *, unnest(range(n + 1)) AS i FROM wk0), wk2 AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * i * mn + n - 1) // (2 * n) END AS k FROM wk1), wk AS (SELECT map_id, line_id, i, CAST(r0 + sign(r1 - r0) * CASE WHEN abs(c1 - c0) >= abs(r1 - r0) THEN k ELSE i END AS INT) AS r, CAST(c0 + sign(c1 - c0) * CASE WHEN abs(c1 - c0) >= abs(r1 - r0) THEN i ELSE k END AS INT) AS c FROM wk2)"
 HIT = "hit AS (SELECT DISTINCT wk.line_id FROM wk JOIN blk ON blk.map_id = wk.map_id AND blk.r = wk.r AND blk.c = wk.c AND blk.blocked), col AS (SELECT ln.*, hit.line_id IS NOT NULL OR NOT (r0 BETWEEN 0 AND 47 AND c0 BETWEEN 0 AND 63 AND r1 BETWEEN 0 AND 47 AND c1 BETWEEN 0 AND 63) AS collides FROM ln LEFT JOIN hit USING (line_id))"
-PTS = "pts AS (SELECT event_id, CAST(user_id % 100 + 1 AS BIGINT) AS map_id, CAST(event_id % 20 AS INT) AS r, CAST((event_id // 20) % 24 AS INT) AS c FROM events)"
+PTS = "pts AS (SELECT event_id, CAST(user_id % (SELECT count(*) FROM supplier) + 1 AS BIGINT) AS map_id, CAST(event_id % 20 AS INT) AS r, CAST((event_id // 20) % 24 AS INT) AS c FROM events)"
 MAPC = "mc AS (SELECT CAST(s_suppkey AS BIGINT) AS map_id, 20 + s_suppkey % 25 AS h, 24 + s_suppkey % 5 AS w, greatest(1, least(5, (least(20 + s_suppkey % 25, 24 + s_suppkey % 5) - 4) // 2)) AS st FROM supplier)"
 GRID = MAPC + ", ys AS (SELECT *, unnest(range(2, h - 2, st)) AS y FROM mc), xs AS (SELECT *, unnest(range(2, w - 2, st)) AS x FROM ys), mt AS (SELECT map_id, st, y, x, y * w + x AS vis, s AS slot, y + CASE WHEN s >= 2 THEN st ELSE 0 END AS r, x + CASE WHEN s IN (1, 3) THEN st ELSE 0 END AS c, h, w FROM xs CROSS JOIN range(4) q(s)), ok AS (SELECT * FROM mt WHERE r < h - 2 AND c < w - 2), nd AS (SELECT map_id, CAST(row_number() OVER (PARTITION BY map_id ORDER BY min(vis * 4 + slot)) - 1 AS INT) AS node_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM ok GROUP BY map_id, r, c), ed AS (SELECT ok.map_id, least(a.node_id, b.node_id) AS src, greatest(a.node_id, b.node_id) AS dst, CASE WHEN slot = 3 THEN st * sqrt(2.0) ELSE CAST(st AS DOUBLE) END AS weight FROM ok JOIN nd a ON a.map_id = ok.map_id AND a.r = ok.y AND a.c = ok.x JOIN nd b ON b.map_id = ok.map_id AND b.r = ok.r AND b.c = ok.c WHERE slot > 0)"
 BOTH = "bo AS (SELECT map_id, src, dst, weight FROM ed UNION ALL SELECT map_id, dst, src, weight FROM ed)"
@@ -406,9 +424,10 @@ RING = f"rg AS (SELECT l_orderkey AS ring_id, CAST({PLACE} AS INT) AS seq, CAST(
 UPS = "up0 AS (SELECT *, sqrt(CAST((r1 - r0) * (r1 - r0) + (c1 - c0) * (c1 - c0) AS DOUBLE)) AS dd FROM ln), up1 AS (SELECT *, CASE WHEN dd <= 7 THEN 1 ELSE greatest(1, CAST(ceil(dd / 7) AS INT)) END AS n FROM up0), up AS (SELECT line_id, n, i, r0 + (r1 - r0) * i / n AS x, c0 + (c1 - c0) * i / n AS y FROM (SELECT *, unnest(range(n + 1)) AS i FROM up1))"
 LESS = OBS + ", le AS (SELECT ed.*, a.r AS ar, a.c AS ac, b.r AS br, b.c AS bc FROM ed JOIN nd a ON a.map_id = ed.map_id AND a.node_id = src JOIN nd b ON b.map_id = ed.map_id AND b.node_id = dst), lh AS (SELECT DISTINCT le.map_id, src, dst FROM (SELECT *, unnest(range(greatest(abs(br - ar), abs(bc - ac)) + 1)) AS i FROM le) le JOIN obs ON obs.map_id = le.map_id AND obs.r = ar + sign(br - ar) * i AND obs.c = ac + sign(bc - ac) * i), sub AS MATERIALIZED (SELECT ed.* FROM ed LEFT JOIN lh ON lh.map_id = ed.map_id AND lh.src = ed.src AND lh.dst = ed.dst WHERE lh.src IS NULL)"
 SUB = LESS + ", sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), reach AS (SELECT map_id, node_id, node_id AS root FROM nd UNION SELECT reach.map_id, sb.dst, reach.root FROM reach JOIN sb ON sb.map_id = reach.map_id AND sb.src = reach.node_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM reach GROUP BY ALL)"
-MIX = LESS + ", sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), hp(map_id, root, node_id, hops) USING KEY (map_id, root, node_id) AS (SELECT map_id, node_id, node_id, 0 FROM nd UNION (SELECT hp.map_id, hp.root, sb.dst, min(hp.hops + 1) FROM hp JOIN sb ON sb.map_id = hp.map_id AND sb.src = hp.node_id LEFT JOIN recurring.hp AS k ON k.map_id = hp.map_id AND k.root = hp.root AND k.node_id = sb.dst WHERE k.hops IS NULL GROUP BY ALL)), sz AS (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id), dia AS (SELECT map_id, CASE WHEN count(*) < any_value(nn) * any_value(nn) THEN CAST('inf' AS DOUBLE) ELSE CAST(max(hops) AS DOUBLE) END AS graph_diameter FROM hp JOIN sz USING (map_id) GROUP BY map_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM hp GROUP BY ALL), nv AS (SELECT map_id, bool_and(r BETWEEN 2 AND h - 3 AND c BETWEEN 2 AND w - 3) AS node_validity FROM nd JOIN mc USING (map_id) GROUP BY map_id), ev AS (SELECT map_id, bool_and(weight > 0 AND weight <= sqrt(CAST(h * h + w * w AS DOUBLE))) AS edge_length_validity FROM sub JOIN mc USING (map_id) GROUP BY map_id), val AS (SELECT map_id, node_validity, num_subgraphs = 1 AS connectivity, num_subgraphs, coalesce(edge_length_validity, true) AS edge_length_validity FROM nv JOIN (SELECT map_id, count(DISTINCT component) AS num_subgraphs FROM cmp GROUP BY map_id) USING (map_id) LEFT JOIN ev USING (map_id))"
+MIX = LESS + ", sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), hp(map_id, root, node_id, hops) USING KEY (map_id, root, node_id) AS (SELECT map_id, node_id, node_id, 0 FROM nd UNION (SELECT hp.map_id, hp.root, sb.dst, min(hp.hops + 1) FROM hp JOIN sb ON sb.map_id = hp.map_id AND sb.src = hp.node_id LEFT JOIN recurring.hp AS k ON k.map_id = hp.map_id AND k.root = hp.root AND k.node_id = sb.dst WHERE k.hops IS NULL GROUP BY ALL)), sz AS (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id), dia AS (SELECT map_id, CASE WHEN count(*) < any_value(nn) * any_value(nn) THEN CAST('inf' AS DOUBLE) ELSE CAST(max(hops) AS DOUBLE) END AS graph_diameter FROM hp JOIN sz USING (map_id) GROUP BY map_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM hp GROUP BY ALL), nv AS (SELECT map_id, bool_and(r BETWEEN 2 AND h - 3 AND c BETWEEN 2 AND w - 3) AS node_validity FROM nd JOIN mc USING (map_id) GROUP BY map_id), ev AS (SELECT map_id, bool_and(weight > 0 AND weight <= sqrt(CAST(h * h + w * w AS DOUBLE))) AS edge_length_validity FROM sub JOIN mc USING (map_id) GROUP BY map_id), cf AS (SELECT sub.map_id, bool_and(least(a.r, b.r) >= 2 AND greatest(a.r, b.r) <= h - 3 AND least(a.c, b.c) >= 2 AND greatest(a.c, b.c) <= w - 3) AS collision_free FROM sub JOIN nd a ON a.map_id = sub.map_id AND a.node_id = src JOIN nd b ON b.map_id = sub.map_id AND b.node_id = dst JOIN mc ON mc.map_id = sub.map_id GROUP BY sub.map_id), val AS (SELECT map_id, coalesce(collision_free, true) AS collision_free, node_validity, num_subgraphs = 1 AS connectivity, num_subgraphs, coalesce(edge_length_validity, true) AS edge_length_validity FROM nv JOIN (SELECT map_id, count(DISTINCT component) AS num_subgraphs FROM cmp GROUP BY map_id) USING (map_id) LEFT JOIN ev USING (map_id) LEFT JOIN cf USING (map_id))"
 CLUST = "bw AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), tr AS (SELECT a.map_id, a.src AS node_id, count(*) / 2 AS t FROM bw a JOIN bw b ON a.map_id = b.map_id AND a.src = b.src AND a.dst <> b.dst JOIN bw c ON c.map_id = a.map_id AND c.src = a.dst AND c.dst = b.dst GROUP BY ALL), dg AS (SELECT map_id, src AS node_id, count(*) AS d FROM bw GROUP BY ALL), clu AS (SELECT nd.map_id, avg(CASE WHEN coalesce(d, 0) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) END) AS average_clustering FROM nd LEFT JOIN dg USING (map_id, node_id) LEFT JOIN tr USING (map_id, node_id) GROUP BY nd.map_id)"
-REGION = "fr AS (SELECT map_id, r, c FROM edt WHERE CAST(sqrt(d0) AS FLOAT) >= CAST(0.1::DOUBLE / 0.05::DOUBLE AS FLOAT)), lb(map_id, r, c, l) USING KEY (map_id, r, c) AS (SELECT map_id, r, c, r * 64 + c FROM fr UNION (SELECT f.map_id, f.r, f.c, min(x.l) FROM (SELECT map_id, r + a.i AS r, c + b.i AS c, l FROM lb CROSS JOIN range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(i)) x JOIN recurring.lb AS f ON f.map_id = x.map_id AND f.r = x.r AND f.c = x.c WHERE x.l < f.l GROUP BY ALL))"
+REGION = "fr AS (SELECT map_id, r, c FROM cells WHERE v > 127), lb(map_id, r, c, l) USING KEY (map_id, r, c) AS (SELECT map_id, r, c, r * 64 + c FROM fr UNION (SELECT f.map_id, f.r, f.c, min(x.l) FROM (SELECT map_id, r + a.i AS r, c + b.i AS c, l FROM lb CROSS JOIN range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(i)) x JOIN recurring.lb AS f ON f.map_id = x.map_id AND f.r = x.r AND f.c = x.c WHERE x.l < f.l GROUP BY ALL))"
+FLOOD = "nn AS (SELECT DISTINCT map_id, r0 AS r, c0 AS c FROM ln), fr AS (SELECT map_id, r, c FROM cells WHERE v > 127), fl(map_id, r, c, hops, o) USING KEY (map_id, r, c) AS (SELECT map_id, r, c, 0, r * 64 + c FROM nn JOIN fr USING (map_id, r, c) UNION (SELECT fr.map_id, fr.r, fr.c, min(x.hops + 1), min(x.o) FROM fl x CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) s(i, j) JOIN fr ON fr.map_id = x.map_id AND fr.r = x.r + s.i AND fr.c = x.c + s.j LEFT JOIN recurring.fl k ON k.map_id = fr.map_id AND k.r = fr.r AND k.c = fr.c WHERE k.o IS NULL GROUP BY fr.map_id, fr.r, fr.c))"
 STEPS = "sg AS (SELECT *, max(seq) OVER (PARTITION BY ring_id) AS last FROM nx), s0 AS (SELECT *, greatest(abs(nr - r), abs(nc - c)) AS n, least(abs(nr - r), abs(nc - c)) AS mn FROM sg WHERE seq < last), s1 AS (SELECT *, unnest(range(n + 1)) AS i FROM s0), s2 AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * i * mn + n - 1) // (2 * n) END AS k FROM s1), st AS (SELECT ring_id, seq, CAST(i AS INT) AS i, CAST(r + sign(nr - r) * CASE WHEN abs(nc - c) >= abs(nr - r) THEN k ELSE i END AS INT) AS r, CAST(c + sign(nc - c) * CASE WHEN abs(nc - c) >= abs(nr - r) THEN i ELSE k END AS INT) AS c FROM s2)"
 
 
@@ -433,7 +452,7 @@ def oracle_sql() -> dict[str, str]:
         "components_count": f"WITH RECURSIVE {GRID}, {SUB} SELECT map_id, count(DISTINCT component) AS num_subgraphs FROM cmp GROUP BY map_id",
         "small_components": f"WITH RECURSIVE {GRID}, {SUB}, tt AS (SELECT sub.map_id, component, sum(weight) AS total FROM sub JOIN cmp ON cmp.map_id = sub.map_id AND cmp.node_id = sub.src GROUP BY ALL) SELECT map_id, component, round(coalesce(total, 0), 6) AS total FROM (SELECT DISTINCT map_id, component FROM cmp) LEFT JOIN tt USING (map_id, component) WHERE coalesce(total, 0) < 12",
         "nearest_node": f"WITH {GRID}, {PTS}, nn AS (SELECT event_id, min(abs(pts.r - nd.r) + abs(pts.c - nd.c)) AS hops FROM pts JOIN mc USING (map_id) JOIN nd USING (map_id) WHERE pts.r BETWEEN 2 AND h - 3 AND pts.c BETWEEN 2 AND w - 3 GROUP BY event_id) SELECT event_id, CAST(coalesce(hops, -1) AS INT) AS hops FROM pts LEFT JOIN nn USING (event_id)",
-        "nearest_node_id": f"WITH {GRID}, {PTS}, nn AS (SELECT event_id, node_id, abs(pts.r - nd.r) + abs(pts.c - nd.c) AS k FROM pts JOIN mc USING (map_id) JOIN nd USING (map_id) WHERE pts.r BETWEEN 2 AND h - 3 AND pts.c BETWEEN 2 AND w - 3), best AS (SELECT event_id, min(node_id) AS node_id, count(*) AS q FROM nn WHERE k = (SELECT min(k) FROM nn o WHERE o.event_id = nn.event_id) GROUP BY event_id) SELECT event_id, CAST(CASE WHEN q IS NULL THEN -1 WHEN q > 1 THEN -2 ELSE node_id END AS INT) AS node_id FROM pts LEFT JOIN best USING (event_id)",
+        "nearest_node_id": f"WITH {GRID}, {PTS}, nn AS (SELECT event_id, node_id, abs(pts.r - nd.r) + abs(pts.c - nd.c) AS k FROM pts JOIN mc USING (map_id) JOIN nd USING (map_id) WHERE pts.r BETWEEN 2 AND h - 3 AND pts.c BETWEEN 2 AND w - 3), best AS (SELECT event_id, min(node_id) AS node_id FROM nn WHERE k = (SELECT min(k) FROM nn o WHERE o.event_id = nn.event_id) GROUP BY event_id) SELECT event_id, CAST(coalesce(node_id, -1) AS INT) AS node_id FROM pts LEFT JOIN best USING (event_id)",
         "pixel_units": "SELECT event_id, round(abs(value) / 0.05::DOUBLE, 6) AS pixels, greatest(1, CAST(ceil(abs(value) / 0.05::DOUBLE) AS INT)) AS whole, round(abs(value), 6) AS x, CAST(event_id % 97 AS DOUBLE) AS y, 0.0::DOUBLE AS z FROM events",
         "shortest_path_len": f"WITH RECURSIVE {GRID}, {BOTH}, sp(map_id, node_id, d) USING KEY (map_id, node_id) AS (SELECT map_id, node_id, 0.0::DOUBLE FROM nd WHERE node_id = 0 UNION (SELECT sp.map_id, bo.dst, min(sp.d + bo.weight) FROM sp JOIN bo ON bo.map_id = sp.map_id AND bo.src = sp.node_id LEFT JOIN recurring.sp AS k ON k.map_id = sp.map_id AND k.node_id = bo.dst WHERE k.d IS NULL OR sp.d + bo.weight < k.d - 1e-9 GROUP BY sp.map_id, bo.dst)) SELECT nd.map_id * 10000 + nd.node_id AS route_id, sp.d IS NOT NULL AS found, round(coalesce(sp.d, -1.0), 4) AS length FROM nd LEFT JOIN sp USING (map_id, node_id)",
         "degree_stats": f"WITH {GRID} SELECT map_id, nn AS num_nodes, coalesce(ne, 0) AS num_edges, round(2.0 * coalesce(ne, 0) / nn, 6) AS average_degree, round(coalesce(aw, 0), 6) AS average_edge_length FROM (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id) LEFT JOIN (SELECT map_id, count(*) AS ne, avg(weight) AS aw FROM ed GROUP BY map_id) USING (map_id)",
@@ -447,18 +466,21 @@ def oracle_sql() -> dict[str, str]:
         "upsample": f"WITH {OBS}, {LINES}, {UPS} SELECT line_id, CAST(i AS INT) AS i, round(x, 6) AS x, round(y, 6) AS y FROM up",
         "route_vectors": f"WITH {OBS}, {LINES}, {UPS}, ix AS (SELECT u.line_id, q.i, u.n FROM (SELECT DISTINCT line_id, n FROM up) u CROSS JOIN range(10) q(i)) SELECT ix.line_id, CAST(ix.i AS INT) AS i, round(a.x, 6) AS v0, round(a.y, 6) AS v1, round(b.x, 6) AS v2, round(b.y, 6) AS v3 FROM ix JOIN up a ON a.line_id = ix.line_id AND a.i = least(ix.i, ix.n) JOIN up b ON b.line_id = ix.line_id AND b.i = least(ix.i + 1, ix.n)",
         "clip_commands": "SELECT event_id, round(greatest(least(value, 0.5), -0.5), 9) AS clipped FROM events",
-        "route_gates": f"WITH {EDT}, {LINES}, {WALK}, {HIT} SELECT line_id, CASE WHEN NOT coalesce(NOT a.blocked, false) THEN 'bad start' WHEN NOT coalesce(NOT b.blocked, false) THEN 'bad goal' WHEN sqrt(CAST((r1 - r0) * (r1 - r0) + (c1 - c0) * (c1 - c0) AS DOUBLE)) * 0.05::DOUBLE < 1.0 AND NOT collides THEN 'straight' ELSE 'search' END AS gate FROM col LEFT JOIN blk a ON a.map_id = col.map_id AND a.r = r0 AND a.c = c0 LEFT JOIN blk b ON b.map_id = col.map_id AND b.r = r1 AND b.c = c1",
+        "route_gates": f"WITH {EDT}, {LINES}, {WALK}, {HIT}, en AS (SELECT line_id, true AS head, map_id, r0 AS r, c0 AS c FROM ln UNION ALL SELECT line_id, false, map_id, r1, c1 FROM ln), eb AS (SELECT line_id, bool_or(head) AS ok0, bool_or(NOT head) AS ok1 FROM en JOIN blk USING (map_id, r, c) WHERE NOT blocked GROUP BY line_id) SELECT line_id, CASE WHEN NOT coalesce(ok0, false) THEN 'bad start' WHEN NOT coalesce(ok1, false) THEN 'bad goal' WHEN sqrt(CAST((r1 - r0) * (r1 - r0) + (c1 - c0) * (c1 - c0) AS DOUBLE)) * 0.05::DOUBLE < 1.0 AND NOT collides THEN 'straight' ELSE 'search' END AS gate FROM col LEFT JOIN eb USING (line_id)",
         "overlay_pixels": f'WITH {CELLS}, {LINES}, dk AS (SELECT DISTINCT map_id, r0 + a.i AS r, c0 + b.i AS c FROM ln CROSS JOIN range(-2, 3) a(i) CROSS JOIN range(-2, 3) b(i) WHERE a.i * a.i + b.i * b.i <= 4) SELECT cells.map_id, cells.r AS "row", cells.c AS col, CASE WHEN dk.r IS NULL THEN v ELSE 0 END AS r, CASE WHEN dk.r IS NULL THEN v ELSE 255 END AS b FROM cells LEFT JOIN dk ON dk.map_id = cells.map_id AND dk.r = cells.r AND dk.c = cells.c',
         "gml_parse": f'WITH {GRID} SELECT map_id, node_id, r AS "row", c AS col, round(c * 0.05::DOUBLE, 4) AS x, round(-r * 0.05::DOUBLE, 4) AS y FROM nd',
         "gml_edges": f"WITH {GRID} SELECT map_id, src, dst, round(weight, 4) AS weight, 'grid' AS edge_type FROM ed",
-        "geojson_geometry": f"WITH {GRID}, pt AS (SELECT map_id, node_id, round(c * 0.05::DOUBLE, 4) AS x, round(-r * 0.05::DOUBLE, 4) AS y FROM nd), sz AS (SELECT map_id, count(*) AS n FROM nd GROUP BY map_id), way AS (SELECT map_id, src, dst, weight, 0 AS k, src AS a, dst AS b FROM ed UNION ALL SELECT map_id, src, dst, weight, 1, dst, src FROM ed), ln AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY src, dst, k) AS q FROM way) SELECT map_id, CAST(node_id AS BIGINT) AS id, 'Point' AS type, -1 AS startid, -1 AS endid, -1.0::DOUBLE AS cost, x AS x0, y AS y0, x AS x1, y AS y1 FROM pt UNION ALL SELECT ln.map_id, n + q - 1, 'MultiLineString', a, b, round(weight, 4), p.x, p.y, o.x, o.y FROM ln JOIN sz ON sz.map_id = ln.map_id JOIN pt p ON p.map_id = ln.map_id AND p.node_id = a JOIN pt o ON o.map_id = ln.map_id AND o.node_id = b",
+        "geojson_geometry": f"WITH {GRID}, pt AS (SELECT map_id, node_id, round(c * 0.05::DOUBLE, 4) AS x, round(-r * 0.05::DOUBLE, 4) AS y FROM nd), sz AS (SELECT map_id, count(*) AS n FROM nd GROUP BY map_id), way AS (SELECT map_id, src, dst, 0 AS k, src AS a, dst AS b FROM ed UNION ALL SELECT map_id, src, dst, 1, dst, src FROM ed), ln AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY src, dst, k) AS q FROM way) SELECT map_id, CAST(node_id AS BIGINT) AS id, 'Point' AS type, 'map' AS frame, -1 AS startid, -1 AS endid, x AS x0, y AS y0, x AS x1, y AS y1 FROM pt UNION ALL SELECT ln.map_id, n + q - 1, 'MultiLineString', '', a, b, p.x, p.y, o.x, o.y FROM ln JOIN sz ON sz.map_id = ln.map_id JOIN pt p ON p.map_id = ln.map_id AND p.node_id = a JOIN pt o ON o.map_id = ln.map_id AND o.node_id = b",
         "image_cells": f'WITH {CELLS} SELECT map_id, r AS "row", c AS col, v AS "value" FROM cells',
         "geojson_features": f"WITH {GRID} SELECT map_id, nn AS points, coalesce(2 * ne, 0) AS lines, nn + coalesce(2 * ne, 0) - 1 AS last_id FROM (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id) LEFT JOIN (SELECT map_id, count(*) AS ne FROM ed GROUP BY map_id) USING (map_id)",
         "graph_diameter": f"WITH RECURSIVE {GRID}, {MIX} SELECT map_id, graph_diameter FROM dia",
         "graph_validity": f"WITH RECURSIVE {GRID}, {MIX} SELECT * FROM val",
-        "evaluation_report": f"WITH RECURSIVE {GRID}, {MIX}, {CLUST}, ec AS (SELECT map_id, count(*) AS ne, avg(weight) AS aw FROM sub GROUP BY map_id), rp AS (SELECT map_id, nn AS num_nodes, coalesce(ne, 0) AS num_edges, round(round(2.0::DOUBLE * coalesce(ne, 0) / nn, 6), 5) AS average_degree, round(round(coalesce(aw, 0), 6), 5) AS average_edge_length, graph_diameter, round(round(average_clustering, 6), 5) AS average_clustering, node_validity, connectivity, num_subgraphs, edge_length_validity FROM sz LEFT JOIN ec USING (map_id) JOIN dia USING (map_id) JOIN clu USING (map_id) JOIN val USING (map_id)) SELECT *, 'map ' || map_id || ': ' || num_nodes || ' nodes, ' || num_edges || ' edges, ' || num_subgraphs || ' subgraphs, nodes valid: ' || CAST(node_validity AS VARCHAR) || ', lengths valid: ' || CAST(edge_length_validity AS VARCHAR) AS summary FROM rp",
-        "region_labels": f'WITH RECURSIVE {EDT}, {REGION} SELECT map_id, r AS "row", c AS col, CAST(dense_rank() OVER (PARTITION BY map_id ORDER BY l) AS INT) AS region FROM lb',
-        "point_coverage": f"WITH RECURSIVE {EDT}, {LINES}, {REGION}, nn AS (SELECT DISTINCT map_id, r0 AS r, c0 AS c FROM ln), held AS (SELECT DISTINCT lb.map_id, l FROM lb JOIN nn ON nn.map_id = lb.map_id AND nn.r = lb.r AND nn.c = lb.c), ins AS (SELECT lb.map_id, lb.r, lb.c FROM lb JOIN held ON held.map_id = lb.map_id AND held.l = lb.l), dd AS (SELECT ins.map_id, ins.r, ins.c, sqrt(CAST(min((ins.r - nn.r) * (ins.r - nn.r) + (ins.c - nn.c) * (ins.c - nn.c)) AS DOUBLE)) AS d FROM ins JOIN nn ON nn.map_id = ins.map_id GROUP BY ALL), ag AS (SELECT map_id, count(*) AS k, avg(d) AS ad, max(d) AS md FROM dd GROUP BY map_id), tot AS (SELECT m.map_id, count(fr.r) AS n FROM m LEFT JOIN fr USING (map_id) GROUP BY m.map_id), nc AS (SELECT map_id, count(*) AS q FROM nn GROUP BY map_id) SELECT map_id, round(CASE WHEN n = 0 OR q IS NULL THEN 0.0::DOUBLE ELSE coalesce(k, 0) / CAST(n AS DOUBLE) END, 5) AS free_space_coverage, CASE WHEN n > 0 THEN round(ad, 5) END AS average_distance, CASE WHEN n > 0 THEN round(md, 5) END AS max_distance, round(CASE WHEN n = 0 OR q IS NULL THEN 0.0::DOUBLE ELSE coalesce(k, 0) / CAST(n AS DOUBLE) / q END, 5) AS coverage_efficiency FROM tot LEFT JOIN ag USING (map_id) LEFT JOIN nc USING (map_id)",
+        "evaluation_report": f"WITH RECURSIVE {GRID}, {MIX}, {CLUST}, ec AS (SELECT map_id, count(*) AS ne, avg(weight) AS aw FROM sub GROUP BY map_id), rp AS (SELECT map_id, nn AS num_nodes, coalesce(ne, 0) AS num_edges, round(round(2.0::DOUBLE * coalesce(ne, 0) / nn, 6), 5) AS average_degree, round(round(coalesce(aw, 0), 6), 5) AS average_edge_length, graph_diameter, round(round(average_clustering, 6), 5) AS average_clustering, collision_free, node_validity, connectivity, num_subgraphs, edge_length_validity FROM sz LEFT JOIN ec USING (map_id) JOIN dia USING (map_id) JOIN clu USING (map_id) JOIN val USING (map_id)) SELECT *, 'map ' || map_id || ': ' || num_nodes || ' nodes, ' || num_edges || ' edges, ' || num_subgraphs || ' subgraphs, nodes valid: ' || CAST(node_validity AS VARCHAR) || ', lengths valid: ' || CAST(edge_length_validity AS VARCHAR) AS summary FROM rp",
+        "region_labels": f'WITH RECURSIVE {CELLS}, {REGION} SELECT map_id, r AS "row", c AS col, CAST(dense_rank() OVER (PARTITION BY map_id ORDER BY l) AS INT) AS region FROM lb',
+        "point_coverage": f"WITH RECURSIVE {CELLS}, {LINES}, {REGION}, nn AS (SELECT DISTINCT map_id, r0 AS r, c0 AS c FROM ln), held AS (SELECT DISTINCT lb.map_id, l FROM lb JOIN nn ON nn.map_id = lb.map_id AND nn.r = lb.r AND nn.c = lb.c), ins AS (SELECT lb.map_id, lb.r, lb.c FROM lb JOIN held ON held.map_id = lb.map_id AND held.l = lb.l), dd AS (SELECT ins.map_id, ins.r, ins.c, CAST(CAST(sqrt(CAST(min((ins.r - nn.r) * (ins.r - nn.r) + (ins.c - nn.c) * (ins.c - nn.c)) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS d FROM ins JOIN nn ON nn.map_id = ins.map_id GROUP BY ALL), ag AS (SELECT map_id, count(*) AS k, avg(d) AS ad, max(d) AS md FROM dd GROUP BY map_id), tot AS (SELECT m.map_id, count(fr.r) AS n FROM m LEFT JOIN fr USING (map_id) GROUP BY m.map_id), nc AS (SELECT map_id, count(*) AS q FROM nn GROUP BY map_id) SELECT map_id, round(CASE WHEN n = 0 OR q IS NULL THEN 0.0::DOUBLE ELSE coalesce(k, 0) / CAST(n AS DOUBLE) END, 5) AS free_space_coverage, CASE WHEN n > 0 THEN round(ad, 5) END AS average_distance_to_node, CASE WHEN n > 0 THEN round(md, 5) END AS max_distance_to_node, round(CASE WHEN n = 0 OR q IS NULL THEN 0.0::DOUBLE ELSE coalesce(k, 0) / CAST(n AS DOUBLE) / q END, 5) AS coverage_efficiency FROM tot LEFT JOIN ag USING (map_id) LEFT JOIN nc USING (map_id)",
+        "tiled_distance": f'WITH {EDT} SELECT map_id, r AS "row", c AS col, d2 FROM edt',
+        "node_labels": f'WITH RECURSIVE {CELLS}, {LINES}, {FLOOD} SELECT cells.map_id, cells.r AS "row", cells.c AS col, CAST(CASE WHEN v <= 127 THEN -2 ELSE coalesce(o, -1) END AS INT) AS label, CAST(coalesce(hops, -1) AS INT) AS hops FROM cells LEFT JOIN fl ON fl.map_id = cells.map_id AND fl.r = cells.r AND fl.c = cells.c',
+        "edges_collision_free": f"WITH {GRID}, {LESS} SELECT map_id, NOT EXISTS (SELECT 1 FROM lh WHERE lh.map_id = em.map_id) AS collision_free FROM (SELECT DISTINCT map_id FROM ed) em",
         "route_cells": f'WITH {RING}, {STEPS} SELECT ring_id, seq, i, r AS "row", c AS col FROM st',
         "route_poses": f"WITH {RING}, {STEPS} SELECT ring_id, seq, i, round(c * 0.05::DOUBLE * cos(0.3::DOUBLE) + r * 0.05::DOUBLE * sin(0.3::DOUBLE) + 1.5, 6) AS x, round(c * 0.05::DOUBLE * sin(0.3::DOUBLE) - r * 0.05::DOUBLE * cos(0.3::DOUBLE) - 2.0, 6) AS y, 0.0::DOUBLE AS z, 1.0::DOUBLE AS orientation_w FROM st",
         "drawn_lines": f'WITH {OBS}, {LINES}, {WALK.replace("+ n - 1)", "+ n)")} SELECT line_id, CAST(i AS INT) AS i, r AS "row", c AS col FROM wk WHERE r BETWEEN 0 AND 47 AND c BETWEEN 0 AND 63',

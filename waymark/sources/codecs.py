@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from datetime import datetime
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -43,23 +44,23 @@ def to_geojson(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Points are the nodes' world places x, y where they have them, else column and negative row.
     """
     xy = F.array("x", "y") if "x" in nodes.columns else F.array(F.col("col").cast("double"), -F.col("row").cast("double"))
-    points = nodes.select("map_id", F.col("node_id").cast("long").alias("id"), F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("node_id").alias("id")).alias("properties"), F.struct(F.lit("Point").alias("type"), xy.alias("coordinates")).alias("geometry"))).alias("feature"))
+    points = nodes.select("map_id", F.col("node_id").cast("long").alias("id"), F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("node_id").alias("id"), F.lit("map").alias("frame")).alias("properties"), F.struct(F.lit("Point").alias("type"), xy.alias("coordinates")).alias("geometry"))).alias("feature"))
     end = lambda k: nodes.select("map_id", F.col("node_id").alias(k), xy.alias(f"{k}_xy"))
-    both = edges.select("map_id", "src", "dst", "weight").join(end("src"), ["map_id", "src"]).join(end("dst"), ["map_id", "dst"])
-    ways = both.select("map_id", "src", "dst", "weight", F.posexplode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.array("src_xy", "dst_xy").alias("l")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.array("dst_xy", "src_xy").alias("l")))).alias("way", "p"))
+    both = edges.select("map_id", "src", "dst").join(end("src"), ["map_id", "src"]).join(end("dst"), ["map_id", "dst"])
+    ways = both.select("map_id", "src", "dst", F.posexplode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.array("src_xy", "dst_xy").alias("l")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.array("dst_xy", "src_xy").alias("l")))).alias("way", "p"))
     start = nodes.groupBy("map_id").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("map_id").orderBy("src", "dst", "way"))
     ways = ways.withColumn("k", rank).join(start, "map_id").withColumn("id", F.col("n") + F.col("k") - 1)
-    lines = ways.select("map_id", "id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("id", F.col("p.a").alias("startid"), F.col("p.b").alias("endid"), F.col("weight").alias("cost")).alias("properties"), F.struct(F.lit("MultiLineString").alias("type"), F.array("p.l").alias("coordinates")).alias("geometry"))).alias("feature"))
+    lines = ways.select("map_id", "id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("id", F.col("p.a").alias("startid"), F.col("p.b").alias("endid")).alias("properties"), F.struct(F.lit("MultiLineString").alias("type"), F.array("p.l").alias("coordinates")).alias("geometry"))).alias("feature"))
     return points.union(lines)
 
 
 def geojson_rows(features: DataFrame) -> DataFrame:
-    """Features read back: map_id, id, type, ends and cost (-1 for points), and the geometry's first and last point."""
+    """Features read back: map_id, id, type, frame (empty for lines), ends (-1 for points), and the geometry's first and last point."""
     got = lambda path: F.get_json_object("feature", path)
     line = got("$.geometry.type") == "MultiLineString"
     at = lambda a, b: F.when(line, got(f"$.geometry.coordinates[0][{a}][{b}]")).otherwise(got(f"$.geometry.coordinates[{b}]")).cast("double")
-    return features.select("map_id", "id", got("$.geometry.type").alias("type"), *[F.coalesce(got(f"$.properties.{k}").cast("int"), F.lit(-1)).alias(k) for k in ("startid", "endid")], F.coalesce(F.round(got("$.properties.cost").cast("double"), 4), F.lit(-1.0)).alias("cost"), *[at(i, j).alias(f"{'xy'[j]}{i}") for i in (0, 1) for j in (0, 1)])
+    return features.select("map_id", "id", got("$.geometry.type").alias("type"), *[F.coalesce(got(f"$.properties.{k}").cast("int"), F.lit(-1)).alias(k) for k in ("startid", "endid")], F.coalesce(got("$.properties.frame"), F.lit("")).alias("frame"), *[at(i, j).alias(f"{'xy'[j]}{i}") for i in (0, 1) for j in (0, 1)])
 
 
 def geojson_counts(features: DataFrame) -> DataFrame:
@@ -67,14 +68,19 @@ def geojson_counts(features: DataFrame) -> DataFrame:
     return features.groupBy("map_id").agg(F.sum((kind == "Point").cast("long")).alias("points"), F.sum((kind == "MultiLineString").cast("long")).alias("lines"), F.max("id").alias("last_id"))
 
 
-HEAD = '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::3857"}},"features":['
-EMPTY_COLLECTION = HEAD + "]}"
+HEAD = '{"type":"FeatureCollection","name":"graph","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::3857"}},'
+DATE = "EEE MMM dd hh:mm:ss a z yyyy"
+
+
+def empty_collection() -> str:
+    """The text of a collection without features."""
+    return HEAD + f'"date_generated":"{datetime.now().astimezone().strftime("%a %b %d %I:%M:%S %p %Z %Y")}","features":[]}}'
 
 
 def feature_collection(features: DataFrame) -> DataFrame:
     """(map_id, content): one FeatureCollection for a map."""
     parts = features.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("id", "feature"))).alias("f"))
-    return parts.select("map_id", F.concat(F.lit(HEAD), F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}")).alias("content"))
+    return parts.select("map_id", F.concat(F.lit(HEAD + '"date_generated":"'), F.date_format(F.current_timestamp(), DATE), F.lit('","features":['), F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}")).alias("content"))
 
 
 # --- PNG ----------------------------------------------------------------------------------------------------------

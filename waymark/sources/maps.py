@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def count_of(spark: SparkSession, sf_dir: str):
+    """The number of maps of a suite, as a scalar subquery."""
+    return table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
+
+
 def obstacles_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suite A: one map for each supplier, obstacles from its large order lines."""
     return table(spark, sf_dir, "lineitem").filter("l_quantity >= 45").selectExpr("l_suppkey AS map_id", f"cast((l_orderkey * 31 + l_partkey * 7) % {HEIGHT} as int) AS row", f"cast((l_partkey * 17 + l_linenumber * 11) % {WIDTH} as int) AS col").distinct()

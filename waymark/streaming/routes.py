@@ -86,9 +86,9 @@ def answer_points(requests: DataFrame, blocked: DataFrame, nodes: DataFrame, edg
     known = requests.join(f, "map_id", "left")
     at = lambda end: world_to_pixel(F.col(f"{end}_x"), F.col(f"{end}_y"), F.col("resolution"), F.col("x_offset"), F.col("y_shift"), F.col("rotation"))
     pixels = known.withColumn("s", at("start")).withColumn("g", at("goal"))
-    resolution = frames.agg(F.first("resolution")).first()[0] or 1.0  # one resolution a call: it scales the shortcut alone
-    asked = pixels.filter("height IS NOT NULL").select("route_id", "map_id", F.col("s.row").alias("r0"), F.col("s.col").alias("c0"), F.col("g.row").alias("r1"), F.col("g.col").alias("c1"))
-    found = find_routes(asked, blocked, nodes, edges, shortcut=shortcut, resolution=resolution).select("route_id", "found", "points")
+    short = F.hypot(F.col("goal_x") - F.col("start_x"), F.col("goal_y") - F.col("start_y")) < shortcut  # in the world, whatever the map's resolution
+    asked = pixels.filter("height IS NOT NULL").select("route_id", "map_id", short.alias("short"), F.col("s.row").alias("r0"), F.col("s.col").alias("c0"), F.col("g.row").alias("r1"), F.col("g.col").alias("c1"))
+    found = find_routes(asked, blocked, nodes, edges, shortcut=shortcut).select("route_id", "found", "points")
     out = known.join(found, "route_id", "left")
     turned = lambda p: pixel_to_world(p["row"], p["col"], F.col("resolution"), F.col("x_offset"), F.col("y_shift"), F.col("rotation"))
     end = lambda k: F.array(F.struct(F.col(f"{k}_x").alias("x"), F.col(f"{k}_y").alias("y"), F.lit(0.0).alias("z")))
