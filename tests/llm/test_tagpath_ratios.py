@@ -73,3 +73,29 @@ def test_pages_equal_a_plain_parser():
             assert tagpath.extract(html) == want
             n += 1
     assert n > 200
+
+
+def page(body):
+    return tagpath.extract(f"<html><body>{body}</body></html>").split("\n")
+
+
+def test_lists_tables_and_code_stay_whole():
+    rest = "<ul><li>one<li>two</ul><pre>x = 1\ny = 2</pre><table><tr><td>1</td><td>2</td></tr></table><p>End.</p>"
+    want = ["Title", TEXT, "one", "two", "x = 1 y = 2", "1", "2", "End."]
+    assert page(f"<article><h1>Title</h1><p>{LONG}</p>{rest}</article>") == want
+    assert page(f"<div id='top'>Welcome</div><div class='post'><h1>Title</h1><p>{LONG}</p>{rest}</div><div class='bottom'>All rights reserved.</div>") == want
+
+
+def test_names_lower_a_score_but_put_no_article_out():
+    assert page("<article><h1>T</h1><div class='menu-of-the-day'><p>Soup, bread, and a long list of other dishes.</p></div></article>") == ["T", "Soup, bread, and a long list of other dishes."]
+    assert page(f"<div class='menu'><h2>Menu</h2><p>{LONG}</p></div>") == ["Menu", TEXT]
+
+
+def test_comments_and_notices_without_an_article():
+    for extra in ("<div class='feedback'><p>I liked it, really; thanks.</p></div>", "<section id='user-responses'><p>I liked it, really; thanks.</p></section>", "<div><p>We use cookies, as all do.</p><a href=x>Accept</a></div>", "<div class='cookie-bar'>We use cookies.</div>", "<ul><li><a href=a>Home</a><li><a href=b>About us</a></ul>"):
+        assert page(f"<div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>{extra}") == ["Title", TEXT, TEXT], extra
+        assert page(f"{extra}<div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>") == ["Title", TEXT, TEXT], extra
+
+
+def test_links_inside_text_stay_and_lists_of_links_go():
+    assert page(f"<article><p>{LONG}<a href=x>a link</a>, and more.</p><ul><li><a href=y>Other page</a><li><a href=z>Next page</a></ul></article>") == [f"{TEXT} a link, and more."]

@@ -3,14 +3,15 @@
 A page is cut into its text nodes, each with its root-to-leaf tag path (tags with their first class). For each path the
 text length, punctuation and node count, and what lies in links, are added up over the page. A path's ratios are text
 and punctuation for each node; they are smoothed over neighbouring paths in page order, fused by their product and
-compared with a share of the page's highest. This decides inside marked articles too; a
-heading goes with the text below it. If the page marks its article,
-paths below ``article`` and ``main`` are the only ones in question.
+compared with a share of the page's highest. A class or id that names adverts, notices, comments and the like lowers
+the score of what is below it, but not around the page's best text. The element that holds most of the passing text (the
+article, where the page marks one) is the container: its other paths, lists, tables and code with few words as they
+are, belong to the text too unless they are lowered or mostly links. What lies outside goes, but for headings before
+passing text.
 
 Before that, text is out below navigation, headers, footers, asides, forms, scripts, styles and the like (by tag or
-role), and below elements that a class or id names as adverts, notices, comments and the like. Neither holds for an
-element around the page's article (the first ``main``, else the ``article`` with the most text); a class or id doesn't
-either, where the page marks no article, for one around its highest fused ratio (a named path's counts half).
+role, never by name), unless they are around the page's article (the first ``main``, else the ``article`` with the most
+text); with an article, what isn't below ``article`` or ``main`` is out.
 
 Text: character references are decoded by text node, white space inside a block becomes one space, blocks are trimmed and
 joined by one line break in page order, empty ones left out. Nothing is cut or capped. One page is one row's work, and
@@ -40,8 +41,9 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 OUT = frozenset("head nav header footer aside form script style noscript template iframe svg button select option textarea title menu dialog math object".split())
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tbody", "tbody": "thead tbody"}
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+HOLDERS = frozenset("article body center div main section td".split())
 # Names of classes and ids: those that count as a part of a name too, and those that count alone.
-OUT_PARTS = "ads? advert\\w* adbox banner sponsor\\w* promo\\w* cookies? consent notices? popup modal newsletter subscribe sidebar menu nav\\w* breadcrumbs? footer masthead comments? disqus login signup pagination".split()
+OUT_PARTS = "ads? advert\\w* adbox banner sponsor\\w* promo\\w* cookies? consent notices? popup modal newsletter subscribe sidebar menu nav\\w* breadcrumbs? footer masthead comments? feedback responses? reactions? discussion gdpr disqus login signup pagination".split()
 OUT_WHOLE = "side toolbar share sharing social related recommended recommendations replies respond search pager widget".split()
 OUT_NAMES = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(OUT_PARTS)})(?:$|[\s_-])|(?:^|\s)(?:{'|'.join(OUT_WHOLE)})(?:$|\s)", re.IGNORECASE)
 
@@ -49,7 +51,9 @@ NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
 REST = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 PUNCTUATION = frozenset(".,;:!?…。，、！？¿¡")
-SHARE = 0.05
+SHARE = 0.05  # of the page's highest score
+LOWERED = 0.02  # what a name leaves of a score
+MOST = 0.5  # of the passing text, in its container
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 
@@ -175,8 +179,8 @@ def _path(e: Element | None) -> int:
     return e.path if e else 0
 
 
-def _fused(page: Page, found: list[Text]) -> dict[int, float]:
-    """The smoothed, fused ratio of each path that has text."""
+def _fused(page: Page, found: list[Text]) -> tuple[dict[int, float], dict[int, float]]:
+    """The smoothed, fused ratio of each path that has text, and the share of its text that lies in links."""
     linked = [False]
     for n in range(1, len(page.parents)):
         linked.append(linked[page.parents[n]] or page.tags[n] == "a")
@@ -190,16 +194,16 @@ def _fused(page: Page, found: list[Text]) -> dict[int, float]:
             s[2] += 1
             s[3] += len(plain) if linked[_path(e)] else 0
     if not stats:
-        return {}
+        return {}, {}
     v = np.array(list(stats.values()), np.float64)
     k = np.array([0.25, 0.5, 0.25])
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), k, "valid")
     fused = smooth(v[:, 0] / v[:, 2]) * smooth((v[:, 1] + 1) / v[:, 2]) * (1 - v[:, 3] / v[:, 0])
-    return dict(zip(stats, fused.tolist(), strict=True))
+    return dict(zip(stats, fused.tolist(), strict=True)), dict(zip(stats, (v[:, 3] / v[:, 0]).tolist(), strict=True))
 
 
-def _in_question(page: Page) -> list[Text]:
-    """The text nodes that neither a tag nor a name puts out."""
+def _in_question(page: Page) -> tuple[list[Text], Element | None]:
+    """The text nodes that no tag or role puts out, and the element that the page marks as its article."""
     main = next((e for e in page.elements if e.tag == "main"), None)
     if main is None:
         weight: dict[Element, int] = {e: 0 for e in page.elements if e.tag == "article"}
@@ -219,40 +223,61 @@ def _in_question(page: Page) -> list[Text]:
     if main:
         inside = page.below(lambda e: e.tag in ("article", "main"))
         found = [x for x in found if inside[x[1]]]
-    elif any(e.named for e in page.elements):
-        fused, named = _fused(page, found), page.below(lambda e: e.named)
-        rated = [(fused[_path(e)] * (0.5 if named[e] else 1), e) for _, e, raw in found if raw.strip()]
-        if rated:
-            free = page.around(max(rated, key=lambda x: x[0])[1])
-    out = page.below(lambda e: e.named and e not in free)
-    return [x for x in found if not out[x[1]]]
-
-
-def _content_paths(page: Page, found: list[Text]) -> list[bool]:
-    """By path: whether its smoothed, fused ratio passes the threshold, or it belongs to one that does."""
-    fused = _fused(page, found)
-    chosen = [False] * len(page.parents)
+    return found, main
+
+
+def _container(page: Page, core: list[Text]) -> Element | None:
+    """The innermost element that holds most of the text of ``core``; None for the page."""
+    weight = dict.fromkeys(page.elements, 0)
+    for _, e, raw in core:
+        if e is not None:
+            weight[e] += len(raw.strip())
+    for e in reversed(page.elements):
+        if e.parent is not None:
+            weight[e.parent] += weight[e]
+    total = sum(len(raw.strip()) for _, _, raw in core)
+    held = [e for e in page.elements if weight[e] >= MOST * total and e.tag in HOLDERS]
+    return held[-1] if held else None  # of nested elements the inner one comes later; two apart can't both hold most
+
+
+def _content(page: Page, found: list[Text], main: Element | None) -> list[Text]:
+    """The text nodes of the paths whose ratios pass, and of their container's other paths that aren't lists of links."""
+    fused, links = _fused(page, found)
     if not fused:
-        return chosen
-    limit = SHARE * max(*fused.values(), 1e-9)
-    for p, v in fused.items():
-        chosen[p] = v >= limit
-    heading = [False]
-    for n in range(1, len(page.parents)):
-        heading.append(heading[page.parents[n]] or page.tags[n] in HEADINGS)
-    # a heading, short as it is, goes with the text below it
+        return []
+    kept = page.around(main) if main else set()
+    named = page.below(lambda e: e.named and e not in kept)
+    best = max((x for x in found if x[2].strip()), key=lambda x: fused[_path(x[1])] * (LOWERED if named[x[1]] else 1))
+    kept |= page.around(best[1])  # a name around the best text isn't about what isn't content
+    named = page.below(lambda e: e.named and e not in kept)
+    score = lambda e: fused.get(_path(e), 0.0) * (LOWERED if named[e] else 1)
+    limit = SHARE * max(*(score(x[1]) for x in found), 1e-9)
+    core = [x for x in found if x[2].strip() and score(x[1]) >= limit]
+    inside = page.below(lambda e, holder=main or _container(page, core): e is holder)
+    whole = not any(inside.values())
+    heading = page.below(lambda e: e.tag in HEADINGS)
+
+    def passes(e: Element | None) -> bool:
+        here = inside[e] or whole or main is not None
+        return here and (score(e) >= limit or (not named[e] and (inside[e] or whole) and _path(e) in links and links[_path(e)] <= 0.5))
+
+    chosen = {e: passes(e) for _, e, _ in found}
+    # a heading, short as it is, goes with the text below it, from outside the container too
     body = None
     for _, e, raw in reversed(found):
         if raw.strip():
-            p = _path(e)
-            if not heading[p]:
-                body = p
-            elif body is not None and chosen[body]:
-                chosen[p] = True
+            if not heading[e]:
+                body = e
+            elif body is not None and chosen[body] and not named[e]:
+                chosen[e] = True
     # inline children (b, i, a ...) of a content block belong to its text, and so does white space
-    for n in range(1, len(chosen)):
-        chosen[n] = chosen[n] or (page.tags[n] not in BLOCK and chosen[page.parents[n]])
-    return chosen
+
+    def holds(e: Element | None) -> bool:
+        while e is not None and not chosen.get(e, False) and e.tag not in BLOCK:
+            e = e.parent
+        return chosen.get(e, False)
+
+    return [x for x in found if holds(x[1])]
 
 
 def extract(html: str | None) -> str:
@@ -260,12 +285,9 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
-    found = _in_question(page)
-    content = _content_paths(page, found)
     blocks: dict[int, list[str]] = {}
-    for block, e, raw in found:
-        if content[_path(e)]:
-            blocks.setdefault(block, []).append(raw)
+    for block, _, raw in _content(page, *_in_question(page)):
+        blocks.setdefault(block, []).append(raw)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
 
