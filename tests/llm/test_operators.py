@@ -606,3 +606,33 @@ def test_pipeline_equals_brute_force(spark, docs, tmp_path, monkeypatch):
         ids[i] = tok.encode(t, add_special_tokens=False).ids + [1]
     assert left and {r["doc_id"] for r in rows} == set(left)
     check_packing(rows, ids)
+
+
+@pytest.mark.parametrize("ids", ["odd", "even", "few old"])
+def test_dedup_of_one_sided_deliveries(spark, monkeypatch, ids):
+    """A delivery far larger than the history, or none at all: no group of a task holds more than its share."""
+    monkeypatch.setattr(mphf_dedup, "SHARD_ROWS", 50)
+    number = {"odd": lambda i: 2 * i + 1, "even": lambda i: 2 * i, "few old": lambda i: 2 * i + (i % 40 != 0)}[ids]
+    rows = [(number(i), f"Text {i % 1500}" if i % 3 else "the hot text") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    for i, t in rows:
+        seen.setdefault(t.lower(), []).append(i)
+    got = by_id(mphf_dedup.exact_dedup(df))
+    assert len(got) == 2000
+    for i, t in rows:
+        assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(seen[t.lower()]), len(seen[t.lower()]), i == max(seen[t.lower()]))
+    # the groups that a task gets: by shard, and by chunk of a large delivery
+    new = mphf_dedup.groups(mphf_dedup.digests(df).withColumn("row", mphf_dedup.F.col("doc_id")))
+    real, most = mphf_dedup._dealt, []
+
+    def dealt(found, shards):
+        out = real(found, shards)
+        chunks = -(-new.count() // (shards * 50))
+        head = mphf_dedup.F.conv(mphf_dedup.F.hex(mphf_dedup.F.substring("digest", 1, 4)), 16, 10).cast("long")
+        most.append(max(r["count"] for r in out.groupBy("shard", head % chunks).count().collect()))
+        return out
+
+    monkeypatch.setattr(mphf_dedup, "_dealt", dealt)
+    assert mphf_dedup.look_up(spark.createDataFrame([], "shard int, shards int, table binary"), new).count() == new.count()
+    assert most[0] <= 100

@@ -124,9 +124,12 @@ def _dealt(found: DataFrame, shards: int) -> DataFrame:
     return found.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
 
 
-def write_index(history: DataFrame, path: str) -> None:
-    """Write the perfect hashes over ``history(digest, best, first, n)`` of distinct digests: one row for each shard."""
-    shards = max(8, -(-history.count() // SHARD_ROWS))
+def write_index(history: DataFrame, path: str, rows: int | None = None) -> None:
+    """Write the perfect hashes over ``history(digest, best, first, n)`` of distinct digests: one row for each shard.
+
+    ``rows``, if known, is their number or more.
+    """
+    shards = max(8, -(-(history.count() if rows is None else rows) // SHARD_ROWS))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         table = PerfectHash(_raw(pdf["digest"]), pdf[["best", "first", "n"]].to_numpy(np.int64))
@@ -135,11 +138,18 @@ def write_index(history: DataFrame, path: str) -> None:
     _dealt(history, shards).groupBy("shard").applyInPandas(build, "shard int, shards int, table binary").write.parquet(path)
 
 
-def look_up(index: DataFrame, new: DataFrame) -> DataFrame:
-    """The groups of history and ``new(digest, best, first, n)`` together, by a stored index (any earlier call's)."""
+def look_up(index: DataFrame, new: DataFrame, rows: int | None = None) -> DataFrame:
+    """The groups of history and ``new(digest, best, first, n)`` together, by a stored index (any earlier call's).
+
+    Shards are the index's; where the new side has more than SHARD_ROWS for each, its rows are dealt in chunks by their
+    digests' first bytes, and every chunk has the shard's hash, so no group grows with the delivery. A chunk answers for
+    the history's digests with its own first bytes.
+    """
     shards = (index.agg(F.max("shards")).first()[0]) or 8
+    chunks = max(1, -(-(new.count() if rows is None else rows) // (shards * SHARD_ROWS)))
+    head = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
 
-    def shard(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    def shard(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         parts = []
         rest = np.ones(len(new), bool)
         if len(old):
@@ -154,11 +164,15 @@ def look_up(index: DataFrame, new: DataFrame) -> DataFrame:
                 held[at[wins], 0], held[at[wins], 1] = b[wins], f[wins]
                 held[at, 2] += n
             raw = table.digests.tobytes()
-            parts.append(pd.DataFrame({"digest": [raw[i : i + 32] for i in range(0, len(raw), 32)], "best": held[:, 0], "first": held[:, 1], "n": held[:, 2]}))
+            own = np.frombuffer(raw, ">u4")[::8] % chunks == key[1]
+            held = held[own]
+            parts.append(pd.DataFrame({"digest": [raw[32 * i : 32 * i + 32] for i in np.flatnonzero(own).tolist()], "best": held[:, 0], "first": held[:, 1], "n": held[:, 2]}))
         parts.append(new.loc[rest, ["digest", "best", "first", "n"]])  # nonmembers: groups of their own
         return pd.concat(parts, ignore_index=True)
 
-    return index.groupBy("shard").cogroup(_dealt(new, shards).groupBy("shard")).applyInPandas(shard, GROUP)
+    copies = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    dealt = _dealt(new, shards).withColumn("chunk", (head % chunks).cast("int"))
+    return copies.groupBy("shard", "chunk").cogroup(dealt.groupBy("shard", "chunk")).applyInPandas(shard, GROUP)
 
 
 def resolve(rows: DataFrame) -> DataFrame:
@@ -169,8 +183,9 @@ def resolve(rows: DataFrame) -> DataFrame:
     """
     spark, path = rows.sparkSession, new_folder(rows.sparkSession, "digest-index")
     old = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))
-    write_index(groups(rows.filter(old)), path)
-    return look_up(spark.read.schema("shard int, shards int, table binary").parquet(path), groups(rows.filter(~old)))
+    count = rows.agg(F.count(F.when(old, 1)).alias("old"), F.count(F.when(~old, 1)).alias("new")).first()  # distinct digests are no more
+    write_index(groups(rows.filter(old)), path, count["old"])
+    return look_up(spark.read.schema("shard int, shards int, table binary").parquet(path), groups(rows.filter(~old)), count["new"])
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
