@@ -63,30 +63,53 @@ def test_near_stage_finds_all_pairs(spark, monkeypatch, bucket, hashes):
     assert sorted(r["doc_id"] for r in got.collect()) == [i for i, x in enumerate(want) if i == x]
 
 
-def test_pairs_just_alike_enough_are_found(spark):
-    """Recall of pairs of similarity 0.8 to 0.83, in 400 pairs, is near RECALL; none of those below 0.8 is linked."""
+def pairs_near(least, count, low, high):
+    """(texts two by two, whether each pair's similarity is ``least`` or more), of similarities from low to high."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     rows, alike = [], []
-    while len(alike) < 400:
+    while len(alike) < count:
         n = rng.randint(60, 400)
         a = [word() for _ in range(n)]
         b = list(a)
-        for k in rng.sample(range(5, n - 5), max(1, round(n * 0.0222))):
+        for k in rng.sample(range(5, n - 5), max(1, round(n * 0.2 * (1 - least) / (1 + least)))):
             b[k] = word()
         s, t = ({tuple(x[i : i + 5]) for i in range(n - 4)} for x in (a, b))
         j = len(s & t) / len(s | t)
-        if 0.77 <= j <= 0.83:
-            alike.append(j >= 0.8)
+        if low <= j <= high:
+            alike.append(j >= least)
             rows += [" ".join(a), " ".join(b)]
+    return rows, alike
+
+
+@pytest.mark.parametrize(("least", "rule", "others"), [(0.8, simhash_near.Rule(), 0), (0.8, simhash_near.Rule(), 6000), (0.9, simhash_near.Rule(9, 10), 0)])
+def test_pairs_just_alike_enough_are_found(spark, least, rule, others):
+    """Recall of pairs just over the similarity, in 400 pairs, is near RECALL, alone and among other texts; none below is linked."""
+    rows, alike = pairs_near(least, 400, least - 0.03, least + 0.03)
     texts = spark.createDataFrame([(i, i, x) for i, x in enumerate(rows)], "row long, doc_id long, text string")
-    kept = {r["row"]: r["kept"] for r in simhash_near.near_rows(texts).collect()}
+    more = spark.range(10_000, 10_000 + others).selectExpr("id AS row", "id AS doc_id", "array_join(transform(sequence(1, 40), i -> sha2(concat(id, '-', i), 256)), ' ') AS text")
+    kept = {r["row"]: r["kept"] for r in simhash_near.near_rows(texts.union(more), rule=rule).collect()}
+    assert len(kept) == 800 + others and sum(not v for v in kept.values()) <= sum(alike)
     assert all(kept[2 * i] for i in range(400))
     assert all(kept[2 * i + 1] for i in range(400) if not alike[i])
     found = sum(not kept[2 * i + 1] for i in range(400) if alike[i])
     assert sum(alike) > 100 and found >= 0.97 * sum(alike)
 
 
+def test_templates_that_are_close_but_not_alike():
+    """Sets that share 8 of 10 shingles are not alike (8 of 12); comparing thousands of them takes little memory."""
+    import tracemalloc
+
+    shared = np.arange(8, dtype=np.uint64)
+    held = [np.r_[shared, np.array([100 + 2 * i, 101 + 2 * i], np.uint64)] for i in range(400)] + [np.arange(5000 + 30 * i, 5020 + 30 * i, dtype=np.uint64) for i in range(20)]
+    held += [np.r_[np.uint64(0), np.arange(10_000 + 100 * i, 10_000 + 100 * i + 20 + i % 60, dtype=np.uint64)] for i in range(6000)]
+    tracemalloc.start()
+    forest = simhash_near.exact_forest(held)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert all(forest.root(i) == i for i in range(len(held)))
+
+
 def test_fingerprints_equal_plain_counting():
     rng = np.random.default_rng(3)
     sizes = [0, 1, 2, 5, 255, 256, 700, 0]

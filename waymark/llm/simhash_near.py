@@ -1,17 +1,17 @@
 """Near copies of texts: SimHash fingerprints, generalised pigeonhole search, and an exact check of the similarity.
 
-A text's set holds the hashes of its five-word shingles. Texts whose sets have a Jaccard similarity of at least
-``NUM / DEN`` are linked, and links are closed to components; of each component one row is kept.
+A text's set holds the hashes of its five-word shingles. Texts whose sets have a Jaccard similarity of at least that of a
+``Rule`` (0.8 unless asked otherwise) are linked, and links are closed to components; of each component one row is kept.
 
 Two texts at that similarity differ in about 15 % of the bits of a SimHash, so 64 bits tell too little. A fingerprint
-here has ``parts * width`` bits (``plan``): width follows the logarithm of the number of texts, so that a bucket holds
-at most about 256 texts by chance whatever the corpus; parts follows from the wanted recall of pairs that are just alike enough.
-The search is that of ``simhash_gph``: correlated bits are grouped, thresholds come from dynamic programming over
-estimated candidate counts and sum to zero, so a pair within parts - 1 bits is found for sure, and one of similarity
-NUM / DEN with probability ``RECALL`` (tests and README measure it). Only those links are missed that no chain of
-found links closes.
-
-* A bucket compares 128 bits of its fingerprints. Those within ``FILTER`` bits form groups; a forest of each is returned.
+here has ``parts * WIDTH`` bits; parts follows from the similarity and the wanted recall of pairs that are just alike enough,
+and from nothing else: a text has as many keys in a corpus of any size, and which pairs meet doesn't depend on the others.
+A bucket's texts by chance grow with the corpus, and are dealt in blocks. The search is that of ``simhash_gph``: correlated bits
+are grouped, thresholds come from dynamic programming over estimated candidate counts and sum to zero, so a pair within
+parts - 1 bits is found for sure, and one just alike enough with probability ``RECALL`` (tests and README measure it).
+Only those links are missed that no chain of found links closes.
+
+* A bucket compares 128 bits of its fingerprints. Those within ``Rule.within`` bits form groups; a forest of each is returned.
 * Groups are joined over all buckets. The texts of groups alone are fetched, and a group's sets are joined exactly, in
   one task, by their rarest shingles; again a forest is returned, never all pairs.
 * A bucket or group over its limit is dealt in blocks: each row goes to as many blocks as the bucket has chunks, so any
@@ -27,8 +27,10 @@ alike; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 from itertools import combinations
-from math import acos, ceil, log, log2, pi
+from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +45,14 @@ from .pieces import Memo
 from .simhash_gph import Forest, components, group_bits, thresholds
 
 SHINGLE = 5
-NUM, DEN = 4, 5
+WIDTH = 16  # bits of a partition
 RECALL = 0.99
-FILTER = 40  # of 128 bits: four and a half standard deviations over the mean of pairs that are just alike enough
 SAMPLE = 4_000  # fingerprints for bit groups and thresholds
 BUCKET_ROWS = 10_000
 TASK_ENTRIES = 200_000
 GROUP_HASHES = 2_000_000
+GROUP_ROWS = 20_000  # texts of a block, however short
+PAIRS = 1 << 21  # of sets that are compared at once
 KEPT_WORDS = 60_000  # words whose hashes a task keeps in each of two generations
 LAG = 48
 BLOCK = 1024
@@ -87,11 +90,35 @@ class Shingler:
         return out[np.r_[True, out[1:] != out[:-1]]]
 
 
-def plan(texts: int) -> tuple[int, int]:
-    """(width, parts) for this many texts."""
-    width = min(32, max(14, ceil(log2(texts + 1)) - 8))
-    same = (1 - acos(2 * NUM / (NUM + DEN)) / pi) ** width
-    return width, ceil(log(1 - RECALL) / log(1 - same))
+@dataclass(frozen=True)
+class Rule:
+    """Which sets are alike: those with a Jaccard similarity of num / den at least."""
+
+    num: int = 4
+    den: int = 5
+
+    def __post_init__(self) -> None:
+        if not 0 < self.num <= self.den:
+            raise ValueError("a similarity is over 0 and at most 1")
+
+    @property
+    def apart(self) -> float:
+        """The share of bits in which SimHashes of sets that are just alike enough differ."""
+        return acos(min(1.0, 2 * self.num / (self.num + self.den))) / pi
+
+    @property
+    def parts(self) -> int:
+        """Partitions of WIDTH bits, of which such a pair shares one with probability RECALL."""
+        return max(8, ceil(log(1 - RECALL) / log(1 - min(0.999, (1 - self.apart) ** WIDTH))))
+
+    @property
+    def within(self) -> int:
+        """Of 128 bits, five standard deviations more than the mean of such pairs."""
+        return ceil(128 * self.apart + 5 * sqrt(128 * self.apart * (1 - self.apart)))
+
+    def sizes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sets of so many members can be alike."""
+        return self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)
 
 
 def fingerprints(h: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
@@ -184,12 +211,12 @@ def _dealt(batch: pa.RecordBatch, chunks: dict[int, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([t.column(0), pa.array(block), *t.columns[1:]], ["key", "block", *batch.schema.names[1:]])
 
 
-def _close(f0: np.ndarray, f1: np.ndarray, n: np.ndarray, a, b) -> np.ndarray:
+def _close(f0: np.ndarray, f1: np.ndarray, n: np.ndarray, rule: Rule, a, b) -> np.ndarray:
     apart = np.bitwise_count(f0[a] ^ f0[b]) + np.bitwise_count(f1[a] ^ f1[b])
-    return (apart <= FILTER) & (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b]))
+    return (apart <= rule.within) & rule.sizes(n[a], n[b])
 
 
-def _bucket_groups(batches):
+def _bucket_groups(batches, rule: Rule = Rule()):  # noqa: B008
     """(a, b): a forest of the groups of fingerprints that are close, by bucket."""
     got = [b for b in batches if b.num_rows]
     if not got:
@@ -207,18 +234,18 @@ def _bucket_groups(batches):
     short = size[run] <= LAG
     for lag in range(1, min(LAG, int(size.max()))):  # all pairs of short buckets at once
         i = np.flatnonzero((run[lag:] == run[:-lag]) & short[lag:])
-        i = i[_close(f0, f1, n, i, i + lag)]
+        i = i[_close(f0, f1, n, rule, i, i + lag)]
         a.append(i)
         b.append(i + lag)
     for s, z in zip(start[size > LAG].tolist(), size[size > LAG].tolist(), strict=True):
         # what is close to the first is one group; the others are compared with all
         rest = np.arange(s + 1, s + z)
-        near = _close(f0, f1, n, np.full(z - 1, s), rest)
+        near = _close(f0, f1, n, rule, np.full(z - 1, s), rest)
         a.append(np.full(int(near.sum()), s))
         b.append(rest[near])
         rest = rest[~near]
         for k in range(0, len(rest), BLOCK):
-            x, y = np.nonzero(_close(f0, f1, n, rest[k : k + BLOCK, None], np.arange(s, s + z)[None, :]))
+            x, y = np.nonzero(_close(f0, f1, n, rule, rest[k : k + BLOCK, None], np.arange(s, s + z)[None, :]))
             x, y = rest[k + x], s + y
             a.append(np.minimum(x, y)[x != y])
             b.append(np.maximum(x, y)[x != y])
@@ -234,17 +261,17 @@ def _bucket_groups(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names[root[away]]), pa.array(names[away])], ["a", "b"])
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have a similarity of NUM / DEN at least."""
+def alike(a: np.ndarray, b: np.ndarray, rule: Rule = Rule()) -> bool:  # noqa: B008
+    """Whether two sorted sets are alike."""
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * common >= NUM * (len(a) + len(b) - common)
+    return rule.den * common >= rule.num * (len(a) + len(b) - common)
 
 
-def exact_forest(held: list[np.ndarray]) -> Forest:
+def exact_forest(held: list[np.ndarray], rule: Rule = Rule()) -> Forest:  # noqa: B008
     """The components of sorted sets that are alike: an exact join by prefixes.
 
-    Shingles are ordered by their number of sets, rarest first. Of two sets that are alike the first n - ceil(n * NUM /
-    DEN) + 1 shingles of each have one in common, so a set is looked for under these alone; sizes and the place of the
+    Shingles are ordered by their number of sets, rarest first. Of two sets that are alike the first n - ceil(n * num /
+    den) + 1 shingles of each have one in common, so a set is looked for under these alone; sizes and the place of the
     shingle rule out more. First each set is checked with one other of each shingle, then those that are still apart.
     """
     forest = Forest(len(held))
@@ -255,7 +282,7 @@ def exact_forest(held: list[np.ndarray]) -> Forest:
     sets_, ids, places = [], [], []
     for k, (z, size) in enumerate(zip(ends.tolist(), n.tolist(), strict=True)):
         own = back[z - size : z]
-        first = own[np.lexsort((own, count[own]))][: size - -(-NUM * size // DEN) + 1]
+        first = own[np.lexsort((own, count[own]))][: size - -(-rule.num * size // rule.den) + 1]
         places.append(np.flatnonzero(count[first] > 1))
         ids.append(first[places[-1]])
         sets_.append(np.full(len(places[-1]), k))
@@ -271,34 +298,39 @@ def exact_forest(held: list[np.ndarray]) -> Forest:
             pair = (min(x, y), max(x, y))
             if pair not in seen:
                 seen.add(pair)
-                if alike(held[x], held[y]):
+                if alike(held[x], held[y], rule):
                     forest.link(np.array([x]), np.array([y]))
 
     def possible(a, b):
         na, nb = n[of[a]], n[of[b]]
-        need = -(-NUM * (na + nb) // (NUM + DEN))
-        return (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & (1 + np.minimum(na - place[a], nb - place[b]) - 1 >= need)
+        need = -(-rule.num * (na + nb) // (rule.num + rule.den))
+        return rule.sizes(na, nb) & (1 + np.minimum(na - place[a], nb - place[b]) - 1 >= need)
 
     for r in runs:
         for b in r[1:][possible(r[0], r[1:])].tolist():
             check(int(of[r[0]]), int(of[b]))
     for r in runs:
-        root = np.array([forest.root(x) for x in of[r].tolist()])
-        for k in range(0, len(r), BLOCK):
-            own = r[k : k + BLOCK]
-            ok = (root[k : k + BLOCK, None] != root[None, :]) & possible(own[:, None], r[None, :])
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                if k + i < j:
-                    check(int(of[own[i]]), int(of[r[j]]))
+        root, size = np.array([forest.root(x) for x in of[r].tolist()]), n[of[r]]
+        far = np.searchsorted(size, rule.den * size // rule.num, side="right")  # sets come by size: none beyond can be alike
+        k = 0
+        while k < len(r):
+            some = max(1, min(BLOCK, PAIRS // max(1, int(far[min(len(r), k + BLOCK) - 1]) - k)))
+            own, others = r[k : k + some], r[k : far[min(len(r), k + some) - 1]]
+            if len(np.unique(root[k : k + len(others)])) > 1:
+                ok = (root[k : k + some, None] != root[None, k : k + len(others)]) & possible(own[:, None], others[None, :])
+                for i, j in zip(*np.nonzero(ok), strict=True):
+                    if i < j:
+                        check(int(of[own[i]]), int(of[others[j]]))
+            k += some
     return forest
 
 
-def _group_links(batches):
+def _group_links(batches, rule: Rule = Rule()):  # noqa: B008
     """Rows (key, block, node, text), ordered by key and block: (a, b), a forest of each group's sets that are alike."""
     shingles, at, nodes, held = Shingler(), None, [], []
 
     def take():
-        forest = exact_forest(held)
+        forest = exact_forest(held, rule)
         root = [forest.root(i) for i in range(len(held))]
         away = [i for i in range(len(held)) if root[i] != i]
         return pa.RecordBatch.from_arrays([pa.array([nodes[root[i]] for i in away], pa.int64()), pa.array([nodes[i] for i in away], pa.int64())], ["a", "b"])
@@ -315,7 +347,7 @@ def _group_links(batches):
         yield take()
 
 
-def close_groups(distinct: DataFrame, width: int, parts: int, total: int) -> DataFrame:
+def close_groups(distinct: DataFrame, width: int, parts: int, total: int, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """(a, b): links that connect all close fingerprints of ``distinct(node, n, fp)``."""
     sample = [bytes(r[0]) for r in hashed_part(distinct.filter("n > 0").select("node", "fp"), "node", SAMPLE, total).select("fp").collect()]
     buckets = Buckets(np.frombuffer(b"".join(sample), np.uint64).reshape(len(sample), -1) if sample else np.zeros((0, -(-width * parts // 64)), np.uint64), width, parts)
@@ -338,33 +370,33 @@ def close_groups(distinct: DataFrame, width: int, parts: int, total: int) -> Dat
     dealt = own.mapInArrow(entries(lambda b: _dealt(b, heavy)), ENTRY)
     # a stated number of tasks, as Spark would put small partitions together by bytes and so many rows into one
     tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * parts // TASK_ENTRIES))
-    return dealt.repartition(tasks, "key", "block").mapInArrow(_bucket_groups, "a long, b long").distinct()
+    return dealt.repartition(tasks, "key", "block").mapInArrow(partial(_bucket_groups, rule=rule), "a long, b long").distinct()
 
 
-def alike_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
+def alike_links(groups: DataFrame, texts: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """(a, b): a forest of the rows of ``groups(node, root, n)`` whose texts are alike, within their group."""
-    heavy = heavy_keys(groups.select(F.col("root").alias("key"), F.col("n").cast("long").alias("weight")), GROUP_HASHES, 1)
+    heavy = heavy_keys(groups.select(F.col("root").alias("key"), F.greatest(F.col("n").cast("long"), F.lit(GROUP_HASHES // GROUP_ROWS)).alias("weight")), GROUP_HASHES, 1)
     # a written table has a known size: Spark broadcasts it where that is small, and sorts both sides where it isn't
     members = written(groups.select(F.col("node").alias("row"), F.col("root").alias("key")), "near-groups")
     fetched = texts.select("row", "text").join(members, "row").select("key", F.col("row").alias("node"), "text")
     dealt = map_texts(fetched, lambda batches: (_dealt(b, heavy) for b in batches), "key long, block long, node long, text string")
-    return map_texts(dealt.repartition("key", "block").sortWithinPartitions("key", "block", "node"), _group_links, "a long, b long")
+    return map_texts(dealt.repartition("key", "block").sortWithinPartitions("key", "block", "node"), partial(_group_links, rule=rule), "a long, b long")
 
 
-def near_rows(texts: DataFrame, bits: tuple[int, int] | None = None) -> DataFrame:
+def near_rows(texts: DataFrame, bits: tuple[int, int] | None = None, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """(row, root, kept) of every row of ``texts`` (row: a stable distinct long, doc_id, text); root names the component.
 
     Of each component the row of the smallest doc_id is kept: null after numbers, of equal ones the smallest row.
     """
     total = texts.count()
-    width, parts = bits or plan(total)
+    width, parts = bits or (WIDTH, rule.parts)
     rows = cut(sets(texts, -(-max(128, width * parts) // 64)))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     distinct = cut(rows.groupBy("sig").agg(best.alias("best"), F.first("n").alias("n"), F.first("fp").alias("fp")).select("sig", F.col("best.row").alias("node"), F.col("best.doc_id").alias("doc_id"), "n", "fp"))
-    groups = cut(components(close_groups(distinct, width, parts, total)))
+    groups = cut(components(close_groups(distinct, width, parts, total, rule)))
     groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     groups = cut(groups.join(distinct.select("node", "n"), "node").select("node", "root", "n"))
-    roots = components(alike_links(groups, texts))
+    roots = components(alike_links(groups, texts, rule))
     of = distinct.select("sig", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("node").alias("row"))).alias("best")).select("root", F.col("best.row").alias("keep"))
     named = of.select("sig", "root").join(kept, "root")
