@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Config, Graph, branches, build, collides, contours, node_map, sample_free, shortest_path, simplify, squared_distance, thin, triangulate
+from . import shapes, tiles
+from .kernels import Config, Graph, build, collides, node_map, sample_free, shortest_path, squared_distance, triangulate
 
 NODES = "map_id long, node_id int, row int, col int, x double, y double, z double, node_type string"
 EDGES = "map_id long, src int, dst int, weight double, edge_type string"
@@ -183,16 +184,20 @@ def _stage(cells: DataFrame, make, schema: str) -> DataFrame:
     return spread(cells.selectExpr("cast(map_id as long) map_id", "row", "col", "value")).groupBy("map_id").applyInPandas(run, "map_id long, " + schema)
 
 
-def skeletons(cells: DataFrame, *, safety: float, resolution: float) -> DataFrame:
+def _clear(cells: DataFrame, least: float, size: int) -> DataFrame:
+    free = cells.select("map_id", "row", "col", (F.col("value") > 127).alias("free"))
+    return shapes.clear(tiles.distances(free, size, ring=True), least)
+
+
+def skeletons(cells: DataFrame, *, safety: float, resolution: float, size: int = tiles.SIZE) -> DataFrame:
     """map_id, branch, i, row, col: the branches of each map's skeleton, pixel by pixel."""
-    least = np.float32(safety / resolution)
-    return _stage(cells, lambda free, dist: [(b, i, *p) for b, path in enumerate(branches(thin(dist[1:-1, 1:-1] >= least))) for i, p in enumerate(path)], "branch int, i int, row int, col int")
+    return shapes.branches(shapes.thinned(_clear(cells, safety / resolution, size), size), size)
 
 
-def boundaries(cells: DataFrame, *, safety: float, resolution: float, inflation: float = 1.5, tolerance: float = 0.6) -> DataFrame:
+def boundaries(cells: DataFrame, *, safety: float, resolution: float, inflation: float = 1.5, tolerance: float = 0.6, size: int = tiles.SIZE) -> DataFrame:
     """map_id, ring, i, row, col: vertices of the simplified contours around obstacles, in map pixels."""
-    least = np.float32(safety * inflation / resolution)
-    return _stage(cells, lambda free, dist: [(k, i, *p) for k, ring in enumerate(contours(dist >= least)) for i, p in enumerate(np.clip(simplify(ring - 1, tolerance), 0, (free.shape[0] - 1, free.shape[1] - 1)).tolist())], "ring int, i int, row double, col double")
+    shape = cells.groupBy(F.col("map_id").cast("long").alias("map_id")).agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    return shapes.rings(_clear(cells, safety * inflation / resolution, size), shape, tolerance, size)
 
 
 def free_samples(cells: DataFrame, *, distance: int) -> DataFrame:

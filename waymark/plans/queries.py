@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import build as b
-from ..operators import evaluate, graph, packed, raster, tiles
+from ..operators import evaluate, graph, packed, raster, shapes, tiles
 from ..sources import codecs, images, maps
 
 RES, SAFETY, LIMIT = 0.05, 0.1, 127
@@ -380,11 +380,25 @@ def find_route_points(s: SparkSession, d: str) -> DataFrame:
 
 
 def skeleton_branches(s: SparkSession, d: str) -> DataFrame:
-    return b.skeletons(maps.cells_a(s, d), safety=SAFETY, resolution=RES)
+    return b.skeletons(maps.cells_a(s, d), safety=SAFETY, resolution=RES, size=TILE)
+
+
+def _far(s: SparkSession, d: str, factor: float) -> DataFrame:
+    return shapes.clear(tiles.distances(raster.threshold(maps.cells_a(s, d), LIMIT), TILE, ring=True), SAFETY * factor / RES)
+
+
+def thinned_cells(s: SparkSession, d: str) -> DataFrame:
+    """The skeletons of suite A's inflated free space, over tiles."""
+    return shapes.state_cells(shapes.thinned(_far(s, d, 1.0), TILE), TILE)
+
+
+def ring_points(s: SparkSession, d: str) -> DataFrame:
+    """Every point of the closed lines around suite A's wide free space, in order along each line."""
+    return shapes.ring_points(_far(s, d, 1.5), TILE)
 
 
 def boundary_rings(s: SparkSession, d: str) -> DataFrame:
-    return b.boundaries(maps.cells_a(s, d), safety=SAFETY, resolution=RES)
+    return b.boundaries(maps.cells_a(s, d), safety=SAFETY, resolution=RES, size=TILE)
 
 
 def free_space_samples(s: SparkSession, d: str) -> DataFrame:
@@ -401,7 +415,7 @@ def drawn_map_cells(s: SparkSession, d: str) -> DataFrame:
     return maps.warehouse(s).union(maps.office(s))
 
 
-QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, nearest_node_id, pixel_units, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, gml_edges, geojson_features, geojson_geometry, image_cells, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, tiled_distance, node_labels, edges_collision_free, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, skeleton_branches, boundary_rings, free_space_samples, delaunay_edges, drawn_map_cells)
+QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, nearest_node_id, pixel_units, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, gml_edges, geojson_features, geojson_geometry, image_cells, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, tiled_distance, node_labels, edges_collision_free, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, thinned_cells, skeleton_branches, ring_points, boundary_rings, free_space_samples, delaunay_edges, drawn_map_cells)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -427,6 +441,10 @@ SUB = LESS + ", sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id,
 MIX = LESS + ", sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), hp(map_id, root, node_id, hops) USING KEY (map_id, root, node_id) AS (SELECT map_id, node_id, node_id, 0 FROM nd UNION (SELECT hp.map_id, hp.root, sb.dst, min(hp.hops + 1) FROM hp JOIN sb ON sb.map_id = hp.map_id AND sb.src = hp.node_id LEFT JOIN recurring.hp AS k ON k.map_id = hp.map_id AND k.root = hp.root AND k.node_id = sb.dst WHERE k.hops IS NULL GROUP BY ALL)), sz AS (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id), dia AS (SELECT map_id, CASE WHEN count(*) < any_value(nn) * any_value(nn) THEN CAST('inf' AS DOUBLE) ELSE CAST(max(hops) AS DOUBLE) END AS graph_diameter FROM hp JOIN sz USING (map_id) GROUP BY map_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM hp GROUP BY ALL), nv AS (SELECT map_id, bool_and(r BETWEEN 2 AND h - 3 AND c BETWEEN 2 AND w - 3) AS node_validity FROM nd JOIN mc USING (map_id) GROUP BY map_id), ev AS (SELECT map_id, bool_and(weight > 0 AND weight <= sqrt(CAST(h * h + w * w AS DOUBLE))) AS edge_length_validity FROM sub JOIN mc USING (map_id) GROUP BY map_id), cf AS (SELECT sub.map_id, bool_and(least(a.r, b.r) >= 2 AND greatest(a.r, b.r) <= h - 3 AND least(a.c, b.c) >= 2 AND greatest(a.c, b.c) <= w - 3) AS collision_free FROM sub JOIN nd a ON a.map_id = sub.map_id AND a.node_id = src JOIN nd b ON b.map_id = sub.map_id AND b.node_id = dst JOIN mc ON mc.map_id = sub.map_id GROUP BY sub.map_id), val AS (SELECT map_id, coalesce(collision_free, true) AS collision_free, node_validity, num_subgraphs = 1 AS connectivity, num_subgraphs, coalesce(edge_length_validity, true) AS edge_length_validity FROM nv JOIN (SELECT map_id, count(DISTINCT component) AS num_subgraphs FROM cmp GROUP BY map_id) USING (map_id) LEFT JOIN ev USING (map_id) LEFT JOIN cf USING (map_id))"
 CLUST = "bw AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), tr AS (SELECT a.map_id, a.src AS node_id, count(*) / 2 AS t FROM bw a JOIN bw b ON a.map_id = b.map_id AND a.src = b.src AND a.dst <> b.dst JOIN bw c ON c.map_id = a.map_id AND c.src = a.dst AND c.dst = b.dst GROUP BY ALL), dg AS (SELECT map_id, src AS node_id, count(*) AS d FROM bw GROUP BY ALL), clu AS (SELECT nd.map_id, avg(CASE WHEN coalesce(d, 0) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) END) AS average_clustering FROM nd LEFT JOIN dg USING (map_id, node_id) LEFT JOIN tr USING (map_id, node_id) GROUP BY nd.map_id)"
 REGION = "fr AS (SELECT map_id, r, c FROM cells WHERE v > 127), lb(map_id, r, c, l) USING KEY (map_id, r, c) AS (SELECT map_id, r, c, r * 64 + c FROM fr UNION (SELECT f.map_id, f.r, f.c, min(x.l) FROM (SELECT map_id, r + a.i AS r, c + b.i AS c, l FROM lb CROSS JOIN range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(i)) x JOIN recurring.lb AS f ON f.map_id = x.map_id AND f.r = x.r AND f.c = x.c WHERE x.l < f.l GROUP BY ALL))"
+# Sub-passes of thinning: a cell's neighbours are bits, clockwise from above.
+THIN = "th(it, map_id, r, c) AS (SELECT 0, map_id, r, c FROM blk WHERE NOT blocked UNION ALL SELECT it + 1, map_id, r, c FROM (SELECT x.it, x.map_id, x.r, x.c, CAST(sum(CASE WHEN y.r IS NULL THEN 0 ELSE s.b END) AS INT) AS n FROM th x CROSS JOIN (VALUES (-1, 0, 1), (-1, 1, 2), (0, 1, 4), (1, 1, 8), (1, 0, 16), (1, -1, 32), (0, -1, 64), (-1, -1, 128)) s(i, j, b) LEFT JOIN th y ON y.map_id = x.map_id AND y.r = x.r + s.i AND y.c = x.c + s.j GROUP BY x.it, x.map_id, x.r, x.c) WHERE it < 64 AND NOT (bit_count(n) BETWEEN 2 AND 6 AND bit_count(xor(n, 255) & ((n >> 1) | ((n & 1) << 7))) = 1 AND CASE WHEN it % 2 = 0 THEN n & 21 <> 21 AND n & 84 <> 84 ELSE n & 69 <> 69 AND n & 81 <> 81 END))"
+# Marching squares: the corner patterns' segments, from twice (row, col) to twice (row, col) within the square.
+LOOPS = "sq AS (SELECT blk.map_id, r + s.i AS r, c + s.j AS c, sum(s.b) AS k FROM blk CROSS JOIN (VALUES (0, 0, 8), (0, -1, 4), (-1, -1, 2), (-1, 0, 1)) s(i, j, b) WHERE CAST(sqrt(d2) AS FLOAT) >= CAST(3.0000000000000004 AS FLOAT) GROUP BY ALL), tb(k, a, b, x, y) AS (VALUES (1, 2, 1, 1, 0), (2, 1, 2, 2, 1), (3, 1, 2, 1, 0), (4, 0, 1, 1, 2), (5, 0, 1, 1, 2), (5, 2, 1, 1, 0), (6, 0, 1, 2, 1), (7, 0, 1, 1, 0), (8, 1, 0, 0, 1), (9, 2, 1, 0, 1), (10, 1, 0, 0, 1), (10, 1, 2, 2, 1), (11, 1, 2, 0, 1), (12, 1, 0, 1, 2), (13, 2, 1, 1, 2), (14, 1, 0, 2, 1)), sg AS MATERIALIZED (SELECT map_id, CAST(2 * r + a + 2 AS BIGINT) * 4294967296 + 2 * c + b + 2 AS p, CAST(2 * r + x + 2 AS BIGINT) * 4294967296 + 2 * c + y + 2 AS q FROM sq JOIN tb USING (k)), lo(map_id, p, l) USING KEY (map_id, p) AS (SELECT map_id, p, p FROM sg UNION (SELECT sg.map_id, sg.q, min(lo.l) FROM lo JOIN sg ON sg.map_id = lo.map_id AND sg.p = lo.p JOIN recurring.lo AS k ON k.map_id = sg.map_id AND k.p = sg.q WHERE lo.l < k.l GROUP BY ALL)), wl(map_id, lead, p, i) AS (SELECT map_id, p, p, 0 FROM lo WHERE l = p UNION ALL SELECT wl.map_id, lead, q, i + 1 FROM wl JOIN sg ON sg.map_id = wl.map_id AND sg.p = wl.p WHERE i = 0 OR wl.p <> lead)"
 FLOOD = "nn AS (SELECT DISTINCT map_id, r0 AS r, c0 AS c FROM ln), fr AS (SELECT map_id, r, c FROM cells WHERE v > 127), fl(map_id, r, c, hops, o) USING KEY (map_id, r, c) AS (SELECT map_id, r, c, 0, r * 64 + c FROM nn JOIN fr USING (map_id, r, c) UNION (SELECT fr.map_id, fr.r, fr.c, min(x.hops + 1), min(x.o) FROM fl x CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) s(i, j) JOIN fr ON fr.map_id = x.map_id AND fr.r = x.r + s.i AND fr.c = x.c + s.j LEFT JOIN recurring.fl k ON k.map_id = fr.map_id AND k.r = fr.r AND k.c = fr.c WHERE k.o IS NULL GROUP BY fr.map_id, fr.r, fr.c))"
 STEPS = "sg AS (SELECT *, max(seq) OVER (PARTITION BY ring_id) AS last FROM nx), s0 AS (SELECT *, greatest(abs(nr - r), abs(nc - c)) AS n, least(abs(nr - r), abs(nc - c)) AS mn FROM sg WHERE seq < last), s1 AS (SELECT *, unnest(range(n + 1)) AS i FROM s0), s2 AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * i * mn + n - 1) // (2 * n) END AS k FROM s1), st AS (SELECT ring_id, seq, CAST(i AS INT) AS i, CAST(r + sign(nr - r) * CASE WHEN abs(nc - c) >= abs(nr - r) THEN k ELSE i END AS INT) AS r, CAST(c + sign(nc - c) * CASE WHEN abs(nc - c) >= abs(nr - r) THEN i ELSE k END AS INT) AS c FROM s2)"
 
@@ -478,6 +496,8 @@ def oracle_sql() -> dict[str, str]:
         "evaluation_report": f"WITH RECURSIVE {GRID}, {MIX}, {CLUST}, ec AS (SELECT map_id, count(*) AS ne, avg(weight) AS aw FROM sub GROUP BY map_id), rp AS (SELECT map_id, nn AS num_nodes, coalesce(ne, 0) AS num_edges, round(round(2.0::DOUBLE * coalesce(ne, 0) / nn, 6), 5) AS average_degree, round(round(coalesce(aw, 0), 6), 5) AS average_edge_length, graph_diameter, round(round(average_clustering, 6), 5) AS average_clustering, collision_free, node_validity, connectivity, num_subgraphs, edge_length_validity FROM sz LEFT JOIN ec USING (map_id) JOIN dia USING (map_id) JOIN clu USING (map_id) JOIN val USING (map_id)) SELECT *, 'map ' || map_id || ': ' || num_nodes || ' nodes, ' || num_edges || ' edges, ' || num_subgraphs || ' subgraphs, nodes valid: ' || CAST(node_validity AS VARCHAR) || ', lengths valid: ' || CAST(edge_length_validity AS VARCHAR) AS summary FROM rp",
         "region_labels": f'WITH RECURSIVE {CELLS}, {REGION} SELECT map_id, r AS "row", c AS col, CAST(dense_rank() OVER (PARTITION BY map_id ORDER BY l) AS INT) AS region FROM lb',
         "point_coverage": f"WITH RECURSIVE {CELLS}, {LINES}, {REGION}, nn AS (SELECT DISTINCT map_id, r0 AS r, c0 AS c FROM ln), held AS (SELECT DISTINCT lb.map_id, l FROM lb JOIN nn ON nn.map_id = lb.map_id AND nn.r = lb.r AND nn.c = lb.c), ins AS (SELECT lb.map_id, lb.r, lb.c FROM lb JOIN held ON held.map_id = lb.map_id AND held.l = lb.l), dd AS (SELECT ins.map_id, ins.r, ins.c, CAST(CAST(sqrt(CAST(min((ins.r - nn.r) * (ins.r - nn.r) + (ins.c - nn.c) * (ins.c - nn.c)) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS d FROM ins JOIN nn ON nn.map_id = ins.map_id GROUP BY ALL), ag AS (SELECT map_id, count(*) AS k, avg(d) AS ad, max(d) AS md FROM dd GROUP BY map_id), tot AS (SELECT m.map_id, count(fr.r) AS n FROM m LEFT JOIN fr USING (map_id) GROUP BY m.map_id), nc AS (SELECT map_id, count(*) AS q FROM nn GROUP BY map_id) SELECT map_id, round(CASE WHEN n = 0 OR q IS NULL THEN 0.0::DOUBLE ELSE coalesce(k, 0) / CAST(n AS DOUBLE) END, 5) AS free_space_coverage, CASE WHEN n > 0 THEN round(ad, 5) END AS average_distance_to_node, CASE WHEN n > 0 THEN round(md, 5) END AS max_distance_to_node, round(CASE WHEN n = 0 OR q IS NULL THEN 0.0::DOUBLE ELSE coalesce(k, 0) / CAST(n AS DOUBLE) / q END, 5) AS coverage_efficiency FROM tot LEFT JOIN ag USING (map_id) LEFT JOIN nc USING (map_id)",
+        "thinned_cells": f'WITH RECURSIVE {EDT}, {THIN} SELECT map_id, r AS "row", c AS col FROM th WHERE it = 64',
+        "ring_points": f'WITH RECURSIVE {EDT}, {LOOPS} SELECT map_id, CAST(dense_rank() OVER (PARTITION BY map_id ORDER BY lead) - 1 AS INT) AS ring, CAST(i AS INT) AS i, (p // 4294967296 - 2) / 2.0::DOUBLE AS "row", (p % 4294967296 - 2) / 2.0::DOUBLE AS col FROM wl',
         "tiled_distance": f'WITH {EDT} SELECT map_id, r AS "row", c AS col, d2 FROM edt',
         "node_labels": f'WITH RECURSIVE {CELLS}, {LINES}, {FLOOD} SELECT cells.map_id, cells.r AS "row", cells.c AS col, CAST(CASE WHEN v <= 127 THEN -2 ELSE coalesce(o, -1) END AS INT) AS label, CAST(coalesce(hops, -1) AS INT) AS hops FROM cells LEFT JOIN fl ON fl.map_id = cells.map_id AND fl.r = cells.r AND fl.c = cells.c',
         "edges_collision_free": f"WITH {GRID}, {LESS} SELECT map_id, NOT EXISTS (SELECT 1 FROM lh WHERE lh.map_id = em.map_id) AS collision_free FROM (SELECT DISTINCT map_id FROM ed) em",
