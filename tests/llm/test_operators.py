@@ -636,3 +636,15 @@ def test_dedup_of_one_sided_deliveries(spark, monkeypatch, ids):
     monkeypatch.setattr(mphf_dedup, "_dealt", dealt)
     assert mphf_dedup.look_up(spark.createDataFrame([], "shard int, shards int, table binary"), new).count() == new.count()
     assert most[0] <= 100
+
+
+def test_anchors_go_by_whole_grams(monkeypatch):
+    """Grams that differ in their low bits alone: a window's anchor doesn't depend on how many bytes are held together."""
+    real = suffix_family.mix
+    monkeypatch.setattr(suffix_family, "mix", lambda x, salt=0: real(x, salt) & np.uint64(0xFFF) if salt == 0 else real(x, salt))
+    rng = random.Random(3)
+    text = bytes(rng.choice(b"abcdefgh") for _ in range(1500))
+    alone, among = suffix_family.anchors([text]), suffix_family.anchors([bytes(rng.choice(b"xyz") for _ in range(90_000)), text])
+    own = among["text"] == 1
+    for k in ("lo", "hi", "gram", "around"):
+        assert (alone[k] == among[k][own]).all()

@@ -93,6 +93,15 @@ def span_hash(p: np.ndarray, at: np.ndarray, length: np.ndarray | int, of=FIRST)
     return (p[at + length] - p[at]) * _powers(of[2], len(p))[at]
 
 
+def _minima(key: np.ndarray, n: int) -> np.ndarray:
+    """The least key of each of ``n`` windows of SPAN places, by minima of blocks from both sides."""
+    padded = np.full(-(-len(key) // SPAN) * SPAN, ~U(0))
+    padded[: len(key)] = key
+    padded = padded.reshape(-1, SPAN)
+    out = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()[:n].copy()
+    return np.minimum(out, np.minimum.accumulate(padded, axis=1).ravel()[SPAN - 1 : SPAN - 1 + n], out=out)
+
+
 def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     """For each anchor: text (index), lo, hi (first and last window start), gram and around (hashes)."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -104,16 +113,12 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
         return empty
     p = prefix(data)
     grams = mix((p[GRAM:] - p[:-GRAM]) * _powers(FIRST[2], len(p))[: len(p) - GRAM])
-    # the least gram of each window, the first of equals: place in the low bits, minima of blocks from both sides
+    # the least gram of each window, the first of equals: place in the low bits of a key
     low = U(max(1, int(len(grams)).bit_length()))
-    key = (grams >> low << low) | np.arange(len(grams), dtype=np.uint64)
-    blocks = -(-len(key) // SPAN)
-    padded = np.full(blocks * SPAN, ~U(0))
-    padded[: len(key)] = key
-    padded = padded.reshape(blocks, SPAN)
-    head = np.minimum.accumulate(padded, axis=1).ravel()
-    tail = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = (np.minimum(tail[:n], head[SPAN - 1 : SPAN - 1 + n]) & ((U(1) << low) - U(1))).astype(np.int64)
+    least = (_minima((grams >> low << low) | np.arange(len(grams), dtype=np.uint64), n) & ((U(1) << low) - U(1))).astype(np.int64)
+    # whole grams decide: where a lesser one has the same high bits, it is the one, however long the text
+    for w in np.flatnonzero(_minima(grams, n) != grams[least]).tolist():
+        least[w] = w + int(grams[w : w + SPAN].argmin())
     # windows that stay in their text
     ok = np.zeros(n + 1, np.int32)
     for s, z in zip(start[size >= MATCH].tolist(), size[size >= MATCH].tolist(), strict=True):
