@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import line_cells
-from . import tiles
+from . import reach, tiles
 from .build import raster as to_raster
 from .build import spread
 from .graph import clustering, components, degree_stats, for_maps
@@ -67,21 +67,7 @@ def _adjacency(n: pd.DataFrame, e: pd.DataFrame) -> dict[int, dict[int, float]]:
 def diameter(nodes: DataFrame, edges: DataFrame, maps: DataFrame | None = None) -> DataFrame:
     """graph_diameter by map: the greatest number of hops between two nodes; infinite if some are not connected, 0 for
     those of ``maps`` without a graph."""
-
-    def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        near, most = _adjacency(n, e), 0.0
-        for start in near:
-            seen, front, hops = {start}, [start], -1
-            while front:
-                hops += 1
-                front = list({y for x in front for y in near[x]} - seen)
-                seen.update(front)
-            most = max(most, float(hops) if len(seen) == len(near) else math.inf)
-            if most == math.inf:
-                break
-        return pd.DataFrame({"map_id": [key[0]], "graph_diameter": [most]})
-
-    return for_maps(_graph_groups(nodes, edges).applyInPandas(run, "map_id long, graph_diameter double"), maps, graph_diameter=0.0)
+    return for_maps(reach.diameter(nodes, edges), maps, graph_diameter=0.0)
 
 
 def collision_free(nodes: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import line_cells
+from .tiles import components as linked
 
 
 def grid_mentions(maps: DataFrame, sample: int, margin: int) -> DataFrame:
@@ -80,28 +81,10 @@ def isolates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """map_id, node_id, component (its least node): one task for a map, union-find inside."""
-
-    def run(key, n, e):
-        import pandas as pd
-
-        up = {x: x for x in n["node_id"].tolist()}
-
-        def root(x):
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for a, b in zip(e["src"].tolist(), e["dst"].tolist(), strict=True) if len(e) else []:
-            a, b = root(a), root(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        return pd.DataFrame({"map_id": key[0], "node_id": list(up), "component": [root(x) for x in up]})
-
-    plain = nodes.selectExpr("cast(map_id as long) map_id", "cast(node_id as int) node_id")
-    both = plain.groupBy("map_id").cogroup(edges.selectExpr("cast(map_id as long) map_id", "cast(src as int) src", "cast(dst as int) dst").groupBy("map_id"))
-    return both.applyInPandas(run, "map_id long, node_id int, component int")
+    """map_id, node_id, component (its least node), by rounds over the edges of all maps."""
+    n = nodes.select(F.col("map_id").cast("long").alias("map_id"), F.col("node_id").cast("long").alias("node"))
+    known = linked(edges.select(F.col("map_id").cast("long").alias("map_id"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b")))
+    return n.join(known, ["map_id", "node"], "left").select("map_id", F.col("node").cast("int").alias("node_id"), F.coalesce("component", "node").cast("int").alias("component"))
 
 
 def for_maps(metrics: DataFrame, maps: DataFrame | None, **empty) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import build as b
-from ..operators import evaluate, graph, packed, raster, shapes, tiles
+from ..operators import evaluate, graph, packed, raster, reach, shapes, tiles
 from ..sources import codecs, images, maps
 
 RES, SAFETY, LIMIT = 0.05, 0.1, 127
@@ -160,8 +160,9 @@ def pixel_units(s: SparkSession, d: str) -> DataFrame:
 def shortest_path_len(s: SparkSession, d: str) -> DataFrame:
     """Lengths of shortest routes from node 0 to every node of each grid."""
     nodes, edges = _grid(s, d)
-    r = nodes.select((F.col("map_id") * 10000 + F.col("node_id")).alias("route_id"), "map_id", F.lit(0).alias("start_id"), F.col("node_id").alias("goal_id"))
-    return b.routes(r, nodes, edges).select("route_id", "found", F.round(F.coalesce("length", F.lit(-1.0)), 4).alias("length"))
+    d = reach.distances(nodes.filter("node_id = 0").select("map_id", F.col("node_id").alias("source")), edges)
+    out = nodes.select("map_id", "node_id").join(d, ["map_id", "node_id"], "left")
+    return out.select((F.col("map_id") * 10000 + F.col("node_id")).alias("route_id"), F.col("distance").isNotNull().alias("found"), F.round(F.coalesce("distance", F.lit(-1.0)), 4).alias("length"))
 
 
 def degree_stats(s: SparkSession, d: str) -> DataFrame:
@@ -440,7 +441,8 @@ LESS = OBS + ", le AS (SELECT ed.*, a.r AS ar, a.c AS ac, b.r AS br, b.c AS bc F
 SUB = LESS + ", sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), reach AS (SELECT map_id, node_id, node_id AS root FROM nd UNION SELECT reach.map_id, sb.dst, reach.root FROM reach JOIN sb ON sb.map_id = reach.map_id AND sb.src = reach.node_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM reach GROUP BY ALL)"
 MIX = LESS + ", sb AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), hp(map_id, root, node_id, hops) USING KEY (map_id, root, node_id) AS (SELECT map_id, node_id, node_id, 0 FROM nd UNION (SELECT hp.map_id, hp.root, sb.dst, min(hp.hops + 1) FROM hp JOIN sb ON sb.map_id = hp.map_id AND sb.src = hp.node_id LEFT JOIN recurring.hp AS k ON k.map_id = hp.map_id AND k.root = hp.root AND k.node_id = sb.dst WHERE k.hops IS NULL GROUP BY ALL)), sz AS (SELECT map_id, count(*) AS nn FROM nd GROUP BY map_id), dia AS (SELECT map_id, CASE WHEN count(*) < any_value(nn) * any_value(nn) THEN CAST('inf' AS DOUBLE) ELSE CAST(max(hops) AS DOUBLE) END AS graph_diameter FROM hp JOIN sz USING (map_id) GROUP BY map_id), cmp AS (SELECT map_id, node_id, min(root) AS component FROM hp GROUP BY ALL), nv AS (SELECT map_id, bool_and(r BETWEEN 2 AND h - 3 AND c BETWEEN 2 AND w - 3) AS node_validity FROM nd JOIN mc USING (map_id) GROUP BY map_id), ev AS (SELECT map_id, bool_and(weight > 0 AND weight <= sqrt(CAST(h * h + w * w AS DOUBLE))) AS edge_length_validity FROM sub JOIN mc USING (map_id) GROUP BY map_id), cf AS (SELECT sub.map_id, bool_and(least(a.r, b.r) >= 2 AND greatest(a.r, b.r) <= h - 3 AND least(a.c, b.c) >= 2 AND greatest(a.c, b.c) <= w - 3) AS collision_free FROM sub JOIN nd a ON a.map_id = sub.map_id AND a.node_id = src JOIN nd b ON b.map_id = sub.map_id AND b.node_id = dst JOIN mc ON mc.map_id = sub.map_id GROUP BY sub.map_id), val AS (SELECT map_id, coalesce(collision_free, true) AS collision_free, node_validity, num_subgraphs = 1 AS connectivity, num_subgraphs, coalesce(edge_length_validity, true) AS edge_length_validity FROM nv JOIN (SELECT map_id, count(DISTINCT component) AS num_subgraphs FROM cmp GROUP BY map_id) USING (map_id) LEFT JOIN ev USING (map_id) LEFT JOIN cf USING (map_id))"
 CLUST = "bw AS (SELECT map_id, src, dst FROM sub UNION ALL SELECT map_id, dst, src FROM sub), tr AS (SELECT a.map_id, a.src AS node_id, count(*) / 2 AS t FROM bw a JOIN bw b ON a.map_id = b.map_id AND a.src = b.src AND a.dst <> b.dst JOIN bw c ON c.map_id = a.map_id AND c.src = a.dst AND c.dst = b.dst GROUP BY ALL), dg AS (SELECT map_id, src AS node_id, count(*) AS d FROM bw GROUP BY ALL), clu AS (SELECT nd.map_id, avg(CASE WHEN coalesce(d, 0) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) END) AS average_clustering FROM nd LEFT JOIN dg USING (map_id, node_id) LEFT JOIN tr USING (map_id, node_id) GROUP BY nd.map_id)"
-REGION = "fr AS (SELECT map_id, r, c FROM cells WHERE v > 127), lb(map_id, r, c, l) USING KEY (map_id, r, c) AS (SELECT map_id, r, c, r * 64 + c FROM fr UNION (SELECT f.map_id, f.r, f.c, min(x.l) FROM (SELECT map_id, r + a.i AS r, c + b.i AS c, l FROM lb CROSS JOIN range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(i)) x JOIN recurring.lb AS f ON f.map_id = x.map_id AND f.r = x.r AND f.c = x.c WHERE x.l < f.l GROUP BY ALL))"
+# Regions by runs of free cells in a row: runs of neighbouring rows that touch, diagonals too, are linked.
+REGION = "fr AS (SELECT map_id, r, c FROM cells WHERE v > 127), run AS MATERIALIZED (SELECT map_id, r, min(c) AS a, max(c) AS b FROM (SELECT map_id, r, c, c - row_number() OVER (PARTITION BY map_id, r ORDER BY c) AS g FROM fr) GROUP BY map_id, r, g), l1 AS (SELECT x.map_id, x.r * 64 + x.a AS p, y.r * 64 + y.a AS q FROM run x JOIN run y ON y.map_id = x.map_id AND y.r = x.r + 1 AND y.a <= x.b + 1 AND y.b >= x.a - 1), lk AS MATERIALIZED (SELECT * FROM l1 UNION ALL SELECT map_id, q, p FROM l1), rl(map_id, p, l) USING KEY (map_id, p) AS (SELECT map_id, r * 64 + a, r * 64 + a FROM run UNION (SELECT lk.map_id, lk.q, min(rl.l) FROM rl JOIN lk ON lk.map_id = rl.map_id AND lk.p = rl.p JOIN recurring.rl AS k ON k.map_id = lk.map_id AND k.p = lk.q WHERE rl.l < k.l GROUP BY ALL)), lb AS MATERIALIZED (SELECT run.map_id, run.r, unnest(range(a, b + 1)) AS c, l FROM run JOIN rl ON rl.map_id = run.map_id AND rl.p = run.r * 64 + run.a)"
 # Sub-passes of thinning: a cell's neighbours are bits, clockwise from above.
 THIN = "th(it, map_id, r, c) AS (SELECT 0, map_id, r, c FROM blk WHERE NOT blocked UNION ALL SELECT it + 1, map_id, r, c FROM (SELECT x.it, x.map_id, x.r, x.c, CAST(sum(CASE WHEN y.r IS NULL THEN 0 ELSE s.b END) AS INT) AS n FROM th x CROSS JOIN (VALUES (-1, 0, 1), (-1, 1, 2), (0, 1, 4), (1, 1, 8), (1, 0, 16), (1, -1, 32), (0, -1, 64), (-1, -1, 128)) s(i, j, b) LEFT JOIN th y ON y.map_id = x.map_id AND y.r = x.r + s.i AND y.c = x.c + s.j GROUP BY x.it, x.map_id, x.r, x.c) WHERE it < 64 AND NOT (bit_count(n) BETWEEN 2 AND 6 AND bit_count(xor(n, 255) & ((n >> 1) | ((n & 1) << 7))) = 1 AND CASE WHEN it % 2 = 0 THEN n & 21 <> 21 AND n & 84 <> 84 ELSE n & 69 <> 69 AND n & 81 <> 81 END))"
 # Marching squares: the corner patterns' segments, from twice (row, col) to twice (row, col) within the square.
@@ -494,7 +496,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_diameter": f"WITH RECURSIVE {GRID}, {MIX} SELECT map_id, graph_diameter FROM dia",
         "graph_validity": f"WITH RECURSIVE {GRID}, {MIX} SELECT * FROM val",
         "evaluation_report": f"WITH RECURSIVE {GRID}, {MIX}, {CLUST}, ec AS (SELECT map_id, count(*) AS ne, avg(weight) AS aw FROM sub GROUP BY map_id), rp AS (SELECT map_id, nn AS num_nodes, coalesce(ne, 0) AS num_edges, round(round(2.0::DOUBLE * coalesce(ne, 0) / nn, 6), 5) AS average_degree, round(round(coalesce(aw, 0), 6), 5) AS average_edge_length, graph_diameter, round(round(average_clustering, 6), 5) AS average_clustering, collision_free, node_validity, connectivity, num_subgraphs, edge_length_validity FROM sz LEFT JOIN ec USING (map_id) JOIN dia USING (map_id) JOIN clu USING (map_id) JOIN val USING (map_id)) SELECT *, 'map ' || map_id || ': ' || num_nodes || ' nodes, ' || num_edges || ' edges, ' || num_subgraphs || ' subgraphs, nodes valid: ' || CAST(node_validity AS VARCHAR) || ', lengths valid: ' || CAST(edge_length_validity AS VARCHAR) AS summary FROM rp",
-        "region_labels": f'WITH RECURSIVE {CELLS}, {REGION} SELECT map_id, r AS "row", c AS col, CAST(dense_rank() OVER (PARTITION BY map_id ORDER BY l) AS INT) AS region FROM lb',
+        "region_labels": f'WITH RECURSIVE {CELLS}, {REGION} SELECT map_id, r AS "row", CAST(c AS INT) AS col, CAST(dense_rank() OVER (PARTITION BY map_id ORDER BY l) AS INT) AS region FROM lb',
         "point_coverage": f"WITH RECURSIVE {CELLS}, {LINES}, {REGION}, nn AS (SELECT DISTINCT map_id, r0 AS r, c0 AS c FROM ln), held AS (SELECT DISTINCT lb.map_id, l FROM lb JOIN nn ON nn.map_id = lb.map_id AND nn.r = lb.r AND nn.c = lb.c), ins AS (SELECT lb.map_id, lb.r, lb.c FROM lb JOIN held ON held.map_id = lb.map_id AND held.l = lb.l), dd AS (SELECT ins.map_id, ins.r, ins.c, CAST(CAST(sqrt(CAST(min((ins.r - nn.r) * (ins.r - nn.r) + (ins.c - nn.c) * (ins.c - nn.c)) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS d FROM ins JOIN nn ON nn.map_id = ins.map_id GROUP BY ALL), ag AS (SELECT map_id, count(*) AS k, avg(d) AS ad, max(d) AS md FROM dd GROUP BY map_id), tot AS (SELECT m.map_id, count(fr.r) AS n FROM m LEFT JOIN fr USING (map_id) GROUP BY m.map_id), nc AS (SELECT map_id, count(*) AS q FROM nn GROUP BY map_id) SELECT map_id, round(CASE WHEN n = 0 OR q IS NULL THEN 0.0::DOUBLE ELSE coalesce(k, 0) / CAST(n AS DOUBLE) END, 5) AS free_space_coverage, CASE WHEN n > 0 THEN round(ad, 5) END AS average_distance_to_node, CASE WHEN n > 0 THEN round(md, 5) END AS max_distance_to_node, round(CASE WHEN n = 0 OR q IS NULL THEN 0.0::DOUBLE ELSE coalesce(k, 0) / CAST(n AS DOUBLE) / q END, 5) AS coverage_efficiency FROM tot LEFT JOIN ag USING (map_id) LEFT JOIN nc USING (map_id)",
         "thinned_cells": f'WITH RECURSIVE {EDT}, {THIN} SELECT map_id, r AS "row", c AS col FROM th WHERE it = 64',
         "ring_points": f'WITH RECURSIVE {EDT}, {LOOPS} SELECT map_id, CAST(dense_rank() OVER (PARTITION BY map_id ORDER BY lead) - 1 AS INT) AS ring, CAST(i AS INT) AS i, (p // 4294967296 - 2) / 2.0::DOUBLE AS "row", (p % 4294967296 - 2) / 2.0::DOUBLE AS col FROM wl',
