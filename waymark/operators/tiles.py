@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..shared import cut
 
 SIZE = 256
+SENT = 200_000  # rows that a task sends back at once, about
 BAND = 16  # rows whose envelopes are merged in one group
 TILE = ["map_id", "tr", "tc"]
 FAR = np.iinfo(np.int64).max // 4
@@ -56,10 +57,17 @@ def each(df: DataFrame, make: Callable[..., pd.DataFrame | None], schema: str) -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            held, n = [], 0
             for r in b.itertuples(index=False):
                 out = make(r)
                 if out is not None and len(out):
-                    yield out
+                    held.append(out)
+                    n += len(out)
+                if n >= SENT:  # small tiles go back together
+                    yield pd.concat(held, ignore_index=True)
+                    held, n = [], 0
+            if held:
+                yield pd.concat(held, ignore_index=True)
 
     return df.mapInPandas(run, schema)
 

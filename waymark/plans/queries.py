@@ -14,7 +14,7 @@ from ..sources import codecs, images, maps
 
 RES, SAFETY, LIMIT = 0.05, 0.1, 127
 MARGIN, SAMPLE = 2, 5
-TILE = 16  # of the tiled queries: a map of the suites is a dozen tiles
+TILE = 32  # of the tiled queries: a map of the suites is four tiles
 # line numbers may repeat within an order
 PLACE = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
 
