@@ -40,7 +40,7 @@ def _png(data: bytes) -> tuple[np.ndarray, int, np.ndarray | None]:
     while at + 8 <= len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + n]
-        if len(part) < n or (kind == b"IHDR" and n != 13) or (kind == b"PLTE" and n % 3):
+        if (kind in (b"IHDR", b"PLTE", b"IDAT") and at + 12 + n > len(data)) or (kind == b"IHDR" and n != 13) or (kind == b"PLTE" and n % 3):
             raise ValueError(INVALID)
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", part)
