@@ -203,9 +203,9 @@ def _pieces(map_id: int, key: np.ndarray, after: np.ndarray) -> pd.DataFrame:
     return out
 
 
-def _numbered(names: DataFrame, *order: str) -> DataFrame:
-    """Adds number, from 0, by map; counts of blocks of the first order column are summed first."""
-    block = F.shiftright(order[0], 38)  # 64 rows of cells
+def numbered(names: DataFrame, *order: str, shift: int = 38) -> DataFrame:
+    """Adds number, from 0, by map; counts of blocks of the first order column (2^shift, 64 rows of cells) are summed first."""
+    block = F.shiftright(order[0], shift)
     n = names.withColumn("block", block)
     before = n.groupBy("map_id", "block").agg(F.count("*").alias("n"))
     before = before.select("map_id", "block", F.coalesce(F.sum("n").over(Window.partitionBy("map_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -258,7 +258,7 @@ def ring_points(state: DataFrame, size: int = SIZE) -> DataFrame:
         return _pieces(t.map_id, key[:, 0] * SHIFT + key[:, 1], after[:, 0] * SHIFT + after[:, 1]) if len(key) else None
 
     ranked = cut(rank_chains(each(windows(state, 1, size), make, PIECE)))
-    numbers = _numbered(ranked.select("map_id", "name").distinct(), "name").select("map_id", "name", F.col("number").alias("ring"))
+    numbers = numbered(ranked.select("map_id", "name").distinct(), "name").select("map_id", "name", F.col("number").alias("ring"))
 
     def show(b: pd.DataFrame, at: np.ndarray, steps: np.ndarray, i: np.ndarray) -> dict:
         first = np.flatnonzero(i == 0)
@@ -357,8 +357,8 @@ def branches(skeleton: DataFrame, size: int = SIZE) -> DataFrame:
     chosen = ends.filter("first <= back").withColumn("order", F.shiftright("first", 3))
     lines, loops = chosen.filter("NOT ring"), chosen.filter("ring")
     count = lines.groupBy("map_id").agg(F.count("*").cast("int").alias("more"))
-    numbers = _numbered(lines, "order", "first").select("map_id", "name", "ring", "number")
-    numbers = numbers.union(_numbered(loops, "order", "first").join(count, "map_id", "left").select("map_id", "name", "ring", (F.col("number") + F.coalesce("more", F.lit(0))).alias("number")))
+    numbers = numbered(lines, "order", "first").select("map_id", "name", "ring", "number")
+    numbers = numbers.union(numbered(loops, "order", "first").join(count, "map_id", "left").select("map_id", "name", "ring", (F.col("number") + F.coalesce("more", F.lit(0))).alias("number")))
 
     def show(b: pd.DataFrame, at: np.ndarray, steps: np.ndarray, i: np.ndarray) -> dict:
         r, c, total = steps // 8 // SHIFT, steps // 8 % SHIFT, b["total"].to_numpy()
