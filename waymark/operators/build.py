@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shapes, tiles
-from .kernels import Config, Graph, build, collides, node_map, sample_free, shortest_path, squared_distance, triangulate
+from . import sampling, shapes, tiles
+from .kernels import Config, Graph, build, collides, node_map, shortest_path, triangulate
 
 NODES = "map_id long, node_id int, row int, col int, x double, y double, z double, node_type string"
 EDGES = "map_id long, src int, dst int, weight double, edge_type string"
@@ -173,17 +173,6 @@ def find_routes(requests: DataFrame, blocked: DataFrame, nodes: DataFrame, edges
     return spread(both, "part").groupBy("map_id", "part").applyInPandas(run, "route_id long, found boolean, reason string, points array<struct<row:int,col:int>>").union(none)
 
 
-def _stage(cells: DataFrame, make, schema: str) -> DataFrame:
-    """One stage of a build alone, by map: make(blocked, free, distances with a ring) gives rows after map_id."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        free = raster(pdf) > 127
-        dist = np.sqrt(squared_distance(np.pad(free, 1))).astype(np.float32)
-        return pd.DataFrame([(key[0], *row) for row in make(free, dist)], columns=[x.split()[0] for x in ("map_id long, " + schema).split(", ")])
-
-    return spread(cells.selectExpr("cast(map_id as long) map_id", "row", "col", "value")).groupBy("map_id").applyInPandas(run, "map_id long, " + schema)
-
-
 def _clear(cells: DataFrame, least: float, size: int) -> DataFrame:
     free = cells.select("map_id", "row", "col", (F.col("value") > 127).alias("free"))
     return shapes.clear(tiles.distances(free, size, ring=True), least)
@@ -200,15 +189,9 @@ def boundaries(cells: DataFrame, *, safety: float, resolution: float, inflation:
     return shapes.rings(_clear(cells, safety * inflation / resolution, size), shape, tolerance, size)
 
 
-def free_samples(cells: DataFrame, *, distance: int) -> DataFrame:
+def free_samples(cells: DataFrame, *, distance: int, size: int = tiles.SIZE) -> DataFrame:
     """map_id, node_id, row, col: nodes placed at distance maxima in free space, in the order they are placed."""
-
-    def make(free: np.ndarray, dist: np.ndarray):
-        graph = Graph()
-        sample_free(graph, free, distance)
-        return [(i, *p) for i, p in enumerate(graph.nodes)]
-
-    return _stage(cells, make, "node_id int, row int, col int")
+    return sampling.sampled(cells.select("map_id", "row", "col", (F.col("value") > 127).alias("free")), distance, size)
 
 
 def delaunay(nodes: DataFrame) -> DataFrame:

@@ -270,7 +270,11 @@ def distances(cells: DataFrame, size: int = SIZE, ring: bool = False) -> DataFra
 
     ``ring``: a border of obstacles around the map counts too. Without obstacles d2 is FAR.
     """
-    tiled = cut(tiles(cells, size))
+    return tile_distances(cut(tiles(cells, size)), size, ring)
+
+
+def tile_distances(tiled: DataFrame, size: int = SIZE, ring: bool = False) -> DataFrame:
+    """``distances`` of ``tiles``, which are read several times."""
 
     def strip(t) -> pd.DataFrame:
         wall = ~mask(t.free, t.h, t.w, size)

@@ -404,7 +404,7 @@ def boundary_rings(s: SparkSession, d: str) -> DataFrame:
 
 
 def free_space_samples(s: SparkSession, d: str) -> DataFrame:
-    return b.free_samples(maps.cells_a(s, d), distance=3)
+    return b.free_samples(maps.cells_a(s, d), distance=3, size=TILE)
 
 
 def delaunay_edges(s: SparkSession, d: str) -> DataFrame:
