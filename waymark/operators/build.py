@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sampling, shapes, tiles
-from .kernels import Config, Graph, build, collides, node_map, shortest_path, triangulate
+from .kernels import Config, Graph, build, collides, node_map, shortest_path
 
 NODES = "map_id long, node_id int, row int, col int, x double, y double, z double, node_type string"
 EDGES = "map_id long, src int, dst int, weight double, edge_type string"
@@ -192,15 +192,3 @@ def boundaries(cells: DataFrame, *, safety: float, resolution: float, inflation:
 def free_samples(cells: DataFrame, *, distance: int, size: int = tiles.SIZE) -> DataFrame:
     """map_id, node_id, row, col: nodes placed at distance maxima in free space, in the order they are placed."""
     return sampling.sampled(cells.select("map_id", "row", "col", (F.col("value") > 127).alias("free")), distance, size)
-
-
-def delaunay(nodes: DataFrame) -> DataFrame:
-    """map_id, src, dst of the Delaunay triangulation of each map's nodes(map_id, node_id, row, col)."""
-
-    def run(key: tuple, n: pd.DataFrame) -> pd.DataFrame:
-        ids = n["node_id"].tolist()
-        pairs = sorted((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in triangulate(list(zip(n["row"].tolist(), n["col"].tolist(), strict=True))))
-        return pd.DataFrame([(key[0], *p) for p in pairs], columns=["map_id", "src", "dst"])
-
-    plain = nodes.selectExpr("cast(map_id as long) map_id", "cast(node_id as int) node_id", "row", "col").dropDuplicates(["map_id", "row", "col"])
-    return spread(plain).groupBy("map_id").applyInPandas(run, "map_id long, src int, dst int")

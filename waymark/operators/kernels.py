@@ -176,17 +176,18 @@ def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
     return ring[sorted(keep)]
 
 
-def triangulate(points: list[tuple[int, int]]) -> set[tuple[int, int]]:
-    """Edges (i < j) of the Delaunay triangulation of distinct points, in integers.
+def triangles(points: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """The Delaunay triangulation of distinct points, in integers: each directed side with the corner on its left.
 
     Points are inserted in order, lexicographically; a point on a circle doesn't count as inside, so ties on lattices
-    always fall the same way.
+    always fall the same way. Corners from len(points) on are three far points around all others, too far to lie in a
+    circle through three of them.
     """
     n = len(points)
-    if n < 3:
-        return set()
-    span = 16 * (max(max(map(abs, p)) for p in points) + 1) ** 2
-    pts = [*points, (-3 * span, -3 * span), (3 * span, -3 * span), (0, 3 * span)]
+    r0, c0 = (min(p[k] for p in points) for k in (0, 1))
+    pts = [(r - r0, c - c0) for r, c in points]
+    span = 64 * (max(map(max, pts)) + 1) ** 3
+    pts += [(-3 * span, -3 * span), (3 * span, -3 * span), (0, 3 * span)]
 
     def turn(a: int, b: int, c: int) -> int:
         return (pts[b][0] - pts[a][0]) * (pts[c][1] - pts[a][1]) - (pts[b][1] - pts[a][1]) * (pts[c][0] - pts[a][0])
@@ -232,7 +233,20 @@ def triangulate(points: list[tuple[int, int]]) -> set[tuple[int, int]]:
         for a, b in rim:
             add(a, b, p)
         side = rim[0]
-    return {(a, b) for a, b in third if a < b < n} | {(b, a) for a, b in third if b < a < n}
+    return third
+
+
+def joined(third: dict[tuple[int, int], int], n: int, a: int, b: int) -> bool:
+    """Whether a and b are ends of a side of a triangle of the first ``n`` points."""
+    return max(a, b) < n and min(third[a, b], third[b, a]) < n
+
+
+def triangulate(points: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """Edges (i < j) of the Delaunay triangulation of distinct points; none where all lie on one line."""
+    if len(points) < 3:
+        return set()
+    third = triangles(points)
+    return {(a, b) for a, b in third if a < b and joined(third, len(points), a, b)}
 
 
 class Graph:

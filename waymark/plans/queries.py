@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import build as b
-from ..operators import evaluate, graph, merging, packed, raster, reach, shapes, tiles
+from ..operators import evaluate, graph, merging, packed, raster, reach, shapes, tiles, triangles
 from ..shared import cut
 from ..sources import codecs, images, maps
 
@@ -408,8 +408,14 @@ def free_space_samples(s: SparkSession, d: str) -> DataFrame:
 
 
 def delaunay_edges(s: SparkSession, d: str) -> DataFrame:
-    """Triangulations of grid nodes."""
-    return b.delaunay(_grid(s, d)[0])
+    """Triangulations of grid nodes: all ties, over tiles."""
+    return triangles.delaunay(_grid(s, d)[0], TILE // 4)
+
+
+def triangulated_points(s: SparkSession, d: str) -> DataFrame:
+    """Triangulations over tiles of points on suite A maps, one for each customer."""
+    c = maps.table(s, d, "customer").withColumn("maps", maps.count_of(s, d))
+    return triangles.delaunay(c.selectExpr("c_custkey % maps + 1 AS map_id", "c_custkey AS node_id", f"(c_custkey * 13 + c_custkey div 16) % {maps.HEIGHT} AS row", f"(c_custkey * 29 + c_custkey div 8) % {maps.WIDTH} AS col"), TILE // 2)
 
 
 def _line_graph(s: SparkSession, d: str, free: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -437,7 +443,7 @@ def drawn_map_cells(s: SparkSession, d: str) -> DataFrame:
     return maps.warehouse(s).union(maps.office(s))
 
 
-QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, nearest_node_id, pixel_units, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, gml_edges, geojson_features, geojson_geometry, image_cells, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, tiled_distance, node_labels, edges_collision_free, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, thinned_cells, skeleton_branches, ring_points, boundary_rings, free_space_samples, delaunay_edges, merged_nodes, drawn_map_cells)
+QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, nearest_node_id, pixel_units, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, gml_edges, geojson_features, geojson_geometry, image_cells, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, tiled_distance, node_labels, edges_collision_free, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, thinned_cells, skeleton_branches, ring_points, boundary_rings, free_space_samples, delaunay_edges, triangulated_points, merged_nodes, drawn_map_cells)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -472,8 +478,21 @@ FLOOD = "nn AS (SELECT DISTINCT map_id, r0 AS r, c0 AS c FROM ln), fr AS (SELECT
 STEPS = "sg AS (SELECT *, max(seq) OVER (PARTITION BY ring_id) AS last FROM nx), s0 AS (SELECT *, greatest(abs(nr - r), abs(nc - c)) AS n, least(abs(nr - r), abs(nc - c)) AS mn FROM sg WHERE seq < last), s1 AS (SELECT *, unnest(range(n + 1)) AS i FROM s0), s2 AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * i * mn + n - 1) // (2 * n) END AS k FROM s1), st AS (SELECT ring_id, seq, CAST(i AS INT) AS i, CAST(r + sign(nr - r) * CASE WHEN abs(nc - c) >= abs(nr - r) THEN k ELSE i END AS INT) AS r, CAST(c + sign(nc - c) * CASE WHEN abs(nc - c) >= abs(nr - r) THEN i ELSE k END AS INT) AS c FROM s2)"
 
 
+#: Triples of points whose circles hold no other; of four points on a circle the last in row-major order counts as higher.
+TRIANGLES = f"""
+pt AS (SELECT map_id, r, c, r * 64 + c AS k, CAST(min(id) AS INT) AS id FROM (SELECT CAST(c_custkey % (SELECT count(*) FROM supplier) + 1 AS BIGINT) AS map_id, c_custkey AS id, (c_custkey * 13 + c_custkey // 16) % {maps.HEIGHT} AS r, (c_custkey * 29 + c_custkey // 8) % {maps.WIDTH} AS c FROM customer) GROUP BY ALL),
+tp AS (SELECT x.map_id, x.r AS r0, x.c AS c0, x.id AS i0, y.r AS r1, y.c AS c1, y.id AS i1, z.r AS r2, z.c AS c2, z.id AS i2, z.k AS last, sign((y.r - x.r) * (z.c - x.c) - (y.c - x.c) * (z.r - x.r)) AS side
+    FROM pt x JOIN pt y ON x.map_id = y.map_id AND x.k < y.k JOIN pt z ON x.map_id = z.map_id AND y.k < z.k),
+sq AS (SELECT tp.*, p.k, p.r AS r, p.c AS c, r0 - p.r AS ax, c0 - p.c AS ay, r1 - p.r AS bx, c1 - p.c AS by_, r2 - p.r AS cx, c2 - p.c AS cy FROM tp JOIN pt p USING (map_id) WHERE side <> 0),
+dt AS (SELECT *, side * ((ax * ax + ay * ay) * (bx * cy - by_ * cx) + (bx * bx + by_ * by_) * (cx * ay - cy * ax) + (cx * cx + cy * cy) * (ax * by_ - ay * bx)) AS det FROM sq),
+ok AS (SELECT map_id, i0, i1, i2 FROM dt GROUP BY ALL HAVING NOT bool_or(det > 0 OR (det = 0 AND k < last AND side * ((r1 - r0) * (c - c0) - (c1 - c0) * (r - r0)) > 0))),
+te AS (SELECT map_id, i0 AS a, i1 AS b FROM ok UNION SELECT map_id, i1, i2 FROM ok UNION SELECT map_id, i0, i2 FROM ok)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "triangulated_points": f"WITH {TRIANGLES} SELECT map_id, least(a, b) AS src, greatest(a, b) AS dst FROM te",
         "cells_threshold": f'WITH {CELLS} SELECT map_id, r AS "row", c AS col, v > 127 AS free FROM cells',
         "free_ratio": f"WITH {CELLS} SELECT map_id, count(*) AS n_cells, CAST(sum(CASE WHEN v > 127 THEN 1 ELSE 0 END) AS BIGINT) AS n_free, bool_and(v > 127) AS all_free FROM cells GROUP BY map_id",
         "edt_d2": f'WITH {EDT} SELECT map_id, r AS "row", c AS col, d2 FROM edt',
