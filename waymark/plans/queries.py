@@ -12,9 +12,11 @@ from ..operators import build as b
 from ..operators import evaluate, graph, merging, packed, raster, reach, shapes, tiles, triangles
 from ..shared import cut
 from ..sources import codecs, images, maps
+from ..streaming import ticks
 
 RES, SAFETY, LIMIT = 0.05, 0.1, 127
 MARGIN, SAMPLE = 2, 5
+TICK_SECONDS, IDLE_SECONDS = 6 * 3600, 48 * 3600
 TILE = 32  # of the tiled queries: a map of the suites is four tiles
 # line numbers may repeat within an order
 PLACE = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
@@ -438,12 +440,34 @@ def merged_nodes(s: SparkSession, d: str) -> DataFrame:
     return nodes.join(ends, ["map_id", "node_id"], "left").fillna(0, ["degree"]).select("map_id", "node_id", "row", "col", "place", "degree")
 
 
+def _robot_events(s: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of robots' poses, goals and odometry."""
+    path = f"{d}/events.parquet"
+    events = s.readStream.schema(s.read.parquet(path).schema).parquet(f"{path}*")  # a pattern: a stream takes a folder or that, not one file
+    at = "timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts))"
+    kind = "case event_type when 'signup' then 'goal' when 'click' then 'odometry' else 'pose' end"
+    return events.selectExpr("event_id", "user_id AS robot", f"{at} AS at", f"{kind} AS kind", "cast(event_id * 7 % 20 as double) AS x", "cast(event_id * 3 % 20 as double) AS y", "0D AS ori", "value AS speed")
+
+
+def robot_ticks(s: SparkSession, d: str) -> DataFrame:
+    """Each robot's state every six hours of event time, as a stream gives it; two days without an event let it sleep."""
+    got = ticks.settled(ticks.ticks(_robot_events(s, d).drop("event_id"), hz=1 / TICK_SECONDS, idle=IDLE_SECONDS, tolerance=6.0))
+    return got.select("robot", F.unix_seconds("at").alias("second"), "mode", "new_goal", "goal_x", "goal_y", F.round("distance", 6).alias("distance"), "speed")
+
+
+def goal_poses(s: SparkSession, d: str) -> DataFrame:
+    """Every goal with its robot's latest pose, from two streams."""
+    e = _robot_events(s, d)
+    got = ticks.goals_with_poses(e.filter("kind = 'goal'").selectExpr("robot", "at", "event_id AS route_id", "x", "y"), e.filter("kind = 'pose'").select("robot", "at", "x", "y"))
+    return ticks.settled(got).select("route_id", "robot", F.unix_millis("at").alias("ms"), "start_x", "start_y", "goal_x", "goal_y")
+
+
 def drawn_map_cells(s: SparkSession, d: str) -> DataFrame:
     """The drawn warehouse and office, cell by cell."""
     return maps.warehouse(s).union(maps.office(s))
 
 
-QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, nearest_node_id, pixel_units, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, gml_edges, geojson_features, geojson_geometry, image_cells, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, tiled_distance, node_labels, edges_collision_free, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, thinned_cells, skeleton_branches, ring_points, boundary_rings, free_space_samples, delaunay_edges, triangulated_points, merged_nodes, drawn_map_cells)
+QUERIES = (cells_threshold, free_ratio, edt_d2, inflated_cells, border_inflation, local_maxima, pixel_to_world, world_to_pixel, line_cells, edge_collision, valid_points, grid_nodes, grid_edges, csr_graph, merge_pairs, isolates, components_count, small_components, nearest_node, nearest_node_id, pixel_units, shortest_path_len, degree_stats, clustering, node_distance, clearance, smoothness, collision_free, contour_edges, contour_resample, upsample, route_vectors, clip_commands, route_gates, overlay_pixels, gml_parse, gml_edges, geojson_features, geojson_geometry, image_cells, full_build, coverage, graph_diameter, graph_validity, evaluation_report, path_metrics, region_labels, point_coverage, tiled_distance, node_labels, edges_collision_free, route_cells, route_poses, drawn_lines, luma_pixels, find_route, find_route_points, thinned_cells, skeleton_branches, ring_points, boundary_rings, free_space_samples, delaunay_edges, triangulated_points, merged_nodes, robot_ticks, goal_poses, drawn_map_cells)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -489,9 +513,28 @@ ok AS (SELECT map_id, i0, i1, i2 FROM dt GROUP BY ALL HAVING NOT bool_or(det > 0
 te AS (SELECT map_id, i0 AS a, i1 AS b FROM ok UNION SELECT map_id, i1, i2 FROM ok UNION SELECT map_id, i0, i2 FROM ok)
 """
 
+#: Events by robot in order of time, up to the watermark (wm); a session ends where a tick lies past the idle time and before the next event.
+ROBOTS = """
+wm AS (SELECT max(epoch_us(ts)) // 1000 - 1000 AS wm FROM events),
+ev AS (SELECT event_id, user_id AS rb, (epoch_us(ts) + 999) // 1000 AS ms, CASE event_type WHEN 'signup' THEN 'goal' WHEN 'click' THEN 'odometry' ELSE 'pose' END AS kind, CAST(event_id * 7 % 20 AS DOUBLE) AS x, CAST(event_id * 3 % 20 AS DOUBLE) AS y, value AS v FROM events)
+"""
+SESSIONS = f"""
+od AS (SELECT *, row_number() OVER o AS n, coalesce(((lag(ms) OVER o + {IDLE_SECONDS * 1000}) // {TICK_SECONDS * 1000} + 1) * {TICK_SECONDS * 1000} < ms, false) AS broken FROM ev WINDOW o AS (PARTITION BY rb ORDER BY ms, kind, x, y, v NULLS FIRST)),
+se AS (SELECT *, sum(CASE WHEN broken THEN 1 ELSE 0 END) OVER (PARTITION BY rb ORDER BY n) AS sid FROM od),
+st AS (SELECT rb, sid, n, ms, last_value(CASE WHEN kind <> 'goal' THEN x END IGNORE NULLS) OVER u AS px, last_value(CASE WHEN kind <> 'goal' THEN y END IGNORE NULLS) OVER u AS py, last_value(CASE WHEN kind = 'goal' THEN x END IGNORE NULLS) OVER u AS gx, last_value(CASE WHEN kind = 'goal' THEN y END IGNORE NULLS) OVER u AS gy,
+    last_value(CASE WHEN kind = 'goal' THEN ms END IGNORE NULLS) OVER u AS gm, last_value(CASE WHEN kind = 'goal' THEN n END IGNORE NULLS) OVER u AS gn, coalesce(last_value(CASE WHEN kind = 'odometry' THEN v END IGNORE NULLS) OVER u, 0) AS speed FROM se WINDOW u AS (PARTITION BY rb, sid ORDER BY n ROWS UNBOUNDED PRECEDING)),
+ls AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY rb, ms ORDER BY n DESC) = 1),
+tk AS (SELECT rb, unnest(range(a, wm + 1, {TICK_SECONDS * 1000})) AS t FROM (SELECT rb, (min(ms) + {TICK_SECONDS * 1000 - 1}) // {TICK_SECONDS * 1000} * {TICK_SECONDS * 1000} AS a, any_value(wm) AS wm FROM ev CROSS JOIN wm GROUP BY rb)),
+js AS (SELECT tk.t, ls.*, sqrt((px - gx) * (px - gx) + (py - gy) * (py - gy)) AS far FROM tk ASOF JOIN ls ON tk.rb = ls.rb AND tk.t >= ls.ms WHERE tk.t - ls.ms <= {IDLE_SECONDS * 1000}),
+fr AS (SELECT *, min(CASE WHEN far < 6 THEN t END) OVER (PARTITION BY rb, sid, gn) AS done FROM js),
+rt AS (SELECT *, far IS NOT NULL AND (done IS NULL OR t <= done) AS ready FROM fr)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "robot_ticks": f"WITH {ROBOTS}, {SESSIONS} SELECT rb AS robot, t // 1000 AS second, CASE WHEN NOT ready THEN 'wait' WHEN far < 6 THEN 'reached' ELSE 'drive' END AS mode, coalesce(gm > t - {TICK_SECONDS * 1000}, false) AS new_goal, CASE WHEN ready THEN gx END AS goal_x, CASE WHEN ready THEN gy END AS goal_y, CASE WHEN ready THEN round(far, 6) END AS distance, speed FROM rt",
+        "goal_poses": f"WITH {ROBOTS} SELECT g.event_id AS route_id, g.rb AS robot, g.ms, p.x AS start_x, p.y AS start_y, g.x AS goal_x, g.y AS goal_y FROM (SELECT * FROM ev, wm WHERE kind = 'goal' AND ms <= wm) g ASOF LEFT JOIN (SELECT rb, ms, x, y FROM ev WHERE kind = 'pose' QUALIFY row_number() OVER (PARTITION BY rb, ms ORDER BY x DESC, y DESC) = 1) p ON g.rb = p.rb AND g.ms >= p.ms",
         "triangulated_points": f"WITH {TRIANGLES} SELECT map_id, least(a, b) AS src, greatest(a, b) AS dst FROM te",
         "cells_threshold": f'WITH {CELLS} SELECT map_id, r AS "row", c AS col, v > 127 AS free FROM cells',
         "free_ratio": f"WITH {CELLS} SELECT map_id, count(*) AS n_cells, CAST(sum(CASE WHEN v > 127 THEN 1 ELSE 0 END) AS BIGINT) AS n_free, bool_and(v > 127) AS all_free FROM cells GROUP BY map_id",
