@@ -26,12 +26,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, map_texts, written
 
 # Header fields that a 304 response doesn't replace in the stored ones (RFC 9111, 3.2), lower case.
 KEPT_AS_STORED = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
@@ -168,6 +169,14 @@ def record_bytes(record_id: str | None, kind: str, url: str | None, ts: int | No
     return head.encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
 
 
+def _table(rows: list[tuple], more: dict[str, pa.Array] | None = None) -> pa.RecordBatch:
+    """RECORD rows as a batch, with further columns."""
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64())
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    arrays = [pa.array([list((x or {}).items()) for x in v] if pa.types.is_map(t) else list(v), t) for v, t in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*arrays, *(more or {}).values()], [*NAMES, *(more or {})])
+
+
 def read_records(files: DataFrame) -> DataFrame:
     """RECORD rows of files(content): WARC bytes, plain or gzip. One file is one row, up to Spark's limit of 2 GB."""
 
@@ -176,16 +185,55 @@ def read_records(files: DataFrame) -> DataFrame:
             for content in b.column(0):
                 rows = list(records(content.as_py() or b""))
                 for k in range(0, len(rows), 10_000):
-                    c = list(zip(*rows[k : k + 10_000], strict=True))
-                    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(v), t) if t != pa.map_(pa.string(), pa.string()) else pa.array([list(x.items()) for x in v], t) for v, t in zip(c, kinds, strict=True)], NAMES)
+                    yield _table(rows[k : k + 10_000])
 
     return files.select("content").mapInArrow(run, RECORD)
 
 
-def read_warc(spark: SparkSession, *paths: str) -> DataFrame:
-    """RECORD rows of the WARC files at paths."""
-    return read_records(spark.read.format("binaryFile").load(list(paths)).select("content"))
+NEXT = "\r\n\r\nWARC/"  # what ends a record and begins the next
+
+
+def is_whole(piece: bytes) -> bool:
+    """Whether a piece of a file, from one header on, holds the record that its header announces."""
+    end = piece.find(b"\r\n\r\n")
+    # the separator took the blank line of a record without a body
+    size = _fields(piece if end < 0 else piece[:end])[1].get("content-length", "")
+    return size.isdigit() and (len(piece) - end - 4 if end >= 0 else 0) >= int(size)
+
+
+def read_warc(spark: SparkSession, *paths: str, skip_broken: bool = False) -> DataFrame:
+    """RECORD rows of the WARC files at paths, record by record: a task holds a few records, not a file.
+
+    Plain files are dealt in splits, gzip files are read as streams. A file in which a record isn't whole between two
+    separators (its body holds the separator, or the file's end cuts it off) is read again as one row by ``read_records``; so is
+    one that doesn't begin with a record. A broken gzip file is an error; with ``skip_broken`` the rest of it is left out,
+    whatever the error was.
+    """
+    text = spark.read.option("lineSep", NEXT).option("ignoreCorruptFiles", skip_broken).text(list(paths))
+    pieces = text.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"))
+
+    def run(batches):
+        for b in batches:
+            rows, files, whole = [], [], []
+            for piece, file in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                data = piece.as_py() or b""
+                if not data.strip():
+                    continue
+                data = data if data.startswith(b"WARC/") else b"WARC/" + data
+                fine = is_whole(data)
+                found = list(records(data + b"\r\n\r\n")) if fine else [(None,) * len(NAMES)]
+                rows += found
+                files += [file] * len(found)
+                whole += [fine] * len(found)
+            yield _table(rows, {"file": pa.array(files, pa.string()), "whole": pa.array(whole, pa.bool_())})
+
+    got = written(map_texts(pieces, run, f"{RECORD}, file string, whole boolean"), "records")
+    broken = got.filter("NOT whole").select("file").distinct()
+    names = [r["file"] for r in broken.collect()]  # of files, as the driver lists them anyway
+    if not names:
+        return got.select(*NAMES)
+    again = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(n)) for n in names])
+    return got.join(broken, "file", "left_anti").select(*NAMES).union(read_records(again))
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
