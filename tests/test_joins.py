@@ -10,7 +10,7 @@ from waymark.plans import queries as q
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
-WHOLE = ("border_inflation",)
+WHOLE = ("border_inflation", "merge_pairs")
 
 
 @pytest.mark.parametrize("name", WHOLE)
