@@ -4,8 +4,11 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from waymark.operators import raster
 from waymark.plans import queries as q
+from waymark.shared import cut
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -23,3 +26,17 @@ def test_band_with_and_without_sizes(spark):
     cells = q._grid_cells(spark, SF).filter("map_id < 4")
     a, b = (raster.border_band(c, 0.1, 0.05).toPandas().sort_values(["map_id", "row", "col"]).to_numpy().tolist() for c in (cells, cells.select("map_id", "row", "col")))
     assert a == b and a
+
+
+def test_rounds_are_joined_by_sorting(spark):
+    a, b = (cut(spark.range(100)) for _ in range(2))
+    assert "BroadcastExchange" not in a.join(b, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_laid_out_by_as_many_tasks_as_maps_need(spark):
+    from waymark.sources import maps
+
+    walls = spark.createDataFrame([(i, i % 48, i % 64) for i in range(300)], "map_id long, row int, col int")
+    cells = maps.cells_from(walls)
+    assert cells.select(F.spark_partition_id()).distinct().count() == 3
+    assert cells.filter("value = 0").count() == 300 and cells.count() == 300 * 48 * 64
