@@ -40,3 +40,9 @@ def test_cells_are_laid_out_by_as_many_tasks_as_maps_need(spark):
     cells = maps.cells_from(walls)
     assert cells.select(F.spark_partition_id()).distinct().count() == 3
     assert cells.filter("value = 0").count() == 300 and cells.count() == 300 * 48 * 64
+
+
+def test_points_and_cells_of_nearest_nodes_are_joined_by_sorting(spark):
+    for query in (q.nearest_node,):
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in next(x for x in plan.splitlines() if "Join" in x)
