@@ -43,6 +43,6 @@ def test_cells_are_laid_out_by_as_many_tasks_as_maps_need(spark):
 
 
 def test_points_and_cells_of_nearest_nodes_are_joined_by_sorting(spark):
-    for query in (q.nearest_node,):
+    for query in (q.nearest_node, q.nearest_node_id):
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in next(x for x in plan.splitlines() if "Join" in x)
