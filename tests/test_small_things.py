@@ -48,3 +48,15 @@ def test_shortcuts_are_measured_in_the_world(spark, order):
     asks = [(m, m, 5 * r, size * r - 5 * r, 15 * r, size * r - 5 * r) for m, r in enumerate(order)]  # ten pixels: 10 m and 0.5 m
     got = {r["route_id"]: len(r["path"]) for r in routes.answer_points(spark.createDataFrame(asks, routes.POINTS_REQUEST), blocked, nodes, edges, frames, shortcut=2.0).collect()}
     assert got == {m: 3 if r == 1.0 else 2 for m, r in enumerate(order)}
+
+
+def test_rasters_stay_in_the_task_that_makes_them(spark):
+    """Walls go in and cells come out: no raster goes back to Python in a batch of thousands of maps."""
+    from waymark.operators import packed
+
+    walls = spark.createDataFrame([(m, 5, 7, [m % 35, 34]) for m in range(600)], "map_id long, height int, width int, walls array<int>")
+    for df in (packed.cells(walls), packed.maxima(walls, 1.0)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = packed.cells(walls)
+    assert got.count() == 600 * 35 and got.filter("d2 = 0").count() == 600 * 2 - 17
+    assert packed.distances(walls).count() == 600
