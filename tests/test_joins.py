@@ -46,3 +46,23 @@ def test_points_and_cells_of_nearest_nodes_are_joined_by_sorting(spark):
     for query in (q.nearest_node, q.nearest_node_id):
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in next(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_grid_graphs_meet_no_exchange_after_their_maps_are_dealt(spark):
+    """However many maps there are, a task holds the grids of those dealt to it."""
+    for df in q._grid(spark, SF):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_lines_meet_obstacles_without_rows_for_cells(spark):
+    from waymark.operators import packed
+    from waymark.operators.kernels import line
+
+    walls = [(m, r, c) for m in (1, 2) for r in range(9) for c in range(9) if (r * 7 + c * 5 + m) % 11 == 0]
+    lines = [(m, i, j, 8 - j, (i * j) % 9) for m in (1, 2, 3) for i in range(9) for j in range(9)]
+    got = packed.meets(spark.createDataFrame(lines, "map_id long, r0 int, c0 int, r1 int, c1 int"), spark.createDataFrame(walls, "map_id long, row int, col int"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "BroadcastExchange" not in plan
+    want = {x: any((x[0], int(r), int(c)) in walls for r, c in zip(*line(*x[1:]), strict=True)) for x in lines}
+    assert {tuple(r)[:5]: r["hit"] for r in got.collect()} == want and len(set(want.values())) == 2
