@@ -102,3 +102,23 @@ def test_sections_and_sink(tmp_path):
     write_json(s.results(), str(tmp_path / "p.json"))
     out = json.loads((tmp_path / "p.json").read_text())
     assert set(out) == {"total_time", "peak_memory_mb", "component_breakdown", "query_performance"} and set(out["component_breakdown"]) == {"build", "queries"}
+
+
+def test_clustering_tells_neighbours_of_neighbours(spark):
+    """Against triangles counted one by one, without a row for each pair of a node's edges."""
+    from itertools import combinations
+
+    from waymark.operators import graph
+
+    pairs = {1: [(a, b) for a, b in combinations(range(8), 2) if (a * b + a) % 3], 2: [(0, 1), (1, 2), (0, 2), (2, 3)], 3: [(0, 1)]}
+    nodes = spark.createDataFrame([(m, i) for m in (*pairs, 4) for i in range(9)], "map_id long, node_id int")
+    edges = spark.createDataFrame([(m, a, b, 1.0) for m, x in pairs.items() for a, b in x], "map_id long, src int, dst int, weight double")
+    got = graph.clustering(nodes, edges)
+    assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+    for r in got.collect():
+        e, total = set(pairs.get(r["map_id"], ())), 0.0
+        for i in range(9):
+            near = [b if a == i else a for a, b in e if i in (a, b)]
+            if len(near) > 1:
+                total += sum((min(p), max(p)) in e for p in combinations(near, 2)) * 2 / (len(near) * (len(near) - 1))
+        assert abs(r["average_clustering"] - total / 9) < 1e-6
