@@ -130,3 +130,12 @@ def test_components_by_rounds(spark):
         got = tiles.components(spark.createDataFrame([(k, a, b) for k in (1, 2) for a, b in pairs], "map_id long, a long, b long")).collect()
         assert all(up[r["node"]] == r["component"] for r in got)
         assert {r["node"] for r in got} >= {x for p in pairs if p[0] != p[1] for x in p} and len(got) == 2 * len({x for p in pairs if p[0] != p[1] for x in p})
+
+
+def test_labels_come_with_the_messages(spark):
+    """Two nodes on one cell, whose label differs from its order, are met in other tiles; cells are joined with messages alone."""
+    cells = spark.createDataFrame([(1, r, c, True) for r in range(5) for c in range(17)], "map_id long, row int, col int, free boolean")
+    nodes = spark.createDataFrame([(1, 3, 2, 1), (1, 9, 2, 1), (1, 4, 2, 15)], "map_id long, node_id int, row int, col int")
+    got = tiles.nearest_nodes(cells, nodes, 4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    assert {(r["row"], r["col"]): r["label"] for r in got.collect()} == {(r, c): 9 if c <= 8 else 4 for r in range(5) for c in range(17)}
