@@ -66,3 +66,23 @@ def test_lines_meet_obstacles_without_rows_for_cells(spark):
     assert "Generate" not in plan and "BroadcastExchange" not in plan
     want = {x: any((x[0], int(r), int(c)) in walls for r, c in zip(*line(*x[1:]), strict=True)) for x in lines}
     assert {tuple(r)[:5]: r["hit"] for r in got.collect()} == want and len(set(want.values())) == 2
+
+
+def joins(df):
+    """The joins of the plan as it was run."""
+    df.collect()
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Join" in x]
+
+
+def test_reports_and_regions_are_joined_by_sorting_when_run(spark):
+    """Sizes found out while running don't turn a join into one through the driver either."""
+    from waymark.operators import evaluate, merging, shapes
+
+    nodes, edges = (cut(spark.createDataFrame(x, y)) for x, y in (([(1, i, i, 2) for i in range(4)], "map_id long, node_id int, row int, col int"), ([(1, 0, 1, 1.0)], "map_id long, src int, dst int, weight double")))
+    blocked = cut(spark.createDataFrame([(1, r, c, r == 3) for r in range(5) for c in range(5)], "map_id long, row int, col int, blocked boolean"))
+    free = shapes.packed(blocked.select("map_id", "row", "col", (~F.col("blocked")).alias("free")), 4)
+    lines = spark.createDataFrame([(1, 0, 1, 0, 0, 4, 4), (1, 0, 2, 0, 0, 1, 1)], "map_id long, pa long, pb long, r0 int, c0 int, r1 int, c1 int")
+    left = lines.join(merging.blocked_lines(lines, free, 4), merging.PAIR, "left_anti")
+    for df in (evaluate.report(nodes, edges, blocked), evaluate.coverage(blocked.select("map_id", "row", "col", F.lit(255).alias("value")), nodes, size=4), left):
+        found = joins(df)
+        assert found and not [x for x in found if "Broadcast" in x]
