@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import line_cells
-from ..shared import cut
+from ..shared import bulky, cut
 from .graph import radius_pairs
 from .shapes import numbered
 from .tiles import SIZE, TILE, place
@@ -36,7 +36,7 @@ def blocked_lines(lines: DataFrame, free: DataFrame, size: int = SIZE) -> DataFr
     byte = F.expr("cast(conv(hex(substring(bits, cast(k div 8 as int) + 1, 1)), 16, 10) as int)")
     bit = F.expr("7 - k % 8")
     is_set = (F.col("y") < F.col("h")) & (F.col("x") < F.col("w")) & (F.call_function("getbit", byte, bit.cast("int")) == 1)
-    return known.filter(~F.coalesce(is_set, F.lit(False))).select(*PAIR).distinct()
+    return bulky(known.filter(~F.coalesce(is_set, F.lit(False))).select(*PAIR).distinct())
 
 
 def _ready(pending: DataFrame, near: DataFrame) -> DataFrame:
