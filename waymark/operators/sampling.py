@@ -84,7 +84,11 @@ def sampled(cells: DataFrame, limit: int, size: int = SIZE, nodes: DataFrame | N
 
     ``nodes(map_id, row, col)`` are there before, and not returned. ``limit``, in cells, is at most ``size``.
     """
-    tiled = tiles(cells, size)
+    return sampled_tiles(tiles(cells, size), limit, size, nodes)
+
+
+def sampled_tiles(tiled: DataFrame, limit: int, size: int = SIZE, nodes: DataFrame | None = None) -> DataFrame:
+    """``sampled`` of ``tiles``."""
 
     def without(tiled: DataFrame, points: DataFrame) -> DataFrame:
         taken = place(points, size).groupBy(*TILE).agg(F.collect_list(local(size)).alias("taken"))
