@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.operators import build as b
 from waymark.operators import evaluate
@@ -52,3 +53,22 @@ def test_whole_maps_take_no_rounds(spark, cells):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) <= 8
+
+
+def test_short_walks_meet_what_lines_meet():
+    from waymark.operators.kernels import Walls, collides
+
+    rng = np.random.default_rng(5)
+    for blocked in (rng.random((9, 13)) > 0.8, np.asfortranarray(rng.random((6, 4)) > 0.9)):
+        meets = Walls(blocked).meets
+        ends = rng.uniform(-1.5, 13.5, (400, 4)).tolist()
+        assert [meets((a, b), (c, d)) for a, b, c, d in ends] == [collides(blocked, (a, b), (c, d)) for a, b, c, d in ends]
+
+
+def test_builds_of_packed_maps_make_no_cell_rows(spark, cells):
+    """Packed maps and their cells give the same graphs, and one pass of a task a map."""
+    packed = cells.filter("value = 0").groupBy("map_id").agg(F.collect_set(F.expr("row * if(map_id = 5, 12, 22) + col")).alias("walls")).filter("map_id in (1, 2, 5)")
+    packed = packed.selectExpr("map_id", "if(map_id = 5, 34, 19) height", "if(map_id = 5, 12, 22) width", "walls")
+    got = b.build_graphs(packed, resolution=0.05, safety=0.1)
+    assert rows(got) == rows(b.build_graphs(cells.filter("map_id in (1, 2, 5)"), resolution=0.05, safety=0.1))
+    assert got.filter("kind = 'node'").count()
