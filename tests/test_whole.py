@@ -72,3 +72,25 @@ def test_builds_of_packed_maps_make_no_cell_rows(spark, cells):
     got = b.build_graphs(packed, resolution=0.05, safety=0.1)
     assert rows(got) == rows(b.build_graphs(cells.filter("map_id in (1, 2, 5)"), resolution=0.05, safety=0.1))
     assert got.filter("kind = 'node'").count()
+
+
+def test_pairs_are_those_of_choice():
+    from waymark.operators import evaluate as e
+
+    for seed, n in ((1, 2), (2, 3), (3, 29), (4, 9_999), (5, 10_001)):
+        rng = np.random.default_rng(seed)
+        assert e._pairs(seed, n, 200).tolist() == [rng.choice(n, 2, replace=False).tolist() for _ in range(200)]
+
+
+def test_pairs_that_come_again_are_searched_once(spark, monkeypatch):
+    from types import SimpleNamespace as Row
+
+    from waymark.operators import evaluate as e
+
+    asked = []
+    monkeypatch.setattr(e, "shortest_path", lambda near, at, a, b, real=e.shortest_path: asked.append((a, b)) or real(near, at, a, b))
+    nodes = [{"a": i, "b": 1, "c": 1 + 2 * i} for i in range(4)]
+    edges = [{"a": i, "b": i + 1, "w": 2.0} for i in range(3)]
+    cr, cc = np.indices((3, 9)).reshape(2, -1)
+    row = e._sampled_paths(Row(map_id=7, n=nodes, e=edges, cr=cr, cc=cc, cv=np.where((cr == 0) & (cc == 0), 0, 255)), 500, 127)
+    assert len(asked) == len(set(asked)) == 12 and row[0] == 7 and row[4] == 1.0 and row[2] == 1.0
