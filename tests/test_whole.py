@@ -94,3 +94,20 @@ def test_pairs_that_come_again_are_searched_once(spark, monkeypatch):
     cr, cc = np.indices((3, 9)).reshape(2, -1)
     row = e._sampled_paths(Row(map_id=7, n=nodes, e=edges, cr=cr, cc=cc, cv=np.where((cr == 0) & (cc == 0), 0, 255)), 500, 127)
     assert len(asked) == len(set(asked)) == 12 and row[0] == 7 and row[4] == 1.0 and row[2] == 1.0
+
+
+def test_nearest_nodes_of_whole_maps(spark, cells):
+    nodes = spark.createDataFrame([(1, 5, 3, 3), (1, 9, 3, 3), (1, 2, 10, 20), (2, 1, 0, 0), (2, 0, 18, 21), (2, 4, 30, 1), (3, 7, 1, 1), (4, 1, 2, 2)], "map_id long, node_id int, row int, col int")
+    free = cells.selectExpr("map_id", "row", "col", "value > 127 free")
+    want = rows(b.nearest_nodes(free, nodes, 8))
+    assert len(want) == cells.count() and rows(b.nearest_nodes(free, nodes, 8, 410)) == want
+
+
+def test_triangulations_of_whole_maps(spark):
+    from waymark.operators import triangles
+
+    rng = np.random.default_rng(3)
+    points = {1: rng.integers(0, 40, (60, 2)), 2: np.indices((4, 5)).reshape(2, -1).T * 5, 3: np.array([[1, 1], [2, 2], [3, 3]]), 4: np.array([[0, 0], [0, 0], [7, 1], [2, 9]])}
+    nodes = spark.createDataFrame([(m, i, *map(int, p)) for m, ps in points.items() for i, p in enumerate(ps)], "map_id long, node_id int, row int, col int")
+    want = rows(triangles.delaunay(nodes, 16))
+    assert rows(triangles.delaunay_maps(nodes, 16)) == want and rows(triangles.delaunay_maps(nodes, 16, 30)) == want

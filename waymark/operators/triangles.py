@@ -16,17 +16,20 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut
-from .kernels import joined, triangles
+from ..shared import bulky, cut
+from .kernels import joined, triangles, triangulate
 from .tiles import SIZE, TILE, place
+from .whole import tasks
 
 NODE = ["map_id", "node_id"]
+FEW = 2_000  # points of a map that a task triangulates at once
 
 
 def circle(a: tuple[int, int], b: tuple[int, int], c: tuple[int, int]) -> tuple[float, float, float]:
@@ -99,3 +102,25 @@ def delaunay(nodes: DataFrame, size: int = SIZE) -> DataFrame:
     if not found:
         return whole.filter("false").select("map_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
     return reduce(DataFrame.union, found).filter("node_id < other").select("map_id", F.col("node_id").alias("src"), F.col("other").alias("dst"))
+
+
+def delaunay_maps(nodes: DataFrame, size: int = SIZE, few: int = FEW) -> DataFrame:
+    """``delaunay``, where maps of at most ``few`` points are triangulated whole, many to a task; tiles and rounds are for the others."""
+    whole = nodes.select(F.col("map_id").cast("long").alias("map_id"), F.col("node_id").cast("int").alias("node_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).dropna()
+    points = cut(whole.groupBy("map_id", "row", "col").agg(F.min("node_id").alias("node_id")))
+    count = points.groupBy("map_id").agg(F.count("*").alias("points"))
+    many = count.filter(F.col("points") > few)
+    large = None if many.isEmpty() else cut(points.join(bulky(many), "map_id", "left_semi"))
+    mine = points if large is None else points.join(bulky(many), "map_id", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b.itertuples(index=False):
+                ids = [p["node_id"] for p in t.points]
+                out += [(t.map_id, min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in triangulate([(p["row"], p["col"]) for p in t.points])]
+            yield pd.DataFrame(out, columns=["map_id", "src", "dst"]).astype({"map_id": "int64", "src": "int32", "dst": "int32"})
+
+    rows = mine.repartition(tasks(points), "map_id").groupBy("map_id").agg(F.collect_list(F.struct("node_id", "row", "col")).alias("points"))
+    small = rows.mapInPandas(run, "map_id long, src int, dst int")
+    return small if large is None else small.unionByName(delaunay(large, size))
