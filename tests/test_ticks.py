@@ -93,3 +93,59 @@ def test_goals_meet_the_pose_of_their_time(spark, tmp_path):
     p, g = feed(spark, str(tmp_path / "p"), poses, ticks.POSE), feed(spark, str(tmp_path / "g"), goals, ticks.GOAL)
     got = {r["route_id"]: (r["robot"], ms_of(r["at"]), r["start_x"], r["goal_x"], r["goal_y"]) for r in ticks.settled(ticks.goals_with_poses(g, p, late="0 seconds")).collect()}
     assert got == {7: (1, 950, 2.0, 5.0, 5.0), 8: (1, 50, None, 6.0, 6.0), 9: (2, 400, None, 1.0, 1.0), 10: (1, 2000, 3.0, 4.0, 4.0), 11: (1, 4000, 3.0, 4.0, 5.0)}
+
+
+class Store:
+    """A list state that counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def _call(self, rows):
+        self.rows, self.calls = rows, self.calls + 1
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.rows))
+
+    def appendList(self, rows):
+        self._call(self.rows + list(rows))
+
+    def appendValue(self, row):
+        self._call([*self.rows, row])
+
+    def put(self, rows):
+        self._call(list(rows))
+
+    def clear(self):
+        self._call([])
+
+
+def test_calls_to_the_store_do_not_grow_with_goals():
+    """One timer answers all goals of a batch, however many robots and goals there are; what is left is what later goals need."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    stores, timers, counts, starts = {}, set(), [], []
+    for goals in (3, 300):
+        stores.clear()
+        handle = SimpleNamespace(getListState=lambda n, _: stores.setdefault(n, Store()), registerTimer=timers.add)
+        step = ticks._AsOf()
+        step.init(handle)
+        rows = pd.DataFrame([(r, 10 * i + 1 + (k == "pose"), k, str(i) if k == "goal" else None, float(i), float(i)) for r in (1, 2) for i in range(goals) for k in ("goal", "pose")], columns=["robot", "ms", "kind", "route_id", "x", "y"])
+        clock = lambda t: SimpleNamespace(getCurrentWatermarkInMs=lambda: t)
+        list(step.handleInputRows((1,), iter([rows]), clock(0)))
+        n = len(timers)
+        out, now = [], 10 * goals - 15  # the last goal of each robot waits
+        while timers and min(timers) <= now:
+            due = min(timers)
+            timers.remove(due)
+            out += list(step.handleExpiredTimer((1,), clock(now), SimpleNamespace(getExpiryTimeInMs=lambda t=due: t)))
+        got = pd.concat(out)
+        assert len(got) == 2 * (goals - 1) and timers == {10 * goals - 9}
+        starts.append({(r.robot, r.route_id): r.start_x for r in got.itertuples() if r.route_id})
+        assert all(x == route - 1 for (_, route), x in starts[-1].items()) and got[got["route_id"] == 0]["start_x"].isna().all()
+        counts.append((n, sum(s.calls for s in stores.values())))
+        timers.clear()
+    assert counts[0] == counts[1]
