@@ -86,3 +86,28 @@ def test_reports_and_regions_are_joined_by_sorting_when_run(spark):
     for df in (evaluate.report(nodes, edges, blocked), evaluate.coverage(blocked.select("map_id", "row", "col", F.lit(255).alias("value")), nodes, size=4), left):
         found = joins(df)
         assert found and not [x for x in found if "Broadcast" in x]
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    return plan.count("Exchange"), plan.count("REPARTITION_BY_NUM")
+
+
+@pytest.mark.parametrize("name", ["geojson_geometry", "geojson_features"])
+def test_features_meet_no_exchange_after_their_maps_are_dealt(spark, name):
+    """A task holds the features of the maps dealt to it, however many there are: an edge's ends are no join."""
+    every, dealt = exchanges(q.queries()[name](spark, SF))
+    assert every == dealt
+
+
+def test_edges_without_known_ends_are_no_features(spark):
+    from waymark.sources import codecs
+
+    nodes = spark.createDataFrame([(1, 3, 1, 2), (1, 5, 3, 4), (2, 0, 7, 7), (3, 1, 0, 0)], "map_id long, node_id int, row int, col int")
+    edges = spark.createDataFrame([(1, 3, 5, 1.0), (1, 3, 9, 1.0), (1, 9, 5, 1.0), (1, 5, 3, 1.0), (2, 8, 9, 1.0), (4, 1, 2, 1.0)], "map_id long, src int, dst int, weight double")
+    got = {tuple(r) for r in codecs.geojson_rows(codecs.to_geojson(nodes, edges)).collect()}
+    a, b = (2.0, -1.0), (4.0, -3.0)
+    points = {(1, 3, *a), (1, 5, *b), (2, 0, 7.0, -7.0), (3, 1, 0.0, 0.0)}
+    lines = {(1, 2, 3, 5, *a, *b), (1, 3, 5, 3, *b, *a), (1, 4, 5, 3, *b, *a), (1, 5, 3, 5, *a, *b)}
+    assert got == {(m, i, "Point", -1, -1, "map", x, y, x, y) for m, i, x, y in points} | {(m, i, "MultiLineString", s, e, "", *p) for m, i, s, e, *p in lines}
