@@ -111,3 +111,8 @@ def test_edges_without_known_ends_are_no_features(spark):
     points = {(1, 3, *a), (1, 5, *b), (2, 0, 7.0, -7.0), (3, 1, 0.0, 0.0)}
     lines = {(1, 2, 3, 5, *a, *b), (1, 3, 5, 3, *b, *a), (1, 4, 5, 3, *b, *a), (1, 5, 3, 5, *a, *b)}
     assert got == {(m, i, "Point", -1, -1, "map", x, y, x, y) for m, i, x, y in points} | {(m, i, "MultiLineString", s, e, "", *p) for m, i, s, e, *p in lines}
+
+
+def test_clustering_meets_no_exchange_after_its_maps_are_dealt(spark):
+    every, dealt = exchanges(q.clustering(spark, SF))
+    assert every == dealt
