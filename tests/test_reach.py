@@ -57,7 +57,23 @@ def test_components(graphs, frames):
 
 
 def test_diameters(graphs, frames):
-    got = {r["map_id"]: r["graph_diameter"] for r in reach.diameter(*frames).collect()}
+    check_diameters(graphs, reach.diameter(*frames))
+
+
+@pytest.mark.parametrize("whole", [0, 100])
+def test_diameters_by_rounds_and_in_part(graphs, frames, whole):
+    check_diameters(graphs, reach.diameter(*frames, whole))
+
+
+def test_diameters_of_small_maps_take_no_rounds(graphs, frames, monkeypatch):
+    monkeypatch.setattr(reach, "cut", None)
+    check_diameters(graphs, reach.diameter(*frames))
+    monkeypatch.setattr(reach, "WORDS", 1)  # a map at a time
+    check_diameters(graphs, reach.diameter(*frames))
+
+
+def check_diameters(graphs, df):
+    got = {r["map_id"]: r["graph_diameter"] for r in df.collect()}
     for m, (at, edges) in graphs.items():
         all_ = [hops(near(len(at), edges), i) for i in range(len(at))]
         assert got[m] == (max(max(h.values()) for h in all_) if all(len(h) == len(at) for h in all_) else math.inf)
