@@ -72,3 +72,41 @@ def test_lines_that_leave_the_map_are_blocked(spark):
 def test_no_nodes(spark):
     n, e = merging.merged(spark.createDataFrame([], "map_id long, node_id int, row int, col int"), spark.createDataFrame([], "map_id long, src int, dst int, weight double, edge_type string"), shapes.packed(spark.createDataFrame([(0, 0, 0, True)], "map_id long, row int, col int, free boolean"), 4), 3)
     assert n.count() == 0 and e.count() == 0
+
+
+def crowded(seed):
+    """Walls of small maps, and lines between cells of a few rows, so that many ends are neighbours; some ends lie outside."""
+    rng = np.random.default_rng(seed)
+    out = {}
+    for m, (h, w, n, density) in enumerate([(12, 20, 60, 0.02), (9, 15, 40, 0.0), (16, 9, 80, 0.05), (6, 30, 3, 0.1)]):
+        free = rng.random((h, w)) >= density
+        lines = np.stack([rng.integers(3, min(h, 9), n), rng.integers(0, w, n), rng.integers(-1, h + 1, n), rng.integers(0, w, n)], axis=1)
+        out[m] = (free, lines.tolist())
+    return out
+
+
+def test_lines_merge_whole_as_over_tiles_and_as_the_sequence(spark):
+    maps, least, radius = crowded(5), 1.0, 1.0
+    packed = spark.createDataFrame([(m, *f.shape, np.flatnonzero(~f).tolist()) for m, (f, _) in maps.items()], "map_id long, height int, width int, walls array<int>")
+    lines = spark.createDataFrame([(m, *x) for m, (_, xs) in maps.items() for x in xs], "map_id long, r0 int, c0 int, r1 int, c1 int")
+    got = [sorted(map(tuple, merging.merged_lines(packed, lines, least=least, radius=radius, size=7, **more).collect())) for more in ({}, {"most": 50})]
+    assert got[0] == got[1]
+    for m, (free, xs) in maps.items():
+        h, w = free.shape
+        g = Graph()
+        for r, c in sorted({(r, c) for x in xs for r, c in (x[:2], x[2:]) if 0 <= r < h and 0 <= c < w}):
+            g.node((r, c))
+        for r0, c0, r1, c1 in xs:
+            if (r0, c0) != (r1, c1) and not collides(~free, (r0, c0), (r1, c1)):
+                g.edge((r0, c0), (r1, c1), "line")
+        merge_close(g, ~free, radius)
+        mine = sorted((x for x in got[0] if x[0] == m), key=lambda x: x[4])
+        assert [x[2:4] for x in mine] == list(g.nodes)
+        assert [x[5] for x in mine] == [len(g.near[p]) for p in g.nodes]
+        assert [x[1] for x in mine] == [r * w + c for r, c in g.nodes]
+
+
+def test_the_query_has_rows(spark):
+    from waymark.plans import queries as q
+
+    assert q.merged_nodes(spark, "/root/testdata/sf0.001").count() > 0
