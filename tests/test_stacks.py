@@ -91,3 +91,20 @@ def test_a_build_takes_stacks_whole(spark):
         want = {(p, q): (w * 0.05, kind) for i, p in enumerate(names) for q, (w, kind) in g.near[p].items() if i < names.index(q)}
         assert {e: kind for e, (_, kind) in edges.items()} == {e: kind for e, (_, kind) in want.items()}
         assert all(abs(edges[e][0] - want[e][0]) < 1e-12 for e in want)
+
+
+def test_coverage_of_builds(spark):
+    """Built and covered by one task, by tiles where maps are large, and by the nodes of built graphs; odd maps among them."""
+    from waymark.operators import build as b
+    from waymark.operators import evaluate
+
+    free = {1: np.ones((40, 50), bool), 2: np.ones((3, 3), bool), 3: np.zeros((5, 6), bool), **{m: f for m, f in enumerate(maps(9, 0.1, (3, 20, 21)), 4)}}
+    packed = spark.createDataFrame([(m, *f.shape, np.flatnonzero(~f).tolist()) for m, f in free.items()], "map_id long, height int, width int, walls array<int>")
+    shown = lambda df: sorted((r["map_id"], *[None if v is None else round(v, 9) for v in r[1:]]) for r in df.collect())
+    want = shown(evaluate.coverage(packed, b.nodes_of(b.build_graphs(packed, resolution=0.05, safety=0.05)), size=16))
+    assert len(want) == len(free) and 0 < len({r[1:] for r in want if r[1]})
+    stacked = evaluate.build_coverage(packed, resolution=0.05, safety=0.05, size=16)
+    # no exchange between the build and its coverage: the maps are dealt once
+    assert stacked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert shown(stacked) == want
+    assert shown(evaluate.build_coverage(packed, resolution=0.05, safety=0.05, size=16, whole_maps=500)) == want
